@@ -42,7 +42,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
     return t.select("_source", "rank", "source_size", "rows", target.alias("target"))
 
 
-def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, passes: int = 2, seed: int = 17, rows_per_range: int = 20000) -> DataFrame:
+def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, passes: int = 2, seed: int = 17, rows_per_range: int = 4000) -> DataFrame:
     """``<id_col>, size, source_size, target, taken`` for each input row.
 
     ``size`` counts words (null or empty text: 0). Sources take ``weights`` in

@@ -12,6 +12,7 @@ pieces themselves are placed in parallel by length and rank.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections import defaultdict
 from dataclasses import dataclass, field
@@ -27,31 +28,64 @@ from .common import stage
 # --- tokens -----------------------------------------------------------------
 
 
+#: Bytes of ASCII letters and of the two-byte letters from U+00C0 to U+017F (whose range also holds two signs, and a capital whose lower case is two characters).
+_LETTERS = bytes([*range(65, 91), *range(97, 123), 0xC3, 0xC4, 0xC5, *range(0x80, 0xC0)])
+_SIGNS = (b"\xc3\x97", b"\xc3\xb7", b"\xc4\xb0")
+_PLAIN = _LETTERS + b"0123456789 ,.\n"
+#: The byte-level alphabet's characters for bytes that don't stand for themselves (a fixed rule of byte-level BPE).
+_BYTE_CHARS = {b: 256 + 33 + k for k, b in enumerate([*range(0x7F, 0xA1), 0xAD])}
+
+
 class WordIds:
-    """Ids of a tokenizer that never joins across ASCII white space, word by word with a bounded cache."""
+    """Ids of a tokenizer that never joins across ASCII white space, word by word with a bounded cache.
+
+    A word of letters goes straight to the tokenizer's BPE model, which is what
+    its normaliser and splitter would hand on; all others take the whole path.
+    """
 
     def __init__(self, path: str, limit: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.limit, self.known = limit, {}
+        self.model, self.limit, self.known, self.older = self.tokenizer.model, limit, {}, {}
 
     def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > self.limit:
-            self.known, new = {}, list(words)
-        for k in range(0, len(new), 2000):
-            some = new[k : k + 2000]
+        new = words.difference(self.known)
+        if len(self.known) + len(new) > self.limit:  # two generations: words in use move on to the younger
+            self.known, self.older, new = {}, self.known, words
+        odd, known, older, tokenize = [], self.known, self.older, self.model.tokenize
+        for w in new:
+            ids = older.get(w)
+            if ids is not None:
+                known[w] = ids
+            elif w.translate(None, _LETTERS) or not w.isascii() and any(x in w for x in _SIGNS):
+                odd.append(w)
+            else:
+                chars = w.decode("ascii").lower() if w.isascii() else w.decode().lower().encode().decode("latin-1").translate(_BYTE_CHARS)
+                ids = [t.id for t in tokenize(chars)]
+                known[w] = struct.pack(f"<{len(ids)}I", *ids)
+        for k in range(0, len(odd), 2000):
+            some = odd[k : k + 2000]
             enc = self.tokenizer.encode([w.decode() for w in some], is_pretokenized=True, add_special_tokens=False)
             ids, of = np.array(enc.ids, "<u4"), np.array([-1 if w is None else w for w in enc.word_ids], np.int64)
             cuts = (np.searchsorted(of, np.arange(len(some) + 1)) * 4).tolist()
             raw = ids.tobytes()
-            self.known.update((w, raw[cuts[i] : cuts[i + 1]]) for i, w in enumerate(some))
+            known.update((w, raw[cuts[i] : cuts[i + 1]]) for i, w in enumerate(some))
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
+    @staticmethod
+    def words(text: bytes) -> list[bytes]:
         # Lower-casing ASCII letters first cannot change ids unless a combining mark (lead bytes CC and CD) follows one.
-        split = [(t if b"\xcc" in t or b"\xcd" in t else t.lower()).split() for t in texts]
+        if b"\xcc" not in text and b"\xcd" not in text:
+            text = text.lower()
+        # In a text of letters, digits and single full stops and commas, these are tokens of their own.
+        if not text.translate(None, _PLAIN) and not any(x in text for x in (b"..", b",.", b".,", b",,", *_SIGNS)):
+            for mark in (b", ", b". ", b",\n", b".\n"):
+                text = text.replace(mark, b" " + mark)
+        return text.split()
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        split = [self.words(t) for t in texts]
         self.learn(set().union(*split))
         get = self.known.__getitem__
         return [b"".join(map(get, words)) for words in split]
@@ -60,7 +94,7 @@ class WordIds:
 _WORDS: dict[str, WordIds] = {}
 
 
-def _steps(texts: list[bytes], limit: int = 1 << 20):
+def _steps(texts: list[bytes], limit: int = 4 << 20):
     some, size = [], 0
     for t in texts:
         some.append(t)
@@ -241,7 +275,7 @@ def plan_packing(counts: dict[int, int], capacity: int, groups: int = 24, small:
     return plan
 
 
-def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str = "", capacity: int = 2048, end_id: int = 0, rows_per_range: int = 20000) -> DataFrame:
+def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str = "", capacity: int = 2048, end_id: int = 0, rows_per_range: int = 4000) -> DataFrame:
     """One row per piece: ``<id_col>, piece, start, length, ids_crc32, sequence_id, offset``.
 
     Every row of the input is a document, repeated ids included; null and empty
