@@ -74,9 +74,9 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
 
 def take_mix(df: DataFrame, mix: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Apply a mix to its documents: each row once per whole pass, and a last row of the words up to the cut where the budget ends inside it. Rows of which nothing is taken go. Ids must be unique."""
-    m = mix.where("taken > 0").select(F.col(id_col).alias("_mix_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-    rows = df.join(m, F.col(id_col) == F.col("_mix_id"))
+    """Apply a mix to its documents: each row once per whole pass, and a last row of the words up to the cut where the budget ends inside it. Rows of which nothing is taken go. Rows that repeat an id and size are taken alike."""
+    m = mix.where("taken > 0").groupBy(F.col(id_col).alias("_mix_id"), F.col("size").alias("_size")).agg(F.max("taken").alias("_taken"))
+    rows = df.join(m, F.col(id_col).eqNullSafe(F.col("_mix_id")) & (word_count(F.col(text_col)) == F.col("_size")))
     rest = F.col("_taken") % F.col("_size")
     rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("_taken") / F.col("_size")))))
     cut = (F.col("_copy") * F.col("_size") > F.col("_taken")) & (rest > 0)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, exact, langid, mixing, neardup, packing, toxicity, warc
+from . import ann, chat, exact, langid, mixing, neardup, packing, quality, toxicity, warc
 from .common import shared_dir
 
 
@@ -37,6 +37,11 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -73,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_ann": op2_ann,
         "op3_mixing": op3_mixing,
         "op4_near_dedup": op4_near_dedup,
+        "op5_quality": op5_quality,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_packing": op7_packing,
         "op8_chat": op8_chat,
