@@ -160,7 +160,7 @@ def _scored(docs: DataFrame, model: CharModel, kind: str) -> DataFrame:
     return docs.select("_id", "_text").mapInArrow(run, f"_id {kind}, events long, best long, entropy double, score double")
 
 
-def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = 2500, slack: float = 3.0) -> DataFrame:
+def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = 2500, slack: float = 4.0) -> DataFrame:
     """One row per input row: ``<id_col>, held_out, lang_pred, score, entropy, rejected``.
 
     Learns from text and non-null language of rows outside fold 1 only, at most
@@ -168,7 +168,7 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     from four in five of them, rejection thresholds from the fifth. A text that is null or
     has no letter gets ``und`` and score 0 and is rejected; so is one of at least
     20 letters whose cross-entropy lies further above its language's median than
-    ``slack`` times the distance to the 99.5 % point of the labelled texts. If
+    ``slack`` times the distance to the 99.5 % point of the labelled texts, and by more than 1. If
     there is nothing to learn from, every text gets ``und``. Rows that repeat an
     id are scored each; an empty table gives an empty result.
     """
@@ -188,7 +188,7 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     model = build_model(languages, np.searchsorted(np.array(languages, object), names), counts["g"].to_numpy().view(np.uint64), counts["n"].to_numpy())
 
     seen = _scored(sample.where("nth % 5 = 0"), model, kind).where("events >= 20").groupBy("best").agg(F.percentile("entropy", F.lit(0.5)).alias("mid"), F.percentile("entropy", F.lit(0.995)).alias("high")).collect()  # a row per language
-    limit = {r["best"]: r["mid"] + slack * max(r["high"] - r["mid"], 0.05) for r in seen}
+    limit = {r["best"]: r["mid"] + max(slack * (r["high"] - r["mid"]), 1.0) for r in seen}
     scored = _scored(docs, model, kind)
     name = F.element_at(F.array(*map(F.lit, languages)), (F.col("best") + 1).cast("int"))
     bound = F.coalesce(*(F.when(F.col("best") == k, F.lit(float(v))) for k, v in sorted(limit.items())), F.lit(float("inf")))

@@ -3,13 +3,14 @@
 Texts become sets of five-word shingles. Equal sets collapse to one
 representative first, so a group of copies costs one row. Banded MinHash keys
 propose candidates: every member of a band bucket is paired with one leader of
-that bucket (a different one in every band), never with all the others. Pairs
+that bucket (a different one in every band), not with all the others. Pairs
 are then checked against the signatures batch by batch: given m of n agreeing
 hashes and a uniform prior, a pair is dropped as soon as the posterior
 probability of reaching the threshold falls under the chosen miss probability.
-Survivors are verified exactly, on full shingle sets. Buckets whose members
-then still lie in several components are completed block by block, so that no
-pair within a bucket goes unexamined unless its ends are already connected.
+Survivors are verified exactly, on full shingle sets. In buckets
+whose members then still lie in several components, members propose their most
+similar untested members of other components, block against block, in rounds
+until no pair is left that the signatures allow and that is not yet connected.
 """
 
 from __future__ import annotations
@@ -216,33 +217,46 @@ def _crossing(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.join(of("a"), "a").join(of("b"), "b").where("comp_a <> comp_b")
 
 
-def _complete(members: DataFrame, labels: DataFrame, reps: DataFrame, least: list[int], block: int) -> DataFrame:
-    """Surviving pairs between different components within buckets of three or more; large buckets go block against block."""
+def _complete(members: DataFrame, labels: DataFrame, reps: DataFrame, tested: DataFrame, least: list[int], block: int, width: int) -> DataFrame:
+    """``key, x, y``: within buckets of three or more, each member's ``width`` most similar untested members of other components; large buckets go block against block. Nothing comes back once all pairs that the signatures allow are tested or connected."""
     kind = labels.schema["rep"].dataType.simpleString()
 
     def run(table: pa.Table) -> pa.Table:
         rep, comp, side = (table.column(c).to_numpy() for c in ("rep", "comp", "side"))
-        sig = _sig(table.column("sig"))
+        sig, seen = _sig(table.column("sig")), table.column("seen").to_pylist()
         diagonal = table.column("i")[0].as_py() == table.column("j")[0].as_py()
         left = np.flatnonzero(side == 0)
         right = left if diagonal else np.flatnonzero(side == 1)
-        found: list[list] = [[], [], []]
+        done: dict = {}
+        for x, others in zip(rep.tolist(), seen, strict=True):
+            for y in others or ():
+                done.setdefault(x, []).append(y)
+                done.setdefault(y, []).append(x)
+        found: list[list] = [[], []]
         for x in left:
             other = right[(comp[right] != comp[x]) & ((rep[right] > rep[x]) if diagonal else True)]
+            if len(other) and rep[x] in done:
+                other = other[~np.isin(rep[other], done[rep[x]])]
             if len(other):
                 alive, matches = surviving(np.broadcast_to(sig[x], (len(other), HASHES)), sig[other], least)
-                found[0] += [rep[x]] * len(alive)
-                found[1] += rep[other[alive]].tolist()
-                found[2] += matches.tolist()
-        return pa.table({"a": pa.array(found[0], table.schema.field("rep").type), "b": pa.array(found[1], table.schema.field("rep").type), "est": pa.array(found[2], pa.int64())})
+                best = other[alive[np.argsort(-matches, kind="stable")[:width]]]
+                found[0] += [rep[x]] * len(best)
+                found[1] += rep[best].tolist()
+        of = table.schema.field("rep").type
+        key = table.column("key")[0].as_py()
+        return pa.table({"key": pa.array([key] * len(found[0]), pa.int64()), "x": pa.array(found[0], of), "y": pa.array(found[1], of)})
 
     mixed = members.join(labels, "rep").groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo <> hi and m > 2").select("key", F.ceil(F.col("m") / block).alias("nb"))
-    rows = members.join(mixed, "key").join(labels, "rep").join(reps.select("rep", "sig"), "rep").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("nb")))
+    seen = tested.groupBy("x").agg(F.collect_list("y").alias("seen"))  # each member names at most BANDS leaders and the pairs it proposed itself
+    rows = members.join(mixed, "key").join(labels, "rep").join(reps.select("rep", "sig"), "rep").join(seen, F.col("rep") == F.col("x"), "left").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("nb")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1))
     rows = rows.withColumn("other", other).withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")).withColumn("side", (F.col("mine") == F.col("j")).cast("int"))
-    rows = rows.withColumn("side", F.when(F.col("i") == F.col("j"), 0).otherwise(F.col("side"))).select("key", "i", "j", "side", "rep", "comp", "sig")
-    pairs = rows.groupBy("key", "i", "j").applyInArrow(run, f"a {kind}, b {kind}, est long")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "est").distinct()
+    rows = rows.withColumn("side", F.when(F.col("i") == F.col("j"), 0).otherwise(F.col("side"))).select("key", "i", "j", "side", "rep", "comp", "sig", "seen")
+    return rows.groupBy("key", "i", "j").applyInArrow(run, f"key long, x {kind}, y {kind}")
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, miss: float = 1e-6, block: int = 256) -> DataFrame:
@@ -269,28 +283,32 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     members = reps.select(F.explode("bands").alias("key"), "rep")
     leaders = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", "key").alias("h"), F.col("rep").alias("lead"))).alias("lead"), F.count("*").alias("m")).where("m > 1")
     members = stage(members.join(leaders.select("key", "lead.lead"), "key"), "members")
-    star = members.where("rep <> lead").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
-    candidates = stage(prune_pairs(star, reps, percent / 100, miss), "candidates")
+    star = members.where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct()
+    candidates = stage(prune_pairs(star, reps, percent / 100, miss).withColumnsRenamed({"a": "x", "b": "y"}), "candidates")
 
     near = members.select("rep").distinct()
     texts = docs.join(near, F.col("_id") == F.col("rep"), "left_semi")
     texts = stage(texts.select(F.col("_id").alias("rep"), F.col("_text").alias("text")), "texts")
 
-    # First each document with its most similar candidate, then what still lies apart.
-    ends = candidates.select(F.col("a").alias("x"), F.col("b").alias("y"), "est").unionByName(candidates.select(F.col("b").alias("x"), F.col("a").alias("y"), "est"))
-    best = ends.groupBy("x").agg(F.min(F.struct((-F.col("est")).alias("e"), "y")).alias("m")).select("x", "m.y")
-    best = best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    links = stage(verify_pairs(best, texts, percent), "links")
+    # First each document with its most similar leader, then with the other leaders that still lie apart.
+    best = candidates.groupBy("x").agg(F.min(F.struct((-F.col("est")).alias("e"), "y")).alias("m")).select("x", "m.y")
+    links = stage(verify_pairs(_ordered(best), texts, percent), "links")
     labels = _labelled(reps, links)
-
-    completed = _complete(members.select("key", "rep"), labels, reps, least_matches(percent / 100, miss), block)
-    apart = stage(_crossing(candidates.unionByName(completed).groupBy("a", "b").agg(F.max("est").alias("est")), labels).join(best, ["a", "b"], "left_anti"), "apart")
-    ties = F.struct((-F.col("est")).alias("e"), "a", "b")
-    few = apart.groupBy(F.least("comp_a", "comp_b").alias("p"), F.greatest("comp_a", "comp_b").alias("q")).agg(F.min(ties).alias("m")).select("m.a", "m.b")
-    links = stage(links.unionByName(verify_pairs(few, texts, percent)), "links")
+    apart = _crossing(_ordered(candidates), labels).select("a", "b").join(_ordered(best), ["a", "b"], "left_anti")
+    links = stage(links.unionByName(verify_pairs(apart, texts, percent)), "links")
     labels = _labelled(reps, links)
-    rest = _crossing(apart.select("a", "b"), labels).select("a", "b").join(few, ["a", "b"], "left_anti")
-    links = links.unionByName(verify_pairs(rest, texts, percent))
+
+    # Then pairs without a leader, in rounds: a member proposes a few, and more of them in each round, until none is left.
+    tested, least, width, live = candidates.select("x", "y"), least_matches(percent / 100, miss), 1, members.select("key", "rep")
+    while True:
+        found = stage(_complete(live, labels, reps, tested, least, block, width), "proposed")
+        if found.isEmpty():
+            break
+        links = stage(links.unionByName(verify_pairs(_ordered(found), texts, percent)), "links")
+        labels = _labelled(reps, links)
+        tested = stage(tested.unionByName(found.select("x", "y").distinct()), "tested")
+        live = stage(live.join(found.select("key").distinct(), "key", "left_semi"), "live")
+        width *= 4
     # Rows that repeat an id connect their sets.
     same_id = real.groupBy("_id").agg(F.count("*").alias("k")).where("k > 1").select("_id")
     rep_of = real.join(reps.select("n", "fp1", "fp2", "rep"), ["n", "fp1", "fp2"]).select("_id", "rep")
