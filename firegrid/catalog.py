@@ -1,13 +1,18 @@
-"""All registered queries and their SQL."""
+"""All registered queries of the library and their SQL."""
+
+from __future__ import annotations
+
+from .queries import joins, scalar  # noqa: F401
+from .queries.registry import QUERIES, SQL
 
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    return QUERIES["j6_idw_nearest"](spark, sf_dir)
 
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)
