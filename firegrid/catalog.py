@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from .queries import joins, scalar  # noqa: F401
+from .queries import forecasts, joins, scalar  # noqa: F401
 from .queries.registry import QUERIES, SQL
 
 
 def flagship(spark, sf_dir):
-    return QUERIES["j6_idw_nearest"](spark, sf_dir)
+    return QUERIES["flagship_alerts"](spark, sf_dir)
 
 
 def queries():
