@@ -3,7 +3,7 @@
 Texts become sets of five-word shingles. Equal sets collapse to one
 representative first, so a group of copies costs one row. Banded MinHash keys
 propose candidates: every member of a band bucket is paired with one leader of
-that bucket (a different one in every band), not with all the others. Pairs
+that bucket (by one of four random orders), not with all the others. Pairs
 are then checked against the signatures batch by batch: given m of n agreeing
 hashes and a uniform prior, a pair is dropped as soon as the posterior
 probability of reaching the threshold falls under the chosen miss probability.
@@ -19,13 +19,15 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import mix64, stage, text_steps, word_hashes, words_of
 
 SHINGLE, BANDS, ROWS = 5, 32, 4
 HASHES = BANDS * ROWS
+#: Band buckets choose their leaders by this many different orders, in turn.
+ORDERS = 4
 #: Signature comparisons happen in batches of this many hashes.
 BATCH = 16
 
@@ -212,9 +214,10 @@ def _labelled(reps: DataFrame, links: DataFrame) -> DataFrame:
     return stage(reps.select("rep").distinct().join(found, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("comp", "rep").alias("comp")), "labels")
 
 
-def _crossing(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+def _crossing(pairs: DataFrame, labels: DataFrame, a: str, b: str) -> DataFrame:
+    """The pairs whose ends lie in different components."""
     of = lambda side: labels.select(F.col("rep").alias(side), F.col("comp").alias(f"comp_{side}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").where("comp_a <> comp_b")
+    return pairs.join(of(a), a).join(of(b), b).where(F.col(f"comp_{a}") != F.col(f"comp_{b}"))
 
 
 def _complete(members: DataFrame, labels: DataFrame, reps: DataFrame, tested: DataFrame, least: list[int], block: int, width: int) -> DataFrame:
@@ -281,7 +284,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     reps = stage(real.groupBy("n", "fp1", "fp2").agg(F.min("_id").alias("rep"), F.min("sig").alias("sig"), F.min("bands").alias("bands")), "reps")
 
     members = reps.select(F.explode("bands").alias("key"), "rep")
-    leaders = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", "key").alias("h"), F.col("rep").alias("lead"))).alias("lead"), F.count("*").alias("m")).where("m > 1")
+    order = F.xxhash64("rep", F.shiftright("key", 32) % ORDERS)
+    leaders = members.groupBy("key").agg(F.min(F.struct(order.alias("h"), F.col("rep").alias("lead"))).alias("lead"), F.count("*").alias("m")).where("m > 1")
     members = stage(members.join(leaders.select("key", "lead.lead"), "key"), "members")
     star = members.where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct()
     candidates = stage(prune_pairs(star, reps, percent / 100, miss).withColumnsRenamed({"a": "x", "b": "y"}), "candidates")
@@ -290,16 +294,21 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = docs.join(near, F.col("_id") == F.col("rep"), "left_semi")
     texts = stage(texts.select(F.col("_id").alias("rep"), F.col("_text").alias("text")), "texts")
 
-    # First each document with its most similar leader, then with the other leaders that still lie apart.
-    best = candidates.groupBy("x").agg(F.min(F.struct((-F.col("est")).alias("e"), "y")).alias("m")).select("x", "m.y")
-    links = stage(verify_pairs(_ordered(best), texts, percent), "links")
-    labels = _labelled(reps, links)
-    apart = _crossing(_ordered(candidates), labels).select("a", "b").join(_ordered(best), ["a", "b"], "left_anti")
-    links = stage(links.unionByName(verify_pairs(apart, texts, percent)), "links")
-    labels = _labelled(reps, links)
+    # Each document with its most similar leader, then with more of the leaders that still lie apart.
+    links, tested = None, None
+    for width in (1, 2, 8, BANDS):
+        open_ = candidates if tested is None else _crossing(candidates, labels, "x", "y").join(tested, ["x", "y"], "left_anti")
+        nth = Window.partitionBy("x").orderBy(F.desc("est"), "y")
+        found = stage(open_.withColumn("nth", F.row_number().over(nth)).where(F.col("nth") <= width).select("x", "y"), "leaders")
+        if tested is not None and found.isEmpty():
+            break
+        new = verify_pairs(_ordered(found), texts, percent)
+        links = stage(new if links is None else links.unionByName(new), "links")
+        labels = _labelled(reps, links)
+        tested = found if tested is None else stage(tested.unionByName(found), "tested")
 
     # Then pairs without a leader, in rounds: a member proposes a few, and more of them in each round, until none is left.
-    tested, least, width, live = candidates.select("x", "y"), least_matches(percent / 100, miss), 1, members.select("key", "rep")
+    least, width, live = least_matches(percent / 100, miss), 1, members.select("key", "rep")
     while True:
         found = stage(_complete(live, labels, reps, tested, least, block, width), "proposed")
         if found.isEmpty():
