@@ -42,9 +42,14 @@ def read_firms(spark: SparkSession, path: str, resolution: int = 8) -> tuple[Dat
     return parse_detections(raw, resolution)
 
 
+def _not_negative(c: Column) -> Column:
+    """Negative values as 0; null stays null."""
+    return F.when(c < 0, 0.0).otherwise(c)
+
+
 def normalise_stations(df: DataFrame, first: str | None = None, last: str | None = None) -> DataFrame:
     """Station rows in degrees Celsius, km/h and mm; rows with a missing field go, and those outside the dates."""
-    out = df.select("station", "lat", "lon", "observed_at", (F.col("temp_k") - 273.15).alias("temp"), F.col("rh").alias("rh"), (F.col("wind_ms") * 3.6).alias("wind"), F.greatest(F.col("rain"), F.lit(0.0)).alias("rain")).na.drop()
+    out = df.select("station", "lat", "lon", "observed_at", (F.col("temp_k") - 273.15).alias("temp"), F.col("rh").alias("rh"), (F.col("wind_ms") * 3.6).alias("wind"), _not_negative(F.col("rain")).alias("rain")).na.drop()
     day = F.to_date("observed_at")
     if first:
         out = out.where(day >= F.lit(first).cast("date"))
@@ -78,7 +83,7 @@ def read_synop_archive(spark: SparkSession, path: str, stations: DataFrame) -> D
     """Monthly archive files (plain or gz): ``mq`` means missing; noon rows of known stations without missing values."""
     raw = spark.read.options(header=True, sep=";", nullValue="mq").csv(path).withColumn("row", F.monotonically_increasing_id())
     n = lambda c: F.col(c).try_cast("double")
-    rows = raw.select(F.col("numer_sta").alias("station"), F.to_timestamp("date", "yyyyMMddHHmmss").alias("observed_at"), (n("t") - 273.15).alias("temp"), n("u").alias("rh"), (n("ff") * 3.6).alias("wind"), F.greatest(n("rr24"), F.lit(0.0)).alias("rain"), "row")
+    rows = raw.select(F.col("numer_sta").alias("station"), F.to_timestamp("date", "yyyyMMddHHmmss").alias("observed_at"), (n("t") - 273.15).alias("temp"), n("u").alias("rh"), (n("ff") * 3.6).alias("wind"), _not_negative(n("rr24")).alias("rain"), "row")
     return noon_archive(rows.na.drop(), stations)
 
 
