@@ -196,10 +196,9 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        edges = stage(small.where("u <> v").distinct(), "edges")
+        edges = stage(small, "edges")  # neither star makes more edges than it gets
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break
@@ -296,7 +295,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     # Each document with its most similar leader, then with more of the leaders that still lie apart.
     links, tested = None, None
-    for width in (1, 2, 8, BANDS):
+    for width in (1, 4, BANDS):
         open_ = candidates if tested is None else _crossing(candidates, labels, "x", "y").join(tested, ["x", "y"], "left_anti")
         nth = Window.partitionBy("x").orderBy(F.desc("est"), "y")
         found = stage(open_.withColumn("nth", F.row_number().over(nth)).where(F.col("nth") <= width).select("x", "y"), "leaders")
@@ -308,7 +307,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         tested = found if tested is None else stage(tested.unionByName(found), "tested")
 
     # Then pairs without a leader, in rounds: a member proposes a few, and more of them in each round, until none is left.
-    least, width, live = least_matches(percent / 100, miss), 1, members.select("key", "rep")
+    least, width, live = least_matches(percent / 100, miss), 4, members.select("key", "rep")
     while True:
         found = stage(_complete(live, labels, reps, tested, least, block, width), "proposed")
         if found.isEmpty():
@@ -317,7 +316,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         labels = _labelled(reps, links)
         tested = stage(tested.unionByName(found.select("x", "y").distinct()), "tested")
         live = stage(live.join(found.select("key").distinct(), "key", "left_semi"), "live")
-        width *= 4
+        width *= 8
     # Rows that repeat an id connect their sets.
     same_id = real.groupBy("_id").agg(F.count("*").alias("k")).where("k > 1").select("_id")
     rep_of = real.join(reps.select("n", "fp1", "fp2", "rep"), ["n", "fp1", "fp2"]).select("_id", "rep")
