@@ -8,9 +8,9 @@ are then checked against the signatures batch by batch: given m of n agreeing
 hashes and a uniform prior, a pair is dropped as soon as the posterior
 probability of reaching the threshold falls under the chosen miss probability.
 Survivors are verified exactly, on full shingle sets. In buckets
-whose members then still lie in several components, members propose their most
-similar untested members of other components, block against block, in rounds
-until no pair is left that the signatures allow and that is not yet connected.
+whose members then still lie in several components, the members of different
+components are compared block against block, with their texts at hand, so that
+no pair of a bucket stays open unless the signatures rule it out.
 """
 
 from __future__ import annotations
@@ -219,49 +219,68 @@ def _crossing(pairs: DataFrame, labels: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.join(of(a), a).join(of(b), b).where(F.col(f"comp_{a}") != F.col(f"comp_{b}"))
 
 
-def _complete(members: DataFrame, labels: DataFrame, reps: DataFrame, tested: DataFrame, least: list[int], block: int, width: int) -> DataFrame:
-    """``key, x, y``: within buckets of three or more, each member's ``width`` most similar untested members of other components; large buckets go block against block. Nothing comes back once all pairs that the signatures allow are tested or connected."""
+def _complete(members: DataFrame, labels: DataFrame, reps: DataFrame, texts: DataFrame, least: list[int], percent: int, block: int) -> DataFrame:
+    """``a, b``: links between different components within buckets of three or more, enough of them to join what belongs together.
+
+    Large buckets go block against block, each block with its members' texts.
+    Pairs that lie in different components, also after the links found so far,
+    take the signature tests; survivors are verified exactly, all of a member's
+    at once, on shingles numbered within the blocks. Only links leave the task.
+    """
     kind = labels.schema["rep"].dataType.simpleString()
 
     def run(table: pa.Table) -> pa.Table:
-        rep, comp, side = (table.column(c).to_numpy() for c in ("rep", "comp", "side"))
-        sig, seen = _sig(table.column("sig")), table.column("seen").to_pylist()
-        diagonal = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+        table = table.combine_chunks()
+        rep, side = (table.column(c).to_numpy() for c in ("rep", "side"))
+        comp = np.unique(table.column("comp").to_numpy(), return_inverse=True)[1]
+        sig = _sig(table.column("sig"))
+        parts, sizes = [], []
+        for _, _, data, offsets in text_steps(table.column("text").combine_chunks()):
+            hashes, begin = shingle_sets(data, offsets)
+            parts.append(hashes)
+            sizes.append(np.diff(begin))
+        size = np.concatenate(sizes)
+        begin = np.concatenate(([0], np.cumsum(size)))
+        number = np.unique(np.concatenate(parts), return_inverse=True)[1]
+        mark = np.zeros(int(number.max(initial=0)) + 1, bool)
         left = np.flatnonzero(side == 0)
+        diagonal = table.column("i")[0].as_py() == table.column("j")[0].as_py()
         right = left if diagonal else np.flatnonzero(side == 1)
-        done: dict = {}
-        for x, others in zip(rep.tolist(), seen, strict=True):
-            for y in others or ():
-                done.setdefault(x, []).append(y)
-                done.setdefault(y, []).append(x)
         found: list[list] = [[], []]
         for x in left:
             other = right[(comp[right] != comp[x]) & ((rep[right] > rep[x]) if diagonal else True)]
-            if len(other) and rep[x] in done:
-                other = other[~np.isin(rep[other], done[rep[x]])]
             if len(other):
-                alive, matches = surviving(np.broadcast_to(sig[x], (len(other), HASHES)), sig[other], least)
-                best = other[alive[np.argsort(-matches, kind="stable")[:width]]]
-                found[0] += [rep[x]] * len(best)
-                found[1] += rep[best].tolist()
+                other = other[surviving(np.broadcast_to(sig[x], (len(other), HASHES)), sig[other], least)[0]]
+            if not len(other):
+                continue
+            n = size[other]
+            ends = np.cumsum(n)
+            at = np.repeat(begin[other] - (ends - n), n) + np.arange(ends[-1])
+            mark[number[begin[x] : begin[x + 1]]] = True
+            hits = np.concatenate(([0], np.cumsum(mark[number[at]])))
+            mark[number[begin[x] : begin[x + 1]]] = False
+            same = hits[ends] - hits[ends - n]
+            for y in other[100 * same >= percent * (size[x] + n - same)]:
+                if comp[y] != comp[x]:
+                    found[0].append(rep[x])
+                    found[1].append(rep[y])
+                    comp[comp == comp[y]] = comp[x]
         of = table.schema.field("rep").type
-        key = table.column("key")[0].as_py()
-        return pa.table({"key": pa.array([key] * len(found[0]), pa.int64()), "x": pa.array(found[0], of), "y": pa.array(found[1], of)})
+        return pa.table({"a": pa.array(found[0], of), "b": pa.array(found[1], of)})
 
     mixed = members.join(labels, "rep").groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo <> hi and m > 2").select("key", F.ceil(F.col("m") / block).alias("nb"))
-    seen = tested.groupBy("x").agg(F.collect_list("y").alias("seen"))  # each member names at most BANDS leaders and the pairs it proposed itself
-    rows = members.join(mixed, "key").join(labels, "rep").join(reps.select("rep", "sig"), "rep").join(seen, F.col("rep") == F.col("x"), "left").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("nb")))
+    rows = members.join(mixed, "key").join(labels, "rep").join(reps.select("rep", "sig"), "rep").join(texts, "rep").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("nb")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1))
     rows = rows.withColumn("other", other).withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")).withColumn("side", (F.col("mine") == F.col("j")).cast("int"))
-    rows = rows.withColumn("side", F.when(F.col("i") == F.col("j"), 0).otherwise(F.col("side"))).select("key", "i", "j", "side", "rep", "comp", "sig", "seen")
-    return rows.groupBy("key", "i", "j").applyInArrow(run, f"key long, x {kind}, y {kind}")
+    rows = rows.withColumn("side", F.when(F.col("i") == F.col("j"), 0).otherwise(F.col("side"))).select("key", "i", "j", "side", "rep", "comp", "sig", "text")
+    return rows.groupBy("key", "i", "j").applyInArrow(run, f"a {kind}, b {kind}")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, miss: float = 1e-6, block: int = 256) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, miss: float = 1e-6, block: int = 1024) -> DataFrame:
     """One row per input row: ``<id_col>, n_shingles, component_id, kept``.
 
     ``n_shingles`` is the size of the row's set of distinct five-word shingles
@@ -306,17 +325,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         labels = _labelled(reps, links)
         tested = found if tested is None else stage(tested.unionByName(found), "tested")
 
-    # Then pairs without a leader, in rounds: a member proposes a few, and more of them in each round, until none is left.
-    least, width, live = least_matches(percent / 100, miss), 4, members.select("key", "rep")
-    while True:
-        found = stage(_complete(live, labels, reps, tested, least, block, width), "proposed")
-        if found.isEmpty():
-            break
-        links = stage(links.unionByName(verify_pairs(_ordered(found), texts, percent)), "links")
-        labels = _labelled(reps, links)
-        tested = stage(tested.unionByName(found.select("x", "y").distinct()), "tested")
-        live = stage(live.join(found.select("key").distinct(), "key", "left_semi"), "live")
-        width *= 8
+    # Then pairs of which neither is a leader.
+    more = _complete(members.select("key", "rep"), labels, reps, texts, least_matches(percent / 100, miss), percent, block)
+    links = stage(links.unionByName(more), "links")
     # Rows that repeat an id connect their sets.
     same_id = real.groupBy("_id").agg(F.count("*").alias("k")).where("k > 1").select("_id")
     rep_of = real.join(reps.select("n", "fp1", "fp2", "rep"), ["n", "fp1", "fp2"]).select("_id", "rep")
