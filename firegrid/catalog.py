@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import datasets, forecasts, joins, pipelines, scalar  # noqa: F401
+from .queries import datasets, forecasts, joins, more, pipelines, scalar  # noqa: F401
 from .queries.registry import QUERIES, SQL
 
 
