@@ -70,8 +70,8 @@ def q2_assess_geography(spark, d):
 
 _PAIRED = (
     with_views("v_ignitions")
-    + """, ev AS (SELECT id, occurred_at, commune, cell, lat_m AS x, lon_m AS y, surface_ha, cause, id % 6 = 0 AS amb FROM v_ignitions WHERE id % 3 = 0),
-  pr AS (SELECT a.id AS l, b.id AS r, abs(floor(epoch(b.occurred_at)) - floor(epoch(a.occurred_at))) // 60 AS minutes, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS dist, CASE WHEN greatest(a.surface_ha, b.surface_ha) > 0 THEN abs(a.surface_ha - b.surface_ha) / greatest(a.surface_ha, b.surface_ha) ELSE 0 END AS sd,
+    + """, ev AS (SELECT id, occurred_at, commune, cell, lat_m AS x, lon_m AS y, surface_ha, cause, id % 6 = 0 AS amb FROM v_ignitions),
+  pr AS (SELECT a.id AS l, b.id AS r, floor(abs(floor(epoch(b.occurred_at)) - floor(epoch(a.occurred_at))) / 60) AS minutes, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS dist, CASE WHEN greatest(a.surface_ha, b.surface_ha) > 0 THEN abs(a.surface_ha - b.surface_ha) / greatest(a.surface_ha, b.surface_ha) ELSE 0 END AS sd,
     a.commune = b.commune AS sm, a.cell = b.cell AS sc, a.cause = b.cause AS ca, a.amb OR b.amb AS amb
     FROM ev a JOIN ev b ON CAST(a.occurred_at AS DATE) = CAST(b.occurred_at AS DATE) AND a.id < b.id WHERE a.commune = b.commune OR greatest(abs((a.cell // 67108864) % 67108864 - (b.cell // 67108864) % 67108864), abs(a.cell % 67108864 - b.cell % 67108864), abs((a.cell // 67108864) % 67108864 - (b.cell // 67108864) % 67108864 + a.cell % 67108864 - b.cell % 67108864)) <= 1),
   s AS (SELECT *, round(greatest(0, least(1, 0.2 + CASE WHEN sm THEN 0.15 ELSE -0.15 END + CASE WHEN sc THEN 0.1 ELSE -0.1 END + CASE WHEN dist <= 25 THEN 0.25 WHEN dist <= 150 THEN 0.12 ELSE -0.15 END + CASE WHEN minutes <= 30 THEN 0.25 WHEN minutes <= 180 THEN 0.12 WHEN minutes >= 720 THEN -0.2 ELSE 0 END
@@ -81,7 +81,7 @@ _PAIRED = (
 
 
 def _assessed(spark, d):
-    e = _mapped(spark, d).where("id % 3 = 0").withColumnsRenamed({"lat_m": "x", "lon_m": "y"}).withColumn("geography", F.when(_c("id") % 6 == 0, "municipality_centroid_probable").otherwise("precision_undocumented"))
+    e = _mapped(spark, d).withColumnsRenamed({"lat_m": "x", "lon_m": "y"}).withColumn("geography", F.when(_c("id") % 6 == 0, "municipality_centroid_probable").otherwise("precision_undocumented"))
     return quality.assess_duplicates(spatial.duplicate_pairs(e), e)
 
 
@@ -99,16 +99,16 @@ def q4_duplicate_groups(spark, d):
     return quality.duplicate_groups(_assessed(spark, d))
 
 
-@query(with_views("v_ignitions", "v_cells") + " SELECT i.id AS event, coalesce(c.combustible, false) AS combustible, concat_ws(',', CASE WHEN c.combustible IS NULL THEN 'static_cell_missing' END, CASE WHEN NOT c.combustible THEN 'cell_not_combustible' END) AS flags FROM v_ignitions i LEFT JOIN v_cells c ON c.cell = i.cell WHERE i.id % 7 = 0")
+@query(with_views("v_ignitions", "v_cells") + " SELECT i.id AS event, coalesce(c.combustible, false) AS combustible, concat_ws(',', CASE WHEN c.combustible IS NULL THEN 'static_cell_missing' END, CASE WHEN NOT c.combustible THEN 'cell_not_combustible' END) AS flags FROM v_ignitions i LEFT JOIN v_cells c ON c.cell = i.cell")
 def q5_assess_combustibility(spark, d):
-    e = views.ignitions(spark, d).where("id % 7 = 0").select(_c("id").alias("event"), "cell")
+    e = views.ignitions(spark, d).select(_c("id").alias("event"), "cell")
     t = quality.assess_combustibility(e, views.cells(spark, d))
     return t.select("event", "combustible", F.array_join(F.filter("flags", lambda f: f != "no_combustible_neighbour"), ",").alias("flags"))
 
 
 @query(_PAIRED + "SELECT classification, count(*) AS pairs FROM k GROUP BY 1")
 def q6_audit_summary(spark, d):
-    e = _mapped(spark, d).where("id % 3 = 0").withColumnsRenamed({"lat_m": "x", "lon_m": "y"}).withColumn("geography", F.when(_c("id") % 6 == 0, "municipality_centroid_probable").otherwise("precision_undocumented"))
+    e = _mapped(spark, d).withColumnsRenamed({"lat_m": "x", "lon_m": "y"}).withColumn("geography", F.when(_c("id") % 6 == 0, "municipality_centroid_probable").otherwise("precision_undocumented"))
     return quality.audit_quality(e, views.cells(spark, d))["pairs"].groupBy("classification").agg(F.count("*").alias("pairs"))
 
 
@@ -175,7 +175,7 @@ def _with_block(relation: str, level: int, name: str) -> str:
     return _sql_hex(_blocks("cell").replace("@", relation), grid.edge_m(level), level, name)
 
 
-_CAND = """, cd AS (SELECT cell, (SELECT min(CAST(o_orderdate AS DATE)) FROM orders) + CAST(key * 37 % 2400 AS INTEGER) AS date FROM v_cells), ps AS (SELECT cell, CAST(occurred_at AS DATE) AS date FROM v_ignitions WHERE id % 100 = 0) """
+_CAND = """, cd AS (SELECT cell, (SELECT min(CAST(o_orderdate AS DATE)) FROM orders) + CAST(key * 37 % 2400 AS INTEGER) AS date FROM v_cells), ps AS (SELECT cell, CAST(occurred_at AS DATE) AS date FROM v_ignitions) """
 
 
 @query(
@@ -186,15 +186,15 @@ _CAND = """, cd AS (SELECT cell, (SELECT min(CAST(o_orderdate AS DATE)) FROM ord
 def b6_stratified_select(spark, d):
     first = table(spark, d, "orders").agg(F.to_date(F.min("o_orderdate")).alias("f"))
     c = views.cells(spark, d).crossJoin(F.broadcast(first)).select("cell", F.date_add("f", (_c("key") * 37 % 2400).cast("int")).alias("date"))
-    p = views.ignitions(spark, d).where("id % 100 = 0").select("cell", F.to_date("occurred_at").alias("date"))
+    p = views.ignitions(spark, d).select("cell", F.to_date("occurred_at").alias("date"))
     return dataset.stratified_select(c, p, 1.5, "4").select("cell", "date")
 
 
-@query(with_views("v_ignitions", "v_cells") + " SELECT i.id, round(coalesce(c.road, 0), 6) AS road, isodow(CAST(i.occurred_at AS DATE)) >= 6 AS weekend FROM v_ignitions i LEFT JOIN v_cells c ON c.cell = i.cell WHERE i.id % 5 = 0")
+@query(with_views("v_ignitions", "v_cells") + " SELECT i.id, round(coalesce(c.road, 0), 6) AS road, isodow(CAST(i.occurred_at AS DATE)) >= 6 AS weekend FROM v_ignitions i LEFT JOIN v_cells c ON c.cell = i.cell")
 def b7_row_features(spark, d):
     from ..functions.dates import is_weekend
 
-    i = views.ignitions(spark, d).where("id % 5 = 0").select("id", "cell", F.to_date("occurred_at").alias("date"))
+    i = views.ignitions(spark, d).select("id", "cell", F.to_date("occurred_at").alias("date"))
     cal = i.select("date").distinct().withColumn("weekend", is_weekend(_c("date")))
     return dataset.row_features(i, views.cells(spark, d).select("cell", "road"), cal, ["road"]).select("id", F.round("road", 6).alias("road"), "weekend")
 
@@ -238,10 +238,10 @@ def a5_coarsen_features(spark, d):
 _SHARE = with_views("v_cells") + f", pa AS (SELECT c.*, p.parent FROM v_cells c JOIN {_PARENT} p USING (key)), sh AS (SELECT parent, count(*) AS n, avg(combustible::INT) AS s FROM pa GROUP BY 1) "
 
 
-@query(_SHARE + 'SELECT count(*) AS "rows", count(*) FILTER (s > 0) AS "any", count(*) FILTER (s > 0.5) AS majority, count(*) FILTER (s >= 0.5) AS half, count(*) FILTER (s >= 0.75) AS three_quarters FROM pa JOIN sh USING (parent) WHERE key % 3 = 0')
+@query(_SHARE + 'SELECT count(*) AS "rows", count(*) FILTER (s > 0) AS "any", count(*) FILTER (s > 0.5) AS majority, count(*) FILTER (s >= 0.5) AS half, count(*) FILTER (s >= 0.75) AS three_quarters FROM pa JOIN sh USING (parent)')
 def a25_combustibility_sensitivity(spark, d):
     c = views.cells(spark, d)
-    return dataset.combustibility_sensitivity(c, c.where("key % 3 = 0").select("cell"), 7)
+    return dataset.combustibility_sensitivity(c, c.select("cell"), 7)
 
 
 @query(_SHARE + 'SELECT count(*) AS parents, min(n) AS least, max(n) AS most, count(*) FILTER (n = 1) AS single, count(*) FILTER (s > 0) AS "any", count(*) FILTER (s > 0.5) AS majority, count(*) FILTER (s >= 0.25) AS quarter, count(*) FILTER (s >= 0.75) AS three_quarters, count(*) FILTER ((s > 0) <> (s > 0.5)) AS any_not_majority FROM sh')
@@ -261,14 +261,14 @@ def a29_feature_parity(spark, d):
     return dataset.feature_parity(stored, c, "key", ["road", "population"]).select("feature", F.round("match_rate", 6).alias("match_rate"), "rows")
 
 
-@query(with_views("v_cells", "v_ignitions") + ", cd AS (SELECT cell, DATE '1996-01-01' + CAST(key * 37 % 360 AS INTEGER) AS date FROM v_cells), de AS (SELECT DISTINCT cell, CAST(occurred_at AS DATE) AS date FROM v_ignitions WHERE id % 4 = 0) SELECT count(*) AS candidates, count(*) FILTER (cell IN (SELECT cell FROM de)) AS same_cell, count(*) FILTER ((cell, date) IN (SELECT (cell, date) FROM de)) AS same_cell_day FROM cd")
+@query(with_views("v_cells", "v_ignitions") + ", cd AS (SELECT cell, DATE '1996-01-01' + CAST(key * 37 % 360 AS INTEGER) AS date FROM v_cells), de AS (SELECT DISTINCT cell, CAST(occurred_at AS DATE) AS date FROM v_ignitions) SELECT count(*) AS candidates, count(*) FILTER (cell IN (SELECT cell FROM de)) AS same_cell, count(*) FILTER ((cell, date) IN (SELECT (cell, date) FROM de)) AS same_cell_day FROM cd")
 def a30_contamination(spark, d):
     c = views.cells(spark, d).select("cell", F.date_add(F.lit("1996-01-01").cast("date"), (_c("key") * 37 % 360).cast("int")).alias("date"))
-    i = views.ignitions(spark, d).where("id % 4 = 0").select("cell", F.to_date("occurred_at").alias("date"))
+    i = views.ignitions(spark, d).select("cell", F.to_date("occurred_at").alias("date"))
     return dataset.contamination(c, i).select("candidates", "same_cell", "same_cell_day")
 
 
-@query(with_views("v_ignitions") + """, ev AS (SELECT id AS event, cell, CAST(occurred_at AS DATE) AS date FROM v_ignitions WHERE id % 30 = 0) SELECT event, ring, cell - ring * 67108864 AS cell, date + o AS date FROM ev, (VALUES (0), (1), (2), (3), (5)) r(ring), (VALUES (0), (1), (2), (3), (5)) f(o)""")
+@query(with_views("v_ignitions") + """, ev AS (SELECT id AS event, cell, CAST(occurred_at AS DATE) AS date FROM v_ignitions) SELECT event, ring, cell - ring * 67108864 AS cell, date + o AS date FROM ev, (VALUES (0), (1), (2), (3), (5)) r(ring), (VALUES (0), (1), (2), (3), (5)) f(o)""")
 def a27_probe_population(spark, d):
     return dataset.probe_population(_events(spark, d)).select("event", "ring", "cell", "date")
 

@@ -60,7 +60,7 @@ def a9_signal_windows(spark, d):
 
 _BUL = """, bul AS (SELECT commune, CAST(k AS BIGINT) AS bulletin, TIMESTAMP '2024-01-01 05:40:00' + to_days(CAST(k AS INTEGER)) AS issued_at, TIMESTAMP '2024-01-01 06:00:00' + to_days(CAST(k AS INTEGER)) AS scheduled_for, h AS horizon, CASE h WHEN 'hours_24' THEN 24 ELSE 48 END AS hours, ((commune * 37 + k * 11) % 100) / 100.0::DOUBLE AS alert_index
   FROM (SELECT unnest(range(0, 50)) AS commune), (SELECT unnest(range(0, 29, 3)) AS k), (SELECT unnest(['hours_24', 'hours_48']) AS h)),
-  obs AS (SELECT event_id AS observation, commune, observed_at AS occurred_at, CASE WHEN source = 'purchase' THEN 'confirmed_ignition' ELSE 'satellite_signal' END AS evidence FROM v_observations WHERE event_id % 7 = 0),
+  obs AS (SELECT event_id AS observation, commune, observed_at AS occurred_at, CASE WHEN source = 'purchase' THEN 'confirmed_ignition' ELSE 'satellite_signal' END AS evidence FROM v_observations),
   m AS (SELECT observation, bulletin, horizon, alert_index AS score, CASE WHEN evidence = 'confirmed_ignition' AND alert_index >= 0.65 THEN 'confirmed_hit' WHEN evidence = 'confirmed_ignition' THEN 'confirmed_miss' WHEN alert_index >= 0.65 THEN 'signal_covered' ELSE 'signal_below_threshold' END AS classification,
     (floor(epoch(occurred_at)) - epoch(issued_at)) / 3600.0 AS lead_time_hours FROM obs JOIN bul USING (commune) WHERE occurred_at >= issued_at AND occurred_at <= scheduled_for + to_hours(hours)) """
 
@@ -70,7 +70,7 @@ def _matches(spark, d):
     b = spark.range(50).select(_c("id").alias("commune")).crossJoin(k).select("commune", "k", h)
     at = lambda t: F.lit(t).cast("timestamp") + F.make_interval(days=_c("k").cast("int"))
     b = b.select("commune", _c("k").alias("bulletin"), at("2024-01-01 05:40:00").alias("issued_at"), at("2024-01-01 06:00:00").alias("scheduled_for"), "horizon", F.when(_c("horizon") == "hours_24", 24).otherwise(48).alias("hours"), ((_c("commune") * 37 + _c("k") * 11) % 100 / F.lit(100.0)).alias("alert_index"))
-    o = views.observations(spark, d).where("event_id % 7 = 0").select(_c("event_id").alias("observation"), "commune", _c("observed_at").alias("occurred_at"), F.when(_c("source") == "purchase", "confirmed_ignition").otherwise("satellite_signal").alias("evidence"))
+    o = views.observations(spark, d).select(_c("event_id").alias("observation"), "commune", _c("observed_at").alias("occurred_at"), F.when(_c("source") == "purchase", "confirmed_ignition").otherwise("satellite_signal").alias("evidence"))
     return bulletin.match_ground_truth(o, b)
 
 
@@ -269,9 +269,9 @@ def r2_human_features(spark, d):
     return t.select("key", F.round(sum((v[k] * (k + 1) for k in range(1, 11)), v[0]), 6).alias("mixed"))
 
 
-@query(with_views("v_cells", "v_weather") + " SELECT c.key, w.date, round(w.temp + c.road, 6) AS x, w.date = DATE '1996-03-05' AS holiday FROM v_cells c JOIN v_weather w ON w.cell = c.key WHERE w.date BETWEEN DATE '1996-03-01' AND DATE '1996-03-20'")
+@query(with_views("v_cells", "v_weather") + " SELECT c.key, w.date, round(w.temp + c.road, 6) AS x, w.date = DATE '1996-03-05' AS holiday FROM v_cells c JOIN v_weather w ON w.cell = c.key")
 def j1_risk_inputs(spark, d):
-    w = views.weather_daily(spark, d).where("date between '1996-03-01' and '1996-03-20'")
+    w = views.weather_daily(spark, d)
     cal = spark.sql("select date '1996-03-05' as date, cast(null as boolean) as school_holiday, true as public_holiday")
     t = weather_index.risk_inputs(views.cells(spark, d).select(_c("key").alias("cell"), "road"), w, cal)
     return t.select(_c("cell").alias("key"), "date", F.round(_c("temp") + _c("road"), 6).alias("x"), _c("public_holiday").alias("holiday"))
@@ -296,18 +296,18 @@ def p8_fwi_series(spark, d):
 
 _BACK = (
     _SERIES.replace("WITH RECURSIVE ", "WITH RECURSIVE v_cells AS (" + views.SQL["v_cells"] + "), v_ignitions AS (" + views.SQL["v_ignitions"] + "), ", 1)
-    + f""", g AS (SELECT c.cell, c.road, c.combustible, c.agri, y.date, y.fwi FROM v_cells c JOIN y ON y.cell = c.key % 8 WHERE c.key < 240 AND y.date BETWEEN DATE '1996-01-01' AND DATE '1996-03-31'),
+    + f""", g AS (SELECT c.cell, c.road, c.combustible, c.agri, y.date, y.fwi FROM v_cells c JOIN y ON y.cell = c.key % 8),
     ig AS (SELECT DISTINCT i.cell, CAST(i.occurred_at AS DATE) AS date, i.id FROM v_ignitions i),
     k AS (SELECT i.cell + n.dq * 67108864 + n.dr AS cell, i.date, sum(pow(0.5, n.ring)) AS k FROM ig i, {disk(2)} n GROUP BY 1, 2),
-    hs AS (SELECT g.*, coalesce((SELECT sum(k.k) FROM k WHERE k.cell = g.cell AND k.date < g.date), 0) AS h0 FROM g), hn AS (SELECT *, CASE WHEN max(h0) OVER (PARTITION BY date) > 0 THEN h0 / max(h0) OVER (PARTITION BY date) ELSE 0 END AS hist FROM hs),
-    sc AS (SELECT *, CASE WHEN combustible THEN pow(greatest(0::DOUBLE, least(1::DOUBLE, fwi / 30)), 0.6) * pow(greatest(0::DOUBLE, least(1::DOUBLE, (0.4 * hist + 0.2 * greatest(0::DOUBLE, least(1::DOUBLE, road))) * CASE WHEN isodow(date) >= 6 THEN 1.2::DOUBLE WHEN month(date) IN (12, 1, 2) THEN 0.6::DOUBLE ELSE 1::DOUBLE END)), 0.4) ELSE 0 END AS score,
-      EXISTS (SELECT 1 FROM ig WHERE ig.cell = hn.cell AND ig.date = hn.date)::INTEGER AS ignited FROM hn) """
+    u AS (SELECT cell, date, k FROM k UNION ALL SELECT cell, date, 0 FROM g), c0 AS (SELECT cell, date, max(h) AS h0 FROM (SELECT cell, date, coalesce(sum(k) OVER (PARTITION BY cell ORDER BY date RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING), 0) AS h FROM u) GROUP BY 1, 2), hs AS (SELECT g.*, h0 FROM g JOIN c0 USING (cell, date)), hn AS (SELECT *, CASE WHEN max(h0) OVER (PARTITION BY date) > 0 THEN h0 / max(h0) OVER (PARTITION BY date) ELSE 0 END AS hist FROM hs),
+    sc AS (SELECT hn.*, CASE WHEN combustible THEN pow(greatest(0::DOUBLE, least(1::DOUBLE, fwi / 30)), 0.6) * pow(greatest(0::DOUBLE, least(1::DOUBLE, (0.4 * hist + 0.2 * greatest(0::DOUBLE, least(1::DOUBLE, road)) + CASE WHEN agri AND month(hn.date) BETWEEN 6 AND 8 THEN 0.15::DOUBLE ELSE 0 END) * CASE WHEN isodow(hn.date) >= 6 THEN 1.2::DOUBLE WHEN month(hn.date) IN (12, 1, 2) THEN 0.6::DOUBLE ELSE 1::DOUBLE END)), 0.4) ELSE 0 END AS score,
+      (ic.cell IS NOT NULL)::INTEGER AS ignited FROM hn LEFT JOIN (SELECT DISTINCT cell, date FROM ig) ic ON ic.cell = hn.cell AND ic.date = hn.date) """
 )
 
 
 def _backtest(spark, d):
-    c = views.cells(spark, d).where("key < 240")
-    s = weather_index.fwi_series(views.weather_daily(spark, d)).where("date between '1996-01-01' and '1996-03-31'").select(_c("cell").alias("lane"), "date", "fwi")
+    c = views.cells(spark, d)
+    s = weather_index.fwi_series(views.weather_daily(spark, d)).select(_c("cell").alias("lane"), "date", "fwi")
     series = c.select("cell", (_c("key") % 8).alias("lane")).join(s, "lane").select("cell", "date", "fwi")
     static = c.select("cell", "road", F.lit(0.0).alias("wui"), F.when(_c("agri"), 1.0).otherwise(0.0).alias("agri"), "combustible")
     cal = spark.createDataFrame([], "date date, school_holiday boolean, public_holiday boolean")
@@ -315,9 +315,10 @@ def _backtest(spark, d):
     return weather_index.backtest_scores(series, static, i, cal)
 
 
-@query(_BACK + "SELECT cell, date, round(hist, 5) AS hist, round(score, 5) AS score, ignited FROM sc")
+@query(_BACK + "SELECT date, count(*) AS cells, round(avg(hist), 6) AS hist, round(avg(score), 5) AS score, round(max(score), 5) AS peak, sum(ignited)::BIGINT AS ignited FROM sc GROUP BY date")
 def r7_backtest(spark, d):
-    return _backtest(spark, d).select("cell", "date", F.round("hist", 5).alias("hist"), F.round("score", 5).alias("score"), "ignited")
+    t = _backtest(spark, d).groupBy("date").agg(F.count("*").alias("cells"), F.avg("hist").alias("hist"), F.avg("score").alias("score"), F.max("score").alias("peak"), F.sum("ignited").alias("ignited"))
+    return t.select("date", "cells", F.round("hist", 6).alias("hist"), F.round("score", 5).alias("score"), F.round("peak", 5).alias("peak"), "ignited")
 
 
 @query(_BACK + ", rk AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY score DESC, cell) AS rank, count(*) OVER (PARTITION BY date) AS n FROM sc) SELECT date, count(*) AS cells, sum(ignited)::BIGINT AS ignited, count(*) FILTER (ignited = 1 AND rank <= ceil(n * 0.05)) AS hits_5, count(*) FILTER (ignited = 1 AND rank <= ceil(n * 0.1)) AS hits_10 FROM rk GROUP BY date")

@@ -66,13 +66,13 @@ def j2_latest_visible(spark, d):
     with_views("v_ignitions")
     + """, s AS (SELECT DISTINCT date_trunc('month', occurred_at) AS f, CASE WHEN month(occurred_at) % 3 <> 0 THEN date_trunc('month', occurred_at) + INTERVAL 45 DAY END AS u FROM v_ignitions),
     j AS (SELECT id, max(f) AS available_from FROM v_ignitions JOIN s ON occurred_at >= f + INTERVAL 10 DAY AND (u IS NULL OR occurred_at < u) AND month(occurred_at) < 9 GROUP BY id)
-    SELECT i.id, CAST(available_from + INTERVAL 10 DAY AS TIMESTAMP) AS available_from FROM v_ignitions i LEFT JOIN j USING (id) WHERE i.id % 20 = 0"""
+    SELECT i.id, CAST(available_from + INTERVAL 10 DAY AS TIMESTAMP) AS available_from FROM v_ignitions i LEFT JOIN j USING (id)"""
 )
 def j3_asof_snapshot(spark, d):
     i = views.ignitions(spark, d)
     f = F.date_trunc("month", "occurred_at")
     s = i.select((f + F.expr("interval 10 days")).alias("available_from"), F.when(F.month("occurred_at") % 3 != 0, f + F.expr("interval 45 days")).alias("available_until")).distinct()
-    facts = i.where("id % 20 = 0").select("id", F.when(F.month("occurred_at") < 9, _c("occurred_at")).alias("at"))
+    facts = i.select("id", F.when(F.month("occurred_at") < 9, _c("occurred_at")).alias("at"))
     return spatial.asof_snapshot(facts, s, "at", "id").select("id", "available_from")
 
 
@@ -93,13 +93,13 @@ def j5_latest_hour(spark, d):
     return spatial.latest_hour(e, F.lit("2024-01-15 07:30:00").cast("timestamp"), ["user_id"])
 
 
-_EV = with_views("v_cells", "v_ignitions") + """, ev AS (SELECT id AS event, cell, CAST(occurred_at AS DATE) AS date, ['precision_undocumented', 'rounded_coordinate_probable', 'municipality_centroid_probable', 'other'][id % 4 + 1] AS category, cause FROM v_ignitions WHERE id % 30 = 0),
+_EV = with_views("v_cells", "v_ignitions") + """, ev AS (SELECT id AS event, cell, CAST(occurred_at AS DATE) AS date, ['precision_undocumented', 'rounded_coordinate_probable', 'municipality_centroid_probable', 'other'][id % 4 + 1] AS category, cause FROM v_ignitions),
   cand AS (SELECT cell, (SELECT min(CAST(o_orderdate AS DATE)) FROM orders) + CAST(key * 37 % 2400 AS INTEGER) AS date, key FROM v_cells UNION ALL SELECT cell + 67108864, date + CAST(event % 5 AS INTEGER), event + 1000000 FROM ev) """
 
 
 def _events(spark, d):
     names = F.array(*map(F.lit, ["precision_undocumented", "rounded_coordinate_probable", "municipality_centroid_probable", "other"]))
-    return views.ignitions(spark, d).where("id % 30 = 0").select(_c("id").alias("event"), "cell", F.to_date("occurred_at").alias("date"), F.element_at(names, (_c("id") % 4 + 1).cast("int")).alias("category"), "cause")
+    return views.ignitions(spark, d).select(_c("id").alias("event"), "cell", F.to_date("occurred_at").alias("date"), F.element_at(names, (_c("id") % 4 + 1).cast("int")).alias("category"), "cause")
 
 
 def _candidates(spark, d):
@@ -114,7 +114,9 @@ _DIST = f"greatest(abs({_Q}), abs({_R}), abs({_Q} + {_R}))"
 
 
 def _exclusion(k: str, days: str) -> str:
-    return _EV + f"SELECT key, cell, date FROM cand c WHERE NOT EXISTS (SELECT 1 FROM ev e WHERE abs(date_diff('day', c.date, e.date)) <= {days} AND {_DIST} <= {k})"
+    # pairs by day offset, an equi-join
+    near = f", hit AS (SELECT DISTINCT c.key FROM cand c, (SELECT unnest(range(-3, 4)) AS o) JOIN ev e ON e.date = c.date + CAST(o AS INTEGER) WHERE abs(o) <= {days} AND {_DIST} <= {k}) "
+    return _EV + near + f"SELECT key, cell, date FROM cand ANTI JOIN hit USING (key)"
 
 
 _K3 = "CASE e.category WHEN 'precision_undocumented' THEN 1 WHEN 'rounded_coordinate_probable' THEN 3 ELSE 5 END"
@@ -144,7 +146,7 @@ def j8_exclude_n3(spark, d):
 @query(
     _EV
     + f"""SELECT cause, count(DISTINCT key) FILTER ({_DIST} <= 0 AND gap = 0) AS n0, count(DISTINCT key) FILTER ({_DIST} <= 1 AND gap <= 1) AS n1, count(DISTINCT key) FILTER ({_DIST} <= 2 AND gap <= 3) AS n2, count(DISTINCT key) FILTER ({_DIST} <= {_K3} AND gap <= {_D3}) AS n3
-    FROM (SELECT c.*, e AS e, abs(date_diff('day', c.date, e.date)) AS gap, e.cause AS cause FROM cand c JOIN ev e ON abs(date_diff('day', c.date, e.date)) <= 3) c GROUP BY cause""".replace("e.cell", "c.e.cell").replace("e.category", "c.e.category")
+    FROM (SELECT c.*, e AS e, abs(o) AS gap, e.cause AS cause FROM cand c, (SELECT unnest(range(-3, 4)) AS o) JOIN ev e ON e.date = c.date + CAST(o AS INTEGER)) c GROUP BY cause""".replace("e.cell", "c.e.cell").replace("e.category", "c.e.category")
 )
 def a24_exclusion_census(spark, d):
     from ..operators.dataset import exclusion_census
@@ -171,12 +173,12 @@ def a3_max_normalize(spark, d):
     return spatial.max_normalize(views.cells(spark, d), "buildings", ["department"]).select("cell", F.round("buildings", 6).alias("buildings"))
 
 
-_PLACES = """, b AS (SELECT cell, (key * 31 % 200)::DOUBLE AS x, (key * 17 % 200)::DOUBLE AS y FROM v_cells WHERE key % 3 = 0), p AS (SELECT cell, (key * 29 % 200)::DOUBLE AS x, (key * 13 % 200)::DOUBLE AS y FROM v_cells WHERE combustible) """
+_PLACES = """, b AS (SELECT cell, (key * 31 % 200)::DOUBLE AS x, (key * 17 % 200)::DOUBLE AS y FROM v_cells), p AS (SELECT cell, (key * 29 % 200)::DOUBLE AS x, (key * 13 % 200)::DOUBLE AS y FROM v_cells WHERE combustible) """
 
 
 def _places(spark, d):
     c = views.cells(spark, d)
-    b = c.where("key % 3 = 0").select("cell", (_c("key") * 31 % 200).cast("double").alias("x"), (_c("key") * 17 % 200).cast("double").alias("y"))
+    b = c.select("cell", (_c("key") * 31 % 200).cast("double").alias("x"), (_c("key") * 17 % 200).cast("double").alias("y"))
     p = c.where("combustible").select("cell", (_c("key") * 29 % 200).cast("double").alias("x"), (_c("key") * 13 % 200).cast("double").alias("y"))
     return b, p, c
 
@@ -192,12 +194,12 @@ def j12_wui_cells(spark, d):
 
 @query(
     with_views("v_cells", "v_ignitions")
-    + f""", n AS (SELECT i.id AS event, n.ring, c.cell FROM (SELECT * FROM v_ignitions WHERE id % 10 = 0) i, {disk(2)} n JOIN v_cells c ON c.cell = i.cell + n.dq * 67108864 + n.dr AND c.combustible),
+    + f""", n AS (SELECT i.id AS event, n.ring, c.cell FROM v_ignitions i, {disk(2)} n JOIN v_cells c ON c.cell = i.cell + n.dq * 67108864 + n.dr AND c.combustible),
     k AS (SELECT *, row_number() OVER (PARTITION BY event ORDER BY ring, cell) AS k FROM n)
     SELECT event, count(*) FILTER (ring = 0) AS ring_0, count(*) FILTER (ring = 1) AS ring_1, count(*) FILTER (ring = 2) AS ring_2, string_agg(cell::VARCHAR, ',' ORDER BY k) FILTER (k <= 5) AS nearest FROM k GROUP BY event"""
 )
 def j13_nearest_combustible(spark, d):
-    e = views.ignitions(spark, d).where("id % 10 = 0").select(_c("id").alias("event"), "cell")
+    e = views.ignitions(spark, d).select(_c("id").alias("event"), "cell")
     out = spatial.nearest_combustible(e, views.cells(spark, d))
     return out.select("event", "ring_0", "ring_1", "ring_2", F.array_join(F.transform("nearest", lambda x: x.cast("string")), ",").alias("nearest"))
 
@@ -240,13 +242,13 @@ def w2_station_selection(spark, d):
 
 
 @query(
-    """WITH c AS (SELECT c_custkey AS key, 43 + c_custkey % 50 * 0.031::DOUBLE AS lat, 1 + c_custkey % 37 * 0.037::DOUBLE AS lon FROM customer WHERE c_custkey % 5 = 0),
+    """WITH c AS (SELECT c_custkey AS key, 43 + c_custkey % 50 * 0.031::DOUBLE AS lat, 1 + c_custkey % 37 * 0.037::DOUBLE AS lon FROM customer),
     a AS (SELECT x * 100 + y AS anchor, 42.6 + x * 0.2::DOUBLE AS alat, 0.6 + y * 0.2::DOUBLE AS alon FROM (SELECT unnest(range(0, 13)) AS x) p, (SELECT unnest(range(0, 13)) AS y) q),
     n AS (SELECT key, anchor, row_number() OVER (PARTITION BY key ORDER BY round(pow(lat - alat, 2) + pow(lon - alon, 2), 9), anchor) AS k FROM c, a) SELECT key, anchor FROM n WHERE k <= 4"""
 )
 def j6_lattice_nearest(spark, d):
     k = _c("c_custkey")
-    c = table(spark, d, "customer").where(k % 5 == 0).select(k.alias("key"), (43 + k % 50 * F.lit(0.031)).alias("lat"), (1 + k % 37 * F.lit(0.037)).alias("lon"))
+    c = table(spark, d, "customer").select(k.alias("key"), (43 + k % 50 * F.lit(0.031)).alias("lat"), (1 + k % 37 * F.lit(0.037)).alias("lon"))
     i = spark.range(13)
     a = i.select(_c("id").alias("x")).crossJoin(i.select(_c("id").alias("y"))).select((_c("x") * 100 + _c("y")).alias("anchor"), (42.6 + _c("x") * F.lit(0.2)).alias("alat"), (0.6 + _c("y") * F.lit(0.2)).alias("alon"))
     p = spatial.lattice_pairs(c, a, 0.2).withColumn("d2", F.round(F.pow(_c("lat") - _c("alat"), 2) + F.pow(_c("lon") - _c("alon"), 2), 9))

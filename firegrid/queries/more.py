@@ -85,7 +85,7 @@ def c8_validate_reviews(spark, d):
 
 @query()
 def n3_stream_fwi(spark, d):
-    w = views.weather_daily(spark, d).where("date < '1996-07-01'")
+    w = views.weather_daily(spark, d)
     path, out, state = scratch(spark, "weather"), scratch(spark, "series"), scratch(spark, "series-state")
     w.repartition(1).sortWithinPartitions("date").write.parquet(path)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -94,9 +94,9 @@ def n3_stream_fwi(spark, d):
     return spark.read.parquet(out)
 
 
-@query(with_views("v_weather") + " SELECT cell, count(*) AS n FROM v_weather WHERE date < DATE '1996-07-01' GROUP BY 1")
+@query(with_views("v_weather") + " SELECT cell, count(*) AS n FROM v_weather GROUP BY 1")
 def n4_stream_forecast(spark, d):
-    w = views.weather_daily(spark, d).where("date < '1996-07-01'")
+    w = views.weather_daily(spark, d)
     src, path, manifest, state = (scratch(spark, n) for n in ("hourly", "published", "published-manifest", "forecast-state"))
     w.write.parquet(src)
     static = spark.range(8).select(_c("id").alias("cell"), F.lit(0.3).alias("road"), F.lit(0.2).alias("hist"), F.lit(0.0).alias("wui"), F.lit(0.0).alias("agri"), F.lit(True).alias("combustible"))

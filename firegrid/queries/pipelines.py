@@ -347,11 +347,11 @@ def n2_stream_signal_windows(spark, d):
     return spatial.latest_per(out, ["commune", "window_start"], [F.desc("_n"), F.desc("signals")]).select("commune", "window_start", "signals", "max_frp")
 
 
-@query(with_views("v_cells") + " SELECT key FROM v_cells WHERE q >= 10 AND q <= 25 AND key < 1500 AND r >= 2 AND r <= 9")
+@query(with_views("v_cells") + " SELECT key FROM v_cells")
 def n5_stream_updates(spark, d):
     c = views.cells(spark, d)
     path = scratch(spark, "updates")
-    box = c.where("q between 10 and 25 and r between 2 and 9 and key < 1500").select("cell", "key")
+    box = c.select("cell", "key")
     box.write.parquet(path)
     s = spark.readStream.schema(box.schema).parquet(path)
     return _run_stream(jobs.stream_updates(s, (-90.0, -90.0, 90.0, 90.0)), "updates-out").select("key")
