@@ -1,15 +1,17 @@
 """WARC archives: a writer, and a reader that salvages damaged ones.
 
-Records are UTF-8 text, so Spark's own text writer lays down archive files on
-any store it can write: each row is a record and the writer's separator is the
-blank line that ends it. The reader takes plain archives and gzip members. When
-a check fails (version line, length, blank line, payload digest, gzip checksum)
-it looks for the next version line or member that is sound, goes on there, and
+Spark's own text writer lays down archive files on any store it can write: each
+row is a record, or the gzip member that holds it. The reader takes plain
+archives, gzip members and files of both. When a check fails (version line,
+length, blank line, payload digest, gzip checksum) it looks for whichever comes
+first, a record that is sound or a member that holds one, goes on there, and
 reports the bytes between as a quarantined gap.
 """
 
 from __future__ import annotations
 
+import base64
+import gzip
 import hashlib
 import re
 import zlib
@@ -22,6 +24,8 @@ END = b"\r\n\r\n"
 _LINE = "\r\n"
 _VERSION = re.compile(rb"WARC/\d\.\d\r\n")
 _MEMBER = b"\x1f\x8b\x08"
+_HEX = re.compile("[0-9a-fA-F]{40}")
+_BASE32 = re.compile("[A-Za-z2-7]{32}")
 _ID = "urn:x-page:"
 
 
@@ -57,9 +61,33 @@ def page_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     return rows.select(F.concat(*fields).alias("record"))
 
 
+def member(record: bytes) -> bytes:
+    """The gzip member of a record and its closing blank line, without the zero byte at its end.
+
+    A member ends with its size modulo 2**32, lowest byte first, so the last byte
+    is zero below 16 MB; beyond that an empty member, which always ends so, follows.
+    """
+    out = gzip.compress(record + END, 6, mtime=0)
+    return (out if out[-1] == 0 else out + gzip.compress(b"", mtime=0))[:-1]
+
+
 def write_warc(records: DataFrame, path: str, per_file: int = 2_000, compression: str = "gzip") -> None:
-    """Write records to archive files of at most ``per_file`` records, so that each file fits a task's memory when it is read."""
-    records.write.option("lineSep", END.decode()).option("compression", compression).option("maxRecordsPerFile", per_file).text(path)
+    """Write records to archive files of at most ``per_file`` records, so that each file fits a task's memory when it is read.
+
+    With ``gzip`` each record is a member of its own, so damage costs one record;
+    the writer's separator is the zero byte at the members' ends. Any other
+    ``compression`` is the text writer's, over a file's plain records.
+    """
+    separator = END.decode()
+    if compression == "gzip":
+
+        def pack(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([member(r.as_buffer().to_pybytes()) for r in batch.column("record")], pa.binary())], ["record"])
+
+        records = records.select("record").mapInArrow(pack, "record binary").select(F.col("record").cast("string"))
+        separator, compression = "\0", "none"
+    records.write.option("lineSep", separator).option("compression", compression).option("maxRecordsPerFile", per_file).text(path)
 
 
 # --- reading ----------------------------------------------------------------
@@ -78,6 +106,16 @@ def _headers(block: bytes) -> dict[str, str]:
     return out
 
 
+def _digest(value: str) -> tuple[str | None, bool]:
+    """A digest field's value and whether it is a SHA-1 to check. Those (hex or base32, or 40 hex digits without a label) become lower-case hex; others stay as they are."""
+    label, colon, rest = value.rpartition(":")
+    if colon and label.lower() not in ("sha1", "sha-1") or not colon and not _HEX.fullmatch(rest):
+        return value or None, False
+    if _BASE32.fullmatch(rest):
+        return base64.b32decode(rest.upper()).hex(), True
+    return rest.lower(), True
+
+
 def read_record(data: bytes, at: int) -> tuple[dict, int]:
     """The record at ``at`` and where it ends; raises Bad if a check fails."""
     version = _VERSION.match(data, at)
@@ -101,11 +139,11 @@ def read_record(data: bytes, at: int) -> tuple[dict, int]:
         if cut < 0:
             raise Bad("http header")
         http, payload = _headers(block[:cut]), block[cut + 4 :]
-    digest = head.get("warc-payload-digest", "").removeprefix("sha1:")
-    if kind != "revisit" and digest and hashlib.sha1(payload).hexdigest() != digest.lower():
+    digest, known = _digest(head.get("warc-payload-digest", ""))
+    if kind != "revisit" and known and hashlib.sha1(payload).hexdigest() != digest:
         raise Bad("payload digest")
     size = int(http["content-length"]) if kind == "revisit" and http.get("content-length", "").isdigit() else len(payload)
-    return {"record_type": kind, "record_id": head.get("warc-record-id", "").strip("<>"), "target_uri": head.get("warc-target-uri"), "refers_to": head.get("warc-refers-to", "").strip("<>") or None, "payload_digest": digest.lower() or None, "payload_bytes": size, "payload": payload}, end + 4
+    return {"record_type": kind, "record_id": head.get("warc-record-id", "").strip("<>"), "target_uri": head.get("warc-target-uri"), "refers_to": head.get("warc-refers-to", "").strip("<>") or None, "payload_digest": digest, "payload_bytes": size, "payload": payload}, end + 4
 
 
 def salvage_plain(data: bytes, base: int = 0):
@@ -134,46 +172,79 @@ def salvage_plain(data: bytes, base: int = 0):
 
 
 def read_member(data: bytes, at: int) -> tuple[bytes, int, bool]:
-    """What the gzip member at ``at`` holds, where it ends, and whether its checksum held."""
+    """What the gzip member at ``at`` holds, up to the byte where it fails, where it ends, and whether its checksum held."""
     unzip = zlib.decompressobj(31)
-    out, view, step = [], memoryview(data), 1 << 16
+    out, view, step = [], memoryview(data), 1 << 12
     pos = at
     try:
         while not unzip.eof and pos < len(data):
             out.append(unzip.decompress(view[pos : pos + step]))
             pos += step
+            step = min(2 * step, 1 << 16)
     except zlib.error:
-        return b"".join(out), pos, False
+        # a failing call gives nothing: go through its bytes one by one
+        unzip = zlib.decompressobj(31)
+        out = [unzip.decompress(view[at:pos])]
+        try:
+            while True:
+                out.append(unzip.decompress(view[pos : pos + 1]))
+                pos += 1
+        except zlib.error:
+            return b"".join(out), pos, False
     return b"".join(out), min(pos, len(data)) - len(unzip.unused_data), unzip.eof
 
 
+def _goes_on(data: bytes, at: int, held: set[bytes]) -> bool:
+    """Whether a sound record that isn't among ``held`` is at ``at``, or a member that begins as a record or, damaged, still holds a sound one."""
+    if data.startswith(_MEMBER, at):
+        body, _, sound = read_member(data, at)
+        return bool(sound and _VERSION.match(body)) or any(kind == "record" for kind, *_ in salvage_plain(body))
+    try:
+        _, end = read_record(data, at)
+    except Bad:
+        return False
+    return data[at:end] not in held
+
+
 def salvage(data: bytes):
-    """Records and gaps of an archive, plain or of gzip members. Offsets are bytes of the file; a record inside a member has the member's offset. From a damaged member the sound records before the damage are kept."""
-    if not data.startswith(_MEMBER):
-        yield from salvage_plain(data)
-        return
+    """Records and gaps of an archive, plain, of gzip members or of both. Offsets are bytes of the file; a record inside a member has the member's offset. From a damaged member the sound records are kept."""
     at, size = 0, len(data)
+    ahead = {_MEMBER: -1, _VERSION: -1}  # the next of each that isn't before ``at``
     while at < size:
-        body, end, sound = read_member(data, at) if data.startswith(_MEMBER, at) else (b"", at, False)
-        if sound:
-            for kind, _, _, what in salvage_plain(body):
-                yield kind, at, end, what
-            at = end
-            continue
-        for kind, _, _, what in salvage_plain(body):
-            if kind == "record":
-                yield kind, at, at, what
+        held, until = set(), at  # what a damaged member of stored blocks would show again, up to where it fails
+        if data.startswith(_MEMBER, at):
+            body, end, sound = read_member(data, at)
+            for kind, a, b, what in salvage_plain(body):
+                if sound or kind == "record":
+                    yield kind, at, end if sound else at, what
+                if not sound and kind == "record":
+                    held.add(body[a:b])
+            until = end
+            if sound:
+                at = end
+                continue
+            reason = "gzip member"
+        else:
+            try:
+                record, end = read_record(data, at)
+                yield "record", at, end, record
+                at = end
+                continue
+            except Bad as why:
+                reason = str(why)
         gap, at = at, at + 1
-        while True:
-            at = data.find(_MEMBER, at)
-            if at < 0:
-                at = size
-                break
-            body, _, sound = read_member(data, at)
-            if sound and _VERSION.match(body):
+        while at < size:
+            if ahead[_MEMBER] < at:
+                found = data.find(_MEMBER, at)
+                ahead[_MEMBER] = size if found < 0 else found
+            if ahead[_VERSION] < at:
+                found = _VERSION.search(data, at)
+                ahead[_VERSION] = found.start() if found else size
+            at = min(ahead.values())
+            if at == size or _goes_on(data, at, held if at < until else set()):
                 break
             at += 1
-        yield "gap", gap, at, "gzip member"
+        yield "gap", gap, at, reason
 
 
 _ROWS = "path string, kind string, begin long, end long, reason string, record_type string, record_id string, target_uri string, refers_to string, payload_digest string, payload_bytes long, payload binary"

@@ -1,5 +1,7 @@
+import base64
 import gzip
 import hashlib
+import random
 
 from firegrid.llm import warc
 
@@ -62,3 +64,78 @@ def test_empty_table(spark, tmp_path):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     warc.write_warc(warc.page_records(pages), str(tmp_path / "w"))
     assert warc.read_warc(spark, str(tmp_path / "w")).count() == 0
+
+
+def test_first_member_header_damaged():
+    parts = [gzip.compress(record(k, b"x" * 300 + b"%d" % k)) for k in range(4)]
+    for at in range(3):
+        data = bytearray(b"".join(parts))
+        data[at] ^= 0xFF
+        ids, gaps = split(warc.salvage(bytes(data)))
+        assert ids == [f"urn:x-page:{k}" for k in (1, 2, 3)] and [g[:2] for g in gaps] == [(0, len(parts[0]))]
+
+
+def test_neighbouring_damaged_members_keep_their_heads():
+    rng = random.Random(5)
+    texts = [[record(10 * m + k, rng.randbytes(3000)) for k in range(4)] for m in range(3)]
+    parts = [gzip.compress(b"".join(t)) for t in texts]
+    bad = [bytearray(p) for p in parts[:2]]
+    for b in bad:
+        b[len(b) * 7 // 8] ^= 0x55
+    ids, gaps = split(warc.salvage(bytes(bad[0] + bad[1]) + parts[2]))
+    a, b = len(parts[0]), len(parts[0]) + len(parts[1])
+    assert ids == [f"urn:x-page:{k}" for k in (0, 1, 2, 10, 11, 12, 20, 21, 22, 23)]
+    assert gaps == [(0, a, "gzip member"), (a, b, "gzip member")]
+
+
+def test_damage_in_the_middle_of_the_last_step_keeps_what_was_before():
+    parts = [record(k, b"%d" % k * 200) for k in range(5)]
+    whole = gzip.compress(b"".join(parts), 0)  # stored, so that offsets are known
+    at = whole.index(parts[3]) + len(parts[3]) + 4
+    ids, gaps = split(warc.salvage(whole[:at]))
+    assert ids == [f"urn:x-page:{k}" for k in range(4)] and gaps == [(0, at, "gzip member")]
+    broken = gzip.compress(b"".join(parts[:2]))[:-8] + b"\xff" * 8 + parts[4]
+    assert split(warc.salvage(broken))[0] == ["urn:x-page:0", "urn:x-page:1", "urn:x-page:4"]
+
+
+def test_members_and_plain_records_in_one_file():
+    parts = [record(k, b"y" * 100 + b"%d" % k) for k in range(6)]
+    zipped = [gzip.compress(p) for p in parts]
+    ids, gaps = split(warc.salvage(zipped[0] + parts[1] + b"??" + zipped[2] + b"!" + parts[3] + zipped[4][:20] + parts[5]))
+    assert ids == [f"urn:x-page:{k}" for k in (0, 1, 2, 3, 5)] and len(gaps) == 3
+
+
+def test_digest_forms():
+    good = record(1, b"payload")
+    digest = hashlib.sha1(b"payload")
+    base32 = base64.b32encode(digest.digest())
+    line = b"sha1:" + digest.hexdigest().encode()
+    for form in (b"sha1:" + base32, b"SHA-1:" + base32.lower(), digest.hexdigest().upper().encode()):
+        (kind, _, _, found), *rest = warc.salvage(good.replace(line, form))
+        assert kind == "record" and not rest and found["payload_digest"] == digest.hexdigest()
+    for form in (b"md5:AbC=", b"blake3:00", b"sha256:" + b"0" * 64):
+        (kind, _, _, found), *rest = warc.salvage(good.replace(line, form))
+        assert kind == "record" and not rest and found["payload_digest"] == form.decode()
+    for form in (b"sha1:" + base32[::-1], b"sha1:" + b"0" * 40, b"sha1:?"):
+        assert split(warc.salvage(good.replace(line, form)))[1][0][2] == "payload digest"
+
+
+def test_member_per_record_of_written_archives(spark, tmp_path):
+    rows = [(k, f"http://a/{k}", f"page {k} é " * 60) for k in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    warc.write_warc(warc.page_records(pages), str(tmp_path / "w"))
+    (file,) = (tmp_path / "w").glob("part-*")
+    data = bytearray(file.read_bytes())
+    assert gzip.decompress(data).count(b"WARC/1.1\r\n") == 40
+    data[len(data) // 2] ^= 0x3C
+    ids, gaps = split(warc.salvage(bytes(data)))
+    assert len(set(ids)) >= 39 and len(gaps) == 1
+    warc.write_warc(warc.page_records(pages), str(tmp_path / "plain"), compression="none")
+    assert warc.read_warc(spark, str(tmp_path / "plain")).where("kind = 'record'").count() == 40
+
+
+def test_member_of_a_large_record_ends_with_zero():
+    for size in (10, (16 << 20) + 5):
+        body = record(1, b"z" * size)[:-4]
+        packed = warc.member(body) + b"\0"
+        assert gzip.decompress(packed) == body + warc.END and split(warc.salvage(packed)) == (["urn:x-page:1"], [])
