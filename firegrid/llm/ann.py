@@ -5,7 +5,8 @@ The codebooks and the codes minimise a loss in which the residual along the
 vector itself weighs ``eta`` times the residual across it, because that is the
 part which changes large inner products. Queries scan the packed codes through
 lookup tables, two four-bit codes a byte; the best by approximate score are then
-scored exactly on the original vectors.
+scored exactly on the original vectors, and after them all whose angle to their
+code leaves them a chance to be among the nearest.
 """
 
 from __future__ import annotations
@@ -105,9 +106,45 @@ def best_of(scores: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
     return some[np.lexsort((ids[some], -scores[some]))][:n]
 
 
-def _unit(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    x = flat.reshape(len(column), -1)
+def slack(x: np.ndarray, books: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each code's vector, the part along the unit vector it stands for, and the length of the part across it."""
+    coded = np.take_along_axis(books[None], code[:, :, None, None], 2)[:, :, 0]
+    along = (coded * x).sum((1, 2))
+    return along, np.sqrt(np.maximum((coded**2).sum((1, 2)) - along**2, 0))
+
+
+def reach(scores: np.ndarray, along: np.ndarray, across: np.ndarray, least: float, margin: float = 1e-4) -> np.ndarray:
+    """Whether rows of these approximate scores can have an exact one of ``least``.
+
+    If a unit vector is within the angle a of the query and its code within b of
+    it, the code is within a + b of the query. ``margin`` is more than single
+    precision loses in a scan and a norm.
+    """
+    least = min(max(least, -1.0), 1.0)
+    return (scores >= least * along - np.sqrt(1 - least**2) * across - margin) | (least * np.hypot(along, across) <= margin - along)
+
+
+def nearest_in(scores: np.ndarray, ids: np.ndarray, x: np.ndarray, query: np.ndarray, slacks: tuple[np.ndarray, np.ndarray], n: int, rerank: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places and exact scores of the ``n`` rows of a block nearest to a query, ties to the smaller id; those below ``least`` may be left out."""
+    some = best_of(scores, ids, rerank)
+    exact = (x[some] * query).sum(1)
+    if len(scores) > len(some):
+        if len(some) >= n:
+            least = max(least, np.partition(exact, len(exact) - n)[len(exact) - n])
+        some = np.flatnonzero(reach(scores, *slacks, least))
+        some = some[x[some] @ query >= least - 1e-9]
+        exact = (x[some] * query).sum(1)
+    best = np.lexsort((ids[some], -exact))[:n]
+    return some[best], exact[best]
+
+
+def _rows(column: pa.Array) -> np.ndarray:
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.astype(np.float32 if flat.dtype == np.float32 else np.float64).reshape(len(column), -1)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
     x = x / np.abs(x).max(1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
@@ -129,8 +166,11 @@ def search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
     Equal vectors are indexed once, with the ``k + 1`` smallest of their ids: no
     query can have another among its ``k`` nearest. Codebooks are fitted on at
     most ``train_rows`` distinct vectors (those of the smallest id hashes); every
-    distinct vector is encoded and scanned by every query, block against block;
-    ``rerank`` of them per query are scored exactly, in double precision.
+    distinct vector is encoded and scanned by every query, block against block.
+    In a block the ``rerank`` best by approximate score are scored exactly, in
+    double precision; what they reach is the least that others must be able to
+    reach, and all that can are scored exactly too, however many they are. So
+    the result is exact, and codes only save work.
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where(F.col("id").isNotNull() & sound(F.col("v")))
     spark = df.sparkSession
@@ -148,49 +188,53 @@ def search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
     asked = reps.join(queries.select("rep").distinct(), "rep", "left_semi")
 
     sample = reps.orderBy(F.xxhash64("rep"), "rep").limit(train_rows).select("v").toArrow()["v"].combine_chunks()
-    books = train(pairs_of(_unit(sample)), eta)
+    books = train(pairs_of(_unit(_rows(sample))), eta)
 
     def index(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        ids, v = table.column("rep").to_numpy(), table.column("v").combine_chunks()
-        packed = [pack_codes(encode(pairs_of(_unit(v.slice(a, 2048))), books, eta)) for a in range(0, len(ids), 2048)]
-        return pa.table({"ids": pa.array([ids.astype(np.int64).tobytes()], pa.binary()), "codes": pa.array([np.concatenate(packed).tobytes()], pa.binary())})
+        ids, v = table.column("rep").to_numpy().astype(np.int64), _rows(table.column("v").combine_chunks())
+        packed, slacks = [], []
+        for a in range(0, len(ids), 2048):
+            x = pairs_of(_unit(v[a : a + 2048]))
+            code = encode(x, books, eta)
+            packed.append(pack_codes(code))
+            slacks.append(np.stack(slack(x, books, code)))
+        return pa.table({n: pa.array([x.tobytes()], pa.binary()) for n, x in (("ids", ids), ("codes", np.concatenate(packed)), ("slacks", np.concatenate(slacks, 1)), ("rows", v))})
 
     def together(table: pa.Table) -> pa.Table:
-        v = _unit(table.combine_chunks().column("v").combine_chunks())
+        v = _unit(_rows(table.combine_chunks().column("v").combine_chunks()))
         return pa.table({"asked": pa.array([table.column("rep").to_numpy().astype(np.int64).tobytes()], pa.binary()), "vectors": pa.array([v.tobytes()], pa.binary())})
 
     def blocks(d: DataFrame, size: int, f, ddl: str) -> DataFrame:
         n = max(1, -(-d.count() // size))
         return d.withColumn("b", F.pmod(F.xxhash64("rep"), F.lit(n))).groupBy("b").applyInArrow(f, ddl)
 
-    coded = stage(blocks(reps, block, index, "ids binary, codes binary"), "codes")
+    single = rows.schema["v"].dataType.elementType.typeName() == "float"
+    block = min(block, max(1, (8 << 20) // (common["d"] * (4 if single else 8))))  # a block's vectors go with its codes
+    coded = stage(blocks(reps, block, index, "ids binary, codes binary, slacks binary, rows binary"), "codes")
     asking = stage(blocks(asked, query_block, together, "asked binary, vectors binary"), "asking")
 
     def scan_blocks(batches):
+        reached = {}  # per block of queries, the best exact scores of this task so far
         for batch in batches:
             for r in range(batch.num_rows):
-                ids, codes, who, vectors = (batch.column(c)[r].as_py() for c in ("ids", "codes", "asked", "vectors"))
-                ids, who = np.frombuffer(ids, np.int64), np.frombuffer(who, np.int64)
+                ids, codes, slacks, x, asked, vectors = (batch.column(c)[r].as_py() for c in ("ids", "codes", "slacks", "rows", "asked", "vectors"))
+                ids, who = np.frombuffer(ids, np.int64), np.frombuffer(asked, np.int64)
                 packed = np.frombuffer(codes, np.uint8).reshape(len(ids), -1)
+                slacks = tuple(np.frombuffer(slacks).reshape(2, -1))
+                x = _unit(np.frombuffer(x, np.float32 if single else np.float64).reshape(len(ids), -1))
                 vectors = np.frombuffer(vectors).reshape(len(who), -1)
+                top = reached.setdefault(asked, np.full((len(who), k + 1), -2.0))
                 for a in range(0, len(who), 32):
                     scores = scan(tables(pairs_of(vectors[a : a + 32]), books), packed)
-                    best = [best_of(s, ids, rerank) for s in scores]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(who[a : a + 32], [len(b) for b in best])), pa.array(ids[np.concatenate(best)]), pa.array(np.concatenate([s[b] for s, b in zip(scores, best, strict=True)]))], ["q", "rep", "about"])
-
-    scanned = asking.repartition("asked").crossJoin(coded).mapInArrow(scan_blocks, "q long, rep long, about float")
-    first = Window.partitionBy("q").orderBy(F.desc("about"), "rep")
-    near = scanned.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= rerank).select("q", "rep")
-
-    def exact(batches):
-        for batch in batches:
-            a, b = (batch.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1) for c in ("v", "u"))
-            score = (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
-            yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("rep"), pa.array(score)], ["q", "rep", "score"])
-
-    vectors = near.join(reps, "rep").join(reps.select(F.col("rep").alias("q"), F.col("v").alias("u")), "q")
-    scored = vectors.mapInArrow(exact, "q long, rep long, score double")
+                    best = [nearest_in(s, ids, x, vectors[q], slacks, k + 1, rerank, top[q].min()) for q, s in enumerate(scores, a)]
+                    for q, (_, exact) in enumerate(best, a):
+                        top[q] = np.sort(np.concatenate((top[q], exact)))[-k - 1 :]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(who[a : a + 32], [len(b) for b, _ in best])), pa.array(ids[np.concatenate([b for b, _ in best])]), pa.array(np.concatenate([e for _, e in best]))], ["q", "rep", "score"])
+
+    scanned = asking.repartition("asked").crossJoin(coded).mapInArrow(scan_blocks, "q long, rep long, score double")
+    first = Window.partitionBy("q").orderBy(F.desc("score"), "rep")
+    scored = scanned.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= k + 1).select("q", "rep", "score")
     ranked = Window.partitionBy("q").orderBy(F.desc("score"), "id")
     found = scored.join(members.select("rep", "id"), "rep").withColumn("nth", F.row_number().over(ranked)).where(F.col("nth") <= k + 1)
     lists = found.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("nth", "id", "score"))).alias("near"))

@@ -89,6 +89,35 @@ def test_recall_ties_and_unsound_vectors(spark):
     assert hits / (5 * 60) >= 0.9
 
 
+def test_exact_in_a_large_group_of_near_copies(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(6000, 16)).astype(np.float32)
+    x[1000:3000] = x[1000] + rng.normal(size=(2000, 16)) * 1e-3  # a third of all rows
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    for block in (16_384, 700):
+        got = ann.search(df, block=block).toPandas().sort_values(["query_id", "rank"])
+        near = {q: g.vec_id.tolist() for q, g in got.groupby("query_id")}
+        assert set(near) == set(range(0, 6000, 50))
+        for q, found in near.items():
+            s = unit @ unit[q]
+            s[q] = -9
+            assert found == np.argsort(-s)[:5].tolist()
+
+
+@given(st.integers(0, 10**6), st.floats(-1, 1))
+def test_reach_never_drops_what_reaches(seed, least):
+    rng = np.random.default_rng(seed)
+    x, query = rng.normal(size=(200, 6)), rng.normal(size=6)
+    x, query = x / np.linalg.norm(x, axis=1, keepdims=True), query / np.linalg.norm(query)
+    books = rng.normal(size=(4, 16, 2)) * 0.4
+    pairs = ann.pairs_of(x)
+    code = rng.integers(0, 16, (200, 4))
+    scores = ann.scan(ann.tables(ann.pairs_of(query[None]), books), ann.pack_codes(code))[0]
+    may = ann.reach(scores, *ann.slack(pairs, books, code), least)
+    assert may[x @ query >= least].all()
+
+
 def test_few_and_no_candidates(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in ann.search(df).collect()] == [(0, 1, 1, 0.0)]
