@@ -332,7 +332,8 @@ def r5_recompute_day(spark, d):
     cells = views.cells(spark, d)
     dq, dr = _c("q") - _c("sq"), _c("r") - _c("sr")
     pairs = spatial.nearest(cells.select("cell", "q", "r"), s, F.sqrt((dq * dq + dq * dr + dr * dr).cast("double")), "cell", "station", 4)
-    state = weather_index.fwi_series(views.weather_daily(spark, d)).where("date = '1996-07-01'").select("cell", "ffmc", "dmc", "dc")
+    lanes = weather_index.fwi_series(views.weather_daily(spark, d).where("date <= '1996-07-01'")).where("date = '1996-07-01'").select(_c("cell").alias("lane"), "ffmc", "dmc", "dc")
+    state = cells.select("cell", (_c("key") % 8).alias("lane")).join(lanes, "lane").select("cell", "ffmc", "dmc", "dc")
     static = cells.select("cell", "road", F.lit(0.5).alias("hist"), F.lit(0.0).alias("wui"), F.when(_c("agri"), 1.0).otherwise(0.0).alias("agri"), "combustible")
     cal = spark.sql("select date '1996-07-02' as date, true as school_holiday, false as public_holiday")
     return weather_index.recompute_day(cells, pairs, state, static, cal, "1996-07-02").select("cell", "fwi", "score", "factors")

@@ -2,6 +2,7 @@
 
 import datetime
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -68,3 +69,28 @@ def test_streamed_series_equals_batch(spark, tmp_path):
     got = spark.table("series").where("not late").orderBy("date").toPandas()
     want = fwi_series(src).orderBy("date").toPandas()
     assert len(got) == 2 and abs(got.fwi - want.fwi).max() < 1e-9
+
+
+def test_recompute_carries_the_day_before(spark):
+    import duckdb
+    from conftest import TABLES
+
+    from firegrid import views
+    from firegrid.queries import forecasts as q
+
+    sf_dir, duck = "/root/testdata/sf0.01", duckdb.connect()
+    for t in TABLES:
+        duck.execute(f"create view {t} as select * from read_parquet('{sf_dir}/{t}.parquet')")
+    weather = q._SERIES.replace("WITH RECURSIVE ", q.with_views("v_cells", "v_stations") + ", ", 1)
+    sql = weather + f""", p AS (SELECT c.key, c.cell, s.station, sqrt(((c.q - s.q) * (c.q - s.q) + (c.q - s.q) * (c.r - s.r) + (c.r - s.r) * (c.r - s.r))::DOUBLE) AS km, s.temp, s.rh, s.wind, s.rain FROM v_cells c, v_stations s),
+    n AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY km, station) AS k, min(km) OVER (PARTITION BY cell) AS near FROM p), w AS (SELECT *, CASE WHEN near <= 1e-9 THEN CASE WHEN km <= 1e-9 THEN 1::DOUBLE ELSE 0::DOUBLE END ELSE pow(km, -2) END AS w FROM n WHERE k <= 4),
+    v AS (SELECT key, cell, sum(w * temp) / sum(w) AS temp, sum(w * rh) / sum(w) AS rh, sum(w * wind) / sum(w) AS wind, sum(w * rain) / sum(w) AS rain FROM w GROUP BY 1, 2),
+    o AS (SELECT v.*, y.ffmc IS NOT NULL AS carried, coalesce(y.ffmc, {q._F}) AS f0, coalesce(y.dmc, {q._P}) AS p0, coalesce(y.dc, {q._C}) AS c0 FROM v LEFT JOIN y ON y.cell = v.key % 8 AND y.date = DATE '1996-07-01'),
+    fr AS (SELECT *, {q.sql_ffmc('f0', 'temp', 'rh', 'wind', 'rain')} AS ffmc, {q.sql_dmc('p0', 'temp', 'rh', 'rain', '7')} AS dmc, {q.sql_dc('c0', 'temp', 'rain', '7')} AS dc FROM o),
+    g AS (SELECT *, {q.sql_isi('ffmc', 'wind')} AS isi, {q.sql_bui('dmc', 'dc')} AS bui FROM fr), h AS (SELECT *, {q.sql_fwi('isi', 'bui')} AS fwi FROM g)
+    SELECT h.cell, h.carried, h.fwi, CASE WHEN c.combustible THEN pow(greatest(0::DOUBLE, least(1::DOUBLE, h.fwi / 30)), 0.6) * pow(greatest(0::DOUBLE, least(1::DOUBLE, 0.4 * 0.5 + 0.2 * greatest(0::DOUBLE, least(1::DOUBLE, c.road)) + 0.15 * c.agri::INT)), 0.4) ELSE 0 END AS score FROM h JOIN v_cells c USING (key)"""
+    want = duck.execute(sql).df()
+    got = q.r5_recompute_day(spark, sf_dir).toPandas()
+    both = got.merge(want, on="cell", suffixes=("", "_want"))
+    assert len(both) == len(got) == len(want) == views.cells(spark, sf_dir).count() and want.carried.any()
+    assert np.allclose(both.fwi, both.fwi_want, atol=1e-9) and np.allclose(both.score, both.score_want, atol=1e-9)
