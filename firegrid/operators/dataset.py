@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,10 +52,24 @@ def draw_pool(cells: DataFrame, first: str, days: int, n: int, seed: int) -> Dat
     return top_per(draws.join(ranked, "rank"), ["cell", "date"], ["draw"]).select("draw", "cell", "date")
 
 
-def sample_negatives(cells: DataFrame, events: DataFrame, known: DataFrame, strategy: str, first: str, days: int, n: int, seed: int, oversample: int = 5) -> DataFrame:
-    """The first ``n`` draws that lie on no known event cell-day and outside all events' windows."""
-    pool = draw_pool(cells, first, days, n * oversample, seed).join(known.select("cell", "date").distinct(), ["cell", "date"], "left_anti")
-    return exclude_near(pool, events, strategy).orderBy("draw").limit(n)
+def sample_negatives(cells: DataFrame, events: DataFrame, known: DataFrame, strategy: str, first: str, days: int, n: int, seed: int, oversample: int = 5, most: int = 40) -> DataFrame:
+    """The first ``n`` draws that lie on no known event cell-day and outside all events' windows.
+
+    If ``oversample * n`` draws hold fewer, they are doubled until ``n`` are found
+    or ``most * n`` are drawn; what is missing then is reported by a warning. A
+    draw depends on its number alone, so a larger pool begins as the smaller one.
+    """
+    known = known.select("cell", "date").distinct()
+    while True:
+        pool = draw_pool(cells, first, days, n * oversample, seed).join(known, ["cell", "date"], "left_anti")
+        found = exclude_near(pool, events, strategy).orderBy("draw").limit(n)
+        count = found.count()
+        if count >= n or oversample >= most:
+            break
+        oversample = min(2 * oversample, most)
+    if count < n:
+        warnings.warn(f"{count} of {n} negatives found in {oversample * n} draws", stacklevel=2)
+    return found
 
 
 def stratified_select(candidates: DataFrame, positives: DataFrame, ratio: float, seed: str, resolution: int = 5) -> DataFrame:
@@ -99,14 +115,26 @@ def leakage_checks(rows: DataFrame, bounds: dict[str, tuple[str, str]]) -> DataF
 
 
 def training_sample(events: DataFrame, cells: DataFrame, first: str, days: int, seed: str) -> DataFrame:
-    """Known-human events on combustible cells, and a control for each sampled combustible cell: a hashed day, moved on to the next day without an event."""
+    """Known-human events on combustible cells, and a control for each sampled combustible cell: a hashed day of the interval, moved on to the next day without an event.
+
+    After the interval's last day comes its first. A cell with an event on every
+    day has no control.
+    """
     burning = cells.where("combustible").select("cell")
     pos = events.where("category = 'human_known'").join(burning, "cell", "left_semi").select("cell", "date", F.lit(1).alias("label")).distinct()
-    day = F.date_add(F.lit(first).cast("date"), (F.conv(F.substring(hash_order(seed, F.col("cell")), 1, 7), 16, 10).cast("long") % days).cast("int"))
-    want = burning.withColumn("date", day)
-    tries = want.withColumn("date", F.explode(F.transform(F.sequence(F.lit(0), F.lit(30)), lambda k: F.date_add("date", k))))
-    free = tries.join(events.select("cell", "date").distinct(), ["cell", "date"], "left_anti").groupBy("cell").agg(F.min("date").alias("date"))
-    return pos.unionByName(free.select("cell", "date", F.lit(0).alias("label")))
+    at = F.conv(F.substring(hash_order(seed, F.col("cell")), 1, 7), 16, 10).cast("long") % days
+    want = burning.withColumn("at", at.cast("int"))
+    taken = events.select("cell", F.datediff("date", F.lit(first).cast("date")).alias("day")).where(F.col("day").between(0, days - 1)).distinct()
+    # days of one run of days with events have the same distance to their place
+    place = Window.partitionBy("cell").orderBy("day")
+    runs = taken.withColumn("run", F.col("day") - F.row_number().over(place)).groupBy("cell", "run").agg(F.min("day").alias("from"), F.max("day").alias("to"))
+    whole = Window.partitionBy("cell")
+    runs = runs.withColumn("head", F.max(F.when(F.col("from") == 0, F.col("to") + 1)).over(whole))  # the first free day, if day 0 has an event
+    free = F.when(F.col("to") < days - 1, F.col("to") + 1).otherwise(F.coalesce("head", F.lit(0)))
+    runs = runs.select(F.col("cell").alias("_cell"), "from", "to", F.when(free < days, free).otherwise(-1).alias("free"))
+    moved = want.join(runs, (F.col("cell") == F.col("_cell")) & F.col("at").between(F.col("from"), F.col("to")), "left")
+    moved = moved.withColumn("day", F.coalesce("free", "at")).where("day >= 0")
+    return pos.unionByName(moved.select("cell", F.date_add(F.lit(first).cast("date"), F.col("day")).alias("date"), F.lit(0).alias("label")))
 
 
 def coarsen_features(static: DataFrame, resolution: int, means: list[str]) -> DataFrame:

@@ -1,11 +1,15 @@
 """Invariants of writes, guards and joins."""
 
+import datetime
+import hashlib
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from firegrid import views
 from firegrid.functions import grid
-from firegrid.operators import metrics, spatial
+from firegrid.operators import dataset, metrics, spatial
 from firegrid.sources import readers, sinks
 
 
@@ -73,3 +77,32 @@ def test_territory_owns_each_cell_once(spark):
     assert cells.count() == cells.select("cell").distinct().count() > 50
     assert {r["code"] for r in cells.where("claims = 2").collect()} == {"01"}
     assert [r["code"] for r in missing.collect()] == ["77"]
+
+
+def test_controls_wrap_within_the_interval(spark):
+    days, first = 60, datetime.date(1996, 1, 1)
+    rng = random.Random(3)
+    busy = {c: {k for k in range(days) if rng.random() < 0.9} for c in range(30)}
+    busy |= {100: set(range(days)), 101: set(range(days)) - {5}, 102: set(range(days)) - {59}, 103: set(range(40)), 104: set(range(20, 60)), 105: {-1, 60, 61}, 106: set(range(days)) - {0}}
+    rows = [(c, first + datetime.timedelta(days=k), "natural") for c, ks in busy.items() for k in ks]
+    cells = spark.createDataFrame([(c, True) for c in (*busy, 200)], "cell long, combustible boolean")
+    got = dataset.training_sample(spark.createDataFrame(rows, "cell long, date date, category string"), cells, "1996-01-01", days, "8").collect()
+    want = {}
+    for c in (*busy, 200):
+        at = int(hashlib.md5(f"8|{c}".encode()).hexdigest()[:7], 16) % days
+        free = [k for k in [*range(at, days), *range(at)] if k not in busy.get(c, ())]
+        if free:
+            want[c] = first + datetime.timedelta(days=free[0])
+    assert {r["cell"]: r["date"] for r in got} == want and len(got) == len(want) and 100 not in want
+
+
+def test_negatives_are_drawn_until_enough(spark):
+    days, first = 40, datetime.date(1996, 1, 1)
+    cells = spark.createDataFrame([(8 * 2**52 + (2**25 + 9 * k) * 2**26 + 2**25, True) for k in range(25)], "cell long, combustible boolean")
+    known = cells.crossJoin(spark.range(days)).where("pmod(hash(cell, id), 10) > 0").select("cell", F.date_add(F.lit(first), F.col("id").cast("int")).alias("date"))
+    none = known.limit(0).select("cell", "date", F.lit(1).alias("event"), F.lit("").alias("category"))
+    t = dataset.sample_negatives(cells, none, known, "N2", "1996-01-01", days, 30, 9)
+    assert t.count() == 30 and t.join(known, ["cell", "date"], "left_semi").count() == 0
+    everything = cells.crossJoin(spark.range(days)).select("cell", F.date_add(F.lit(first), F.col("id").cast("int")).alias("date"))
+    with pytest.warns(UserWarning, match="0 of 30 negatives found in 1200 draws"):
+        assert dataset.sample_negatives(cells, none, everything, "N2", "1996-01-01", days, 30, 9).count() == 0
