@@ -2,10 +2,10 @@
 
 Only the histogram of piece lengths (at most ``capacity`` counts, whatever the
 size of the corpus) reaches the driver. Large lengths are grouped into classes
-of equal cardinality and rounded up to each class's longest; a column
-generation over those few sizes finds how often to use each configuration;
-actual lengths take the rounded ones' places; what is left over and the small
-pieces go best-fit into the remaining room. The plan says, for every length,
+of equal cardinality and rounded up to each class's longest; a linear programme
+over those few sizes finds how often to use each configuration; actual lengths
+take the rounded ones' places; what rounding to whole uses leaves over and the
+small pieces go best-fit into the remaining room. The plan says, for every length,
 which run of its pieces goes to which run of sequences at which offset, so the
 pieces themselves are placed in parallel by length and rank.
 """
@@ -47,7 +47,6 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model, self.limit, self.known, self.older = self.tokenizer.model, limit, {}, {}
 
     def learn(self, words: set[bytes]) -> None:
@@ -75,8 +74,8 @@ class WordIds:
 
     @staticmethod
     def words(text: bytes) -> list[bytes]:
-        # Lower-casing ASCII letters first cannot change ids unless a combining mark (lead bytes CC and CD) follows one.
-        if b"\xcc" not in text and b"\xcd" not in text:
+        # Lower-casing ASCII letters first cannot change ids unless a combining mark (lead bytes CC and CD) follows one or they make a special token.
+        if b"\xcc" not in text and b"\xcd" not in text and b"<|" not in text:
             text = text.lower()
         # In a text of letters, digits and single full stops and commas, these are tokens of their own.
         if not text.translate(None, _PLAIN) and not any(x in text for x in (b"..", b",.", b".,", b",,", *_SIGNS)):
@@ -142,35 +141,44 @@ class Plan:
     sequences: int = 0
 
 
-def configurations(sizes: list[int], counts: list[int], capacity: int, rounds: int = 400) -> list[tuple[list[int], float]]:
-    """Fractional cutting-stock optimum over ``sizes`` by column generation: ``(copies of each size, times used)``."""
-    m = len(sizes)
-    columns = [[capacity // s if i == j else 0 for j in range(m)] for i, s in enumerate(sizes)]
-    basis, demand = np.array(columns, float).T, np.array(counts, float)
+def patterns(sizes: np.ndarray, capacity: int, most: int) -> np.ndarray:
+    """All ways to put up to ``most`` of ``sizes`` into a sequence: copies of each size, a row per way."""
+    s = np.append(sizes, 0)  # the last stands for none
+    chosen = np.arange(len(s))[:, None]
+    for _ in range(most - 1):
+        more = np.tile(np.arange(len(s)), len(chosen))[:, None]
+        chosen = np.hstack((np.repeat(chosen, len(s), 0), more))
+        chosen = chosen[(chosen[:, -1] >= chosen[:, -2]) & (s[chosen].sum(1) <= capacity)]
+    out = np.zeros((len(chosen), len(s)), np.int64)
+    for k in range(chosen.shape[1]):
+        np.add.at(out, (np.arange(len(chosen)), chosen[:, k]), 1)
+    return out[s[chosen].sum(1) > 0, :-1]
+
+
+def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, most: int, rounds: int = 2000) -> tuple[np.ndarray, np.ndarray]:
+    """Fractional cutting-stock optimum over ``sizes`` by the revised simplex method: configurations and how often each is used."""
+    every = patterns(sizes, capacity, most)
+    chosen = np.diag(np.minimum(capacity // sizes, most))
     for _ in range(rounds):
-        price = np.linalg.solve(basis.T, np.ones(m))
-        best, chosen = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-        for room in range(1, capacity + 1):
-            best[room], chosen[room] = best[room - 1], -1
-            for j, s in enumerate(sizes):
-                if s <= room and best[room - s] + price[j] > best[room] + 1e-12:
-                    best[room], chosen[room] = best[room - s] + price[j], j
-        if best[capacity] <= 1 + 1e-7:
+        basis = chosen.T.astype(float)
+        worth = every @ np.linalg.solve(basis.T, np.ones(len(sizes)))
+        best = int(worth.argmax())
+        if worth[best] <= 1 + 1e-9:
             break
-        column, room = [0] * m, capacity
-        while room > 0:
-            if chosen[room] < 0:
-                room -= 1
-            else:
-                column[chosen[room]] += 1
-                room -= sizes[chosen[room]]
-        now, move = np.linalg.solve(basis, demand), np.linalg.solve(basis, np.array(column, float))
-        ratio = np.where(move > 1e-9, now / np.where(move > 1e-9, move, 1), np.inf)
-        out = int(np.argmin(ratio))
-        columns[out] = column
-        basis[:, out] = column
-    used = np.maximum(np.linalg.solve(basis, demand), 0)
-    return [(c, float(x)) for c, x in zip(columns, used, strict=True)]
+        now, move = np.linalg.solve(basis, demand.astype(float)), np.linalg.solve(basis, every[best].astype(float))
+        chosen[int(np.where(move > 1e-9, np.maximum(now, 0) / np.where(move > 1e-9, move, 1), np.inf).argmin())] = every[best]
+    return chosen, np.maximum(np.linalg.solve(chosen.T.astype(float), demand.astype(float)), 0)
+
+
+def whole_times(chosen: np.ndarray, used: np.ndarray, demand: np.ndarray) -> np.ndarray:
+    """Whole numbers of uses: rounded down, then one more by largest remainder where the demand still has all of a configuration."""
+    times = np.floor(used + 1e-9).astype(np.int64)
+    rest = demand - times @ chosen
+    for j in np.argsort(times - used, kind="stable"):
+        if used[j] - times[j] > 1e-9 and (chosen[j] <= rest).all():
+            times[j] += 1
+            rest = rest - chosen[j]
+    return times
 
 
 class _Room:
@@ -178,7 +186,6 @@ class _Room:
 
     def __init__(self, plan: Plan, capacity: int, taken: dict[int, int]):
         self.plan, self.capacity, self.taken, self.open = plan, capacity, taken, defaultdict(list)
-        self.fullest: list[int] = []
 
     def place(self, length: int, sequence: int, n: int, room: int) -> None:
         self.plan.runs.append((length, self.taken[length], n, sequence, self.capacity - room))
@@ -221,52 +228,46 @@ class _Room:
                 return
 
 
-def plan_packing(counts: dict[int, int], capacity: int, groups: int = 24, small: int | None = None, grouped: bool = True) -> Plan:
-    """Pack ``counts`` pieces of each length into sequences of ``capacity``."""
+def plan_packing(counts: dict[int, int], capacity: int, groups: int = 128, most: int = 2) -> Plan:
+    """Pack ``counts`` pieces of each length into sequences of ``capacity``.
+
+    Lengths of which at most ``most`` fit into a sequence are large; they form
+    ``groups`` of equal cardinality (fewer where a group would have under eight
+    pieces). The others go best-fit, the longest first, into what the large ones
+    leave.
+    """
     plan, taken = Plan(), defaultdict(int)
     rooms = _Room(plan, capacity, taken)
-    small = capacity // 6 if small is None else small
     left = {length: n for length, n in counts.items() if n}
-    large = sorted((x for x in left if small < x < capacity), reverse=True)
-    if grouped and len(large) > 1:
-        total = sum(left[x] for x in large)
-        each, filled, members = -(-total // min(groups, len(large))), 0, []
-        for x in large:  # the longest first; a length that spans two groups is split
-            n = left[x]
-            while n:
-                if filled % each == 0:
-                    members.append([])
-                some = min(n, each - filled % each)
-                members[-1].append([x, some])
-                filled, n = filled + some, n - some
-        sizes = [g[0][0] for g in members]
-        merged: dict[int, list] = {}
-        for s, g in zip(sizes, members, strict=True):
-            merged.setdefault(s, []).extend(g)
-        sizes, members = list(merged), list(merged.values())
-        for copies, times in configurations(sizes, [sum(n for _, n in g) for g in members], capacity):
-            n = int(times + 1e-9)
-            if not n:
-                continue
-            ranges = [(plan.sequences, n, capacity)]
-            plan.sequences += n
-            for j, c in enumerate(copies):
-                for _ in range(c):
-                    after, group = [], members[j]
-                    for sequence, have, room in ranges:
-                        while have and group:
-                            length, there = group[0]
-                            some = min(have, there)
-                            rooms.place(length, sequence, some, room)
-                            left[length] -= some
-                            group[0][1] -= some
-                            if not group[0][1]:
-                                group.pop(0)
-                            after.append((sequence, some, room - length))
-                            sequence, have = sequence + some, have - some
-                        if have:
-                            after.append((sequence, have, room))
-                    ranges = after
+    large = np.array(sorted((x for x in left if capacity < x * (most + 1) and x < capacity), reverse=True), np.int64)
+    if len(large):
+        ends = np.cumsum([left[x] for x in large])
+        starts, total = np.append(0, ends[:-1]), int(ends[-1])
+        cuts = np.arange(0, total, -(-total // min(groups, max(1, total // 8))))
+        sizes, first = np.unique(-large[np.searchsorted(ends, cuts, "right")], return_index=True)
+        sizes, cuts = -sizes, np.append(cuts[first], total)  # groups of one length are one
+        members = [[[int(x), int(min(e, b) - max(s, a))] for x, s, e in zip(large, starts, ends, strict=True) if min(e, b) > max(s, a)] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        demand = np.diff(cuts)
+        chosen, used = configurations(sizes, demand, capacity, most)
+        for copies, times in zip(chosen, whole_times(chosen, used, demand).tolist(), strict=True):
+            ranges = [(plan.sequences, times, capacity)] if times else []
+            plan.sequences += times
+            for group in (members[g] for g in np.repeat(np.arange(len(sizes)), copies)):
+                after = []
+                for sequence, have, room in ranges:
+                    while have and group:  # actual lengths take the rounded one's places
+                        length, there = group[0]
+                        some = min(have, there)
+                        rooms.place(length, sequence, some, room)
+                        left[length] -= some
+                        group[0][1] -= some
+                        if not group[0][1]:
+                            group.pop(0)
+                        after.append((sequence, some, room - length))
+                        sequence, have = sequence + some, have - some
+                    if have:
+                        after.append((sequence, have, room))
+                ranges = after
             for sequence, have, room in ranges:
                 rooms.add(room, sequence, have)
     for length in sorted(left, reverse=True):
@@ -278,16 +279,16 @@ def plan_packing(counts: dict[int, int], capacity: int, groups: int = 24, small:
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str = "", capacity: int = 2048, end_id: int = 0, rows_per_range: int = 4000) -> DataFrame:
     """One row per piece: ``<id_col>, piece, start, length, ids_crc32, sequence_id, offset``.
 
+    Ids are those of the tokenizer with its defaults and without added special
+    tokens; a special token's name in a text is that token.
     Every row of the input is a document, repeated ids included; null and empty
     texts are documents of one token. Pieces of equal length may take each
     other's places, so ties are settled by id, piece and checksum. An empty
-    table gives an empty result. The grouped plan is used unless plain best-fit
-    of the same histogram needs fewer sequences.
+    table gives an empty result.
     """
     pieces = stage(token_pieces(df, id_col, text_col, tokenizer_path, capacity, end_id), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
-    total = sum(counts.values())
-    plan = min((plan_packing(counts, capacity, grouped=g) for g in (True, False)), key=lambda p: p.sequences)
+    plan = plan_packing(counts, capacity)
     runs = np.array(sorted(plan.runs), np.int64).reshape(-1, 5)
     first_of = np.searchsorted(runs[:, 0], np.arange(capacity + 2))
 
@@ -302,8 +303,9 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenize
             seat_of = runs[at, 3] + rank - runs[at, 1] if len(at) else at
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_id", "piece", "start", "length", "ids_crc32")), pa.array(seat_of), pa.array(runs[at, 4] if len(at) else at)], ["_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    ranges = max(1, -(-total // rows_per_range))
-    keyed = pieces.withColumn("range", F.pmod(F.xxhash64("_id", "piece", "ids_crc32"), F.lit(ranges)))
+    of_length = df.sparkSession.createDataFrame([(length, -(-n // rows_per_range)) for length, n in counts.items()], "length long, ranges long")
+    keyed = pieces.join(F.broadcast(of_length), "length")  # at most `capacity` rows
+    keyed = keyed.withColumn("range", F.pmod(F.xxhash64("_id", "piece", "ids_crc32"), F.col("ranges"))).drop("ranges")
     before = Window.partitionBy("length").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     totals = keyed.groupBy("length", "range").agg(F.count("*").alias("n")).select("length", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     inner = Window.partitionBy("length", "range").orderBy("_id", "piece", "ids_crc32")
