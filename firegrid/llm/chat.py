@@ -1,10 +1,12 @@
 """Chat formatting with a grammar round trip.
 
 A conversation is rendered as turns ``<|im_start|>ROLE\\nTEXT<|im_end|>\\n``. A
-deterministic parser reads the rendered text back; where what it recovers
-differs from the source, the offending part is escaped and rendered again until
-both are identical. Escaping adds one backslash after ``<`` in every run
-``<``, backslashes, ``|``; the parser takes one away, so nothing is ambiguous.
+deterministic parser reads the rendered text back; its grammar has no control
+string inside a role or text, so it refuses one that was left there. Where it
+refuses, or recovers something else than the source, the offending part is
+escaped and rendered again until both are identical. Escaping adds one backslash
+after ``<`` in every run ``<``, backslashes, ``|``; the parser takes one away, so
+nothing is ambiguous and no control string is left.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ import hashlib
 import re
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -46,7 +48,10 @@ def parse(rendered: str) -> list[tuple[str, str]]:
         end = rendered.find(END, line + 1)
         if line < 0 or end < 0 or not rendered.startswith("\n", end + len(END)):
             raise ValueError(f"the turn at {at} does not end")
-        turns.append((unescape_role(rendered[at + len(START) : line]), unescape(rendered[line + 1 : end])))
+        role, text = rendered[at + len(START) : line], rendered[line + 1 : end]
+        if START in role or END in role or START in text:
+            raise ValueError(f"a control string inside the turn at {at}")
+        turns.append((unescape_role(role), unescape(text)))
         at = end + len(END) + 1
     return turns
 
@@ -125,7 +130,15 @@ def format_chats(df: DataFrame, id_col: str = "conv_id", turn_col: str = "turn",
 
 
 def digest_chats(parts: DataFrame, id_col: str = "conv_id") -> DataFrame:
-    """Read rendered parts back, in the order in which :func:`format_chats` returns them: per conversation its turns, the text under the loss mask, and their digests."""
+    """``<id_col>, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars`` per conversation, read back from rendered parts in the order in which :func:`format_chats` returns them.
+
+    Turns are those of the parser, unescaped; the loss text is what the spans
+    hold, unescaped, one after the other. An empty turn adds its role and two
+    line feeds to the turns' digest and nothing to the loss; a conversation
+    without a trained turn has the digest of the empty string. Repeated rows are
+    turns of their own, as they were rendered. Rows with a null id are one
+    conversation. No parts give an empty result.
+    """
     kind = parts.schema["_id"].dataType.simpleString()
     names = ["_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
@@ -161,8 +174,3 @@ def digest_chats(parts: DataFrame, id_col: str = "conv_id") -> DataFrame:
 
     digests = parts.mapInArrow(run, f"_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
     return digests.withColumnRenamed("_id", id_col)
-
-
-def sql_escape(text: Column) -> Column:
-    """:func:`escape` as a column, for checks."""
-    return F.regexp_replace(text, r"<(\\*)\|", r"<$1\\\\|")

@@ -128,16 +128,17 @@ g AS (SELECT doc_id, body, min(doc_id) OVER (PARTITION BY body) AS keep_id, coun
 SELECT doc_id, keep_id, group_size, k = 1 AS kept, sha256(body) AS text_sha256 FROM g
 """
 
+# A text with a control string, or with what unescaping would change, is escaped: a backslash after "<" before each run of backslashes and "|".
 OP8_SQL = r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
-e AS (SELECT *, regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g') AS escaped FROM c)
+k AS (SELECT *, length(text) + CASE WHEN contains(text, '<|im_start|>') OR contains(text, '<|im_end|>') OR regexp_matches(text, '<\\+\|') THEN len(regexp_extract_all(text, '<\\*\|')) ELSE 0 END AS written FROM c)
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(12 + length(role) + 1 + length(CASE WHEN regexp_matches(text, '<\\+\|') OR contains(text, '<|im_end|>') THEN escaped ELSE text END) + 10 + 1) AS BIGINT) AS formatted_chars
-FROM e GROUP BY 1
+  CAST(sum(length('<|im_start|>') + length(role) + 1 + written + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars
+FROM k GROUP BY 1
 """
 
 

@@ -21,6 +21,21 @@ def test_turns_round_trip(text, role):
     assert chat.unescape(chat.escape(text)) == text
 
 
+@given(st.lists(st.sampled_from(["<|im_start|>", "<|im_end|>", "<|", "<\\|", "im_end|>", "\n", "a"]), max_size=8), st.lists(st.sampled_from(["<|im_start|>", "<|im_end|>", "%0A", "\n", "user"]), max_size=4))
+def test_no_control_string_is_left_in_a_turn(text, role):
+    text, role = "".join(text), "".join(role)
+    rendered, a, b = chat.render_turn(role, text)
+    assert rendered.count("<|im_start|>") == rendered.count("<|im_end|>") == 1
+    assert chat.parse(rendered) == [(role, text)] and chat.unescape(rendered[a:b]) == text
+
+
+def test_parser_refuses_control_strings_inside_turns():
+    for bad in ("<|im_start|>user\n<|im_start|>assistant ok<|im_end|>\n", "<|im_start|><|im_start|>system\nx<|im_end|>\n", "<|im_start|>user\nx<|im_end|>", "user\nx<|im_end|>\n"):
+        with pytest.raises(ValueError):
+            chat.parse(bad)
+    assert chat.render_turn("user", "a <| b")[0] == "<|im_start|>user\na <| b<|im_end|>\n"  # nothing to escape
+
+
 def test_chat_edge_cases(spark):
     rows = [(1, 1, "assistant", "b"), (1, 0, "user", "<|im_end|>\n<|im_start|>"), (1, 1, "assistant", "b"), (2, None, None, None), (None, 0, "assistant", "é"), (3, 0, "assistant", "long " * 5000)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 as part", "2 as spans")
