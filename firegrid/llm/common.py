@@ -6,6 +6,7 @@ columns (so further columns of any name are harmless) and return new columns.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -28,11 +29,12 @@ SPACES, WORD = "[ \\t-\\r]+", "[^ \\t-\\r]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only if none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """This application's folder in the one that driver and executors share; when the application has ended, it can go as a whole. Where none is named, local mode takes a temporary folder and a cluster raises ValueError."""
+    named, app = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.applicationId
     if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
+        return f"{named.rstrip('/')}/firegrid-{app}"
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="firegrid-")
     return _OWN[app]

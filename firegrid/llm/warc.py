@@ -3,7 +3,7 @@
 Spark's own text writer lays down archive files on any store it can write: each
 row is a record, or the gzip member that holds it. The reader takes plain
 archives, gzip members and files of both. When a check fails (version line,
-length, blank line, payload digest, gzip checksum) it looks for whichever comes
+length, blank line, digests, gzip checksum) it looks for whichever comes
 first, a record that is sound or a member that holds one, goes on there, and
 reports the bytes between as a quarantined gap.
 """
@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import stage
+
 END = b"\r\n\r\n"
 _LINE = "\r\n"
 _VERSION = re.compile(rb"WARC/\d\.\d\r\n")
@@ -43,9 +45,12 @@ def page_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """
     rows = pages.select(F.col(id_col).cast("string").alias("_id"), F.col(id_col).alias("_key"), F.col(url_col).alias("_url"), F.coalesce(F.col(html_col), F.lit("")).alias("_html"))
     rows = rows.withColumn("_bytes", F.octet_length("_html")).withColumn("_sha", F.sha1(F.encode("_html", "UTF-8")))
-    copies = rows.where(F.col("_bytes") >= min_bytes).groupBy(F.col("_sha").alias("_of")).agg(F.max("_key").alias("_first"), F.count("*").alias("_n")).where("_n > 1 and _first is not null").drop("_n")
-    rows = rows.join(copies, (F.col("_sha") == F.col("_of")) & (F.col("_bytes") >= min_bytes), "left")
-    revisit = F.col("_first").isNotNull() & ~F.col("_key").eqNullSafe(F.col("_first"))
+    # Ids and digests of large payloads decide; pages then meet their own revisit by id, so no payload, however common, gathers in one task.
+    marks = stage(rows.where(F.col("_bytes") >= min_bytes).select("_key", "_sha"), "payloads")
+    copies = marks.groupBy("_sha").agg(F.max("_key").alias("_first"), F.count("*").alias("_n")).where("_n > 1 and _first is not null").drop("_n")
+    revisits = marks.join(copies, "_sha").where(~F.col("_key").eqNullSafe(F.col("_first"))).select(F.col("_key").alias("_again"), F.col("_sha").alias("_of"), "_first").distinct()
+    rows = rows.join(revisits, F.col("_key").eqNullSafe(F.col("_again")) & (F.col("_sha") == F.col("_of")) & (F.col("_bytes") >= min_bytes), "left")
+    revisit = F.col("_first").isNotNull()
     name = F.concat(F.lit(f"<{_ID}"), F.coalesce("_id", F.lit("")), F.lit(">"))
     url = F.coalesce(F.regexp_replace("_url", r"[\x00-\x20\x7f]", "%20"), F.concat(F.lit(_ID), F.coalesce("_id", F.lit(""))))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{_LINE}Content-Type: text/html; charset=utf-8{_LINE}Content-Length: "), F.col("_bytes").cast("string"), F.lit(_LINE * 2))
@@ -71,23 +76,31 @@ def member(record: bytes) -> bytes:
     return (out if out[-1] == 0 else out + gzip.compress(b"", mtime=0))[:-1]
 
 
-def write_warc(records: DataFrame, path: str, per_file: int = 2_000, compression: str = "gzip") -> None:
-    """Write records to archive files of at most ``per_file`` records, so that each file fits a task's memory when it is read.
+def write_warc(records: DataFrame, path: str, per_file: int = 2_000, file_bytes: int = 256 << 20, compression: str = "gzip") -> None:
+    """Write the column ``record`` to archive files that fit a task's memory when they are read: at most ``per_file`` records and, but for one record that is longer, ``file_bytes`` bytes.
 
     With ``gzip`` each record is a member of its own, so damage costs one record;
     the writer's separator is the zero byte at the members' ends. Any other
-    ``compression`` is the text writer's, over a file's plain records.
+    ``compression`` is the text writer's, over a file's plain records. A null
+    record is left out, repeated records are written each; without records there
+    is no file with any content.
     """
     separator = END.decode()
+    records = records.select("record").where("record is not null")
     if compression == "gzip":
 
         def pack(batches):
             for batch in batches:
                 yield pa.RecordBatch.from_arrays([pa.array([member(r.as_buffer().to_pybytes()) for r in batch.column("record")], pa.binary())], ["record"])
 
-        records = records.select("record").mapInArrow(pack, "record binary").select(F.col("record").cast("string"))
+        records = records.mapInArrow(pack, "record binary").select(F.col("record").cast("string"))
         separator, compression = "\0", "none"
-    records.write.option("lineSep", separator).option("compression", compression).option("maxRecordsPerFile", per_file).text(path)
+    records = stage(records.withColumn("bytes", F.octet_length("record")), "records")
+    usual = file_bytes // per_file
+    longest = records.where(F.col("bytes") > usual).agg(F.max("bytes")).first()[0]
+    parts = [(F.col("bytes") <= usual, per_file)] + ([(F.col("bytes") > usual, max(1, file_bytes // longest))] if longest else [])
+    for which, most in parts:
+        records.where(which).select("record").write.mode("append").option("lineSep", separator).option("compression", compression).option("maxRecordsPerFile", most).text(path)
 
 
 # --- reading ----------------------------------------------------------------
@@ -139,6 +152,9 @@ def read_record(data: bytes, at: int) -> tuple[dict, int]:
         if cut < 0:
             raise Bad("http header")
         http, payload = _headers(block[:cut]), block[cut + 4 :]
+    whole, known = _digest(head.get("warc-block-digest", ""))
+    if known and hashlib.sha1(block).hexdigest() != whole:
+        raise Bad("block digest")
     digest, known = _digest(head.get("warc-payload-digest", ""))
     if kind != "revisit" and known and hashlib.sha1(payload).hexdigest() != digest:
         raise Bad("payload digest")

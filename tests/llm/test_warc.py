@@ -139,3 +139,37 @@ def test_member_of_a_large_record_ends_with_zero():
         body = record(1, b"z" * size)[:-4]
         packed = warc.member(body) + b"\0"
         assert gzip.decompress(packed) == body + warc.END and split(warc.salvage(packed)) == (["urn:x-page:1"], [])
+
+
+def test_files_are_bounded_by_bytes(spark, tmp_path):
+    rows = [(k, "u", "x" * (200_000 if k % 10 == 0 else 500)) for k in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    warc.write_warc(warc.page_records(pages, min_bytes=10**6), str(tmp_path / "w"), per_file=20, file_bytes=500_000, compression="none")
+    sizes = [f.stat().st_size for f in (tmp_path / "w").glob("part-*")]
+    assert max(sizes) <= 500_000 and sum(sizes) > 6 * 200_000
+    assert warc.read_warc(spark, str(tmp_path / "w")).where("kind = 'record'").select("record_id").distinct().count() == 60
+
+
+def test_block_digest():
+    good = record(1, b"payload")
+    block = good[good.index(b"HTTP/") : -4]
+    line = b"WARC-Block-Digest: sha1:" + hashlib.sha1(block).hexdigest().encode() + b"\r\nContent-Type: application/http"
+    marked = good.replace(b"Content-Type: application/http", line)
+    assert split(warc.salvage(marked)) == (["urn:x-page:1"], [])
+    assert split(warc.salvage(marked.replace(b"200 OK", b"200 Ok")))[1][0][2] == "block digest"
+
+
+def test_damage_anywhere_in_a_written_archive_costs_what_it_hits(spark, tmp_path):
+    rows = [(k, f"http://a/{k}", f"page {k} " * 90) for k in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    warc.write_warc(warc.page_records(pages), str(tmp_path / "w"))
+    (file,) = (tmp_path / "w").glob("part-*")
+    rng = random.Random(1)
+    data = bytearray(file.read_bytes())
+    for at in rng.sample(range(len(data)), 5):
+        data[at] ^= 1 << rng.randrange(8)
+    file.with_name(f".{file.name}.crc").unlink()
+    file.write_bytes(data)
+    found = warc.read_warc(spark, str(tmp_path / "w"))
+    assert found.where("kind = 'record'").select("record_id").distinct().count() >= 295
+    assert found.where("kind = 'gap'").count() <= 5
