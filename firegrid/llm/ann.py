@@ -60,19 +60,21 @@ def train(x: np.ndarray, eta: float, rounds: int = 12, seed: int = 3) -> np.ndar
     rng = np.random.default_rng(seed)
     n, m, _ = x.shape
     books = np.stack([x[rng.choice(n, CENTRES, replace=n < CENTRES), k] + rng.normal(0, 1e-4, (CENTRES, 2)) for k in range(m)])
+    flat, place = x.reshape(-1, 2), CENTRES * np.arange(m)
+    size = (x**2).sum((1, 2))
     for r in range(rounds):
         weight = 1.0 if r < rounds // 2 else eta  # plain k-means first
         code = encode(x, books, weight, passes=0 if weight == 1.0 else 2)
-        each = np.take_along_axis(np.einsum("nmd,mkd->nmk", x, books), code[:, :, None], 2)[:, :, 0]
-        rest = (x**2).sum((1, 2)) - each.sum(1)
-        for k in range(m):
-            p = (rest + each[:, k])[:, None]
-            for j in range(CENTRES):
-                some = code[:, k] == j
-                if some.any():
-                    v = x[some, k]
-                    a = some.sum() * np.eye(2) + (weight - 1) * v.T @ v
-                    books[k, j] = np.linalg.solve(a, (v * (1 + (weight - 1) * p[some])).sum(0))
+        each = (np.take_along_axis(books[None], code[:, :, None, None], 2)[:, :, 0] * x).sum(2)
+        pull = (1 + (weight - 1) * ((size - each.sum(1))[:, None] + each)).ravel()
+        # each centre solves its own normal equations: sums over the vectors of that code
+        of = (code + place).ravel()
+        total = lambda w: np.bincount(of, w, CENTRES * m)  # noqa: E731, B023
+        n, xx, xy, yy = np.bincount(of, minlength=CENTRES * m), total(flat[:, 0] ** 2), total(flat[:, 0] * flat[:, 1]), total(flat[:, 1] ** 2)
+        left = np.stack([n + (weight - 1) * xx, (weight - 1) * xy, (weight - 1) * xy, n + (weight - 1) * yy], 1).reshape(-1, 2, 2)
+        right = np.stack([total(flat[:, 0] * pull), total(flat[:, 1] * pull)], 1)
+        used = n > 0
+        books.reshape(-1, 2)[used] = np.linalg.solve(left[used], right[used][:, :, None])[:, :, 0]
     return books
 
 
@@ -159,12 +161,15 @@ def search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
 
     Vectors that are null, zero or hold null or non-finite components take no
     part, nor do those whose length isn't the most common one, nor rows without
-    an id. Rows that repeat an id are candidates each; none is a candidate for a
-    query of that id. Ties go to the smaller id; with fewer candidates than ``k``
-    all are returned; an empty table gives an empty result.
+    an id. Rows that repeat an id and its vector count once. Rows that repeat an
+    id with other vectors are candidates each and queries each, but never
+    candidates for a query of their own id. Ties go to the smaller id; with fewer
+    candidates than ``k`` all are returned; an empty table gives an empty result.
 
     Equal vectors are indexed once, with the ``k + 1`` smallest of their ids: no
-    query can have another among its ``k`` nearest. Codebooks are fitted on at
+    query can have another among its ``k`` nearest. As a query's own id may hold
+    several of the nearest vectors, so many more are kept of each query as any id
+    has vectors. Codebooks are fitted on at
     most ``train_rows`` distinct vectors (those of the smallest id hashes); every
     distinct vector is encoded and scanned by every query, block against block.
     In a block the ``rerank`` best by approximate score are scored exactly, in
@@ -181,20 +186,23 @@ def search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
     rows = rows.where(F.size("v") == common["d"])
     eta = eta_for(threshold, common["d"])
 
+    # A row per distinct vector: a number of its own, the smallest ids that have it, and the first of those.
     by_vector = Window.partitionBy("v").orderBy("id")
-    members = stage(rows.withColumn("nth", F.row_number().over(by_vector)).where(F.col("nth") <= k + 1).withColumn("rep", F.first("id").over(by_vector)), "members")
-    reps = members.where("nth = 1").select("rep", "v")
-    queries = stage(rows.where(F.col("id") % every == 0).join(reps, "v").select(F.col("id").alias("query_id"), "rep"), "queries")
+    members = rows.withColumn("nth", F.dense_rank().over(by_vector)).where(F.col("nth") <= k + 1).groupBy("v").agg(F.array_sort(F.collect_set("id")).alias("ids"))
+    members = stage(members.select(F.monotonically_increasing_id().alias("rep"), F.col("ids")[0].alias("lead"), "ids", "v"), "members")
+    reps = members.select("rep", "lead", "v")
+    queries = stage(rows.where(F.col("id") % every == 0).join(reps.select("rep", "v"), "v").select(F.col("id").alias("query_id"), "rep").distinct(), "queries")
     asked = reps.join(queries.select("rep").distinct(), "rep", "left_semi")
+    wide = k + (members.select(F.explode("ids").alias("id")).groupBy("id").count().agg(F.max("count")).first()[0] or 1)
 
-    sample = reps.orderBy(F.xxhash64("rep"), "rep").limit(train_rows).select("v").toArrow()["v"].combine_chunks()
+    sample = reps.orderBy(F.xxhash64("lead"), "lead", "v").limit(train_rows).select("v").toArrow()["v"].combine_chunks()
     books = train(pairs_of(_unit(_rows(sample))), eta)
 
     def index(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        ids, v = table.column("rep").to_numpy().astype(np.int64), _rows(table.column("v").combine_chunks())
+        ids, v = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("rep", "lead")]), _rows(table.column("v").combine_chunks())
         packed, slacks = [], []
-        for a in range(0, len(ids), 2048):
+        for a in range(0, len(v), 2048):
             x = pairs_of(_unit(v[a : a + 2048]))
             code = encode(x, books, eta)
             packed.append(pack_codes(code))
@@ -219,24 +227,25 @@ def search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
         for batch in batches:
             for r in range(batch.num_rows):
                 ids, codes, slacks, x, asked, vectors = (batch.column(c)[r].as_py() for c in ("ids", "codes", "slacks", "rows", "asked", "vectors"))
-                ids, who = np.frombuffer(ids, np.int64), np.frombuffer(asked, np.int64)
+                (ids, lead), who = np.frombuffer(ids, np.int64).reshape(2, -1), np.frombuffer(asked, np.int64)
                 packed = np.frombuffer(codes, np.uint8).reshape(len(ids), -1)
                 slacks = tuple(np.frombuffer(slacks).reshape(2, -1))
                 x = _unit(np.frombuffer(x, np.float32 if single else np.float64).reshape(len(ids), -1))
                 vectors = np.frombuffer(vectors).reshape(len(who), -1)
-                top = reached.setdefault(asked, np.full((len(who), k + 1), -2.0))
+                top = reached.setdefault(asked, np.full((len(who), wide), -2.0))
                 for a in range(0, len(who), 32):
                     scores = scan(tables(pairs_of(vectors[a : a + 32]), books), packed)
-                    best = [nearest_in(s, ids, x, vectors[q], slacks, k + 1, rerank, top[q].min()) for q, s in enumerate(scores, a)]
+                    best = [nearest_in(s, lead, x, vectors[q], slacks, wide, rerank, top[q].min()) for q, s in enumerate(scores, a)]
                     for q, (_, exact) in enumerate(best, a):
-                        top[q] = np.sort(np.concatenate((top[q], exact)))[-k - 1 :]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(who[a : a + 32], [len(b) for b, _ in best])), pa.array(ids[np.concatenate([b for b, _ in best])]), pa.array(np.concatenate([e for _, e in best]))], ["q", "rep", "score"])
+                        top[q] = np.sort(np.concatenate((top[q], exact)))[-wide:]
+                    at = np.concatenate([b for b, _ in best])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(who[a : a + 32], [len(b) for b, _ in best])), pa.array(ids[at]), pa.array(lead[at]), pa.array(np.concatenate([e for _, e in best]))], ["q", "rep", "lead", "score"])
 
-    scanned = asking.repartition("asked").crossJoin(coded).mapInArrow(scan_blocks, "q long, rep long, score double")
-    first = Window.partitionBy("q").orderBy(F.desc("score"), "rep")
-    scored = scanned.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= k + 1).select("q", "rep", "score")
+    scanned = asking.repartition("asked").crossJoin(coded).mapInArrow(scan_blocks, "q long, rep long, lead long, score double")
+    first = Window.partitionBy("q").orderBy(F.desc("score"), "lead")
+    scored = scanned.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= wide).select("q", "rep", "score")
     ranked = Window.partitionBy("q").orderBy(F.desc("score"), "id")
-    found = scored.join(members.select("rep", "id"), "rep").withColumn("nth", F.row_number().over(ranked)).where(F.col("nth") <= k + 1)
+    found = scored.join(members.select("rep", F.explode("ids").alias("id")), "rep").withColumn("nth", F.row_number().over(ranked)).where(F.col("nth") <= wide)
     lists = found.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("nth", "id", "score"))).alias("near"))
     mine = queries.join(lists, queries["rep"] == lists["q"]).select("query_id", F.slice(F.expr("filter(near, x -> x.id <> query_id)"), 1, k).alias("near"))
     return mine.select("query_id", F.posexplode("near").alias("p", "x")).select("query_id", (F.col("p") + 1).alias("rank"), F.col("x.id").alias("vec_id"), F.col("x.score").alias("score"))

@@ -120,6 +120,36 @@ def test_exact_in_a_large_group_of_near_copies(spark):
             assert found == np.argsort(-s)[:5].tolist()
 
 
+def test_repeated_ids_and_rows(spark):
+    rows = [(0, [1.0, 0.0])] * 8 + [(1, [1.0, 0.1]), (2, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert [(r["query_id"], r["rank"], r["vec_id"]) for r in ann.search(df).orderBy("rank").collect()] == [(0, 1, 1), (0, 2, 2)]
+    # an id with more vectors near the query than neighbours are asked for; it asks with each of them
+    many = [(50, [1.0, k / 100]) for k in range(20)] + [(k, [1.0, 0.5 + k / 10]) for k in range(1, 9)] + [(3, [1.0, 0.7])]
+    got = ann.search(spark.createDataFrame(many, "vec_id long, embedding array<double>")).toPandas()
+    assert len(got) == 20 * 5 and 50 not in set(got.vec_id) and set(got[got["rank"] == 1].vec_id) == {1}
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1", "check_s"])
+def test_recall_on_given_tables(spark, sf):
+    df = queries.table(spark, f"/root/testdata/{sf}", "embeddings")
+    got = ann.search(df).toPandas().sort_values(["query_id", "rank"])
+    rows = df.select("vec_id", "embedding").toPandas().dropna().sort_values("vec_id")
+    x = np.stack(rows.embedding.to_numpy()).astype(float)
+    ids = rows.vec_id.to_numpy()
+    ok = np.isfinite(x).all(1) & (np.abs(x).max(1) > 0)
+    x, ids = x[ok] / np.linalg.norm(x[ok], axis=1, keepdims=True), ids[ok]
+    hits = total = 0
+    for q in np.flatnonzero(ids % 50 == 0):
+        s = x @ x[q]
+        s[q] = -9
+        best = set(ids[np.lexsort((ids, -np.round(s, 12)))[:5]])
+        found = got[got.query_id == ids[q]]
+        assert len(found) == min(5, len(ids) - 1) and np.allclose(np.sort(s)[::-1][: len(found)], found.score, atol=1e-9)
+        hits, total = hits + len(best & set(found.vec_id)), total + len(best)
+    assert hits / total >= 0.99
+
+
 @given(st.integers(0, 10**6), st.floats(-1, 1))
 def test_reach_never_drops_what_reaches(seed, least):
     rng = np.random.default_rng(seed)
