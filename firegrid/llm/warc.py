@@ -35,7 +35,7 @@ _ID = "urn:x-page:"
 
 
 def page_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 1000, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
-    """One column ``record``: a WARC record per row, without its closing blank line.
+    """A WARC record per row without its closing blank line, ``record``, and ``bytes``, those of its payload before any is left out.
 
     Of rows with equal payloads of at least ``min_bytes`` the one with the largest
     id is the response and the others revisit it; smaller payloads are all
@@ -63,7 +63,7 @@ def page_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
         F.lit(f"{_LINE}WARC-Payload-Digest: sha1:"), F.col("_sha"),
         F.lit(f"{_LINE}Content-Type: application/http; msgtype=response{_LINE}Content-Length: "), length.cast("string"), F.lit(_LINE * 2), block,
     ]
-    return rows.select(F.concat(*fields).alias("record"))
+    return rows.select(F.concat(*fields).alias("record"), F.col("_bytes").alias("bytes"))
 
 
 def member(record: bytes) -> bytes:
@@ -77,7 +77,7 @@ def member(record: bytes) -> bytes:
 
 
 def write_warc(records: DataFrame, path: str, per_file: int = 2_000, file_bytes: int = 256 << 20, compression: str = "gzip") -> None:
-    """Write the column ``record`` to archive files that fit a task's memory when they are read: at most ``per_file`` records and, but for one record that is longer, ``file_bytes`` bytes.
+    """Write ``record, bytes`` to archive files that fit a task's memory when they are read: at most ``per_file`` records and, but for one record that is longer, about ``file_bytes`` bytes. Records of over their share of a file are written apart from the others.
 
     With ``gzip`` each record is a member of its own, so damage costs one record;
     the writer's separator is the zero byte at the members' ends. Any other
@@ -86,21 +86,19 @@ def write_warc(records: DataFrame, path: str, per_file: int = 2_000, file_bytes:
     is no file with any content.
     """
     separator = END.decode()
-    records = records.select("record").where("record is not null")
-    if compression == "gzip":
 
-        def pack(batches):
-            for batch in batches:
-                yield pa.RecordBatch.from_arrays([pa.array([member(r.as_buffer().to_pybytes()) for r in batch.column("record")], pa.binary())], ["record"])
+    def pack(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([member(r.as_buffer().to_pybytes()) for r in batch.column("record")], pa.binary())], ["record"])
 
-        records = records.mapInArrow(pack, "record binary").select(F.col("record").cast("string"))
-        separator, compression = "\0", "none"
-    records = stage(records.withColumn("bytes", F.octet_length("record")), "records")
     usual = file_bytes // per_file
-    longest = records.where(F.col("bytes") > usual).agg(F.max("bytes")).first()[0]
-    parts = [(F.col("bytes") <= usual, per_file)] + ([(F.col("bytes") > usual, max(1, file_bytes // longest))] if longest else [])
+    longest = records.agg(F.max("bytes")).first()[0] or 0
+    parts = [(F.col("bytes") <= usual, per_file)] + ([(F.col("bytes") > usual, max(1, file_bytes // longest))] if longest > usual else [])
     for which, most in parts:
-        records.where(which).select("record").write.mode("append").option("lineSep", separator).option("compression", compression).option("maxRecordsPerFile", most).text(path)
+        some = records.where(which & F.col("record").isNotNull()).select("record")
+        if compression == "gzip":
+            some, separator = some.mapInArrow(pack, "record binary").select(F.col("record").cast("string")), "\0"
+        some.write.mode("append").option("lineSep", separator).option("compression", "none" if compression == "gzip" else compression).option("maxRecordsPerFile", most).text(path)
 
 
 # --- reading ----------------------------------------------------------------
