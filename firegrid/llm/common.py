@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
@@ -48,6 +49,24 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: At most so many keys count as hot, so a table of them may be broadcast.
+MOST_HOT = 10_000
+
+
+def join_counted(rows: DataFrame, table: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with a ``table`` of one row per ``key`` that knows how many rows its key has at most, of ``total`` in all.
+
+    Keys with over a ``MOST_HOT``-th of all rows are hot. There can't be more than
+    ``MOST_HOT``, so they are broadcast and their rows stay where they are; the
+    others are shuffled by key.
+    """
+    names = [c for c in table.columns if c not in (key, count)]
+    hot = table.where(F.col(count) > max(total // MOST_HOT, 1000)).select(key, F.struct(*names).alias("_hot"))
+    marked = rows.join(F.broadcast(hot), key, "left")
+    usual = marked.where("_hot is null").drop("_hot").join(table.select(key, *names), key)
+    return usual.unionByName(marked.where("_hot is not null").select(*(c if c in rows.columns else F.col(f"_hot.{c}").alias(c) for c in usual.columns)))
+
+
 def text_steps(column: pa.Array, limit: int = STEP_BYTES):
     """Yield ``(i, j, data, offsets)`` for rows ``i:j`` of a string column, about ``limit`` bytes at a time (one longer text makes its own step). Nulls count as empty."""
     column = pc.fill_null(column, "").cast(pa.large_string())

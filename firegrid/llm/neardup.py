@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix64, stage, text_steps, word_hashes, words_of
+from .common import join_counted, mix64, stage, text_steps, word_hashes, words_of
 
 SHINGLE, BANDS, ROWS = 5, 32, 4
 HASHES = BANDS * ROWS
@@ -81,7 +81,7 @@ def signatures(hashes: np.ndarray, begin: np.ndarray) -> np.ndarray:
 
 
 def _sketch(batches):
-    names = ["_id", "n", "fp1", "fp2", "sig", "bands"]
+    names = ["_id", "n", "size", "fp1", "fp2", "sig", "bands"]
     band_no = np.arange(BANDS, dtype=np.int64) << 32
     for batch in batches:
         for i, j, data, offsets in text_steps(batch.column("_text")):
@@ -104,7 +104,7 @@ def _sketch(batches):
             raw = sig.tobytes()
             sigs = pa.array([None if k < 0 else raw[k * HASHES : (k + 1) * HASHES] for k in of.tolist()], pa.binary())
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(number > 0))) * BANDS, pa.int32()), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("_id").slice(i, j - i), pa.array(number), pa.array(prints[0].view(np.int64)), pa.array(prints[1].view(np.int64)), sigs, lists], names)
+            yield pa.RecordBatch.from_arrays([batch.column("_id").slice(i, j - i), pa.array(number), pa.array(np.diff(offsets)), pa.array(prints[0].view(np.int64)), pa.array(prints[1].view(np.int64)), sigs, lists], names)
 
 
 # --- the Bayesian test ------------------------------------------------------
@@ -193,13 +193,14 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     edges = stage(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     state = None
     for _ in range(rounds):
+        ends = 2 * (state[0] if state else edges.count())
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("d"))
+        large = join_counted(both.where("v > u"), least, "u", "d", ends).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d"))
+        small = join_counted(large, least, "u", "d", ends).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         edges = stage(small, "edges")  # neither star makes more edges than it gets
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state:
             break
         state = now
@@ -219,10 +220,11 @@ def _crossing(pairs: DataFrame, labels: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.join(of(a), a).join(of(b), b).where(F.col(f"comp_{a}") != F.col(f"comp_{b}"))
 
 
-def _complete(members: DataFrame, labels: DataFrame, reps: DataFrame, texts: DataFrame, least: list[int], percent: int, block: int) -> DataFrame:
+def _complete(members: DataFrame, labels: DataFrame, reps: DataFrame, texts: DataFrame, least: list[int], percent: int, block: int, block_bytes: int) -> DataFrame:
     """``a, b``: links between different components within buckets of three or more, enough of them to join what belongs together.
 
-    Large buckets go block against block, each block with its members' texts.
+    Large buckets go block against block, each block with its members' texts:
+    about ``block`` members or ``block_bytes`` of text, whichever is less.
     Pairs that lie in different components, also after the links found so far,
     take the signature tests; survivors are verified exactly, all of a member's
     at once, on shingles numbered within the blocks. Only links leave the task.
@@ -268,8 +270,8 @@ def _complete(members: DataFrame, labels: DataFrame, reps: DataFrame, texts: Dat
         of = table.schema.field("rep").type
         return pa.table({"a": pa.array(found[0], of), "b": pa.array(found[1], of)})
 
-    mixed = members.join(labels, "rep").groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo <> hi and m > 2").select("key", F.ceil(F.col("m") / block).alias("nb"))
-    rows = members.join(mixed, "key").join(labels, "rep").join(reps.select("rep", "sig"), "rep").join(texts, "rep").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("nb")))
+    mixed = members.join(labels, "rep").groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), F.sum("size").alias("size")).where("lo <> hi and m > 2").select("key", "m", F.ceil(F.greatest(F.col("m") / block, F.col("size") / block_bytes)).alias("nb"))
+    rows = join_counted(members.drop("size"), stage(mixed, "mixed"), "key", "m", members.count()).join(labels, "rep").join(reps.select("rep", "sig"), "rep").join(texts, "rep").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("nb")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1))
     rows = rows.withColumn("other", other).withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")).withColumn("side", (F.col("mine") == F.col("j")).cast("int"))
     rows = rows.withColumn("side", F.when(F.col("i") == F.col("j"), 0).otherwise(F.col("side"))).select("key", "i", "j", "side", "rep", "comp", "sig", "text")
@@ -280,7 +282,7 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, miss: float = 1e-6, block: int = 1024) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, miss: float = 1e-6, block: int = 4096, block_bytes: int = 8 << 20) -> DataFrame:
     """One row per input row: ``<id_col>, n_shingles, component_id, kept``.
 
     ``n_shingles`` is the size of the row's set of distinct five-word shingles
@@ -297,14 +299,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     docs = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     kind = docs.schema["_id"].dataType.simpleString()
-    marks = stage(docs.mapInArrow(_sketch, f"_id {kind}, n long, fp1 long, fp2 long, sig binary, bands array<long>"), "sketches")
+    marks = stage(docs.mapInArrow(_sketch, f"_id {kind}, n long, size long, fp1 long, fp2 long, sig binary, bands array<long>"), "sketches")
     real = marks.where("n > 0 and _id is not null")
-    reps = stage(real.groupBy("n", "fp1", "fp2").agg(F.min("_id").alias("rep"), F.min("sig").alias("sig"), F.min("bands").alias("bands")), "reps")
+    reps = stage(real.groupBy("n", "fp1", "fp2").agg(F.min("_id").alias("rep"), F.max("size").alias("size"), F.min("sig").alias("sig"), F.min("bands").alias("bands")), "reps")
 
-    members = reps.select(F.explode("bands").alias("key"), "rep")
+    members = reps.select(F.explode("bands").alias("key"), "rep", "size")
     order = F.xxhash64("rep", F.shiftright("key", 32) % ORDERS)
     leaders = members.groupBy("key").agg(F.min(F.struct(order.alias("h"), F.col("rep").alias("lead"))).alias("lead"), F.count("*").alias("m")).where("m > 1")
-    members = stage(members.join(leaders.select("key", "lead.lead"), "key"), "members")
+    leaders = stage(leaders.select("key", "lead.lead", "m"), "buckets")
+    members = stage(join_counted(members, leaders, "key", "m", BANDS * reps.count()), "members")
     star = members.where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct()
     candidates = stage(prune_pairs(star, reps, percent / 100, miss).withColumnsRenamed({"a": "x", "b": "y"}), "candidates")
 
@@ -326,7 +329,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         tested = found if tested is None else stage(tested.unionByName(found), "tested")
 
     # Then pairs of which neither is a leader.
-    more = _complete(members.select("key", "rep"), labels, reps, texts, least_matches(percent / 100, miss), percent, block)
+    more = _complete(members.select("key", "rep", "size"), labels, reps, texts, least_matches(percent / 100, miss), percent, block, block_bytes)
     links = stage(links.unionByName(more), "links")
     # Rows that repeat an id connect their sets.
     same_id = real.groupBy("_id").agg(F.count("*").alias("k")).where("k > 1").select("_id")
