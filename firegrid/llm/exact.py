@@ -3,9 +3,10 @@
 A text is normalised, cut into chunks and each chunk hashed as a polynomial in
 its bytes modulo two primes. Fingerprints of neighbouring chunks combine by
 shifting the left one by the right one's length, so the chunks of a huge
-document are hashed in parallel tasks. Rows whose fingerprint and length agree
-are then read side by side and compared chunk by chunk; that comparison, not
-the fingerprint, decides.
+document are hashed in parallel tasks. Of rows whose fingerprint and length
+agree, the chunks are then dealt out by fingerprint and part of the group and
+compared place by place as they stream through a task; that comparison, not the
+fingerprint, decides. No task holds a whole huge text or two texts at once.
 """
 
 from __future__ import annotations
@@ -84,27 +85,15 @@ def normalise(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return data, kept[offsets]
 
 
-_MARKED = "_id {id}, fp1 long, fp2 long, bytes long, sha string"
-
-
-def _marks(with_text: bool):
-    def run(batches):
-        for batch in batches:
-            for i, j, data, offsets in text_steps(batch.column("_text")):
-                data, offsets = normalise(data, offsets)
-                one, two = fingerprints(data, offsets)
-                raw = data.tobytes()
-                columns = [batch.column("_id").slice(i, j - i), pa.array(one), pa.array(two), pa.array(np.diff(offsets))]
-                names = ["_id", "fp1", "fp2", "bytes"]
-                cuts = list(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True))
-                columns.append(pa.array([hashlib.sha256(raw[a:b]).hexdigest() for a, b in cuts], pa.string()))
-                names.append("sha")
-                if with_text:
-                    columns.append(pa.array([raw[a:b] for a, b in cuts], pa.binary()))
-                    names.append("body")
-                yield pa.RecordBatch.from_arrays(columns, names)
-
-    return run
+def _marks(batches):
+    """Both fingerprints, the length and the SHA-256 of each normalised text."""
+    for batch in batches:
+        for i, j, data, offsets in text_steps(batch.column("_text")):
+            data, offsets = normalise(data, offsets)
+            one, two = fingerprints(data, offsets)
+            raw = data.tobytes()
+            digests = [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("_id").slice(i, j - i), pa.array(one), pa.array(two), pa.array(np.diff(offsets)), pa.array(digests, pa.string())], ["_id", "fp1", "fp2", "bytes", "sha"])
 
 
 def _chunk_marks(batches):
@@ -116,54 +105,126 @@ def _chunk_marks(batches):
             yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in ("_id", "row", "place", "sha")), pa.array(one), pa.array(two), pa.array(shift[0], pa.int64()), pa.array(shift[1], pa.int64()), pa.array(lengths)], ["_id", "row", "place", "sha", "h1", "h2", "s1", "s2", "n"])
 
 
-def fingerprint_rows(df: DataFrame, id_col: str, text_col: str, huge_chars: int = 8 << 20) -> DataFrame:
-    """``_id, fp1, fp2, bytes, sha`` of each row's normalised text.
-
-    Texts of over ``huge_chars`` characters are cut into chunk rows, dealt over
-    all tasks, hashed there and combined; the others are hashed where they are read.
-    """
-    docs = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    kind = docs.schema["_id"].dataType.simpleString()
-    short = docs.where(F.coalesce(F.length("_text"), F.lit(0)) <= huge_chars).mapInArrow(_marks(False), _MARKED.format(id=kind))
+def huge_parts(docs: DataFrame, huge_chars: int) -> DataFrame:
+    """``_id, row, sha, place, part``: the normalised texts of over ``huge_chars`` characters in parts of half as many, dealt over all tasks. (A SHA-256 is sequential: one task computes it for each text.)"""
     body = F.regexp_replace("_text", SPACES, " ")
-    huge = docs.where(F.length("_text") > huge_chars).select("_id", F.monotonically_increasing_id().alias("row"), body.alias("body"), F.sha2(body, 256).alias("sha"))
+    huge = docs.where(F.length("_text") > huge_chars).select("_id", F.monotonically_increasing_id().alias("row"), body.alias("body")).where(F.length("body") > huge_chars)
     step = huge_chars // 2
-    parts = huge.select("_id", "row", "sha", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.length("body") - 1) / step)), lambda k: F.substring("body", (k * step + 1).cast("int"), F.lit(step)))).alias("place", "part"))
-    marks = parts.repartition("_id", "place").mapInArrow(_chunk_marks, f"_id {kind}, row long, place int, sha string, h1 long, h2 long, s1 long, s2 long, n long")
+    places = F.sequence(F.lit(0), F.floor((F.length("body") - 1) / step).cast("int"))
+    parts = huge.withColumn("sha", F.sha2("body", 256)).select("_id", "row", "sha", F.posexplode(F.transform(places, lambda k: F.substring("body", k * step + 1, F.lit(step)))).alias("place", "part"))
+    return parts.repartition("row", "place")
+
+
+def usual_marks(docs: DataFrame, huge_chars: int) -> DataFrame:
+    """``_id, fp1, fp2, bytes, sha`` of each row of ``_id, _text`` that is not huge, hashed where it is read."""
+    kind = docs.schema["_id"].dataType.simpleString()
+    return _usual(docs, huge_chars).mapInArrow(_marks, f"_id {kind}, fp1 long, fp2 long, bytes long, sha string")
+
+
+def huge_marks(parts: DataFrame) -> DataFrame:
+    """``row, _id, fp1, fp2, bytes, sha`` of huge texts, combined from their parts, which are hashed in parallel."""
+    kind = parts.schema["_id"].dataType.simpleString()
+    marks = parts.mapInArrow(_chunk_marks, f"_id {kind}, row long, place int, sha string, h1 long, h2 long, s1 long, s2 long, n long")
     fold = "aggregate(array_sort(collect_list(struct(place, h{k}, s{k}))), 0L, (a, x) -> (a * x.s{k} + x.h{k}) % {p}L)"
     whole = marks.groupBy("row", "_id", "sha").agg(F.expr(fold.format(k=1, p=PRIMES[0])).alias("fp1"), F.expr(fold.format(k=2, p=PRIMES[1])).alias("fp2"), F.sum("n").alias("bytes"))
-    return short.unionByName(whole.select("_id", "fp1", "fp2", "bytes", "sha"))
+    return whole.select("row", "_id", "fp1", "fp2", "bytes", "sha")
 
 
-def same_text(a: bytes, b: bytes, chunk: int = CHUNK) -> bool:
-    """Compare chunk by chunk, stopping at the first that differs."""
-    return len(a) == len(b) and all(a[k : k + chunk] == b[k : k + chunk] for k in range(0, len(a), chunk))
+def fingerprint_rows(df: DataFrame, id_col: str, text_col: str, huge_chars: int = 8 << 20) -> DataFrame:
+    """``_id, fp1, fp2, bytes, sha`` of each row's normalised text, huge ones by their parts."""
+    docs = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    return usual_marks(docs, huge_chars).unionByName(huge_marks(huge_parts(docs, huge_chars)).drop("row"))
+
+
+def _usual(docs: DataFrame, huge_chars: int) -> DataFrame:
+    """The rows whose normalised text is not huge."""
+    small = F.coalesce(F.length("_text"), F.lit(0)) <= huge_chars
+    return docs.where(F.when(small, True).otherwise(F.length(F.regexp_replace("_text", SPACES, " ")) <= huge_chars))
+
 
+def _chunks(batches):
+    """A row per chunk: the text's fingerprints and length, a number of the row within its task, the chunk's place and bytes. An empty text has one empty chunk."""
+    from pyspark import TaskContext
 
-def _compare(batches):
-    """Rows come sorted by key, salt and id. Each is compared with the distinct texts of its key and salt; the first of each text passes its body on."""
-    key, seen, last = None, [], None
+    task, row = TaskContext.get().partitionId() << 33, 0
+    names = ["fp1", "fp2", "bytes", "_id", "row", "place", "chunk"]
     for batch in batches:
-        rows = batch.to_pydict()
-        out = {"cls": [], "again": [], "lead": []}
-        for k in range(batch.num_rows):
-            now = (rows["fp1"][k], rows["fp2"][k], rows["bytes"][k], rows["salt"][k])
-            if now != key:
-                key, seen, last = now, [], None
-            body = rows["body"][k]
-            cls = next((c for c, other in enumerate(seen) if same_text(other, body)), len(seen))
-            out["lead"].append(body if cls == len(seen) else None)
-            if cls == len(seen):
-                seen.append(body)
-            mark = (rows["_id"][k], cls)
-            out["again"].append(mark == last)
-            last = mark
-            out["cls"].append(cls)
-        columns = [batch.column(c) for c in ("_id", "fp1", "fp2", "bytes", "salt", "sha")]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(out["cls"], pa.int64()), pa.array(out["again"], pa.bool_()), pa.array(out["lead"], pa.binary())], ["_id", "fp1", "fp2", "bytes", "salt", "sha", "cls", "again", "lead"])
-
-
-def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_salt: int = 5000) -> DataFrame:
+        for i, j, data, offsets in text_steps(batch.column("_text")):
+            data, offsets = normalise(data, offsets)
+            one, two = fingerprints(data, offsets)
+            lengths = np.diff(offsets)
+            parts = np.maximum(1, -(-lengths // CHUNK))
+            of = np.repeat(np.arange(j - i), parts)
+            place = np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
+            starts = offsets[of] + CHUNK * place
+            cuts = np.append(starts, offsets[-1])
+            chunk = pa.Array.from_buffers(pa.large_binary(), len(of), [None, pa.py_buffer(np.ascontiguousarray(cuts.astype(np.int64))), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.binary())
+            take = pa.array(of + i)
+            yield pa.RecordBatch.from_arrays([pa.array(one[of]), pa.array(two[of]), pa.array(lengths[of]), batch.column("_id").take(take), pa.array(task + row + of), pa.array(place, pa.int32()), chunk], names)
+            row += j - i
+
+
+_RESULT = "fp1 long, fp2 long, bytes long, part long, cls long, _id {id}, sha string, again boolean, lead boolean"
+
+
+def tell_apart(batches):
+    """Tell texts apart chunk by chunk. Rows come sorted by key, part, place, id and row.
+
+    At each place a row's class is split by the bytes of its chunk. Held are the
+    chunks of the current place that differ, a running SHA-256 for each, and a
+    class for each row of the group's part. When that ends, every row comes out
+    with its class and its text's digest, whether it repeats an earlier row's id
+    and text, and whether it is the first of its class.
+    """
+    names = ["fp1", "fp2", "bytes", "part", "cls", "_id", "sha", "again", "lead"]
+    key, rows, place, seen, before, after = None, {}, None, {}, [], []
+    done: dict[tuple[int, int], str] = {}
+    out: list[list] = [[] for _ in names]
+
+    def close():
+        number, ids = {}, set()
+        for at, cls, id_ in rows.values():
+            lead = (at, cls) not in number
+            k = number.setdefault((at, cls), len(number))
+            for column, value in zip(out, (*key, k, id_, done[at, cls], (id_, k) in ids, lead), strict=True):
+                column.append(value)
+            ids.add((id_, k))
+
+    def end_place():
+        done.update({(place, k): h.hexdigest() for k, h in enumerate(after)})
+
+    types = [pa.int64()] * 5 + [None, pa.string(), pa.bool_(), pa.bool_()]
+    for batch in batches:
+        types[5] = batch.column("_id").type
+        columns = [batch.column(c).to_pylist() for c in ("fp1", "fp2", "bytes", "part", "_id", "row", "place")]
+        chunks = batch.column("chunk")
+        for k, (*now, id_, row, at) in enumerate(zip(*columns, strict=True)):
+            if now != key or at != place:
+                if key is not None:
+                    end_place()
+                if now != key:
+                    if rows:
+                        close()
+                    key, rows, done, after = now, {}, {}, [hashlib.sha256()]
+                place, seen, before, after = at, {}, after, []
+            last = rows[row][1] if row in rows else 0
+            chunk = chunks[k].as_py()
+            cls = seen.get((last, chunk))
+            if cls is None:
+                cls = seen[last, chunk] = len(seen)
+                digest = before[last].copy()
+                digest.update(chunk)
+                after.append(digest)
+            rows[row] = (at, cls, id_)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
+        out = [[] for _ in names]
+    if rows:
+        end_place()
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
+
+
+def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_salt: int = 5000, huge_chars: int = 8 << 20, most_hot: int = 100_000) -> DataFrame:
     """One row per input row: ``<id_col>, keep_id, group_size, kept, text_sha256``.
 
     Texts are equal when they agree after each run of ``[\\x20\\x09-\\x0D]`` is
@@ -171,26 +232,48 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts form one group. The smallest id of a group stays. A null id never
     beats another id; in a group of null ids one row stays. Of repeated rows
     (same id, same text) exactly one stays. An empty table gives an empty one.
-    Large groups are compared in salted parts of about ``rows_per_salt`` rows,
-    then the parts' first rows with each other.
+
+    Groups of over ``rows_per_salt`` rows, and over a ``most_hot``-th of all rows,
+    are dealt into parts before any text moves (there can't be more than
+    ``most_hot`` of them, so their keys are broadcast); then one text of each
+    class of each part is compared with the others'. Texts of over ``huge_chars``
+    normalised characters go in parts through fingerprints and comparison.
     """
     key = ["fp1", "fp2", "bytes"]
     docs = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     kind = docs.schema["_id"].dataType.simpleString()
-    marks = stage(fingerprint_rows(docs, "_id", "_text"), "fingerprints")
-    groups = marks.groupBy(key).agg(F.count("*").alias("rows")).where("rows > 1")
+    result = _RESULT.format(id=kind)
+    huge = stage(huge_parts(docs, huge_chars), "huge")
+    whole = stage(huge_marks(huge), "huge-fingerprints")
+    marks = stage(usual_marks(docs, huge_chars).unionByName(whole.drop("row")), "fingerprints")
+    total = marks.count()
+    groups = stage(marks.groupBy(key).agg(F.count("*").alias("rows")).where("rows > 1"), "groups")
     single = marks.join(groups, key, "left_anti").select("_id", F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
-
-    bodies = docs.mapInArrow(_marks(True), _MARKED.format(id=kind) + ", body binary").join(groups, key)
-    salted = bodies.withColumn("salt", F.pmod(F.xxhash64("_id"), F.ceil(F.col("rows") / rows_per_salt))).drop("rows")
-    sorted_ = salted.repartition(*key, "salt").sortWithinPartitions(*key, "salt", "_id")
-    compared = stage(sorted_.mapInArrow(_compare, f"_id {kind}, fp1 long, fp2 long, bytes long, salt long, sha string, cls long, again boolean, lead binary"), "compared")
-
-    leads = compared.where("lead is not null").select(*key, F.struct("salt", "cls").alias("from"), F.col("salt").alias("part"), F.col("cls").alias("cls0"), F.col("lead").alias("body"))
-    leads = leads.select(F.xxhash64("from").alias("_id"), *key, F.lit(0).cast("long").alias("salt"), F.concat_ws(":", "part", "cls0").alias("sha"), "body")
-    across = leads.repartition(*key).sortWithinPartitions(*key, "_id").mapInArrow(_compare, "_id long, fp1 long, fp2 long, bytes long, salt long, sha string, cls long, again boolean, lead binary")
-    across = across.select(*key, F.split("sha", ":")[0].cast("long").alias("salt"), F.split("sha", ":")[1].cast("long").alias("cls"), F.col("cls").alias("text_no"))
-    classed = stage(compared.drop("lead").join(across, [*key, "salt", "cls"]), "classed")
-    kept = classed.groupBy(*key, "text_no").agg(F.min("_id").alias("keep_id"), F.count("*").alias("group_size"))
-    many = classed.join(kept, [*key, "text_no"]).select("_id", "keep_id", "group_size", (F.col("_id").eqNullSafe(F.col("keep_id")) & ~F.col("again")).alias("kept"), "sha")
+    hot = stage(groups.where(F.col("rows") > max(rows_per_salt, total // most_hot)).select(*key, F.ceil(F.col("rows") / rows_per_salt).alias("parts")), "hot")
+
+    def chunks(some: DataFrame) -> DataFrame:
+        """Chunk rows of the usual texts of ``some``, and of all huge ones."""
+        made = _usual(some, huge_chars).mapInArrow(_chunks, f"fp1 long, fp2 long, bytes long, _id {kind}, row long, place int, chunk binary")
+        return made.unionByName(huge.drop("_id", "sha").join(whole.drop("sha"), "row").select(*key, "_id", (-F.col("row") - 1).alias("row"), "place", F.col("part").cast("binary").alias("chunk")))
+
+    def compare(rows: DataFrame) -> DataFrame:
+        return rows.repartition(*key, "part").sortWithinPartitions(*key, "part", "place", "_id", "row").mapInArrow(tell_apart, result)
+
+    dealt = chunks(docs).join(F.broadcast(hot), key, "left").withColumn("part", F.pmod(F.xxhash64("_id"), F.coalesce("parts", F.lit(1)))).drop("parts")  # at most most_hot rows
+    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)).alias("part")
+    wanted = groups.join(hot, key, "left").select(*key, parts)
+    compared = stage(compare(dealt.join(wanted, [*key, "part"], "left_semi")), "compared")
+    if hot.isEmpty():
+        classed = compared.withColumn("text", F.col("cls"))
+    else:
+        leads = compared.where("lead").join(F.broadcast(hot.select(key)), key, "left_semi").select(*key, "part", "cls", F.col("_id").alias("lead_id"), F.col("sha").alias("lead_sha"))
+        ids = leads.select(*key, "lead_id").distinct()
+        read = chunks(docs.join(ids.select("lead_id").distinct(), F.col("_id").eqNullSafe(F.col("lead_id")), "left_semi"))
+        of = lambda t: [read[c] == t[c] for c in key]
+        read = read.join(ids, [*of(ids), read["_id"].eqNullSafe(ids["lead_id"])], "left_semi").withColumn("part", F.lit(0).cast("long"))
+        texts = compare(read).select(*(F.col(c).alias(f"_{c}") for c in key), F.col("_id").alias("_of"), F.col("sha").alias("_sha"), F.col("cls").alias("text")).distinct()
+        named = leads.join(texts, [*(F.col(c) == F.col(f"_{c}") for c in key), F.col("lead_id").eqNullSafe(F.col("_of")), F.col("lead_sha") == F.col("_sha")]).select(*key, "part", "cls", "text")
+        classed = stage(compared.join(named, [*key, "part", "cls"], "left").withColumn("text", F.coalesce("text", "cls")), "classed")
+    kept = classed.groupBy(*key, "text").agg(F.min("_id").alias("keep_id"), F.count("*").alias("group_size")).join(F.broadcast(hot), key, "left").select(*key, "text", "keep_id", "group_size", parts)
+    many = classed.join(kept, [*key, "part", "text"]).select("_id", "keep_id", "group_size", (F.col("_id").eqNullSafe(F.col("keep_id")) & ~F.col("again")).alias("kept"), "sha")
     return single.unionByName(many).select(F.col("_id").alias(id_col), "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"))

@@ -62,6 +62,27 @@ def test_fingerprints_compose(a, b):
 def test_equal_fingerprints_of_different_texts_are_told_apart():
     import pyarrow as pa
 
-    same = {"fp1": [1] * 3, "fp2": [2] * 3, "bytes": [1] * 3, "salt": [0] * 3, "sha": ["", "", ""], "_id": [1, 2, 3], "body": [b"a", b"b", b"a"]}
-    out = next(iter(exact._compare([pa.RecordBatch.from_pydict(same)])))
-    assert out.column("cls").to_pylist() == [0, 1, 0]
+    texts = {10: b"abcdef", 11: b"abcxef", 12: b"abcdef", 13: b"abcde!", 14: b"abcxef"}
+    rows = sorted((p, k, t[2 * p : 2 * p + 2]) for k, t in texts.items() for p in range(3))
+    n = len(rows)
+    same = {"fp1": [1] * n, "fp2": [2] * n, "bytes": [6] * n, "part": [0] * n, "_id": [r[1] // 2 for r in rows], "row": [r[1] for r in rows], "place": [r[0] for r in rows], "chunk": [r[2] for r in rows]}
+    other = {c: v[:3] for c, v in same.items()} | {"fp1": [5] * 3, "place": [0] * 3, "row": [1, 2, 3], "chunk": [b"a", b"b", b"a"]}
+    for cut in (1, 4, n):
+        both = pa.concat_tables([pa.table(same), pa.table(other)]).combine_chunks().to_batches(max_chunksize=cut)
+        out = pa.Table.from_batches(list(exact.tell_apart(both)))
+        assert out["cls"].to_pylist() == [0, 1, 0, 2, 1, 0, 1, 0]
+        assert out["sha"].to_pylist()[:5] == [hashlib.sha256(t).hexdigest() for t in texts.values()]
+        assert out["lead"].to_pylist() == [True, True, False, True, False, True, True, False]
+        assert out["again"].to_pylist()[:5] == [False, False, False, False, False]
+
+
+def test_huge_texts_and_cut_groups_match_brute_force(spark):
+    rows = [(k, ("ab \n" * 30 + "x" * (k % 3)) if k % 2 else f"t {k % 5}") for k in range(200)] + [(7, "t 2"), (7, "t 2"), (None, "t  2"), (None, None), (3, "")]
+    want = brute(rows)
+    for more in ({"huge_chars": 20}, {"rows_per_salt": 4}, {"huge_chars": 20, "rows_per_salt": 4, "most_hot": 1000}):
+        got = result(spark, rows, **more)
+        assert len(got) == len(rows)
+        for text, ids in want.items():
+            mine = got[got.text_sha256 == hashlib.sha256(text.encode()).hexdigest()]
+            real = [k for k in ids if k is not None]
+            assert set(mine.group_size) == {len(ids)} and mine.kept.sum() == 1 and set(mine.keep_id.dropna()) == ({min(real)} if real else set())
