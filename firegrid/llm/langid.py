@@ -138,28 +138,94 @@ def _count(batches):
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(some), pa.string()), pa.array(some.view(np.int64)), pa.array(counts, pa.int64())], ["lang", "g", "n"])
 
 
+def score_texts(model: CharModel, column: pa.Array):
+    """Yield ``(i, j, events, best, entropy, score)`` for rows ``i:j``; ``best`` is -1 for texts without letters."""
+    for i, j, data, offsets in text_steps(column, 1 << 20):
+        events, begin = letter_events(data, offsets)
+        n = np.diff(begin)
+        best, entropy, score = np.full(j - i, -1), np.zeros(j - i), np.zeros(j - i)
+        full = np.flatnonzero(n)
+        if len(full):
+            total = np.add.reduceat(model.score(grams(events, begin)), begin[full], axis=0, dtype=np.float64)
+            rate = -total / n[full, None]
+            best[full] = rate.argmin(1)
+            entropy[full] = rate.min(1)
+            odds = np.exp(np.minimum(n[full], 40)[:, None] * (entropy[full][:, None] - rate))
+            score[full] = 1 / odds.sum(1)
+        yield i, j, n, best, entropy, score
+
+
 def _scored(docs: DataFrame, model: CharModel, kind: str) -> DataFrame:
-    """``_id, events, best, entropy, score`` of each row of ``_id, _text``; ``best`` is -1 for texts without letters."""
+    """``_id, events, best, entropy, score`` of each row of ``_id, _text``."""
 
     def run(batches):
         for batch in batches:
-            for i, j, data, offsets in text_steps(batch.column("_text"), 1 << 20):
-                events, begin = letter_events(data, offsets)
-                n = np.diff(begin)
-                best, entropy, score = np.full(j - i, -1), np.zeros(j - i), np.zeros(j - i)
-                full = np.flatnonzero(n)
-                if len(full):
-                    total = np.add.reduceat(model.score(grams(events, begin)), begin[full], axis=0, dtype=np.float64)
-                    rate = -total / n[full, None]
-                    best[full] = rate.argmin(1)
-                    entropy[full] = rate.min(1)
-                    odds = np.exp(np.minimum(n[full], 40)[:, None] * (entropy[full][:, None] - rate))
-                    score[full] = 1 / odds.sum(1)
+            for i, j, n, best, entropy, score in score_texts(model, batch.column("_text")):
                 yield pa.RecordBatch.from_arrays([batch.column("_id").slice(i, j - i), pa.array(n), pa.array(best, pa.int64()), pa.array(entropy), pa.array(score)], ["_id", "events", "best", "entropy", "score"])
 
     return docs.select("_id", "_text").mapInArrow(run, f"_id {kind}, events long, best long, entropy double, score double")
 
 
+def choose(labelled: DataFrame, train_docs: int) -> DataFrame:
+    """The ``train_docs`` rows of each ``_lang`` with the smallest id hashes, numbered ``nth``.
+
+    A threshold on the hash, from the languages' row counts, leaves half as many
+    again to be ranked, so that a language with most of the rows does not gather
+    in one task. Where ids repeat so that too few stay, all are ranked.
+    """
+    place = F.shiftrightunsigned(F.xxhash64("_id"), 33)
+    sizes = {r["_lang"]: r["count"] for r in labelled.groupBy("_lang").count().collect()}  # a row per language
+    spark = labelled.sparkSession
+    first = Window.partitionBy("_lang").orderBy("_place", "_id", "_text")
+    for spare in (1.5, None):
+        bounds = spark.createDataFrame([(k, 2**31 if spare is None else int(min(1.0, spare * train_docs / n) * 2**31)) for k, n in sizes.items()], "_of string, _most long")
+        near = labelled.withColumn("_place", place).join(bounds, F.col("_lang") == F.col("_of")).where(F.col("_place") <= F.col("_most"))
+        chosen = stage(near.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= train_docs).select("_id", "_lang", "_text", "nth"), "sample")
+        got = {r["_lang"]: r["count"] for r in chosen.groupBy("_lang").count().collect()}
+        if all(got.get(k, 0) == min(n, train_docs) for k, n in sizes.items()):
+            break
+    return chosen
+
+
+@dataclass
+class Fitted:
+    """A model and, by place of the language, the cross-entropy above which a text is rejected."""
+
+    model: CharModel
+    limit: np.ndarray
+
+    def rejects(self, events: np.ndarray, best: np.ndarray, entropy: np.ndarray) -> np.ndarray:
+        return (best < 0) | ((events >= LEAST_EVENTS) & (entropy > self.limit[np.maximum(best, 0)]))
+
+
+#: Shorter texts are never rejected for their cross-entropy.
+LEAST_EVENTS = 20
+
+
+def _columns(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    return df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).cast("string").alias("_lang"))
+
+
+def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = 2500, slack: float = 4.0) -> Fitted | None:
+    """Learn from text and non-null language of rows outside fold 1; None if there is nothing to learn from. See :func:`identify`."""
+    docs = _columns(df, id_col, text_col, lang_col)
+    kind = docs.schema["_id"].dataType.simpleString()
+    labelled = docs.where(F.col("_lang").isNotNull() & F.col("_id").isNotNull() & (F.length("_text") > 0) & (fold("_id") != 1))
+    sample = choose(labelled, train_docs)
+    counts = sample.where("nth % 5 <> 0").mapInArrow(_count, "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n")).toArrow()
+    if not counts.num_rows:
+        return None
+    counts = counts.sort_by([("lang", "ascending"), ("g", "ascending")])
+    names = counts["lang"].to_numpy(zero_copy_only=False)
+    languages = sorted(set(names))
+    model = build_model(languages, np.searchsorted(np.array(languages, object), names), counts["g"].to_numpy().view(np.uint64), counts["n"].to_numpy())
+    seen = _scored(sample.where("nth % 5 = 0"), model, kind).where(F.col("events") >= LEAST_EVENTS).groupBy("best").agg(F.percentile("entropy", F.lit(0.5)).alias("mid"), F.percentile("entropy", F.lit(0.995)).alias("high")).collect()  # a row per language
+    limit = np.full(len(languages), np.inf)
+    for r in seen:
+        limit[r["best"]] = r["mid"] + max(slack * (r["high"] - r["mid"]), 1.0)
+    return Fitted(model, limit)
+
+
 def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = 2500, slack: float = 4.0) -> DataFrame:
     """One row per input row: ``<id_col>, held_out, lang_pred, score, entropy, rejected``.
 
@@ -169,28 +235,33 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     has no letter gets ``und`` and score 0 and is rejected; so is one of at least
     20 letters whose cross-entropy lies further above its language's median than
     ``slack`` times the distance to the 99.5 % point of the labelled texts, and by more than 1. If
-    there is nothing to learn from, every text gets ``und``. Rows that repeat an
-    id are scored each; an empty table gives an empty result.
+    there is nothing to learn from, every text gets ``und``. Equal entropies go to
+    the first language by name. Rows that repeat an id are scored each, as are
+    rows with a null id, which teach nothing; an empty table gives an empty result.
     """
-    docs = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).cast("string").alias("_lang"))
-    kind = docs.schema["_id"].dataType.simpleString()
-    order = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
-    labelled = docs.where(F.col("_lang").isNotNull() & F.col("_id").isNotNull() & (F.length("_text") > 0) & (fold("_id") != 1))
-    chosen = labelled.select("_id", "_lang").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= train_docs)
-    sample = stage(labelled.select("_id", "_text").join(chosen, "_id"), "sample")
-    counts = sample.where("nth % 5 <> 0").mapInArrow(_count, "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n")).toArrow()
+    docs = _columns(df, id_col, text_col, lang_col)
+    fitted = fit(df, id_col, text_col, lang_col, train_docs, slack)
     out = [F.col("_id").alias(id_col), (fold("_id") == 1).alias("held_out")]
-    if not counts.num_rows:
+    if fitted is None:
         return docs.select(*out, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("entropy"), F.lit(True).alias("rejected"))
-    counts = counts.sort_by([("lang", "ascending"), ("g", "ascending")])
-    names = counts["lang"].to_numpy(zero_copy_only=False)
-    languages = sorted(set(names))
-    model = build_model(languages, np.searchsorted(np.array(languages, object), names), counts["g"].to_numpy().view(np.uint64), counts["n"].to_numpy())
-
-    seen = _scored(sample.where("nth % 5 = 0"), model, kind).where("events >= 20").groupBy("best").agg(F.percentile("entropy", F.lit(0.5)).alias("mid"), F.percentile("entropy", F.lit(0.995)).alias("high")).collect()  # a row per language
-    limit = {r["best"]: r["mid"] + max(slack * (r["high"] - r["mid"]), 1.0) for r in seen}
-    scored = _scored(docs, model, kind)
-    name = F.element_at(F.array(*map(F.lit, languages)), (F.col("best") + 1).cast("int"))
-    bound = F.coalesce(*(F.when(F.col("best") == k, F.lit(float(v))) for k, v in sorted(limit.items())), F.lit(float("inf")))
+    names, limits = (F.array(*map(F.lit, x)) for x in (fitted.model.languages, map(float, fitted.limit)))
+    of = lambda a: F.element_at(a, (F.col("best") + 1).cast("int"))
     none = F.col("best") < 0
-    return scored.select(*out, F.when(none, F.lit(UNKNOWN)).otherwise(name).alias("lang_pred"), "score", "entropy", (none | ((F.col("events") >= 20) & (F.col("entropy") > bound))).alias("rejected"))
+    pred = F.when(none, F.lit(UNKNOWN)).otherwise(of(names))
+    rejected = F.when(none, True).otherwise((F.col("events") >= LEAST_EVENTS) & (F.col("entropy") > of(limits)))
+    scored = _scored(docs, fitted.model, docs.schema["_id"].dataType.simpleString())
+    return scored.select(*out, pred.alias("lang_pred"), "score", "entropy", rejected.alias("rejected"))
+
+
+def known(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = 2500, slack: float = 4.0) -> DataFrame:
+    """The rows that :func:`identify` does not reject, as they are; each row is judged on its own text, so no join is needed."""
+    fitted = fit(df, id_col, text_col, lang_col, train_docs, slack)
+    if fitted is None:
+        return df.limit(0)
+
+    def run(batches):
+        for batch in batches:
+            for i, j, events, best, entropy, _ in score_texts(fitted.model, batch.column(text_col)):
+                yield batch.slice(i, j - i).filter(pa.array(~fitted.rejects(events, best, entropy)))
+
+    return df.mapInArrow(run, df.schema)

@@ -7,14 +7,19 @@ import numpy as np
 _TABLE: list[np.ndarray] = []
 
 
+#: Letters beyond FFFF share the code points of the Basic Multilingual Plane's private use area, which holds no letter, in turn.
+_FROM, _PLACES = 0xE000, 6400
+
+
 def letter_table() -> np.ndarray:
-    """For each code point up to FFFF: its lower-case letter, or 0 if it is no letter. What lies beyond counts as no letter."""
+    """For each code point its lower-case letter's event, or 0 if it is no letter. Letters beyond FFFF have one of 6400 events of their own."""
     if not _TABLE:
-        table = np.zeros(0x10000, np.uint16)
-        for cp in range(0x10000):
+        table = np.zeros(0x110000, np.uint16)
+        for cp in (*range(0xD800), *range(0xE000, 0x110000)):
             ch = chr(cp)
             if ch.isalpha():
-                table[cp] = min(ord(ch.lower()[0]), 0xFFFF)
+                low = ord(ch.lower()[0])
+                table[cp] = low if low <= 0xFFFF else _FROM + low % _PLACES
         _TABLE.append(table)
     return _TABLE[0]
 
@@ -24,7 +29,7 @@ def letter_events(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     cps = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
     lead = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
     begin = lead[offsets]
-    c = letter_table()[np.where(cps > 0xFFFF, 0, cps)]
+    c = letter_table()[cps]
     keep = c != 0
     after = np.zeros(len(c), bool)
     after[1:] = keep[:-1]
