@@ -2,12 +2,14 @@
 
 Tokens are words and the beginnings of longer words. Their log-odds between
 toxic and clean labelled texts, with a Dirichlet prior, make a lexicon of those
-that are significantly toxic. Walking through a text, a lexicon token adds its
-log-odds and any other token costs a little; a linear scan finds all maximal
-segments. A segment's expected number of chance occurrences follows the
-extreme-value law of such scores; a text's evidence sums over its significant
-segments and is turned into a probability on labelled texts, each judged by the
-lexicon without it.
+that differ significantly from 0, either way. Walking through a text, a lexicon
+token adds its log-odds and a token that tells neither way costs a little; a
+linear scan finds all maximal segments. Scores of maximal segments follow an
+extreme-value law, whose decay and scale are fitted on the segments of clean
+labelled texts; it gives a segment's expected number of chance occurrences. A
+text's evidence sums over its significant segments and is turned into a
+probability on labelled texts. Every labelled text is judged by the lexicon
+without it.
 """
 
 from __future__ import annotations
@@ -53,13 +55,18 @@ def token_features(events: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, n
     return out, np.searchsorted(starts, begin)
 
 
-def maximal_segments(positions: np.ndarray, weights: np.ndarray, cost: float) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments ``(first token, last token, score)`` in linear time, where ``weights`` stand at ``positions`` and every other token costs ``cost`` (Ruzzo and Tompa's candidate list)."""
+def maximal_segments(positions: np.ndarray, weights: np.ndarray, cost: float, losses: np.ndarray | None = None) -> list[tuple[int, int, float]]:
+    """All maximal scoring segments ``(first token, last token, score)`` in linear time (Ruzzo and Tompa's candidate list).
+
+    Positive ``weights`` stand at ``positions``; what the tokens before each of
+    them take off is ``losses``, or ``cost`` for each token.
+    """
+    if losses is None:
+        losses = cost * (np.diff(positions, prepend=-1) - 1)
     parts: list[list] = []  # first, last, total before, total after, index of the nearest earlier one with a smaller total before
-    total, last = 0.0, -1
-    for p, w in zip(positions.tolist(), weights.tolist(), strict=True):
-        total -= cost * (p - last - 1)
-        last = p
+    total = 0.0
+    for p, w, loss in zip(positions.tolist(), weights.tolist(), losses.tolist(), strict=True):
+        total -= loss
         first, left = p, total
         total += w
         right = total
@@ -77,28 +84,46 @@ def maximal_segments(positions: np.ndarray, weights: np.ndarray, cost: float) ->
 
 @dataclass
 class Lexicon:
-    """Sorted token hashes with their weights, the cost of any other token, and the extreme-value law's two parameters."""
+    """Sorted token hashes with their log-odds, and the cost of any other token."""
 
     keys: np.ndarray
     weights: np.ndarray
     cost: float
-    decay: float
-    scale: float
 
     def of(self, features: np.ndarray) -> np.ndarray:
-        """Each word's weight: the largest of its tokens', 0 if none is in the lexicon."""
-        out = np.zeros(len(features))
+        """Each word's weight: the largest of its tokens' that are in the lexicon, 0 if none is."""
+        out = np.full(len(features), -np.inf)
         if len(self.keys):
             for k in range(features.shape[1]):
                 at = np.searchsorted(self.keys, features[:, k])
                 at[at == len(self.keys)] = 0
-                np.maximum(out, np.where(self.keys[at] == features[:, k], self.weights[at], 0), out=out)
-        return out
+                np.maximum(out, np.where((self.keys[at] == features[:, k]) & (self.weights[at] != 0), self.weights[at], -np.inf), out=out)
+        return np.where(np.isfinite(out), out, 0.0)
+
+    def segments(self, weights: np.ndarray) -> list[tuple[int, int, float]]:
+        """A text's maximal segments, from its words' weights."""
+        at = np.flatnonzero(weights > 0)
+        lost = np.cumsum(np.where(weights == 0, self.cost, np.maximum(-weights, 0)))[at]
+        return maximal_segments(at, weights[at], self.cost, np.diff(lost, prepend=0.0))
+
+
+@dataclass
+class Law:
+    """The number of chance segments of a score of at least s expected in n words: ``scale * n * exp(-decay * s)``."""
+
+    decay: float
+    scale: float
 
-    def segments(self, weights: np.ndarray) -> list[tuple[int, int, float, float]]:
-        """A text's segments with the log of their chance expectation."""
-        at = np.flatnonzero(weights)
-        return [(a, b, s, float(np.log(self.scale * len(weights)) - self.decay * s)) for a, b, s in maximal_segments(at, weights[at], self.cost)]
+    @classmethod
+    def fitted(cls, segments: int, total: float, least: float, words: int) -> Law:
+        """By maximum likelihood from ``segments`` maximal segments of clean texts of ``words`` words in all, with their summed and least score. Without any, one segment is expected in all these words."""
+        if not segments:
+            return cls(1.0, 1 / max(words, 1))
+        decay = segments / max(total - segments * least, 1e-3 * segments)
+        return cls(decay, segments / max(words, 1) * float(np.exp(min(decay * least, 500.0))))
+
+    def log_expected(self, words: Column, score: Column) -> Column:
+        return F.log(words * F.lit(self.scale)) - F.lit(self.decay) * score
 
 
 def _feature_counts(batches):
@@ -125,25 +150,12 @@ def log_odds(toxic, clean, toxic_docs: int, clean_docs: int):
     return odds / sqrt(1 / (toxic + 1.0) + 1 / (clean + 1.0)), odds
 
 
-def _chance(weights: np.ndarray, clean: np.ndarray, clean_total: float, cost: float) -> float:
-    """The positive root of E[exp(x * score)] = 1 for the scores of a clean text's tokens, each lexicon token at least once in the clean total."""
-    p = np.maximum(clean, 1.0) / max(clean_total, 1.0)
-    rest = max(1 - p.sum(), 1e-6)
-    low, high = 1e-6, 50.0
-    for _ in range(80):
-        mid = (low + high) / 2
-        if (p * np.exp(np.minimum(mid * weights, 700))).sum() + rest * np.exp(-mid * cost) > 1:
-            high = mid
-        else:
-            low = mid
-    return low
+_SEGMENTS = "array<struct<first:int,last:int,score:double>>"
 
 
-def _evidence(docs: DataFrame, lexicon: Lexicon, kind: str, most: float) -> DataFrame:
-    """``_id, evidence, passages`` per row: minus the log chance expectations of the significant segments, and those segments."""
-    ddl = f"_id {kind}, evidence double, passages array<struct<first:int,last:int,score:double,log_expected:double>>"
-    passage = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64()), ("log_expected", pa.float64())]))
-    limit = float(np.log(most))
+def _scan(docs: DataFrame, lexicon: Lexicon, kind: str) -> DataFrame:
+    """``_id, words, segments`` per row of ``_id, _text``: the number of words and all maximal segments."""
+    segment = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64())]))
 
     def run(batches):
         for batch in batches:
@@ -151,15 +163,20 @@ def _evidence(docs: DataFrame, lexicon: Lexicon, kind: str, most: float) -> Data
                 features, first = token_features(*letter_events(data, offsets))
                 weights = lexicon.of(features)
                 hot = np.concatenate(([0], np.cumsum(weights > 0)))
-                evidence, found = np.zeros(j - i), [[] for _ in range(j - i)]
+                found = [[] for _ in range(j - i)]
                 for t in np.flatnonzero(hot[first[1:]] > hot[first[:-1]]):
-                    for a, b, s, e in lexicon.segments(weights[first[t] : first[t + 1]]):
-                        if e <= limit:
-                            evidence[t] -= e
-                            found[t].append({"first": a, "last": b, "score": s, "log_expected": e})
-                yield pa.RecordBatch.from_arrays([batch.column("_id").slice(i, j - i), pa.array(evidence), pa.array(found, passage)], ["_id", "evidence", "passages"])
+                    found[t] = [{"first": a, "last": b, "score": s} for a, b, s in lexicon.segments(weights[first[t] : first[t + 1]])]
+                yield pa.RecordBatch.from_arrays([batch.column("_id").slice(i, j - i), pa.array(np.diff(first)), pa.array(found, segment)], ["_id", "words", "segments"])
+
+    return docs.mapInArrow(run, f"_id {kind}, words long, segments {_SEGMENTS}")
+
 
-    return docs.mapInArrow(run, ddl)
+def _judged(scanned: DataFrame, law: Law, most: float) -> DataFrame:
+    """With ``passages``, the segments of which fewer than ``most`` are expected by chance, and ``evidence``, minus the sum of the logs of their expectations."""
+    passage = lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last"), s["score"].alias("score"), law.log_expected(F.col("words"), s["score"]).alias("log_expected"))
+    found = F.filter(F.transform("segments", passage), lambda p: p["log_expected"] <= float(np.log(most)))
+    t = scanned.withColumn("passages", found).drop("segments")
+    return t.withColumn("evidence", F.aggregate("passages", F.lit(0.0), lambda a, p: a - p["log_expected"]))
 
 
 def platt(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1e-3) -> tuple[float, float]:
@@ -177,14 +194,16 @@ def platt(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1e-3) -
     return a, b
 
 
-def toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_docs: int = 20_000, least_z: float = 3.5, cost: float = 0.1, scale: float = 0.1, most: float = 0.5) -> DataFrame:
+def toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_docs: int = 20_000, least_z: float = 3.5, cost: float = 0.1, most: float = 0.05) -> DataFrame:
     """One row per input row: ``<id_col>, held_out, score, passages``.
 
     Learns from labelled rows outside fold 1, at most ``train_docs`` of them (those
-    of the smallest id hashes): the lexicon, and the final probability from each
-    text's evidence under the lexicon without that text. Lexicon tokens have a log-odds z-score of at least ``least_z``;
-    segments count if fewer than ``most`` such are expected by chance. Null and
-    empty texts have no passages and the lowest score. Null labels teach nothing;
+    of the smallest id hashes): the lexicon, the extreme-value law, and the final
+    probability from each text's evidence, the last two under the lexicon without
+    that text. Lexicon tokens have a log-odds z-score of at least ``least_z``
+    either way; any other token takes off ``cost``; segments count if fewer than
+    ``most`` such are expected by chance. Null and empty texts, and those without
+    letters, have no passages and the lowest score. Null labels teach nothing;
     without labels of both kinds the score is the share of label 1 (0 if there
     are no labels). Rows that repeat an id are scored each; an id with several
     labels takes the largest. An empty table gives an empty result.
@@ -203,23 +222,23 @@ def toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     counts = sample.mapInArrow(_feature_counts, "token long, toxic long, clean long").groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     z, _ = log_odds(F.col("toxic"), F.col("clean"), toxic_docs, clean_docs)
-    words = counts.where(z >= least_z).select("token", "toxic", "clean").orderBy("token").toArrow()  # significant tokens only
-    keys = words["token"].to_numpy().view(np.uint64)
-    by_key = np.argsort(keys)
-    hits, misses = words["toxic"].to_numpy()[by_key].astype(float), words["clean"].to_numpy()[by_key].astype(float)
-    tokens = float(sample.where("toxic = 0").agg(F.sum(F.size(F.split("_text", " ")))).first()[0] or 1)
+    words = counts.where(F.abs(z) >= least_z).select("token", "toxic", "clean").toArrow()  # significant tokens only
+    by_key = np.argsort(words["token"].to_numpy().view(np.uint64))
+    keys, hits, misses = (words[c].to_numpy()[by_key] for c in ("token", "toxic", "clean"))
 
     def lexicon(less_toxic: int, less_clean: int) -> Lexicon:
         """From all labelled texts but one toxic or clean one that holds the token."""
         z, odds = log_odds(np.maximum(hits - less_toxic, 0), np.maximum(misses - less_clean, 0), toxic_docs - less_toxic, clean_docs - less_clean)
-        weights = np.where(z >= least_z, odds, 0.0)
-        return Lexicon(keys[by_key], weights, cost, _chance(weights, misses, tokens, cost) if len(keys) else 1.0, scale)
+        return Lexicon(keys.view(np.uint64), np.where(np.abs(z) >= least_z, odds, 0.0), cost)
 
     # A labelled text's own evidence is taken without its part in the lexicon, else the curve would be too sure.
-    checked = [_evidence(sample.where(F.col("toxic") == t), lexicon(t, 1 - t), kind, most).select("evidence", F.lit(t).alias("toxic")) for t in (0, 1)]
-    checked = checked[0].unionByName(checked[1]).toArrow()  # two numbers for each of at most train_docs rows
-    x, y = checked["evidence"].to_numpy(), checked["toxic"].to_numpy().astype(float)
+    checked = [_scan(sample.where(F.col("toxic") == t), lexicon(t, 1 - t), kind).withColumn("toxic", F.lit(t)) for t in (0, 1)]
+    checked = stage(checked[0].unionByName(checked[1]), "checked")
+    clean = checked.where("toxic = 0")
+    seen = clean.select(F.explode("segments.score").alias("s")).agg(F.count("s"), F.sum("s"), F.min("s")).first()
+    law = Law.fitted(seen[0], seen[1] or 0.0, seen[2] or 0.0, clean.agg(F.sum("words")).first()[0] or 0)
+    curve = _judged(checked, law, most).select("evidence", "toxic").toArrow()  # two numbers for each of at most train_docs rows
+    x, y = curve["evidence"].to_numpy(), curve["toxic"].to_numpy().astype(float)
     a, b = platt(np.log1p(x), y)
-    found = _evidence(docs, lexicon(0, 0), kind, most)
     score = 1 / (1 + F.exp(-(F.lit(float(max(a, 0.0))) * F.log1p("evidence") + F.lit(float(b)))))
-    return found.select(F.col("_id").alias(id_col), held, score.alias("score"), "passages")
+    return _judged(_scan(docs, lexicon(0, 0), kind), law, most).select(F.col("_id").alias(id_col), held, score.alias("score"), "passages")
