@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, WORD, stage
+from .common import WORD, stage
 
 
 def word_count(text: Column) -> Column:
@@ -74,14 +74,27 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
 
 def take_mix(df: DataFrame, mix: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Apply a mix to its documents: each row once per whole pass, and a last row of the words up to the cut where the budget ends inside it. Rows of which nothing is taken go. Rows that repeat an id and size are taken alike."""
-    m = mix.where("taken > 0").groupBy(F.col(id_col).alias("_mix_id"), F.col("size").alias("_size")).agg(F.max("taken").alias("_taken"))
-    rows = df.join(m, F.col(id_col).eqNullSafe(F.col("_mix_id")) & (word_count(F.col(text_col)) == F.col("_size")))
-    rest = F.col("_taken") % F.col("_size")
-    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("_taken") / F.col("_size")))))
-    cut = (F.col("_copy") * F.col("_size") > F.col("_taken")) & (rest > 0)
-    words = F.slice(F.filter(F.split(F.col(text_col), SPACES), lambda w: w != ""), F.lit(1), rest.cast("int"))
-    rows = rows.withColumn(text_col, F.when(cut, F.array_join(words, " ")).otherwise(F.col(text_col)))
+    """Apply a mix to its documents: the input's columns, each row once per whole pass, and a last row of its text up to the word where the budget ends inside it.
+
+    Rows of which nothing is taken go, so those without words do. Rows that repeat
+    an id and size are told apart by their texts' order, and each takes a share of
+    its own. A cut text keeps its white space and its ``n_chars``, if there is such
+    a column, becomes its length. Further columns of any name are carried along.
+    """
+    whole = F.struct(*df.columns)  # one column, so that no name can clash
+    rows = df.select(whole.alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    of = ["id", "size"]
+    rows = rows.withColumn("size", word_count(F.col("text"))).where("size > 0").withColumn("nth", F.row_number().over(Window.partitionBy(*of).orderBy("text")))
+    shares = mix.select(F.col(id_col).alias("_id"), F.col("size").alias("_size"), "taken").where("size > 0")
+    shares = shares.withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_size").orderBy("taken"))).where("taken > 0")
+    rows = rows.join(shares, F.col("id").eqNullSafe(F.col("_id")) & (F.col("size") == F.col("_size")) & (F.col("nth") == F.col("_nth")))
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("taken") / F.col("size")))))
+    rest = F.col("taken") % F.col("size")
+    cut = (F.col("copy") * F.col("size") > F.col("taken")) & (rest > 0)
+    # one piece per word, with the white space before it
+    pieces = F.slice(F.split("text", "(?<=[^ \\t-\\r])(?=[ \\t-\\r])"), F.lit(1), rest.cast("int"))
+    rows = rows.withColumn("text", F.when(cut, F.array_join(pieces, "")).otherwise(F.col("text"))).withColumn("cut", cut)
+    new = {text_col: F.col("text")}
     if "n_chars" in df.columns:
-        rows = rows.withColumn("n_chars", F.when(cut, F.length(text_col).cast(df.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rows.select(*df.columns)
+        new["n_chars"] = F.when(F.col("cut"), F.length("text").cast(df.schema["n_chars"].dataType)).otherwise(F.col("row")["n_chars"])
+    return rows.select(*(new.get(c, F.col("row")[c]).alias(c) for c in df.columns))

@@ -78,6 +78,42 @@ def test_taken_words_are_emitted(spark):
     assert out.select(F.sum(mixing.word_count(F.col("text")))).first()[0] == mix.agg(F.sum("taken")).first()[0] == 300
 
 
+def test_targets_match_the_plain_reshare_loop(spark):
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 3, 5, 9):
+        sizes = {f"s{k}": int(rng.choice([0, 1, 30, 1000, 50_000])) for k in range(n - 1)} | {None: 700}
+        order = sorted(k for k in sizes if k is not None) + [None]
+        weight = {k: (3, 1, 2)[i % 3] for i, k in enumerate(order)}
+        want, open_, total = {}, set(order), 1.5 * sum(sizes.values())
+        while open_:
+            share = {k: total * weight[k] / sum(weight[j] for j in open_) for k in open_}
+            above = [k for k in open_ if share[k] > 2 * sizes[k]]
+            if not above:
+                want |= share
+                break
+            for k in above:
+                want[k] = 2.0 * sizes[k]
+                total -= want[k]
+                open_.remove(k)
+        df = spark.createDataFrame([(k, v, 1) for k, v in sizes.items()], "_source string, source_size long, rows long")
+        got = {r["_source"]: r["target"] for r in mixing.source_targets(df).collect()}
+        assert got == pytest.approx(want), sizes
+
+
+def test_repeated_ids_take_shares_of_their_own_and_cuts_keep_white_space(spark):
+    rows = [(k % 7, f" x{k}\n\ty  z{k} ", "s", 9, "a", "b") for k in range(25)] + [(3, None, "s", 0, "a", "b"), (None, "p\nq\nr", "s", 5, "a", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, _copy string, _size string")
+    mix = mixing.mix_sources(docs)
+    out = mixing.take_mix(docs, mix)
+    assert out.columns == docs.columns
+    got = out.toPandas()
+    assert got.text.str.findall(r"[^\x20\x09-\x0D]+").str.len().sum() == mix.agg(F.sum("taken")).first()[0] == round(1.5 * 78)
+    texts = [r[1] for r in rows if r[1]]
+    assert all(any(t.startswith(x) for t in texts) for x in got.text) and (got[~got.text.isin(texts)].text.str.len() == got[~got.text.isin(texts)].n_chars).all()
+    assert got.text.isin(texts).sum() >= len(texts) and set(got._copy) == {"a"}
+    assert mixing.take_mix(docs.limit(0), mix.limit(0)).count() == 0
+
+
 # --- neighbours -------------------------------------------------------------
 
 
@@ -206,6 +242,161 @@ def test_model_is_a_distribution():
         assert np.exp(m.score(after)).sum() <= 1 + 1e-6
 
 
+def kneser_ney(counts):
+    """The model as written in the papers, from dictionaries: counts of four-letter sequences to a function of context and letter."""
+    order = 4
+    levels = {order: dict(counts)}
+    for k in range(order - 1, 0, -1):
+        low = {}
+        for gram in levels[k + 1]:
+            low[gram[1:]] = low.get(gram[1:], 0) + 1
+        levels[k] = low
+
+    def prob(gram, k, letters):
+        if k == 0:
+            return 1 / max(2, letters + 1)
+        gram = gram[-k:]
+        table = levels[k]
+        ones, twos = sum(v == 1 for v in table.values()), sum(v == 2 for v in table.values())
+        discount = ones / (ones + 2 * twos) if ones and twos else 0.5
+        same = {g: v for g, v in table.items() if g[:-1] == gram[:-1]}
+        total = sum(same.values())
+        if not total:
+            return prob(gram, k - 1, letters)
+        return max(same.get(gram, 0) - discount, 0) / total + discount * len(same) / total * prob(gram, k - 1, letters)
+
+    letters = len(levels[1])
+    return lambda gram: prob(gram, order, letters)
+
+
+def test_model_matches_a_dictionary_one():
+    from firegrid.llm.letters import letter_events
+
+    text = "la vie est belle et la mer est bleue. le chat est la. les amis sont la et la lune luit " * 2
+    other = "abba laba zzz est la nuit"
+    events = lambda t: letter_events(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))
+    g, n = np.unique(langid.grams(*events(text)), return_counts=True)
+    model = langid.build_model(["x"], np.zeros(len(g), int), g, n)
+    unpack = lambda x: tuple(int(x) >> 16 * k & 0xFFFF for k in (3, 2, 1, 0))
+    want = kneser_ney({unpack(x): int(c) for x, c in zip(g, n, strict=True)})
+    asked = np.concatenate((langid.grams(*events(text)), langid.grams(*events(other))))
+    assert np.allclose(np.exp(model.score(asked)[:, 0]), [want(unpack(x)) for x in asked], rtol=1e-4)
+
+
+def test_language_ties_repeats_nulls_and_letters_of_all_planes(spark):
+    rows = [(k, ("le chat dort sur la table " if k % 2 else "the cat sleeps on the table ") * (1 + k % 3), ["en", "fr"][k % 2]) for k in range(60)]
+    rows += [(2, "the cat sleeps", "en")] * 3 + [(None, "le chat", "fr"), (71, "\U00010400\U00010401\U00010402", None), (72, "\U0001d400\U0001d401", None), (73, "\u4f60\u597d", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "'x' as _lang", "1 as best", "2 as nth")
+    got = langid.identify(df, train_docs=10).toPandas()
+    assert len(got) == len(rows) and set(got[got.doc_id.isin([71, 72, 73])].lang_pred) <= {"en", "fr"}
+    assert got[got.doc_id.isna()].lang_pred.tolist() == ["fr"] and got[got.doc_id == 2].lang_pred.tolist() == ["en"] * 4
+    again = langid.identify(df.repartition(5), train_docs=10).toPandas()
+    key = ["doc_id", "lang_pred", "score", "entropy"]
+    assert got.sort_values(key)[key].round(9).astype(str).values.tolist() == again.sort_values(key)[key].round(9).astype(str).values.tolist()
+    kept = langid.known(df, train_docs=10)
+    assert kept.columns == df.columns and kept.count() == (~got.rejected).sum()
+
+
+def test_chosen_rows_are_those_of_the_smallest_hashes(spark):
+    rows = [(k % 900, f"t{k}", "ab"[k % 10 > 0]) for k in range(3000)] + [(5, f"same {k}", "c") for k in range(30)]
+    df = spark.createDataFrame(rows, "_id long, _text string, _lang string")
+    for most in (7, 100, 5000):
+        got = langid.choose(df, most).toPandas()
+        assert got.groupby("_lang").size().to_dict() == {k: min(most, sum(r[2] == k for r in rows)) for k in "abc"}
+        order = df.withColumn("h", F.shiftrightunsigned(F.xxhash64("_id"), 33)).toPandas().sort_values(["_lang", "h", "_id", "_text"])
+        want = order.groupby("_lang").head(most)
+        assert sorted(got._text) == sorted(want._text)
+
+
+def brute_segments(scores):
+    """Maximal scoring segments by their definition: the best one (leftmost, then shortest), then those left and right of it."""
+    out = []
+
+    def go(a, b):
+        best, where = 0.0, None
+        for i in range(a, b):
+            total = 0.0
+            for j in range(i, b):
+                total += scores[j]
+                if total > best + 1e-9:
+                    best, where = total, (i, j)
+        if where:
+            go(a, where[0])
+            out.append((*where, best))
+            go(where[1] + 1, b)
+
+    go(0, len(scores))
+    return out
+
+
+@given(st.lists(st.integers(-3, 4), max_size=18))
+def test_maximal_segments_are_all_of_them(scores):
+    scores = [s + 0.001 * k + 0.0003 for k, s in enumerate(scores)]  # without zeros and ties of sums
+    at = np.array([k for k, s in enumerate(scores) if s > 0], int)
+    lost = np.cumsum([max(-s, 0) for s in scores])[at] if len(at) else np.zeros(0)
+    found = toxicity.maximal_segments(at, np.array(scores)[at], 0.0, np.diff(lost, prepend=0.0))
+    want = brute_segments(scores)
+    assert [(a, b) for a, b, _ in found] == [(a, b) for a, b, _ in want]
+    assert [s for *_, s in found] == pytest.approx([s for *_, s in want])
+
+
+def test_extreme_value_law_is_recovered_from_its_own_segments():
+    rng = np.random.default_rng(7)
+    for decay, scale in ((0.7, 0.01), (2.5, 0.2)):
+        words, least = 400_000, 1.5
+        scores = least + rng.exponential(1 / decay, rng.poisson(scale * words * np.exp(-decay * least)))
+        law = toxicity.Law.fitted(len(scores), scores.sum(), scores.min(), words)
+        assert law.decay == pytest.approx(decay, rel=0.1) and law.scale == pytest.approx(scale, rel=0.35)
+    assert toxicity.Law.fitted(0, 0.0, 0.0, 500) == toxicity.Law(1.0, 1 / 500)
+
+
+def test_compiled_rules_match_a_row_wise_evaluator(spark):
+    described = """Tree 0 (weight 1.0):
+    If (feature 0 <= 2.5)
+     If (feature 6 <= 0.25)
+      Predict: 0.0
+     Else (feature 6 > 0.25)
+      Predict: 1.0
+    Else (feature 0 > 2.5)
+     Predict: 1.0
+  Tree 1 (weight 1.0):
+    If (feature 3 <= 1.0E-3)
+     Predict: 0.0
+    Else (feature 3 > 1.0E-3)
+     Predict: 1.0
+"""
+    rules = quality.tree_rules(described)
+    assert set(rules) == {((0, True, 2.5),), ((0, True, 2.5), (6, True, 0.25)), ((0, True, 2.5), (6, False, 0.25)), ((0, False, 2.5),), ((3, True, 1e-3),), ((3, False, 1e-3),)}
+    texts = [None, "", "A", "aaa bbb ccc " * 20, "CAPS CAPS", "x" * 500, "one two\none two\n", "é!!", "a b c"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "_id long, _text string")
+    stats = quality.text_statistics(docs, [])
+    got = stats.select("*", *(quality.rule_column(r).alias(f"r{k}") for k, r in enumerate(rules))).toPandas()
+    for _, row in got.iterrows():
+        for k, rule in enumerate(rules):
+            holds = all((row[quality.STATISTICS[f]] <= bound) == below for f, below, bound in rule)
+            assert row[f"r{k}"] == float(holds)
+
+
+def test_statistics_match_plain_python(spark):
+    import math
+
+    texts = ["", "A bb  CCC\n\n1 2!", "aa aa aa bb\naa aa aa bb\nx", "éé | é\t#", " lead", "x" * 300 + "\ny", "a\n\na\n"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "_id long, _text string")
+    got = quality.text_statistics(docs, []).toPandas().sort_values("_id").to_dict("records")
+    for t, row in zip(texts, got, strict=True):
+        raw = t.encode()
+        words = raw.split()
+        n = len(raw)
+        lines = raw[:-1].split(b"\n") if raw.endswith(b"\n") else raw.split(b"\n")
+        lines = lines if n else []
+        assert row["bytes"] == pytest.approx(math.log1p(n)) and row["words"] == pytest.approx(math.log1p(len(words)))
+        assert row["longest_word"] == pytest.approx(math.log1p(max(map(len, words), default=0)))
+        assert row["mean_word"] == pytest.approx(sum(map(len, words)) / max(len(words), 1))
+        assert row["repeated_word"] == pytest.approx(sum(a == b for a, b in zip(words, words[1:], strict=False)) / max(len(words), 1))
+        for name, members in quality.CLASSES.items():
+            assert row[name] == pytest.approx(sum(b in members for b in raw) / max(n, 1)), name
+
+
 @given(st.lists(st.tuples(st.integers(1, 6), st.floats(0.5, 5)), max_size=12))
 def test_maximal_segments_hold_the_best_one(gaps):
     at = np.cumsum([g for g, _ in gaps]).astype(int) if gaps else np.zeros(0, int)
@@ -243,6 +434,9 @@ def test_toxicity(spark):
     held = got[got.held_out & (got.doc_id >= 0)]
     assert ((held.score >= 0.7) == (held.doc_id % 6 == 0)).mean() > 0.98
     assert (got[got.doc_id < 0].score < 0.5).all()
+    twice = toxicity.toxicity(docs.unionByName(docs.where("doc_id in (0, 1, 6)")), labels).toPandas()
+    pairs = twice[twice.doc_id.isin([0, 1, 6])].groupby("doc_id").score.nunique()
+    assert len(twice) == 607 and pairs.tolist() == [1, 1, 1]
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
     assert toxicity.toxicity(docs, labels.limit(0)).select("score").distinct().collect()[0][0] == 0
 
@@ -253,6 +447,9 @@ def test_quality(spark):
     assert len(got) == 604 and got.score.between(0, 1).all()
     held = got[got.held_out & (got.doc_id >= 0)]
     assert ((held.score >= 0.5) == (held.doc_id % 5 != 0)).mean() > 0.98
+    many = labels.unionByName(labels.where("doc_id < 50").withColumn("quality", F.lit(0)))  # the largest of an id's labels counts
+    again = quality.quality(docs.unionByName(docs.where("doc_id in (0, 1)")), many).toPandas()
+    assert len(again) == 606 and again.groupby("doc_id").score.nunique().max() == 1
     assert quality.quality(docs.limit(0), labels).count() == 0
     assert quality.quality(docs, labels.limit(0)).select("score").distinct().collect()[0][0] == 0.5
 
