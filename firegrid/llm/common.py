@@ -63,8 +63,12 @@ def join_counted(rows: DataFrame, table: DataFrame, key: str, count: str, total:
     names = [c for c in table.columns if c not in (key, count)]
     hot = table.where(F.col(count) > max(total // MOST_HOT, 1000)).select(key, F.struct(*names).alias("_hot"))
     marked = rows.join(F.broadcast(hot), key, "left")
-    usual = marked.where("_hot is null").drop("_hot").join(table.select(key, *names), key)
-    return usual.unionByName(marked.where("_hot is not null").select(*(c if c in rows.columns else F.col(f"_hot.{c}").alias(c) for c in usual.columns)))
+    # A hot row meets nothing below: its key there is a number that no other key has, dealt over all tasks.
+    other = table.select(F.col(key).alias("_of"), F.struct(*names).alias("_usual"))
+    marked = marked.withColumn("_deal", F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 20))))
+    found = marked.join(other.withColumn("_none", F.lit(0)), (F.col(key) == F.col("_of")) & (F.col("_deal") == F.col("_none")), "left")
+    found = found.withColumn("_found", F.coalesce("_hot", "_usual")).where("_found is not null")
+    return found.select(*rows.columns, *(F.col(f"_found.{n}").alias(n) for n in names))
 
 
 def text_steps(column: pa.Array, limit: int = STEP_BYTES):

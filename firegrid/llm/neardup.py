@@ -317,7 +317,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     # Each document with its most similar leader, then with more of the leaders that still lie apart.
     links, tested = None, None
-    for width in (1, 4, BANDS):
+    for width in (1, BANDS):
         open_ = candidates if tested is None else _crossing(candidates, labels, "x", "y").join(tested, ["x", "y"], "left_anti")
         nth = Window.partitionBy("x").orderBy(F.desc("est"), "y")
         found = stage(open_.withColumn("nth", F.row_number().over(nth)).where(F.col("nth") <= width).select("x", "y"), "leaders")
