@@ -174,12 +174,13 @@ def choose(labelled: DataFrame, train_docs: int) -> DataFrame:
     in one task. Where ids repeat so that too few stay, all are ranked.
     """
     place = F.shiftrightunsigned(F.xxhash64("_id"), 33)
-    sizes = {r["_lang"]: r["count"] for r in labelled.groupBy("_lang").count().collect()}  # a row per language
+    sizes = {r["_lang"]: r["count"] for r in labelled.groupBy("_lang").count().collect()}  # a row per language, as the models are
     spark = labelled.sparkSession
+    small = F.broadcast if len(sizes) <= 10_000 else lambda t: t
     first = Window.partitionBy("_lang").orderBy("_place", "_id", "_text")
     for spare in (1.5, None):
         bounds = spark.createDataFrame([(k, 2**31 if spare is None else int(min(1.0, spare * train_docs / n) * 2**31)) for k, n in sizes.items()], "_of string, _most long")
-        near = labelled.withColumn("_place", place).join(bounds, F.col("_lang") == F.col("_of")).where(F.col("_place") <= F.col("_most"))
+        near = labelled.withColumn("_place", place).join(small(bounds), F.col("_lang") == F.col("_of")).where(F.col("_place") <= F.col("_most"))
         chosen = stage(near.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= train_docs).select("_id", "_lang", "_text", "nth"), "sample")
         got = {r["_lang"]: r["count"] for r in chosen.groupBy("_lang").count().collect()}
         if all(got.get(k, 0) == min(n, train_docs) for k, n in sizes.items()):
