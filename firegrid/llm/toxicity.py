@@ -122,6 +122,10 @@ class Law:
         decay = segments / max(total - segments * least, 1e-3 * segments)
         return cls(decay, segments / max(words, 1) * float(np.exp(min(decay * least, 500.0))))
 
+    def least_score(self, words: np.ndarray, most: float) -> np.ndarray:
+        """A little less than the score of which ``most`` are expected."""
+        return np.log(np.maximum(self.scale * words, 1e-300) / most) / self.decay - 1e-9
+
     def log_expected(self, words: Column, score: Column) -> Column:
         return F.log(words * F.lit(self.scale)) - F.lit(self.decay) * score
 
@@ -153,8 +157,8 @@ def log_odds(toxic, clean, toxic_docs: int, clean_docs: int):
 _SEGMENTS = "array<struct<first:int,last:int,score:double>>"
 
 
-def _scan(docs: DataFrame, lexicon: Lexicon, kind: str) -> DataFrame:
-    """``_id, words, segments`` per row of ``_id, _text``: the number of words and all maximal segments."""
+def _scan(docs: DataFrame, lexicon: Lexicon, kind: str, law: Law | None = None, most: float = 1.0) -> DataFrame:
+    """``_id, words, segments`` per row of ``_id, _text``: the number of words and all maximal segments; with a law, those of which fewer than ``most`` are expected by chance."""
     segment = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64())]))
 
     def run(batches):
@@ -164,9 +168,11 @@ def _scan(docs: DataFrame, lexicon: Lexicon, kind: str) -> DataFrame:
                 weights = lexicon.of(features)
                 hot = np.concatenate(([0], np.cumsum(weights > 0)))
                 found = [[] for _ in range(j - i)]
+                words = np.diff(first)
+                least = law.least_score(words, most) if law else np.full(j - i, -np.inf)
                 for t in np.flatnonzero(hot[first[1:]] > hot[first[:-1]]):
-                    found[t] = [{"first": a, "last": b, "score": s} for a, b, s in lexicon.segments(weights[first[t] : first[t + 1]])]
-                yield pa.RecordBatch.from_arrays([batch.column("_id").slice(i, j - i), pa.array(np.diff(first)), pa.array(found, segment)], ["_id", "words", "segments"])
+                    found[t] = [{"first": a, "last": b, "score": s} for a, b, s in lexicon.segments(weights[first[t] : first[t + 1]]) if s >= least[t]]
+                yield pa.RecordBatch.from_arrays([batch.column("_id").slice(i, j - i), pa.array(words), pa.array(found, segment)], ["_id", "words", "segments"])
 
     return docs.mapInArrow(run, f"_id {kind}, words long, segments {_SEGMENTS}")
 
@@ -241,4 +247,4 @@ def toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     x, y = curve["evidence"].to_numpy(), curve["toxic"].to_numpy().astype(float)
     a, b = platt(np.log1p(x), y)
     score = 1 / (1 + F.exp(-(F.lit(float(max(a, 0.0))) * F.log1p("evidence") + F.lit(float(b)))))
-    return _judged(_scan(docs, lexicon(0, 0), kind), law, most).select(F.col("_id").alias(id_col), held, score.alias("score"), "passages")
+    return _judged(_scan(docs, lexicon(0, 0), kind, law, most), law, most).select(F.col("_id").alias(id_col), held, score.alias("score"), "passages")
