@@ -117,6 +117,47 @@ def cell_center(cell: Column) -> tuple[Column, Column]:
     return laea_inverse(*cell_xy(cell))
 
 
+def cell_ring(cell: Column) -> Column:
+    """A cell's outline as a closed array of ``(lon, lat)``, counter-clockwise from the corner to the north-east."""
+    x, y = cell_xy(cell)
+    edge = _edge(cell_level(cell))
+    corners = F.array(*(F.struct((x + edge * math.cos(math.radians(30 + 60 * k))).alias("x"), (y + edge * math.sin(math.radians(30 + 60 * k))).alias("y")) for k in (0, 1, 2, 3, 4, 5, 0)))
+
+    def degrees(p: Column) -> Column:
+        lat, lon = laea_inverse(p["x"], p["y"])
+        return F.struct(lon.alias("lon"), lat.alias("lat"))
+
+    return F.transform(corners, degrees)
+
+
+def cells_for_bbox(box: Column, resolution: int) -> Column:
+    """Array of all cells that touch a box ``(west, south, east, north)`` of degrees.
+
+    Candidates come from the plane around the box's outline, whose meridians and
+    parallels bend there, with a margin. A cell touches the box if its centre or a
+    corner lies in it, or if it holds a point of the outline (taken every 1/16 of a
+    side and at least every fifth of an edge for boxes up to 3 edges wide).
+    """
+    steps = 16
+    w, s, e, n = (box[k] for k in ("west", "south", "east", "north"))
+    along = [(w + (e - w) * k / steps, s) for k in range(steps + 1)] + [(w + (e - w) * k / steps, n) for k in range(steps + 1)] + [(w, s + (n - s) * k / steps) for k in range(steps + 1)] + [(e, s + (n - s) * k / steps) for k in range(steps + 1)]
+    points = F.array(*(F.struct(*(c.alias(name) for c, name in zip(laea_forward(lat, lon), "xy", strict=True))) for lon, lat in along))
+    edge = edge_m(resolution)
+    least, most = (lambda c: F.array_min(F.transform(points, lambda p: p[c]))), (lambda c: F.array_max(F.transform(points, lambda p: p[c])))
+    bend = (most("x") - least("x") + most("y") - least("y")) / (2 * steps) + 2 * edge  # what lies between two points of the outline, and a cell's own size
+    x0, x1, y0, y1 = least("x") - bend, most("x") + bend, least("y") - bend, most("y") + bend
+    lo_r, hi_r = F.floor(y0 / (edge * 1.5)), F.ceil(y1 / (edge * 1.5))
+    lo_q, hi_q = F.floor(x0 / (edge * math.sqrt(3)) - hi_r / 2), F.ceil(x1 / (edge * math.sqrt(3)) - lo_r / 2)
+    inside = lambda p: p["lon"].between(w, e) & p["lat"].between(s, n)
+
+    def touches(cell: Column) -> Column:
+        lat, lon = cell_center(cell)
+        return (lon.between(w, e) & lat.between(s, n)) | F.exists(cell_ring(cell), inside)
+
+    outline = F.transform(points, lambda p: cell_of_xy(p["x"], p["y"], resolution))
+    return F.array_sort(F.array_distinct(F.concat(F.filter(cells_between(lo_q, hi_q, lo_r, hi_r, resolution), touches), outline)))
+
+
 def cell_parent(cell: Column, resolution: int) -> Column:
     """The coarser cell that holds the cell's centre."""
     return F.when(cell_level(cell) <= resolution, cell).otherwise(cell_of_xy(*cell_xy(cell), resolution))

@@ -26,9 +26,35 @@ def positive_rows(events: DataFrame, strict: Column) -> DataFrame:
     return t.select("cell", "date", F.col("f.id").alias("id"), F.col("f.combustible").alias("combustible"), F.col("f.category").alias("category"), "low_geo_confidence", "strict", "events", "ids")
 
 
-def exclusion_reason(missing: Column, combustible: Column, geography: Column) -> Column:
-    """Why a row is left out: missing features before non-combustible before geography."""
-    return F.when(missing, "missing_static_features").when(~combustible, "non_combustible_cell").when(geography, "insufficient_geographic_confidence")
+#: Why a row is left out, in order of precedence (fixed values).
+REASONS = ["unknown_cause", "natural_cause", "indeterminate", "certain_duplicate", "insufficient_geographic_quality", "non_combustible_cell", "missing_features", "invalid_snapshot", "future_data", "out_of_period", "out_of_territory", "weather_unavailable", "technical_error"]
+
+#: A strict row's reasons, the first that holds: without features nothing is known of the cell, and location matters only where it burns.
+STRICT = ["missing_features", "non_combustible_cell", "insufficient_geographic_quality"]
+
+
+def exclusion_reason(checks: dict[str, Column], order: list[str] = REASONS) -> Column:
+    """The first reason in ``order`` whose check holds, null if none does; a null check doesn't hold."""
+    unknown = set(checks) - set(REASONS)
+    if unknown:
+        raise ValueError(f"unknown reasons: {sorted(unknown)}")
+    out = F.lit(None).cast("string")
+    for name in reversed([r for r in order if r in checks]):
+        out = F.when(checks[name], name).otherwise(out)
+    return out
+
+
+def exclusions(events: DataFrame, period: Column, checks: dict[str, Column], strict: dict[str, Column], positives: DataFrame) -> DataFrame:
+    """``id, cell, date, reason`` of all that a build leaves out.
+
+    Each event outside ``period``, else each later member of a certain duplicate,
+    else each whose ``checks`` name a reason; and each cell-day of ``positives``
+    that the strict rule refuses, with the first of its reasons and no event id.
+    """
+    reason = F.when(~F.coalesce(period, F.lit(False)), "out_of_period").when(F.col("duplicate"), "certain_duplicate").otherwise(exclusion_reason(checks))
+    of_events = events.select("id", "cell", "date", reason.alias("reason")).where("reason is not null")
+    of_days = positives.select(F.lit(None).cast(events.schema["id"].dataType).alias("id"), "cell", "date", exclusion_reason(strict, STRICT).alias("reason")).where("reason is not null")
+    return of_events.unionByName(of_days)
 
 
 def pilot_negatives(cells: DataFrame, years: list[int], n: int, seed: str) -> DataFrame:
@@ -39,16 +65,17 @@ def pilot_negatives(cells: DataFrame, years: list[int], n: int, seed: str) -> Da
 
 
 def draw_pool(cells: DataFrame, first: str, days: int, n: int, seed: int) -> DataFrame:
-    """``n`` deterministic draws ``draw, cell, date`` from combustible cells and days, without repeats."""
+    """``n`` deterministic draws ``draw, cell, date`` from combustible cells and days, without repeats. Cells are numbered within 256 buckets of their md5 and across these; draws take numbers and days from md5 too."""
     spark = cells.sparkSession
     c = cells.where("combustible").select("cell")
     count = c.count()
-    order = Window.partitionBy("_b").orderBy("cell")
-    bucket = F.pmod(F.xxhash64("cell"), F.lit(64))
+    number = lambda *parts: F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 12), 16, 10).cast("long")
+    bucket = F.conv(F.substring(F.md5(F.col("cell").cast("string")), 1, 2), 16, 10).cast("int")
     sizes = c.groupBy(bucket.alias("_b")).agg(F.count("*").alias("k"))
-    offsets = sizes.select("_b", F.coalesce(F.sum("k").over(Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))  # 64 rows
-    ranked = c.withColumn("_b", bucket).join(F.broadcast(offsets), "_b").select("cell", (F.row_number().over(order) - 1 + F.col("base")).alias("rank"))
-    draws = spark.range(n).select(F.col("id").alias("draw"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(max(count, 1))).alias("rank"), F.date_add(F.lit(first).cast("date"), F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.lit(days)).cast("int")).alias("date"))
+    offsets = sizes.select("_b", F.coalesce(F.sum("k").over(Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))  # 256 rows
+    ranked = c.withColumn("_b", bucket).join(F.broadcast(offsets), "_b").select("cell", (F.row_number().over(Window.partitionBy("_b").orderBy("cell")) - 1 + F.col("base")).alias("rank"))
+    draw = F.col("id").cast("string")
+    draws = spark.range(n).select(F.col("id").alias("draw"), (number(F.lit(f"{seed}"), draw, F.lit("cell")) % max(count, 1)).alias("rank"), F.date_add(F.lit(first).cast("date"), (number(F.lit(f"{seed}"), draw, F.lit("day")) % days).cast("int")).alias("date"))
     return top_per(draws.join(ranked, "rank"), ["cell", "date"], ["draw"]).select("draw", "cell", "date")
 
 
@@ -84,7 +111,7 @@ def stratified_select(candidates: DataFrame, positives: DataFrame, ratio: float,
 
 def row_features(rows: DataFrame, features: DataFrame, calendar: DataFrame, columns: list[str]) -> DataFrame:
     """Rows with coarse features and calendar flags; missing numbers count 0."""
-    return rows.join(features, "cell", "left").join(F.broadcast(calendar), "date", "left").na.fill(0, columns)
+    return rows.join(features, "cell", "left").join(calendar, "date", "left").na.fill(0, columns)
 
 
 def build_variants(positives: DataFrame, negatives: dict[str, DataFrame]) -> DataFrame:
@@ -99,6 +126,11 @@ def build_variants(positives: DataFrame, negatives: dict[str, DataFrame]) -> Dat
     return out.withColumn("row_key", row_checksum(F.col("variant"), F.col("cell"), F.col("date"), F.col("label")))
 
 
+def variant_stats(rows: DataFrame) -> DataFrame:
+    """Per variant and label: rows, distinct keys with the first and last of them, and the days."""
+    return rows.groupBy("variant", "label").agg(F.count("*").alias("n"), F.countDistinct("row_key").alias("keys"), F.min("row_key").alias("first_key"), F.max("row_key").alias("last_key"), F.min("date").alias("first_day"), F.max("date").alias("last_day"))
+
+
 def leakage_checks(rows: DataFrame, bounds: dict[str, tuple[str, str]]) -> DataFrame:
     """Violations per rule: dates outside their split, cell-days in several splits, cell-days with both labels, repeated keys."""
     late = F.lit(False)
@@ -198,8 +230,14 @@ def population_report(rows: DataFrame) -> DataFrame:
     return rows.groupBy("split").agg(F.count("*").alias("rows"), F.count_if(both).alias("comparable"), F.count_if(both & (F.col("label") == 1)).alias("positives"), F.countDistinct("cell", "date").alias("cell_days"))
 
 
-def passes(metrics: DataFrame, least: dict[str, float], most: dict[str, float]) -> DataFrame:
-    """Whether each metric row meets all bounds."""
+#: A candidate's fixed bounds for promotion, and the least ROC AUC for a trained model to be activated (fixed values).
+AT_LEAST = {"average_precision_gain": 0.0, "auc": 0.60, "lift_10": 1.5}
+AT_MOST = {"brier": 0.20, "ece": 0.10}
+LEAST_TRAINED_AUC = 0.52
+
+
+def passes(metrics: DataFrame, least: dict[str, float] = AT_LEAST, most: dict[str, float] = AT_MOST) -> DataFrame:
+    """Whether each metric row meets all bounds; a null metric meets none."""
     ok = F.lit(True)
     for name, bound in least.items():
         ok = ok & (F.col(name) >= bound)
@@ -212,6 +250,6 @@ def exclusion_census(candidates: DataFrame, events: DataFrame, by: str = "cause"
     """How many candidates each strategy rules out, by an attribute of the event (a candidate may count under several)."""
     found = None
     for s in ("N0", "N1", "N2", "N3"):
-        hit = near_events(candidates, events, s).join(events.select("event", by), "event").select("key", by).distinct().withColumn("strategy", F.lit(s))
+        hit = near_events(candidates, events, s, [by]).select("key", by).distinct().withColumn("strategy", F.lit(s))
         found = hit if found is None else found.unionByName(hit)
     return found.groupBy(by).agg(*(F.count_if(F.col("strategy") == s).alias(s.lower()) for s in ("N0", "N1", "N2", "N3")))

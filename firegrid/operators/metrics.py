@@ -6,19 +6,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def running(df: DataFrame, by: list[str], order: list, sums: dict[str, str], parts: int = 64, span: tuple[float, float] = (0.0, 1.0)) -> DataFrame:
-    """Running sums *before* each row in descending ``order[0]``, in two levels: score ranges, then rows within a range. No task holds a whole group."""
+def running(df: DataFrame, by: list[str], order: list, sums: dict[str, str], parts: int = 64) -> DataFrame:
+    """Running sums *before* each row in descending ``order[0]``, in two levels: ranges between quantiles of it, then rows within a range. No task holds a whole group, however its values crowd; only rows of one equal value stay together."""
     name = order[0]
-    lo, hi = span
-    width = (F.col(name) - lo) / (hi - lo) * parts
-    cut = F.greatest(F.lit(0), F.least(F.lit(parts - 1), F.floor(width)))
-    t = df.withColumn("_cut", cut)
+    cuts = df.agg(F.array_distinct(F.percentile_approx(name, F.array(*(F.lit(k / parts) for k in range(1, parts))), F.lit(10_000))).alias("_cuts"))
+    t = df.crossJoin(F.broadcast(cuts)).withColumn("_cut", F.size(F.filter("_cuts", lambda c: c < F.col(name)))).drop("_cuts")  # one row
     totals = t.groupBy(*by, "_cut").agg(*(F.sum(c).alias(f"_t_{n}") for n, c in sums.items()))
     above = Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.desc("_cut")).rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*by, "_cut", *(F.coalesce(F.sum(f"_t_{n}").over(above), F.lit(0)).alias(f"_b_{n}") for n in sums))
     inner = Window.partitionBy(*by, "_cut").orderBy(F.desc(name), *order[1:]).rowsBetween(Window.unboundedPreceding, -1)
-    on = [*by, "_cut"]
-    t = t.join(totals, on)
+    t = t.join(totals, [*by, "_cut"])
     for n, c in sums.items():
         t = t.withColumn(n, F.col(f"_b_{n}") + F.coalesce(F.sum(c).over(inner), F.lit(0)))
     return t.drop("_cut", *(f"_b_{n}" for n in sums))
@@ -42,17 +39,29 @@ def average_precision(df: DataFrame, key: str, score: str = "score", label: str
     return r.groupBy(*by).agg(F.coalesce(F.avg(p), F.lit(0.0)).alias("average_precision"))
 
 
+def top_metrics(df: DataFrame, key: str, fractions: tuple[float, ...], score: str = "score", label: str = "label", by: list[str] | None = None) -> DataFrame:
+    """One row per group with ``k_1, precision_1, recall_1, lift_1`` and so on, by per cent: among the first ``max(1, ceil(n * f))`` rows by score, then key. Recall and lift are 0 without positives."""
+    by = by or []
+    n = df.groupBy(*by).agg(F.count("*").alias("n"), F.sum(label).alias("positives"))
+    ranked = running(df.withColumn("_one", F.lit(1)), by, [score, key], {"rank": "_one"})
+    ranked = ranked.join(n, by) if by else ranked.crossJoin(F.broadcast(n))  # one row
+    k = {f: F.greatest(F.lit(1), F.ceil(F.col("n") * f)) for f in fractions}
+    t = ranked.groupBy(*by, "n", "positives").agg(*(F.count_if(F.col("rank") < c).alias(f"k_{_percent(f)}") for f, c in k.items()), *(F.sum(F.when(F.col("rank") < c, F.col(label)).otherwise(0)).alias(f"_tp_{_percent(f)}") for f, c in k.items()))
+    for p in map(_percent, fractions):
+        t = t.withColumn(f"precision_{p}", F.col(f"_tp_{p}") / F.col(f"k_{p}"))
+        t = t.withColumn(f"recall_{p}", F.coalesce(F.try_divide(F.col(f"_tp_{p}").cast("double"), F.col("positives").cast("double")), F.lit(0.0)))
+        t = t.withColumn(f"lift_{p}", F.coalesce(F.try_divide(F.col(f"precision_{p}"), F.col("positives") / F.col("n")), F.lit(0.0))).drop(f"_tp_{p}")
+    return t.drop("n", "positives")
+
+
+def _percent(fraction: float) -> str:
+    return f"{100 * fraction:g}"
+
+
 def at_top(df: DataFrame, key: str, fractions: tuple[float, ...], score: str = "score", label: str = "label") -> DataFrame:
-    """Precision, recall and lift among the first ``max(1, ceil(n * f))`` rows by score, then key."""
-    n = df.agg(F.count("*").alias("n"), F.sum(label).alias("positives"))
-    r = running(df.withColumn("_one", F.lit(1)), [], [score, key], {"rank": "_one"}).crossJoin(F.broadcast(n))  # one row
-    out = None
-    for f in fractions:
-        k = F.greatest(F.lit(1), F.ceil(F.col("n") * f))
-        t = r.where(F.col("rank") < k).agg(F.count("*").alias("k"), F.sum(label).alias("tp"), F.max("n").alias("n"), F.max("positives").alias("positives"))
-        t = t.select(F.lit(f).alias("fraction"), "k", (F.col("tp") / F.col("k")).alias("precision"), F.try_divide(F.col("tp").cast("double"), F.col("positives").cast("double")).alias("recall"), F.try_divide(F.col("tp") / F.col("k"), F.col("positives") / F.col("n")).alias("lift"))
-        out = t if out is None else out.unionByName(t)
-    return out
+    """:func:`top_metrics` of a whole table, a row per fraction."""
+    rows = (F.struct(F.lit(f).alias("fraction"), *(F.col(f"{n}_{_percent(f)}").alias(n) for n in ("k", "precision", "recall", "lift"))) for f in fractions)
+    return top_metrics(df, key, fractions, score, label).select(F.explode(F.array(*rows)).alias("x")).select("x.*")
 
 
 def approx_auc(df: DataFrame, score: str = "score", label: str = "label", bins: int = 1000) -> DataFrame:
@@ -60,11 +69,12 @@ def approx_auc(df: DataFrame, score: str = "score", label: str = "label", bins:
     return roc_auc(df.withColumn(score, F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(score))) * bins + 0.5) / F.lit(float(bins))), score, label)
 
 
-def ece(df: DataFrame, score: str = "score", label: str = "label", bins: int = 10) -> DataFrame:
+def ece(df: DataFrame, score: str = "score", label: str = "label", bins: int = 10, by: list[str] | None = None) -> DataFrame:
     """Expected calibration error over equal bins."""
+    by = by or []
     b = F.least(F.floor(F.col(score) * bins), F.lit(bins - 1))
-    g = df.groupBy(b.alias("bin")).agg(F.count("*").alias("n"), F.avg(score).alias("s"), F.avg(label).alias("l"))
-    return g.agg((F.sum(F.col("n") * F.abs(F.col("s") - F.col("l"))) / F.sum("n")).alias("ece"))
+    g = df.groupBy(*by, b.alias("bin")).agg(F.count("*").alias("n"), F.avg(score).alias("s"), F.avg(label).alias("l"))
+    return g.groupBy(*by).agg((F.sum(F.col("n") * F.abs(F.col("s") - F.col("l"))) / F.sum("n")).alias("ece"))
 
 
 def point_metrics(df: DataFrame, score: str = "score", label: str = "label", threshold: float = 0.5, by: list[str] | None = None) -> DataFrame:
@@ -78,10 +88,12 @@ def point_metrics(df: DataFrame, score: str = "score", label: str = "label", thr
     return t.withColumn("f1", div(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))).drop("tp", "fp", "fn")
 
 
-def split_metrics(df: DataFrame, key: str, by: str, score: str = "score", label: str = "label") -> DataFrame:
-    """One row per split: counts, prevalence, ROC AUC, average precision and the point metrics."""
-    base = df.groupBy(by).agg(F.count("*").alias("n"), F.sum(label).alias("positives"), F.avg(label).alias("prevalence"))
-    return base.join(roc_auc(df, score, label, [by]), by).join(average_precision(df, key, score, label, [by]), by).join(point_metrics(df, score, label, by=[by]), by)
+def split_metrics(df: DataFrame, key: str, by: str, score: str = "score", label: str = "label", fractions: tuple[float, ...] = (0.01, 0.05, 0.1)) -> DataFrame:
+    """One row per split: rows and positive rate, ROC AUC, average precision, the point metrics, calibration error, and precision, recall and lift among the first rows."""
+    out = df.groupBy(by).agg(F.count("*").alias("n"), F.sum(label).alias("positives"), F.avg(label).alias("positive_rate"))
+    for more in (roc_auc(df, score, label, [by]), average_precision(df, key, score, label, [by]), point_metrics(df, score, label, by=[by]), ece(df, score, label, by=[by]), top_metrics(df, key, fractions, score, label, [by])):
+        out = out.join(more, by)
+    return out
 
 
 def baseline_rates(train: DataFrame, least: int = 10) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -116,16 +128,43 @@ def top_overlap(df: DataFrame, key: str, a: str, b: str, k: int) -> DataFrame:
     return t.agg(F.count_if(in_a & in_b).alias("both"), F.count_if(in_a & ~in_b).alias("only_a"), F.count_if(~in_a & in_b).alias("only_b"), F.count_if(~in_a & ~in_b).alias("neither"))
 
 
-def bootstrap(df: DataFrame, key: str, metrics: dict, unit: str = "date", rounds: int = 200, seed: int = 11) -> DataFrame:
-    """Metrics on ``rounds`` draws of whole dates with replacement; every score uses the same draws. ``metrics``: name to an aggregate column over ``w``-weighted rows."""
+def drawn_dates(df: DataFrame, unit: str, rounds: int, seed: int) -> DataFrame:
+    """``round, <unit>, w``: how often each round draws each date, as many draws with replacement as there are dates. A date's number and a draw's pick come from md5, so draws are the same everywhere."""
     dates = df.select(unit).distinct()
     n = dates.count()
     numbered = dates.withColumn("_no", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(unit)) - 1)  # dates are few
-    spark = df.sparkSession
-    draws = spark.range(rounds).select(F.col("id").alias("round"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"))
-    pick = F.pmod(F.xxhash64(F.lit(seed), "round", "i"), F.lit(n))
-    weights = draws.withColumn("_no", pick).groupBy("round", "_no").agg(F.count("*").alias("w")).join(numbered, "_no")
-    return df.join(weights, unit).groupBy("round").agg(*(m.alias(name) for name, m in metrics.items()))
+    draws = df.sparkSession.range(rounds).select(F.col("id").alias("round"), F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1))).alias("i"))
+    pick = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("round").cast("string"), F.col("i").cast("string"))), 1, 8), 16, 10).cast("long") % max(n, 1)
+    return draws.select("round", pick.cast("int").alias("_no")).groupBy("round", "_no").agg(F.count("*").alias("w")).join(numbered, "_no").drop("_no")
+
+
+def bootstrap(df: DataFrame, scores: list[str], label: str = "label", unit: str = "date", rounds: int = 200, seed: int = 11, steps: int = 1000) -> DataFrame:
+    """``round, score, auc, average_precision, brier`` on ``rounds`` draws of whole dates with replacement; all scores take the same draws.
+
+    Rows are summed up by date and score first, scores rounded to ``steps`` steps
+    for the ranked metrics, so what meets the draws has at most ``steps + 1`` rows
+    per date and score, however long the table is. Rows of one step share the
+    precision at its end.
+    """
+    step = lambda s: F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(s))) * steps + 0.5)
+    long = df.select(unit, F.col(label).alias("y"), F.explode(F.array(*(F.struct(F.lit(s).alias("score"), step(s).alias("s"), F.pow(F.col(s) - F.col(label), 2).alias("e")) for s in scores))).alias("x")).select(unit, "y", "x.*")
+    sums = long.groupBy(unit, "score", "s").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"), F.sum("e").alias("e"))
+    drawn = sums.join(drawn_dates(df, unit, rounds, seed), unit).groupBy("round", "score", "s").agg(*(F.sum(F.col("w") * F.col(c)).alias(c) for c in ("p", "n", "e")))
+    r = running(drawn, ["round", "score"], ["s"], {"above_p": "p", "above_n": "n"})
+    p, n = F.col("p"), F.col("n")
+    precision = F.try_divide(F.col("above_p") + p, F.col("above_p") + p + F.col("above_n") + n)
+    t = r.groupBy("round", "score").agg(F.sum(n * (F.col("above_p") + p / 2.0)).alias("won"), F.sum(p * precision).alias("hit"), F.sum("p").alias("tp"), F.sum("n").alias("tn"), F.sum("e").alias("e"))
+    auc = F.coalesce(F.try_divide(F.col("won").cast("double"), (F.col("tp") * F.col("tn")).cast("double")), F.lit(0.5))
+    return t.select("round", "score", auc.alias("auc"), F.coalesce(F.try_divide(F.col("hit"), F.col("tp").cast("double")), F.lit(0.0)).alias("average_precision"), (F.col("e") / (F.col("tp") + F.col("tn"))).alias("brier"))
+
+
+BOOTSTRAPPED = ["auc", "average_precision", "brier"]
+
+
+def differences(rounds: DataFrame, a: str, b: str) -> DataFrame:
+    """Per round the metrics of score ``a`` minus those of ``b``, from the same draws."""
+    of = lambda s, sign: rounds.where(F.col("score") == s).select("round", *((sign * F.col(m)).alias(m) for m in BOOTSTRAPPED))
+    return of(a, 1).unionByName(of(b, -1)).groupBy("round").agg(*(F.sum(m).alias(m) for m in BOOTSTRAPPED))
 
 
 def interval(rounds: DataFrame, names: list[str]) -> DataFrame:
@@ -138,7 +177,7 @@ def feature_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in columns))).alias("x")).select("x.*")
     base = long.groupBy("feature").agg(F.count("v").alias("present"), F.count_if(F.col("v").isNull()).alias("missing"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     values = long.where("v is not null").groupBy("feature", "v").agg(F.count("*").alias("n"))
-    span = values.join(F.broadcast(base.select("feature", "lo", "hi", "present")), "feature")  # a row per feature
+    span = values.join(base.select("feature", "lo", "hi", "present"), "feature")
     scaled = span.withColumn("_s", F.when(F.col("hi") > F.col("lo"), 1 - (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0))
     r = running(scaled, ["feature"], ["_s"], {"before": "n"})
     at = lambda q: F.floor((F.col("present") - 1) * q + 0.5)

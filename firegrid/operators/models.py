@@ -113,3 +113,11 @@ def importances(model, columns: list[str]) -> list[tuple[str, float]]:
     """Coefficients or split importances by feature."""
     values = model.coefficients if hasattr(model, "coefficients") else model.featureImportances
     return list(zip(columns, map(float, values.toArray()), strict=True))
+
+
+def feature_importances(train: DataFrame, columns: list[str]) -> DataFrame:
+    """``feature, coefficient, importance``: of a logistic model and of boosted trees on the same standardised rows."""
+    rules = fit_transform(train, {c: "standard" for c in columns})
+    t, names = transform(train, rules), list(rules)
+    linear, trees = dict(importances(fit_logistic(t, names), names)), dict(importances(fit_trees(t, names), names))
+    return train.sparkSession.createDataFrame([(n, linear[n], trees[n]) for n in names], "feature string, coefficient double, importance double")

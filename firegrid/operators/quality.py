@@ -38,10 +38,15 @@ def centroid_status(events: Column, municipalities: Column, years: Column, preci
 
 
 def assess_geography(status: Column, precision: Column, official: Column | None = None) -> Column:
-    """Category and confidence of a location."""
-    of = lambda c, v: F.struct(F.lit(c).alias("category"), F.lit(v).alias("confidence"))
-    start = F.when(official, of("municipality_centroid_confirmed", 1.0)) if official is not None else F.when(F.lit(False), of("", 0.0))
-    return start.when(status == "probable_centroid", of("municipality_centroid_probable", 0.75)).when(precision <= 3, of("rounded_coordinate_probable", 0.65)).otherwise(of("precision_undocumented", 0.5))
+    """Category, confidence and reasons of a location (the names are fixed values)."""
+    of = lambda c, v, *r: F.struct(F.lit(c).alias("category"), F.lit(v).alias("confidence"), F.array(*map(F.lit, r)).alias("reasons"))
+    known = F.coalesce(official, F.lit(False)) if official is not None else F.lit(False)
+    return (
+        F.when(known, of("municipality_centroid_confirmed", 1.0, "official_versioned_centroid_match"))
+        .when(status == "probable_centroid", of("municipality_centroid_probable", 0.75, "same_coordinate_repeated_within_one_municipality", "multiple_years_without_spatial_variation", "no_official_centroid_reference_available"))
+        .when(precision <= 3, of("rounded_coordinate_probable", 0.65, "limited_decimal_precision"))
+        .otherwise(of("precision_undocumented", 0.5, "source_precision_metadata_unavailable"))
+    )
 
 
 #: Names of the parts of a duplicate score, in order of name.

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import hash_order
+from .spatial import latest_per
 
 
 def risk_map(latest: DataFrame, horizon: str, min_score: float, limit: int | None, tie: list[str]) -> DataFrame:
@@ -21,9 +22,23 @@ def alerts_latest(latest: DataFrame, horizon: str, threshold: float, limit: int,
     return latest.where((F.col("horizon") == horizon) & (F.col("score") >= threshold)).orderBy(F.desc("score"), *tie).limit(limit)
 
 
-def cell_detail(scores: DataFrame, static: DataFrame) -> DataFrame:
-    """A cell's latest batch, peak score and features."""
-    return scores.groupBy("cell").agg(F.max("computed_at").alias("computed_at"), F.max("score").alias("peak")).join(static, "cell")
+def cell_detail(scores: DataFrame, forecasts: DataFrame, states: DataFrame, static: DataFrame, horizon: str, hours: int = 24, tie: list[str] | None = None) -> DataFrame:
+    """Each cell's current score for a horizon, with its index, features and history.
+
+    The current score is that of the latest batch (``tie`` orders rows of one
+    batch); the index ``fwi`` is the batch's own forecast or, where there is none,
+    the state of the batch's day; ``index_from`` says which. ``history`` holds
+    ``computed_at, score`` of the ``hours`` up to then, the latest first.
+    """
+    rows = scores.where(F.col("horizon") == horizon)
+    current = latest_per(rows, ["cell"], [F.desc("computed_at"), *(tie or [])]).select("cell", "computed_at", "valid_at", "score", F.to_date("computed_at").alias("date"))
+    own = forecasts.where(F.col("horizon") == horizon).select("cell", "computed_at", F.col("fwi").alias("_forecast"))
+    day = states.select("cell", "date", F.col("fwi").alias("_state"))
+    t = current.join(own, ["cell", "computed_at"], "left").join(day, ["cell", "date"], "left").join(static, "cell")
+    t = t.withColumn("fwi", F.coalesce("_forecast", "_state")).withColumn("index_from", F.when(F.col("_forecast").isNotNull(), "forecast").when(F.col("_state").isNotNull(), "state")).drop("_forecast", "_state", "date")
+    past = rows.select("cell", F.col("computed_at").alias("at"), F.col("score").alias("s")).join(current.select("cell", F.col("computed_at").alias("now")), "cell").where((F.col("at") <= F.col("now")) & (F.col("at") >= F.col("now") - F.make_interval(hours=F.lit(hours))))
+    history = past.groupBy("cell").agg(F.reverse(F.array_sort(F.collect_list(F.struct(F.col("at").alias("computed_at"), F.col("s").alias("score"))))).alias("history"))
+    return t.join(history, "cell")
 
 
 def search_prefix(df: DataFrame, name: str, prefix: str, limit: int = 20) -> DataFrame:
@@ -69,6 +84,26 @@ def counts_by(df: DataFrame, columns: list[str]) -> DataFrame:
     return long.groupBy("x.kind", "x.name").agg(F.count("*").alias("n"))
 
 
+def quality_summary(events: DataFrame, groups: DataFrame, geography: DataFrame, combustibility: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``kind, name, n``: events by cause, duplicate groups by class, events by geographic category and by what their cell is, and the totals of events, repeated coordinates and pairs."""
+    burns = combustibility.select(F.when(F.col("combustible"), "combustible").when(~F.col("combustible"), "non_combustible").otherwise("features_missing").alias("combustibility"))
+    counted = [counts_by(t, [c]) for t, c in ((events, "cause"), (groups, "classification"), (geography, "category"), (burns, "combustibility"))]
+    total = lambda t, name: t.agg(F.count("*").alias("n")).select(F.lit("total").alias("kind"), F.lit(name).alias("name"), "n")
+    repeated = events.groupBy("lat", "lon").count().where("count > 1")
+    out = counted[0]
+    for more in (*counted[1:], total(events, "events"), total(repeated, "coordinate_groups"), total(pairs, "duplicate_pairs")):
+        out = out.unionByName(more)
+    return out
+
+
+def dataset_detail(rows: DataFrame, exclusions: DataFrame, builds: DataFrame) -> DataFrame:
+    """``kind, name, label, n`` of a dataset version: rows by split and label, exclusions by reason, and its builds."""
+    none = F.lit(None).cast(rows.schema["label"].dataType).alias("label")
+    splits = rows.groupBy("split", "label").agg(F.count("*").alias("n")).select(F.lit("rows").alias("kind"), F.col("split").alias("name"), "label", "n")
+    reasons = exclusions.groupBy("reason").agg(F.count("*").alias("n")).select(F.lit("exclusions").alias("kind"), F.col("reason").alias("name"), none, "n")
+    return splits.unionByName(reasons).unionByName(builds.agg(F.count("*").alias("n")).select(F.lit("builds").alias("kind"), F.lit("builds").alias("name"), none, "n"))
+
+
 def calendar_summary(calendar: DataFrame) -> DataFrame:
     return calendar.agg(F.min("date").alias("first_day"), F.max("date").alias("last_day"), F.count("school_holiday").alias("known"), F.count_if(F.col("school_holiday").isNull()).alias("unknown"))
 

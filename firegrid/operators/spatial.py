@@ -1,7 +1,7 @@
 """Joins over the grid and over time, and neighbourhood kernels.
 
-Range conditions are turned into equi-joins: cells join on exploded disks, days
-on exploded offsets, so plans shuffle on keys and never compare all pairs.
+Range conditions are turned into equi-joins: cells join on exploded disks or on
+blocks of cells and days, so plans shuffle on keys and never compare all pairs.
 """
 
 from __future__ import annotations
@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import latest_noon
-from ..functions.grid import LEVEL, ROW, cell_disk, cell_q, cell_r
+from ..functions.grid import LEVEL, ROW, cell_disk, cell_level, cell_q, cell_r
+from ..sources.staging import staged
 
 EXACT_KM = 1e-9
 
@@ -25,10 +26,96 @@ def latest_per(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     return top_per(df, keys, order).drop("_n")
 
 
-def nearest(cells: DataFrame, points: DataFrame, distance: Column, cell_key: str, point_key: str, k: int | None) -> DataFrame:
-    """Pairs of each cell with its ``k`` nearest points (all if None), ties to the smaller point key. Every cell meets every point, so this is for point sets of bounded size (stations); lattices go by :func:`lattice_pairs`."""
-    pairs = cells.crossJoin(F.broadcast(points)).withColumn("distance", distance)
-    return pairs if k is None else top_per(pairs, [cell_key], ["distance", point_key], k).drop("_n")
+def axial_length(dq: Column, dr: Column) -> Column:
+    """Distance between two cell centres, in steps of the grid, from the differences of their axial coordinates."""
+    return F.sqrt((dq * dq + dq * dr + dr * dr).cast("double"))
+
+
+#: Point sets up to this size go to every task, as one array; larger ones are joined by blocks.
+MOST_POINTS = 5_000
+
+
+def _as_array(points: DataFrame, point_key: str) -> DataFrame:
+    """All points as one array, ``_points``, in one row."""
+    return points.agg(F.sort_array(F.collect_list(F.struct(point_key, *(c for c in points.columns if c != point_key)))).alias("_points"))
+
+
+def _to(p: Column) -> Column:
+    return axial_length(F.col("q") - p["sq"], F.col("r") - p["sr"])
+
+
+def nearest(cells: DataFrame, points: DataFrame, k: int, cell_key: str = "cell", point_key: str = "station", most: int = MOST_POINTS) -> DataFrame:
+    """Cells ``q, r`` with their ``k`` nearest points ``sq, sr`` and the ``distance``, ties to the smaller point key.
+
+    Up to ``most`` points, each cell searches an array of them where it is; the
+    pairs are neither written down nor shuffled. Beyond, :func:`nearest_by_blocks`.
+    """
+    if points.limit(most + 1).count() > most:
+        return nearest_by_blocks(cells, points, k, cell_key, point_key)
+    t = cells.crossJoin(F.broadcast(_as_array(points, point_key)))  # one row
+    far = F.get(F.sort_array(F.transform("_points", _to)), F.least(F.lit(k), F.size("_points")) - 1)
+    t = t.withColumn("_far", far)
+    near = F.filter(F.transform("_points", lambda p: F.struct(_to(p).alias("distance"), p[point_key].alias("_key"), p.alias("p"))), lambda x: x["distance"] <= F.col("_far"))
+    t = t.select(*cells.columns, F.explode(F.slice(F.array_sort(near), 1, k)).alias("n"))
+    return t.select(*cells.columns, *(F.col(f"n.p.{c}").alias(c) for c in points.columns), F.col("n.distance").alias("distance"))
+
+
+def nearest_by_blocks(cells: DataFrame, points: DataFrame, k: int, cell_key: str = "cell", point_key: str = "station") -> DataFrame:
+    """:func:`nearest` for any number of points, by blocks of axial coordinates.
+
+    A cell meets the points of its block and the eight around it. Whatever lies
+    outside is further away than sqrt(3)/2 of a block's width, so cells whose
+    ``k``-th point is nearer are done; the others go on with blocks four times as
+    wide. The first width holds about ``2 k`` points in a block on average.
+    """
+    size = points.agg(F.count("*").alias("n"), *(f(c).alias(f"{c}_{name}") for c in ("sq", "sr") for name, f in (("lo", F.min), ("hi", F.max)))).first()
+    reach = cells.agg(*(f(c).alias(f"{c}_{name}") for c in ("q", "r") for name, f in (("lo", F.min), ("hi", F.max)))).first()
+    if not size["n"] or reach["q_lo"] is None:
+        return cells.crossJoin(points).withColumn("distance", F.lit(0.0)).limit(0)
+    span = max(max(size[f"s{c}_hi"], reach[f"{c}_hi"]) - min(size[f"s{c}_lo"], reach[f"{c}_lo"]) for c in "qr") + 1
+    area = (size["sq_hi"] - size["sq_lo"] + 1) * (size["sr_hi"] - size["sr_lo"] + 1)
+    width, out, left = max(1, round((2 * k * area / size["n"]) ** 0.5)), None, cells
+    around = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+    while True:
+        at = lambda c: F.floor(F.col(c) / width)  # noqa: E731, B023
+        p = points.withColumn("_bq", at("sq")).withColumn("_br", at("sr"))
+        c = left.withColumn("_o", F.explode(around)).withColumn("_bq", at("q") + F.col("_o.i")).withColumn("_br", at("r") + F.col("_o.j")).drop("_o")
+        pairs = c.join(p, ["_bq", "_br"]).drop("_bq", "_br").withColumn("distance", axial_length(F.col("q") - F.col("sq"), F.col("r") - F.col("sr")))
+        found = staged(top_per(pairs, [cell_key], ["distance", point_key], k).drop("_n"), "nearest")
+        if width >= span:
+            return found if out is None else out.unionByName(found)
+        done = found.groupBy(cell_key).agg(F.count("*").alias("_k"), F.max("distance").alias("_d")).where((F.col("_k") == k) & (F.col("_d") <= 3**0.5 / 2 * width)).select(cell_key)
+        some = found.join(done, cell_key, "left_semi")
+        out = some if out is None else out.unionByName(some)
+        left = staged(left.join(done, cell_key, "left_anti"), "left")
+        if left.isEmpty():
+            return out
+        width *= 4
+
+
+def idw_all(cells: DataFrame, points: DataFrame, variables: list[str], cell_key: str = "cell", point_key: str = "station", power: float = 2.0, most: int = MOST_POINTS) -> DataFrame:
+    """Inverse-distance weighted values per cell from all points; null values take no part, a point at no distance decides alone.
+
+    Points come in arrays of at most about ``most``; each cell sums up an array
+    where it is, and only the sums of several arrays are shuffled.
+    """
+    slices = -(-points.count() // most)
+    if slices <= 1:
+        t = cells.crossJoin(F.broadcast(_as_array(points, point_key)))  # one row
+    else:
+        t = cells.crossJoin(points.groupBy(F.pmod(F.xxhash64(point_key), F.lit(slices)).alias("_s")).agg(F.collect_list(F.struct(*points.columns)).alias("_points")).drop("_s"))
+    near = lambda p: _to(p) <= EXACT_KM
+
+    def total(v: str, exact: bool, value: bool) -> Column:
+        weight = (lambda p: F.when(near(p), 1.0).otherwise(0.0)) if exact else (lambda p: F.when(near(p), 0.0).otherwise(F.pow(_to(p), F.lit(-power))))
+        part = lambda p: F.when(p[v].isNull(), 0.0).otherwise(weight(p) * (p[v] if value else F.lit(1.0)))
+        return F.aggregate("_points", F.lit(0.0), lambda a, p: a + part(p))
+
+    sums = {f"_{v}_{e:d}{x:d}": total(v, e, x) for v in variables for e in (True, False) for x in (True, False)}
+    hits = F.aggregate("_points", F.lit(0), lambda a, p: a + near(p).cast("int"))
+    parts = t.select(cell_key, hits.alias("_hits"), *(c.alias(n) for n, c in sums.items())).groupBy(cell_key).agg(F.sum("_hits").alias("_hits"), *(F.sum(n).alias(n) for n in sums))
+    value = lambda v: F.when(F.col("_hits") > 0, F.try_divide(F.col(f"_{v}_11"), F.col(f"_{v}_10"))).otherwise(F.try_divide(F.col(f"_{v}_01"), F.col(f"_{v}_00"))).alias(v)
+    return parts.select(cell_key, *(value(v) for v in variables))
 
 
 def lattice_pairs(cells: DataFrame, anchors: DataFrame, step: float, reach: int = 2) -> DataFrame:
@@ -79,28 +166,51 @@ ADAPTIVE = {"precision_undocumented": (1, 1), "rounded_coordinate_probable": (3,
 ADAPTIVE_DEFAULT = (5, 3)
 
 
-def event_windows(events: DataFrame, strategy: str) -> DataFrame:
-    """``cell, date, event`` for all cells and days that events rule out."""
+#: Cells along a block's edge and days in a bucket, as powers of two; no window reaches further than a block.
+BLOCK_BITS, DAY_BITS = 4, 3
+
+
+def _placed(df: DataFrame, cell: str, date: str) -> DataFrame:
+    """With level, axial coordinates and day number of a cell and date."""
+    return df.withColumns({"_l": cell_level(F.col(cell)), "_q": cell_q(F.col(cell)), "_r": cell_r(F.col(cell)), "_d": F.datediff(date, F.lit("1970-01-01").cast("date"))})
+
+
+def event_windows(events: DataFrame, strategy: str, keep: list[str] | None = None) -> DataFrame:
+    """The distinct windows of events: ``wcell, wdate``, rings and days around them, and the columns ``keep``."""
     if strategy == "N3":
-        k = F.lit(ADAPTIVE_DEFAULT[0])
-        days = F.lit(ADAPTIVE_DEFAULT[1])
+        k, days = F.lit(ADAPTIVE_DEFAULT[0]), F.lit(ADAPTIVE_DEFAULT[1])
         for name, (a, b) in ADAPTIVE.items():
             k, days = F.when(F.col("category") == name, a).otherwise(k), F.when(F.col("category") == name, b).otherwise(days)
-        disk, reach = F.filter(cell_disk(F.col("cell"), 5), lambda n: n["ring"] <= k), days
     else:
-        disk, reach = cell_disk(F.col("cell"), WINDOWS[strategy][0]), F.lit(WINDOWS[strategy][1])
-    near = events.select("event", "date", reach.alias("reach"), F.explode(disk).alias("n"))
-    return near.select("event", F.col("n.cell").alias("cell"), F.explode(F.expr("sequence(date_sub(date, reach), date_add(date, reach))")).alias("date"))
+        k, days = map(F.lit, WINDOWS[strategy])
+    return events.select(F.col("cell").alias("wcell"), F.col("date").alias("wdate"), k.alias("rings"), days.alias("days"), *(keep or [])).distinct()
+
+
+def _within(candidates: DataFrame, windows: DataFrame) -> tuple[DataFrame, DataFrame, Column]:
+    """Candidates with their block, windows with each block that they touch, and the condition that joins them: equal block, then distance and day gap."""
+    c = _placed(candidates, "cell", "date")
+    c = c.withColumns({"_bq": F.shiftright("_q", BLOCK_BITS), "_br": F.shiftright("_r", BLOCK_BITS), "_bd": F.shiftright("_d", DAY_BITS)})
+    w = _placed(windows, "wcell", "wdate")
+    touched = lambda at, reach, bits: F.explode(F.sequence(F.shiftright(F.col(at) - F.col(reach), bits), F.shiftright(F.col(at) + F.col(reach), bits)))
+    w = w.withColumn("_bq", touched("_q", "rings", BLOCK_BITS)).withColumn("_br", touched("_r", "rings", BLOCK_BITS)).withColumn("_bd", touched("_d", "days", DAY_BITS))
+    w = w.withColumnsRenamed({n: f"_w{n}" for n in ("_l", "_q", "_r", "_d", "_bq", "_br", "_bd")})
+    dq, dr = F.col("_q") - F.col("_w_q"), F.col("_r") - F.col("_w_r")
+    on = F.lit(True)
+    for n in ("_l", "_bq", "_br", "_bd"):
+        on = on & (F.col(n) == F.col(f"_w{n}"))
+    return c, w, on & (F.greatest(F.abs(dq), F.abs(dr), F.abs(dq + dr)) <= F.col("rings")) & (F.abs(F.col("_d") - F.col("_w_d")) <= F.col("days"))
 
 
 def exclude_near(candidates: DataFrame, events: DataFrame, strategy: str) -> DataFrame:
-    """Candidates (``cell, date``) outside every event's window."""
-    return candidates.join(event_windows(events, strategy).select("cell", "date").distinct(), ["cell", "date"], "left_anti")
+    """Candidates (``cell, date``) outside every event's window: an anti join by block of cells and bucket of days, so an event stands in a few blocks and not in each cell and day that it rules out."""
+    c, w, on = _within(candidates, event_windows(events, strategy))
+    return c.join(w, on, "left_anti").select(*candidates.columns)
 
 
-def near_events(candidates: DataFrame, events: DataFrame, strategy: str) -> DataFrame:
-    """Candidates inside a window, with the event."""
-    return candidates.join(event_windows(events, strategy), ["cell", "date"])
+def near_events(candidates: DataFrame, events: DataFrame, strategy: str, keep: list[str]) -> DataFrame:
+    """Candidates inside a window, with the event's columns ``keep``. A window that touches several blocks meets a candidate in one only."""
+    c, w, on = _within(candidates, event_windows(events, strategy, keep))
+    return c.join(w, on).select(*candidates.columns, *keep)
 
 
 def ring_sum(cells: DataFrame, values: DataFrame, name: str, k: int = 1) -> DataFrame:

@@ -9,23 +9,28 @@ from pyspark.sql import functions as F
 
 from ..functions import fwi
 from ..operators.scoring import score_heuristic
+from ..functions.grid import cell_disk
 from ..operators.spatial import history_kernel, idw, max_normalize
+from ..sources.staging import staged
 
 CODES = ["ffmc", "dmc", "dc", "isi", "bui", "fwi"]
 
 
-def fwi_series(weather: DataFrame, start: tuple[float, float, float] = fwi.START, buckets: int | None = None) -> DataFrame:
+def fwi_series(weather: DataFrame, start: tuple[float, float, float] = fwi.START, buckets: int | None = None, rows_per_bucket: int = 500_000) -> DataFrame:
     """Codes and indices for ``cell, date, temp, rh, wind, rain``, carried from day to day.
 
     A cell starts afresh after a missing day. The recurrence isn't linear, so no
-    window function has it: cells are dealt into buckets and each bucket's days
-    are walked in order, all cells of a day at once in NumPy.
+    window function has it: cells are dealt into buckets of about
+    ``rows_per_bucket`` rows and each bucket's days are walked in order, all cells
+    of a day at once in NumPy. Of rows that repeat a cell and day the first in
+    order of their values counts.
     """
     kind = weather.schema["cell"].dataType.simpleString()
-    n = buckets or 4 * int(weather.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    weather = weather.select("cell", "date", "temp", "rh", "wind", "rain")
+    n = buckets or max(int(weather.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-weather.count() // rows_per_bucket))
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["cell", "date"])
+        pdf = pdf.sort_values(["cell", "date", "temp", "rh", "wind", "rain"]).drop_duplicates(["cell", "date"])
         days = pd.to_datetime(pdf["date"])
         cell, no = np.unique(pdf["cell"].to_numpy(), return_inverse=True)
         state, last = [np.full(len(cell), v) for v in start], np.full(len(cell), np.datetime64("NaT", "D"))
@@ -44,7 +49,7 @@ def fwi_series(weather: DataFrame, start: tuple[float, float, float] = fwi.START
             out[rows] = np.stack(new, 1)
         return pd.concat([pdf[["cell", "date"]].reset_index(drop=True), pd.DataFrame(out, columns=CODES)], axis=1)
 
-    rows = weather.select("cell", "date", "temp", "rh", "wind", "rain").withColumn("_b", F.pmod(F.xxhash64("cell"), F.lit(n)))
+    rows = weather.withColumn("_b", F.pmod(F.xxhash64("cell"), F.lit(n)))
     return rows.groupBy("_b").applyInPandas(walk, f"cell {kind}, date date, " + ", ".join(f"{c} double" for c in CODES))
 
 
@@ -67,7 +72,7 @@ def recompute_day(cells: DataFrame, pairs: DataFrame, state: DataFrame, static:
 def risk_inputs(static: DataFrame, codes: DataFrame, calendar: DataFrame) -> DataFrame:
     """Static features with a day's index and calendar flags; missing flags are false."""
     flags = calendar.select("date", "school_holiday", "public_holiday")
-    return static.join(codes, "cell").join(F.broadcast(flags), "date", "left").na.fill(False, ["school_holiday", "public_holiday"])  # a row a day
+    return static.join(codes, "cell").join(flags, "date", "left").na.fill(False, ["school_holiday", "public_holiday"])
 
 
 def forecast_batch(noons: DataFrame, hours: DataFrame, static: DataFrame, calendar: DataFrame) -> DataFrame:
@@ -96,22 +101,20 @@ def forecast_batch(noons: DataFrame, hours: DataFrame, static: DataFrame, calend
 def backtest_scores(series: DataFrame, static: DataFrame, ignitions: DataFrame, calendar: DataFrame) -> DataFrame:
     """Walk-forward scores: each day sees only ignitions of earlier days in its history feature.
 
-    ``series``: ``cell, date, fwi``. Ignition kernels are placed on the days they
-    happen, summed up to the day before, and normalised within the day.
+    ``series``: ``cell, date, fwi``. Ignition kernels join the series as rows of
+    their own, so one shuffle by cell gives both the sum over earlier days and
+    whether the day itself had an ignition; then the sum is normalised within the
+    day, by the days' maxima.
     """
-    days = series.select("date").distinct()
-    daily = ignitions.select("cell", "date")
-    from ..functions.grid import cell_disk
-
-    spread = daily.select("date", F.explode(cell_disk(F.col("cell"), 2)).alias("d")).groupBy(F.col("d.cell").alias("cell"), "date").agg(F.sum(F.pow(F.lit(0.5), F.col("d.ring"))).alias("k"))
-    grid = series.select("cell", "date").unionByName(spread.select("cell", "date")).distinct().join(spread, ["cell", "date"], "left")
-    past = Window.partitionBy("cell").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
-    hist = grid.withColumn("hist", F.coalesce(F.sum("k").over(past), F.lit(0.0))).select("cell", "date", "hist")
-    t = max_normalize(series.join(hist, ["cell", "date"]), "hist", ["date"])
-    del days
-    scored = score_heuristic(risk_inputs(static.drop("hist"), t, calendar))
-    hit = daily.distinct().withColumn("ignited", F.lit(1))
-    return scored.join(hit, ["cell", "date"], "left").na.fill(0, ["ignited"])
+    hits = ignitions.groupBy("cell", "date").agg(F.count("*").alias("n"))
+    spread = hits.select("date", "n", F.explode(cell_disk(F.col("cell"), 2)).alias("d")).groupBy(F.col("d.cell").alias("cell"), "date")
+    spread = spread.agg(F.sum(F.col("n") * F.pow(F.lit(0.5), F.col("d.ring"))).alias("k"), F.max((F.col("d.ring") == 0).cast("int")).alias("hit"))
+    rows = series.select("cell", "date", "fwi", F.lit(True).alias("own")).unionByName(spread.withColumn("own", F.lit(False)), allowMissingColumns=True)
+    days = Window.partitionBy("cell").orderBy(F.datediff("date", F.lit("1970-01-01").cast("date")))
+    past, same = days.rangeBetween(Window.unboundedPreceding, -1), days.rangeBetween(0, 0)
+    t = rows.withColumn("hist", F.coalesce(F.sum("k").over(past), F.lit(0.0))).withColumn("ignited", F.coalesce(F.max("hit").over(same), F.lit(0)))
+    t = staged(t.where("own").select("cell", "date", "fwi", "hist", "ignited"), "backtest")  # for the days' maxima and their use
+    return score_heuristic(risk_inputs(static.drop("hist"), max_normalize(t, "hist", ["date"]), calendar))
 
 
 def daily_hits(scores: DataFrame, fractions: tuple[float, ...] = (0.05, 0.10)) -> DataFrame:

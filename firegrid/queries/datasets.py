@@ -10,9 +10,9 @@ from .. import views
 from ..functions import grid, text
 from ..operators import dataset, metrics, quality, scoring, spatial
 from ..views import table, with_views
-from .joins import _candidates, _events
+from .joins import _DIST, _EV, _events, disk
 from .registry import query
-from .scalar import _CENTRE, _sql_hex
+from .scalar import _CENTRE, _sql_hex, sql_fingerprint
 
 _c = F.col
 _L = with_views("v_labeled")
@@ -60,12 +60,23 @@ def a11_coordinate_signals(spark, d):
     return t.select("id", quality.centroid_status(_c("event_count"), _c("municipality_count"), _c("year_count"), p).alias("status"))
 
 
-@query(_PLACED + f"SELECT id, CASE WHEN {_STATUS} = 'probable_centroid' THEN 'municipality_centroid_probable' ELSE 'rounded_coordinate_probable' END AS category, CASE WHEN {_STATUS} = 'probable_centroid' THEN 0.75::DOUBLE ELSE 0.65::DOUBLE END AS confidence FROM e JOIN st USING (lat, lon)")
+_PROBABLE = f"{_STATUS} = 'probable_centroid'"
+
+
+@query(
+    _PLACED
+    + f"""SELECT id, CASE WHEN id % 17 = 0 THEN 'municipality_centroid_confirmed' WHEN {_PROBABLE} THEN 'municipality_centroid_probable' ELSE 'rounded_coordinate_probable' END AS category, CASE WHEN id % 17 = 0 THEN 1::DOUBLE WHEN {_PROBABLE} THEN 0.75::DOUBLE ELSE 0.65::DOUBLE END AS confidence,
+    CASE WHEN id % 17 = 0 THEN 'official_versioned_centroid_match' WHEN {_PROBABLE} THEN 'same_coordinate_repeated_within_one_municipality,multiple_years_without_spatial_variation,no_official_centroid_reference_available' ELSE 'limited_decimal_precision' END AS reasons FROM e JOIN st USING (lat, lon)"""
+)
 def q2_assess_geography(spark, d):
+    g = _geography(spark, d)
+    return g.select("id", "g.category", "g.confidence", F.array_join("g.reasons", ",").alias("reasons"))
+
+
+def _geography(spark, d):
     t = quality.coordinate_stats(_placed(spark, d))
     p = F.least(grid.decimal_precision(_c("lat")), grid.decimal_precision(_c("lon")))
-    g = quality.assess_geography(quality.centroid_status(_c("event_count"), _c("municipality_count"), _c("year_count"), p), p)
-    return t.select("id", g["category"].alias("category"), g["confidence"].alias("confidence"))
+    return t.select("id", quality.assess_geography(quality.centroid_status(_c("event_count"), _c("municipality_count"), _c("year_count"), p), p, _c("id") % 17 == 0).alias("g"))
 
 
 _PAIRED = (
@@ -99,11 +110,18 @@ def q4_duplicate_groups(spark, d):
     return quality.duplicate_groups(_assessed(spark, d))
 
 
-@query(with_views("v_ignitions", "v_cells") + " SELECT i.id AS event, coalesce(c.combustible, false) AS combustible, concat_ws(',', CASE WHEN c.combustible IS NULL THEN 'static_cell_missing' END, CASE WHEN NOT c.combustible THEN 'cell_not_combustible' END) AS flags FROM v_ignitions i LEFT JOIN v_cells c ON c.cell = i.cell")
+@query(
+    with_views("v_cells", "v_ignitions")
+    + f""", n AS (SELECT i.id AS event, n.ring, c.cell FROM v_ignitions i, {disk(2)} n JOIN v_cells c ON c.cell = i.cell + n.dq * 67108864 + n.dr AND c.combustible), k AS (SELECT *, row_number() OVER (PARTITION BY event ORDER BY ring, cell) AS k FROM n),
+    a AS (SELECT event, count(*) FILTER (ring = 0) AS r0, count(*) FILTER (ring = 1) AS r1, count(*) FILTER (ring = 2) AS r2, string_agg(cell::VARCHAR, ',' ORDER BY k) FILTER (k <= 5) AS nearest FROM k GROUP BY event)
+    SELECT i.id AS event, coalesce(c.combustible, false) AS combustible, coalesce(r0, 0) AS ring_0, coalesce(r1, 0) AS ring_1, coalesce(r2, 0) AS ring_2, nearest,
+    concat_ws(',', CASE WHEN c.combustible IS NULL THEN 'static_cell_missing' END, CASE WHEN NOT c.combustible THEN 'cell_not_combustible' END, CASE WHEN coalesce(r1, 0) + coalesce(r2, 0) = 0 THEN 'no_combustible_neighbour' END) AS flags
+    FROM v_ignitions i LEFT JOIN v_cells c ON c.cell = i.cell LEFT JOIN a ON a.event = i.id"""
+)
 def q5_assess_combustibility(spark, d):
     e = views.ignitions(spark, d).select(_c("id").alias("event"), "cell")
     t = quality.assess_combustibility(e, views.cells(spark, d))
-    return t.select("event", "combustible", F.array_join(F.filter("flags", lambda f: f != "no_combustible_neighbour"), ",").alias("flags"))
+    return t.select("event", "combustible", "ring_0", "ring_1", "ring_2", F.array_join(F.transform("nearest", lambda x: x.cast("string")), ",").alias("nearest"), F.array_join("flags", ",").alias("flags"))
 
 
 @query(_PAIRED + "SELECT classification, count(*) AS pairs FROM k GROUP BY 1")
@@ -150,9 +168,17 @@ def _positives(spark, d):
     return dataset.positive_rows(_dataset_events(spark, d), (_c("category") == "human_known") & ~_c("low_geo_confidence"))
 
 
-@query(_POS + "SELECT id, CASE WHEN id % 11 = 0 THEN 'missing_static_features' WHEN NOT combustible THEN 'non_combustible_cell' WHEN low_geo_confidence THEN 'insufficient_geographic_confidence' END AS reason FROM pos")
+@query(
+    _DE
+    + """, inside AS (SELECT * FROM de WHERE year(date) <= 2000), pos AS (SELECT cell, date, min(id) AS id, arg_min(combustible, id) AS combustible, bool_or(low) AS low FROM inside WHERE NOT dup GROUP BY cell, date),
+    ev AS (SELECT id, cell, date, CASE WHEN year(date) > 2000 THEN 'out_of_period' WHEN dup THEN 'certain_duplicate' WHEN category = 'unknown' THEN 'unknown_cause' WHEN category = 'natural_known' THEN 'natural_cause' WHEN id % 101 = 0 THEN 'future_data' WHEN cell % 13 = 0 THEN 'out_of_territory' WHEN id % 97 = 0 THEN 'weather_unavailable' END AS reason FROM de)
+    SELECT * FROM ev WHERE reason IS NOT NULL UNION ALL SELECT NULL, cell, date, CASE WHEN id % 11 = 0 THEN 'missing_features' WHEN NOT combustible THEN 'non_combustible_cell' ELSE 'insufficient_geographic_quality' END FROM pos WHERE id % 11 = 0 OR NOT combustible OR low"""
+)
 def b3_exclusions(spark, d):
-    return _positives(spark, d).select("id", dataset.exclusion_reason(_c("id") % 11 == 0, _c("combustible"), _c("low_geo_confidence")).alias("reason"))
+    e, inside = _dataset_events(spark, d), F.year("date") <= 2000
+    checks = {"unknown_cause": _c("category") == "unknown", "natural_cause": _c("category") == "natural_known", "future_data": _c("id") % 101 == 0, "out_of_territory": _c("cell") % 13 == 0, "weather_unavailable": _c("id") % 97 == 0}
+    strict = {"missing_features": _c("id") % 11 == 0, "non_combustible_cell": ~_c("combustible"), "insufficient_geographic_quality": _c("low_geo_confidence")}
+    return dataset.exclusions(e, inside, checks, strict, dataset.positive_rows(e.where(inside), F.lit(True)))
 
 
 @query(with_views("v_cells") + " SELECT cell, date FROM (SELECT cell, make_date(y, 6, 15) AS date, row_number() OVER (PARTITION BY y ORDER BY md5('3|' || cell::VARCHAR || '|' || make_date(y, 6, 15)::VARCHAR), cell) AS k FROM v_cells, (VALUES (1996), (1997), (1998)) t(y) WHERE combustible) WHERE k <= 50")
@@ -160,7 +186,13 @@ def b4_pilot_negatives(spark, d):
     return dataset.pilot_negatives(views.cells(spark, d), [1996, 1997, 1998], 50, "3").select("cell", "date")
 
 
-@query()
+@query(
+    _EV
+    + f""", b AS (SELECT cell, row_number() OVER (ORDER BY ('0x' || substr(md5(cell::VARCHAR), 1, 2))::BIGINT, cell) - 1 AS rank FROM v_cells WHERE combustible),
+    w AS (SELECT i AS draw, ('0x' || substr(md5('9|' || i || '|cell'), 1, 12))::BIGINT % (SELECT count(*) FROM b) AS rank, DATE '1996-01-01' + CAST(('0x' || substr(md5('9|' || i || '|day'), 1, 12))::BIGINT % 365 AS INTEGER) AS date FROM (SELECT unnest(range(0, 16000)) AS i)),
+    p AS (SELECT min(draw) AS draw, cell, date FROM w JOIN b USING (rank) GROUP BY cell, date), c AS (SELECT * FROM p WHERE (cell, date) NOT IN (SELECT (cell, date) FROM ev)),
+    hit AS (SELECT DISTINCT c.draw FROM c, (SELECT unnest(range(-3, 4)) AS o) JOIN ev e ON e.date = c.date + CAST(o AS INTEGER) WHERE {_DIST} <= 2) SELECT draw, cell, date FROM c WHERE draw NOT IN (SELECT draw FROM hit) ORDER BY draw LIMIT 400"""
+)
 def b5_sample_negatives(spark, d):
     e = _events(spark, d)
     return dataset.sample_negatives(views.cells(spark, d), e, e, "N2", "1996-01-01", 365, 400, 9).select("draw", "cell", "date")
@@ -199,11 +231,27 @@ def b7_row_features(spark, d):
     return dataset.row_features(i, views.cells(spark, d).select("cell", "road"), cal, ["road"]).select("id", F.round("road", 6).alias("road"), "weekend")
 
 
-@query(_POS + ", ng AS (SELECT cell + 1 AS cell, date FROM pos WHERE id % 3 = 0) SELECT v AS variant, label, count(*) AS n FROM (SELECT v, 1 AS label FROM pos, (VALUES ('strict_n2'), ('strict_n3'), ('inclusive_n2'), ('inclusive_n3')) t(v) WHERE strict OR v LIKE 'inc%' UNION ALL SELECT v, 0 FROM ng, (VALUES ('strict_n2'), ('strict_n3'), ('inclusive_n2'), ('inclusive_n3')) t(v)) GROUP BY 1, 2")
+@query(
+    _POS
+    + """, ng AS (SELECT cell + 1 AS cell, date FROM pos WHERE id % 3 = 0), v AS (SELECT unnest(['strict_n2', 'strict_n3', 'inclusive_n2', 'inclusive_n3']) AS v), r AS (SELECT v, 1 AS label, cell, date FROM pos, v WHERE strict OR v LIKE 'inc%' UNION ALL SELECT v, 0, cell, date FROM ng, v)
+    SELECT v AS variant, label, count(*) AS n, count(DISTINCT k) AS keys, min(k) AS first_key, max(k) AS last_key, min(date) AS first_day, max(date) AS last_day FROM (SELECT *, sha256(concat_ws('|', v, cell::VARCHAR, date::VARCHAR, label::VARCHAR)) AS k FROM r) GROUP BY 1, 2"""
+)
 def b8_build_variants(spark, d):
     p = _positives(spark, d)
     n = p.where("id % 3 = 0").select((_c("cell") + 1).alias("cell"), "date")
-    return dataset.build_variants(p, {"N2": n, "N3": n}).groupBy("variant", "label").agg(F.count("*").alias("n"))
+    return dataset.variant_stats(dataset.build_variants(p, {"N2": n, "N3": n}))
+
+
+@query(
+    _POS
+    + ", ng AS (SELECT cell + 1 AS cell, date FROM pos WHERE id % 3 = 0), r AS (SELECT 1 AS label, cell, date FROM pos WHERE strict UNION ALL SELECT 0, cell, date FROM ng), k AS (SELECT sha256(concat_ws('|', 'strict_n2', cell::VARCHAR, date::VARCHAR, label::VARCHAR)) AS k, sha256(concat_ws('|', cell::VARCHAR, date::VARCHAR, label::VARCHAR)) AS c FROM r) "
+    + sql_fingerprint("k")
+)
+def b8_variant_fingerprint(spark, d):
+    p = _positives(spark, d)
+    n = p.where("id % 3 = 0").select((_c("cell") + 1).alias("cell"), "date")
+    rows = dataset.build_variants(p, {"N2": n}).where("variant = 'strict_n2'")
+    return text.fingerprint(rows.withColumn("checksum", text.row_checksum(_c("cell"), _c("date"), _c("label"))), "row_key", "checksum")
 
 
 @query(
@@ -315,14 +363,27 @@ def a22_point_metrics(spark, d):
     return metrics.point_metrics(views.labeled(spark, d)).select(*(F.round(c, 6).alias(c) for c in ("brier", "log_loss", "precision", "recall", "f1")))
 
 
-@query(
-    _L + """, g AS (SELECT year, score, sum(label) AS p, sum(1 - label) AS n FROM v_labeled GROUP BY 1, 2), u AS (SELECT *, coalesce(sum(p) OVER (PARTITION BY year ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ab FROM g),
-    au AS (SELECT year, sum(n * (ab + p / 2.0)) / (sum(p) * sum(n)) AS auc FROM u GROUP BY 1), r AS (SELECT year, label, row_number() OVER (PARTITION BY year ORDER BY score DESC, id) AS k, sum(label) OVER (PARTITION BY year ORDER BY score DESC, id) AS tp FROM v_labeled),
-    ap AS (SELECT year, avg(tp / k::DOUBLE) FILTER (label = 1) AS ap FROM r GROUP BY 1) SELECT v.year::INTEGER AS year, count(*) AS n, round(any_value(auc)::DOUBLE, 6) AS auc, round(any_value(ap), 6) AS average_precision, round(avg(pow(score - label, 2)), 6) AS brier FROM v_labeled v JOIN au USING (year) JOIN ap USING (year) GROUP BY v.year"""
-)
+_TOP = ((0.01, "1"), (0.05, "5"), (0.1, "10"))
+_SPLIT_METRICS = ["positive_rate", "auc", "average_precision", "log_loss", "brier", "ece", "precision", "recall", "f1", *(f"{m}_{p}" for _, p in _TOP for m in ("precision", "recall", "lift"))]
+
+
+def _split_sql(name: str, source: str, score: str) -> str:
+    """Common table expressions that end in ``<name>``: all metrics of a score by year."""
+    in_top = lambda f: f"k <= greatest(1, ceil(n * {f}::DOUBLE))"
+    tops = ", ".join(f"sum(label) FILTER ({in_top(f)}) / (count(*) FILTER ({in_top(f)}))::DOUBLE AS precision_{p}, sum(label) FILTER ({in_top(f)}) / max(pos)::DOUBLE AS recall_{p}, (sum(label) FILTER ({in_top(f)}) / (count(*) FILTER ({in_top(f)}))::DOUBLE) / (max(pos) / max(n)::DOUBLE) AS lift_{p}" for f, p in _TOP)
+    return f"""{name}_g AS (SELECT year, {score} AS s, sum(label) AS p, sum(1 - label) AS n FROM {source} GROUP BY 1, 2), {name}_u AS (SELECT *, coalesce(sum(p) OVER (PARTITION BY year ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ab FROM {name}_g),
+    {name}_a AS (SELECT year, (sum(n * (ab + p / 2.0)) / (sum(p) * sum(n)))::DOUBLE AS auc FROM {name}_u GROUP BY 1),
+    {name}_e AS (SELECT year, sum(n * abs(s - l)) / sum(n) AS ece FROM (SELECT year, count(*) AS n, avg({score}) AS s, avg(label) AS l FROM {source} GROUP BY year, least(floor({score} * 10), 9)) GROUP BY 1),
+    {name}_r AS (SELECT year, label, {score} AS s, greatest(1e-12, least(1 - 1e-12, {score})) AS q, row_number() OVER w AS k, sum(label) OVER w AS tp, count(*) OVER (PARTITION BY year) AS n, sum(label) OVER (PARTITION BY year) AS pos FROM {source} WINDOW w AS (PARTITION BY year ORDER BY {score} DESC, id)),
+    {name}_p AS (SELECT year, count(*) AS n, avg(label) AS positive_rate, avg(tp / k::DOUBLE) FILTER (label = 1) AS average_precision, avg(-(label * ln(q) + (1 - label) * ln(1 - q))) AS log_loss, avg(pow(s - label, 2)) AS brier, (count(*) FILTER (s >= 0.5 AND label = 1)) / (count(*) FILTER (s >= 0.5))::DOUBLE AS "precision",
+      (count(*) FILTER (s >= 0.5 AND label = 1)) / max(pos)::DOUBLE AS recall, 2.0::DOUBLE * (count(*) FILTER (s >= 0.5 AND label = 1)) / ((count(*) FILTER (s >= 0.5)) + max(pos)) AS f1, {tops} FROM {name}_r GROUP BY 1),
+    {name} AS (SELECT * FROM {name}_p JOIN {name}_a USING (year) JOIN {name}_e USING (year))"""
+
+
+@query(_L + ", " + _split_sql("m", "v_labeled", "score") + " SELECT year::INTEGER AS year, n, " + ", ".join(f'round({c if c != "precision" else chr(34) + c + chr(34)}, 6) AS {c if c != "precision" else chr(34) + c + chr(34)}' for c in _SPLIT_METRICS) + " FROM m")
 def m6_split_metrics(spark, d):
     t = metrics.split_metrics(views.labeled(spark, d), "id", "year")
-    return t.select("year", "n", *(F.round(c, 6).alias(c) for c in ("auc", "average_precision", "brier")))
+    return t.select("year", "n", *(F.round(c, 6).alias(c) for c in _SPLIT_METRICS))
 
 
 @query(
@@ -380,10 +441,20 @@ def m1_impute_normalize(spark, d):
     return transform(t, rules).select("id", *(F.round(c, 5).alias(c) for c in ("x1", "x2", "x3")))
 
 
-@query(_L + " SELECT year::INTEGER AS year, n, p >= 0.19 AND p <= 0.21 AS passes FROM (SELECT year, count(*) AS n, avg(label) AS p FROM v_labeled GROUP BY 1)")
+_CANDIDATE = "CASE WHEN year % 2 = 1 THEN label * 0.6::DOUBLE + score * 0.4::DOUBLE ELSE score END"
+
+
+@query(
+    _L + f", w AS (SELECT *, {_CANDIDATE} AS candidate FROM v_labeled), " + _split_sql("c", "w", "candidate") + ", " + _split_sql("o", "w", "score_b")
+    + """ SELECT c.year::INTEGER AS year, round(c.average_precision - o.average_precision, 6) AS gain, c.average_precision - o.average_precision >= 0 AND c.auc >= 0.6 AND c.brier <= 0.2 AND c.ece <= 0.1 AND c.lift_10 >= 1.5 AS promoted, c.auc >= 0.52 AS activated FROM c JOIN o USING (year)"""
+)
 def m13_promotion_gate(spark, d):
-    t = views.labeled(spark, d).groupBy("year").agg(F.count("*").alias("n"), F.avg("label").alias("p"))
-    return dataset.passes(t, {"p": 0.19}, {"p": 0.21}).select("year", "n", "passes")
+    t = views.labeled(spark, d)
+    t = t.withColumn("candidate", F.when(_c("year") % 2 == 1, _c("label") * 0.6 + _c("score") * 0.4).otherwise(_c("score")))
+    new = metrics.split_metrics(t, "id", "year", "candidate")
+    old = metrics.average_precision(t, "id", "score_b", by=["year"]).withColumnRenamed("average_precision", "before")
+    gain = new.join(old, "year").withColumn("average_precision_gain", _c("average_precision") - _c("before"))
+    return dataset.passes(gain).select("year", F.round("average_precision_gain", 6).alias("gain"), _c("passes").alias("promoted"), (_c("auc") >= dataset.LEAST_TRAINED_AUC).alias("activated"))
 
 
 @query()
@@ -407,30 +478,63 @@ def m4_platt(spark, d):
     return models.platt(views.labeled(spark, d)).select("id", "calibrated")
 
 
-@query()
+@query(
+    _L
+    + """, g AS (SELECT score AS x, sum(label)::DOUBLE AS s, count(*)::DOUBLE AS w FROM v_labeled GROUP BY 1), p AS (SELECT x, row_number() OVER (ORDER BY x) AS i, sum(s) OVER (ORDER BY x) AS hs, sum(w) OVER (ORDER BY x) AS hw, sum(s) OVER (ORDER BY x) - s AS ls, sum(w) OVER (ORDER BY x) - w AS lw FROM g),
+    m AS (SELECT a.i AS a, b.i AS i, b.x, min((b.hs - a.ls) / (b.hw - a.lw)) OVER (PARTITION BY a.i ORDER BY b.i DESC) AS least FROM p a JOIN p b ON b.i >= a.i), v AS (SELECT x, round(max(least), 9) AS value FROM m GROUP BY x) SELECT max(x) AS x_max, value FROM v GROUP BY value"""
+)
 def m5_isotonic(spark, d):
-    return metrics.isotonic_blocks(views.labeled(spark, d))
+    return metrics.isotonic_blocks(views.labeled(spark, d)).select("x_max", F.round("value", 9).alias("value"))
 
 
 @query()
 def m7_forward_cv(spark, d):
     from ..operators import models
 
-    return models.forward_cv(views.labeled(spark, d), ["x1", "x2"], [1996, 1997], [0.0, 0.1])
+    return models.forward_cv(views.labeled(spark, d), ["x1", "x2"], [1997, 1998, 1999], [0.0, 0.001, 0.01, 0.1])
 
 
-@query()
+_ROUNDS = (
+    _L
+    + """, d AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS no FROM (SELECT DISTINCT date FROM v_labeled)), dr AS (SELECT r, ('0x' || substr(md5('11|' || r || '|' || no), 1, 8))::BIGINT % (SELECT count(*) FROM d) AS no FROM d, (SELECT unnest(range(0, 200)) AS r)),
+    w AS (SELECT r, date, count(*) AS w FROM dr JOIN d USING (no) GROUP BY 1, 2), t AS (SELECT date, label, 'a' AS name, score AS v FROM v_labeled UNION ALL SELECT date, label, 'b', score_b FROM v_labeled),
+    c AS (SELECT date, name, floor(v * 1000 + 0.5) AS s, sum(label) AS p, sum(1 - label) AS n, sum(pow(v - label, 2)) AS e FROM t GROUP BY 1, 2, 3), x AS (SELECT r, name, s, sum(w * p)::BIGINT AS p, sum(w * n)::BIGINT AS n, sum(w * e) AS e FROM c JOIN w USING (date) GROUP BY 1, 2, 3),
+    y AS (SELECT *, coalesce(sum(p) OVER o, 0)::BIGINT AS ap, coalesce(sum(n) OVER o, 0)::BIGINT AS an FROM x WINDOW o AS (PARTITION BY r, name ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    z AS (SELECT r, name, sum(n * (ap + p / 2.0::DOUBLE)) / (sum(p) * sum(n))::DOUBLE AS auc, sum(p * CASE WHEN ap + p + an + n > 0 THEN (ap + p)::DOUBLE / (ap + p + an + n) ELSE 0 END) / sum(p)::DOUBLE AS average_precision, sum(e) / (sum(p) + sum(n)) AS brier FROM y GROUP BY 1, 2) """
+)
+
+
+def _interval_sql(source: str) -> str:
+    return "SELECT " + ", ".join(f"round(quantile_cont({m}, {q}), 6) AS {m}_{name}" for m in metrics.BOOTSTRAPPED for q, name in ((0.025, "low"), (0.975, "high"))) + f" FROM {source}"
+
+
+def _interval(rounds):
+    t = metrics.interval(rounds, metrics.BOOTSTRAPPED)
+    return t.select(*(F.round(c, 6).alias(c) for c in t.columns))
+
+
+@query(_ROUNDS + _interval_sql("z WHERE name = 'a'"))
 def m8_bootstrap(spark, d):
-    brier = F.sum(_c("w") * (_c("score") - _c("label")) ** 2) / F.sum("w")
-    rounds = metrics.bootstrap(views.labeled(spark, d), "id", {"brier": brier}, rounds=100)
-    return metrics.interval(rounds, ["brier"])
+    return _interval(metrics.bootstrap(views.labeled(spark, d), ["score"]))
 
 
-@query()
+@query(_ROUNDS + ", df AS (SELECT " + ", ".join(f"a.{m} - b.{m} AS {m}" for m in metrics.BOOTSTRAPPED) + " FROM z a JOIN z b USING (r) WHERE a.name = 'a' AND b.name = 'b') " + _interval_sql("df"))
 def m9_paired_bootstrap(spark, d):
-    b = lambda s: F.sum(_c("w") * (_c(s) - _c("label")) ** 2) / F.sum("w")
-    rounds = metrics.bootstrap(views.labeled(spark, d), "id", {"difference": b("score") - b("score_b")}, rounds=100)
-    return metrics.interval(rounds, ["difference"])
+    return _interval(metrics.differences(metrics.bootstrap(views.labeled(spark, d), ["score", "score_b"]), "score", "score_b"))
+
+
+@query()
+def m10_spatial_cv(spark, d):
+    from ..operators.models import spatial_cv
+
+    return spatial_cv(views.labeled(spark, d), ["x1", "x2"])
+
+
+@query()
+def m11_importances(spark, d):
+    from ..operators import models
+
+    return models.feature_importances(views.labeled(spark, d).where("year < 1999"), ["x1", "x2", "x3"])
 
 
 @query(_L + " SELECT fold::INTEGER AS fold, count(*) AS rows, sum(label)::BIGINT AS positives FROM (SELECT parent % 5 AS fold, label FROM v_labeled) GROUP BY 1")
@@ -466,4 +570,37 @@ def m14_scoring_parity(spark, d):
     return scoring.scoring_parity(t, b, "id").select("rows", "mismatches")
 
 
-del _candidates
+
+@query(
+    _PAIRED
+    + f""", e AS (SELECT *, 40 + lat_m / 8 AS lat, 1 + lon_m / 8 AS lon FROM v_ignitions), st AS (SELECT lat, lon, count(*) AS n, count(DISTINCT commune) AS m, count(DISTINCT year(occurred_at)) AS y FROM e GROUP BY 1, 2)
+    SELECT 'cause' AS kind, cause AS name, count(*) AS n FROM v_ignitions GROUP BY 2
+    UNION ALL SELECT 'classification', classification, 2 * count(*) FROM k WHERE classification IN ('certain_duplicate', 'probable_duplicate', 'possible_duplicate') GROUP BY 2
+    UNION ALL SELECT 'category', CASE WHEN id % 17 = 0 THEN 'municipality_centroid_confirmed' WHEN {_PROBABLE} THEN 'municipality_centroid_probable' ELSE 'rounded_coordinate_probable' END, count(*) FROM e JOIN st USING (lat, lon) GROUP BY 2
+    UNION ALL SELECT 'combustibility', CASE WHEN id % 19 = 0 THEN 'features_missing' WHEN id % 3 = 0 THEN 'combustible' ELSE 'non_combustible' END, count(*) FROM v_ignitions GROUP BY 2
+    UNION ALL SELECT 'total', 'events', count(*) FROM v_ignitions UNION ALL SELECT 'total', 'coordinate_groups', count(*) FROM st WHERE n > 1 UNION ALL SELECT 'total', 'duplicate_pairs', count(*) FROM k"""
+)
+def a15_quality_summary(spark, d):
+    from ..operators.reads import quality_summary
+
+    pairs = _assessed(spark, d)
+    groups = quality.duplicate_groups(pairs).join(pairs.select(F.concat_ws(":", "left", "right").alias("group"), "classification"), "group")
+    burns = views.ignitions(spark, d).select(F.when(_c("id") % 19 != 0, _c("id") % 3 == 0).alias("combustible"))
+    return quality_summary(_placed(spark, d), groups, _geography(spark, d).select("g.category"), burns, pairs)
+
+
+@query(
+    _POS
+    + """, r AS (SELECT CASE WHEN year(date) <= 1998 THEN 'train' WHEN year(date) = 1999 THEN 'validation' ELSE 'test' END AS split, 1 AS label FROM pos WHERE strict UNION ALL SELECT CASE WHEN year(date) <= 1998 THEN 'train' WHEN year(date) = 1999 THEN 'validation' ELSE 'test' END, 0 FROM pos WHERE id % 3 = 0)
+    SELECT 'rows' AS kind, split AS name, label, count(*) AS n FROM r GROUP BY 2, 3 UNION ALL SELECT 'exclusions', CASE WHEN NOT combustible THEN 'non_combustible_cell' ELSE 'insufficient_geographic_quality' END, NULL, count(*) FROM pos WHERE NOT combustible OR low_geo_confidence GROUP BY 2
+    UNION ALL SELECT 'builds', 'builds', NULL, count(DISTINCT commune) FROM v_ignitions"""
+)
+def a16_dataset_detail(spark, d):
+    from ..operators.reads import dataset_detail
+
+    p = _positives(spark, d)
+    split = F.when(F.year("date") <= 1998, "train").when(F.year("date") == 1999, "validation").otherwise("test").alias("split")
+    rows = p.where("strict").select(split, F.lit(1).alias("label")).unionByName(p.where("id % 3 = 0").select(split, F.lit(0).alias("label")))
+    strict = {"non_combustible_cell": ~_c("combustible"), "insufficient_geographic_quality": _c("low_geo_confidence")}
+    left_out = p.select(dataset.exclusion_reason(strict, dataset.STRICT).alias("reason")).where("reason is not null")
+    return dataset_detail(rows, left_out, views.ignitions(spark, d).select("commune").distinct())

@@ -9,7 +9,7 @@ from ..functions import fwi as codes
 from ..operators import bulletin, reads, scoring, spatial
 from ..plans import weather_index
 from ..views import table, with_views
-from .joins import disk
+from .joins import _stations, disk
 from .registry import query
 from .scalar import sql_bui, sql_dc, sql_dmc, sql_ffmc, sql_fwi, sql_isi
 
@@ -165,9 +165,22 @@ def t2_alerts_latest(spark, d):
     return reads.alerts_latest(_latest(spark, d), "nowcast", 0.8, 100, ["cell", "k1", "k2"]).select("cell", F.round("score", 6).alias("score"), "k1", "k2")
 
 
-@query(with_views("v_scores", "v_cells") + " SELECT s.cell, max(s.computed_at) AS computed_at, round(max(s.score), 6) AS peak, any_value(round(c.road, 6)) AS road FROM v_scores s JOIN v_cells c ON c.key = s.cell WHERE s.horizon = 'hours_6' GROUP BY s.cell")
+@query(
+    with_views("v_scores", "v_cells")
+    + """, r AS (SELECT * FROM v_scores WHERE horizon = 'hours_6'), c AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY cell ORDER BY computed_at DESC, k1, k2, cell, commune) = 1),
+    h AS (SELECT c.cell, count(*) AS past, max(r.score) AS peak, avg(r.score) AS mean FROM c JOIN r ON r.cell = c.cell AND r.computed_at <= c.computed_at AND r.computed_at >= c.computed_at - INTERVAL 1488 HOUR GROUP BY 1)
+    SELECT c.cell, c.computed_at, round(c.score, 6) AS score, CASE WHEN c.cell % 3 <> 0 THEN (c.cell * 7 + month(c.computed_at)) % 40 WHEN c.cell % 5 <> 0 THEN (c.cell * 3 + day(c.computed_at)) % 50 END AS fwi, CASE WHEN c.cell % 3 <> 0 THEN 'forecast' WHEN c.cell % 5 <> 0 THEN 'state' END AS index_from, round(v.road, 6) AS road, past, round(peak, 6) AS peak, round(mean, 6) AS mean
+    FROM c JOIN h USING (cell) JOIN v_cells v ON v.key = c.cell"""
+)
 def t3_cell_detail(spark, d):
-    return reads.cell_detail(views.scores(spark, d).where("horizon = 'hours_6'"), views.cells(spark, d).select(_c("key").alias("cell"), "road")).select("cell", "computed_at", F.round("peak", 6).alias("peak"), F.round("road", 6).alias("road"))
+    s = views.scores(spark, d)
+    batches = s.select("cell", "computed_at", "horizon").distinct()
+    forecasts = batches.where("cell % 3 <> 0").withColumn("fwi", (_c("cell") * 7 + F.month("computed_at")) % 40)
+    states = batches.where("cell % 5 <> 0").select("cell", F.to_date("computed_at").alias("date")).distinct().withColumn("fwi", (_c("cell") * 3 + F.dayofmonth("date")) % 50)
+    t = reads.cell_detail(s, forecasts, states, views.cells(spark, d).select(_c("key").alias("cell"), "road"), "hours_6", 62 * 24, TIE)
+    past = F.transform("history", lambda h: h["score"])
+    mean = F.aggregate(past, F.lit(0.0), lambda a, x: a + x) / F.size(past)
+    return t.select("cell", "computed_at", F.round("score", 6).alias("score"), "fwi", "index_from", F.round("road", 6).alias("road"), F.size("history").cast("long").alias("past"), F.round(F.array_max(past), 6).alias("peak"), F.round(mean, 6).alias("mean"))
 
 
 @query("SELECT s_suppkey AS code, s_name AS name FROM supplier WHERE lower(s_name) LIKE 'supplier#00000001%' OR lower(s_name) LIKE 'supplier#1%' ORDER BY name, code LIMIT 20")
@@ -208,16 +221,6 @@ def a14_overview(spark, d):
     return reads.overview(views.ignitions(spark, d))
 
 
-@query(with_views("v_ignitions") + " SELECT 'cause' AS kind, cause AS name, count(*) AS n FROM v_ignitions GROUP BY cause UNION ALL SELECT 'commune', CAST(commune AS VARCHAR), count(*) FROM v_ignitions GROUP BY commune")
-def a15_quality_summary(spark, d):
-    return reads.counts_by(views.ignitions(spark, d), ["cause", "commune"])
-
-
-@query(with_views("v_labeled") + " SELECT year::INTEGER AS year, label, count(*) AS n FROM v_labeled GROUP BY 1, 2")
-def a16_dataset_detail(spark, d):
-    return views.labeled(spark, d).groupBy("year", "label").agg(F.count("*").alias("n"))
-
-
 @query("SELECT min(CAST(o_orderdate AS DATE)) AS first_day, max(CAST(o_orderdate AS DATE)) AS last_day, count(*) FILTER (o_orderkey % 3 <> 0) AS known, count(*) FILTER (o_orderkey % 3 = 0) AS unknown FROM orders")
 def a17_calendar_summary(spark, d):
     o = table(spark, d, "orders").select(F.to_date("o_orderdate").alias("date"), F.when(_c("o_orderkey") % 3 != 0, _c("o_orderkey") % 2 == 0).alias("school_holiday"))
@@ -326,20 +329,44 @@ def w6_daily_hits(spark, d):
     return weather_index.daily_hits(_backtest(spark, d))
 
 
-@query()
+_NEAR4 = """p AS (SELECT c.key, c.cell, s.station, sqrt(((c.q - s.q) * (c.q - s.q) + (c.q - s.q) * (c.r - s.r) + (c.r - s.r) * (c.r - s.r))::DOUBLE) AS km, s.temp, s.rh, s.wind, s.rain FROM v_cells c, v_stations s),
+    n AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY km, station) AS k, min(km) OVER (PARTITION BY cell) AS near FROM p), w AS (SELECT *, CASE WHEN near <= 1e-9 THEN CASE WHEN km <= 1e-9 THEN 1::DOUBLE ELSE 0::DOUBLE END ELSE pow(km, -2) END AS w FROM n WHERE k <= 4),
+    v AS (SELECT key, cell, sum(w * temp) / sum(w) AS temp, sum(w * rh) / sum(w) AS rh, sum(w * wind) / sum(w) AS wind, sum(w * rain) / sum(w) AS rain FROM w GROUP BY 1, 2)"""
+_SCORED = "CASE WHEN c.combustible THEN pow(greatest(0::DOUBLE, least(1::DOUBLE, fwi / 30)), 0.6) * pow(greatest(0::DOUBLE, least(1::DOUBLE, (0.4 * 0.5 + 0.2 * greatest(0::DOUBLE, least(1::DOUBLE, c.road)) + 0.15 * c.agri::INT) * {calendar})), 0.4) ELSE 0 END"
+
+
+@query(
+    _SERIES.replace("WITH RECURSIVE ", with_views("v_cells", "v_stations") + ", ", 1)
+    + f""", {_NEAR4}, o AS (SELECT v.*, coalesce(y.ffmc, {_F}::DOUBLE) AS f0, coalesce(y.dmc, {_P}::DOUBLE) AS p0, coalesce(y.dc, {_C}::DOUBLE) AS c0 FROM v LEFT JOIN y ON y.cell = v.key % 8 AND y.date = DATE '1996-07-01'),
+    fr AS (SELECT *, {sql_ffmc('f0', 'temp', 'rh', 'wind', 'rain')} AS ffmc, {sql_dmc('p0', 'temp', 'rh', 'rain', '7')} AS dmc, {sql_dc('c0', 'temp', 'rain', '7')} AS dc FROM o),
+    gg AS (SELECT *, {sql_isi('ffmc', 'wind')} AS isi, {sql_bui('dmc', 'dc')} AS bui FROM fr), h AS (SELECT *, {sql_fwi('isi', 'bui')} AS fwi FROM gg)
+    SELECT h.cell, round(fwi, 5) AS fwi, round({_SCORED.format(calendar='1.0')}, 5) AS score FROM h JOIN v_cells c USING (key)"""
+)
 def r5_recompute_day(spark, d):
-    s = views.stations(spark, d).withColumnRenamed("q", "sq").withColumnRenamed("r", "sr")
+    return _recomputed(spark, d).select("cell", F.round("fwi", 5).alias("fwi"), F.round("score", 5).alias("score"))
+
+
+def _recomputed(spark, d):
     cells = views.cells(spark, d)
-    dq, dr = _c("q") - _c("sq"), _c("r") - _c("sr")
-    pairs = spatial.nearest(cells.select("cell", "q", "r"), s, F.sqrt((dq * dq + dq * dr + dr * dr).cast("double")), "cell", "station", 4)
+    pairs = spatial.nearest(cells.select("cell", "q", "r"), _stations(spark, d), 4)
     lanes = weather_index.fwi_series(views.weather_daily(spark, d).where("date <= '1996-07-01'")).where("date = '1996-07-01'").select(_c("cell").alias("lane"), "ffmc", "dmc", "dc")
     state = cells.select("cell", (_c("key") % 8).alias("lane")).join(lanes, "lane").select("cell", "ffmc", "dmc", "dc")
     static = cells.select("cell", "road", F.lit(0.5).alias("hist"), F.lit(0.0).alias("wui"), F.when(_c("agri"), 1.0).otherwise(0.0).alias("agri"), "combustible")
     cal = spark.sql("select date '1996-07-02' as date, true as school_holiday, false as public_holiday")
-    return weather_index.recompute_day(cells, pairs, state, static, cal, "1996-07-02").select("cell", "fwi", "score", "factors")
+    return weather_index.recompute_day(cells, pairs, state, static, cal, "1996-07-02")
+
 
+def _step_sql(name: str, source: str, step: int) -> str:
+    return f"{name} AS (SELECT cell, temp, rh, wind, rain, {step} AS step, {sql_ffmc('ffmc', 'temp', 'rh', 'wind', 'rain')} AS ffmc, {sql_dmc('dmc', 'temp', 'rh', 'rain', '7')} AS dmc, {sql_dc('dc', 'temp', 'rain', '7')} AS dc FROM {source})"
 
-@query()
+
+@query(
+    with_views("v_cells", "v_stations")
+    + f""", a AS (SELECT c.cell, s.temp, s.rh, s.wind, s.rain, {_F}::DOUBLE AS ffmc, {_P}::DOUBLE AS dmc, {_C}::DOUBLE AS dc FROM v_cells c JOIN v_stations s ON s.station = c.key % 50), {_step_sql('s0', 'a', 0)}, {_step_sql('s1', 's0', 1)}, {_step_sql('s2', 's1', 2)},
+    st AS (SELECT * FROM s0 UNION ALL SELECT * FROM s1 UNION ALL SELECT * FROM s2), hz AS (SELECT unnest(['nowcast', 'hours_6', 'hours_24', 'hours_48']) AS horizon, unnest([0, 6, 24, 48]) AS hours, unnest([0, 0, 1, 2]) AS step),
+    i AS (SELECT st.*, horizon, TIMESTAMP '2024-07-10 14:00:00' + to_hours(hours) AS valid_at, {sql_isi('ffmc', 'wind')} AS isi, {sql_bui('dmc', 'dc')} AS bui FROM st JOIN hz USING (step)), h AS (SELECT *, {sql_fwi('isi', 'bui')} AS fwi FROM i)
+    SELECT h.cell, horizon, valid_at, round(fwi, 5) AS fwi, round({_SCORED.format(calendar='1.0')}, 5) AS score FROM h JOIN v_cells c ON c.cell = h.cell"""
+)
 def r6_forecast_batch(spark, d):
     c, w = views.cells(spark, d), views.stations(spark, d)
     near = c.withColumn("station", _c("key") % 50).join(w.select("station", "temp", "rh", "wind", "rain"), "station")
@@ -351,7 +378,7 @@ def r6_forecast_batch(spark, d):
     hours = with_horizons(near.select("cell", "wind", base.alias("base"))).withColumn("step", F.when(_c("horizon").isin("nowcast", "hours_6"), 0).when(_c("horizon") == "hours_24", 1).otherwise(2)).select("cell", "horizon", "valid_at", "step", "wind")
     static = c.select("cell", "road", F.lit(0.5).alias("hist"), F.lit(0.0).alias("wui"), F.when(_c("agri"), 1.0).otherwise(0.0).alias("agri"), "combustible")
     cal = spark.sql("select date '2024-07-11' as date, true as school_holiday, false as public_holiday")
-    return weather_index.forecast_batch(noons, hours, static, cal).select("cell", "horizon", "valid_at", "fwi", "score", "factors")
+    return weather_index.forecast_batch(noons, hours, static, cal).select("cell", "horizon", "valid_at", F.round("fwi", 5).alias("fwi"), F.round("score", 5).alias("score"))
 
 
 @query(
@@ -366,10 +393,8 @@ def r6_forecast_batch(spark, d):
 )
 def flagship_alerts(spark, d):
     """Stations to alerts: nearest-station weather, one day of the index, features, score, threshold."""
-    s = views.stations(spark, d).withColumnRenamed("q", "sq").withColumnRenamed("r", "sr")
     cells = views.cells(spark, d)
-    dq, dr = _c("q") - _c("sq"), _c("r") - _c("sr")
-    pairs = spatial.nearest(cells.select("cell", "q", "r"), s, F.sqrt((dq * dq + dq * dr + dr * dr).cast("double")), "cell", "station", 4)
+    pairs = spatial.nearest(cells.select("cell", "q", "r"), _stations(spark, d), 4)
     state = spark.createDataFrame([], "cell long, ffmc double, dmc double, dc double")
     static = cells.select("cell", "key", "road", F.lit(0.5).alias("hist"), F.lit(0.0).alias("wui"), F.when(_c("agri"), 1.0).otherwise(0.0).alias("agri"), "combustible")
     cal = spark.createDataFrame([], "date date, school_holiday boolean, public_holiday boolean")

@@ -18,17 +18,11 @@ def disk(k: int) -> str:
     return _DISK.format(k=k)
 
 
-def _axial_km():
-    dq, dr = _c("q") - _c("sq"), _c("r") - _c("sr")
-    return F.sqrt((dq * dq + dq * dr + dr * dr).cast("double"))
-
-
 _KM = "sqrt(((c.q - s.q) * (c.q - s.q) + (c.q - s.q) * (c.r - s.r) + (c.r - s.r) * (c.r - s.r))::DOUBLE)"
 
 
-def _pairs(spark, d, k):
-    s = views.stations(spark, d).withColumnRenamed("q", "sq").withColumnRenamed("r", "sr")
-    return spatial.nearest(views.cells(spark, d).select("cell", "q", "r"), s, _axial_km(), "cell", "station", k)
+def _stations(spark, d):
+    return views.stations(spark, d).withColumnsRenamed({"q": "sq", "r": "sr"})
 
 
 def _idw_sql(top: str) -> str:
@@ -43,12 +37,13 @@ def _idw_sql(top: str) -> str:
 
 @query(_idw_sql("WHERE k <= 4"))
 def j6_idw_nearest(spark, d):
-    return spatial.idw(_pairs(spark, d, 4), "cell", ["temp", "rain"]).select("cell", F.round("temp", 8).alias("temp"), F.round("rain", 8).alias("rain"))
+    pairs = spatial.nearest(views.cells(spark, d).select("cell", "q", "r"), _stations(spark, d), 4)
+    return spatial.idw(pairs, "cell", ["temp", "rain"]).select("cell", F.round("temp", 8).alias("temp"), F.round("rain", 8).alias("rain"))
 
 
 @query(_idw_sql(""))
 def j7_idw_all(spark, d):
-    return spatial.idw(_pairs(spark, d, None), "cell", ["temp", "rain"]).select("cell", F.round("temp", 8).alias("temp"), F.round("rain", 8).alias("rain"))
+    return spatial.idw_all(views.cells(spark, d).select("cell", "q", "r"), _stations(spark, d), ["temp", "rain"]).select("cell", F.round("temp", 8).alias("temp"), F.round("rain", 8).alias("rain"))
 
 
 @query(

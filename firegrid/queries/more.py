@@ -10,21 +10,27 @@ from ..operators import evidence
 from ..operators.scoring import score_heuristic
 from ..plans import weather_index
 from ..sources import readers, sinks
+from ..sources.staging import scratch
 from ..streaming import jobs
 from ..views import table, with_views
-from .pipelines import _obs_files, scratch
-from .registry import query
+from .pipelines import _obs_files
+from .forecasts import _SERIES
+from .registry import SQL, query
+from .scalar import _sql_forward, _sql_hex
 
 _c = F.col
 
 
-@query("SELECT CASE WHEN c_custkey % 3 = 0 THEN 'road' ELSE 'building' END AS feature_type, count(*) AS n FROM customer GROUP BY 1")
+_FEATURES = "(SELECT c_custkey AS osm_id, c_custkey % 3 = 0 AS line, CASE WHEN c_custkey % 3 = 0 THEN (43 + c_custkey % 90 / 100.0::DOUBLE + (43.01::DOUBLE + c_custkey % 90 / 100.0::DOUBLE)) / 2 ELSE 43 + c_custkey % 90 / 100.0::DOUBLE END AS lat, CASE WHEN c_custkey % 3 = 0 THEN (2 + c_custkey % 70 / 100.0::DOUBLE + (2.01::DOUBLE + c_custkey % 70 / 100.0::DOUBLE)) / 2 ELSE 2 + c_custkey % 70 / 100.0::DOUBLE END AS lon FROM customer)"
+
+
+@query(f"SELECT osm_id, CASE WHEN line THEN 'road' ELSE 'building' END AS feature_type, cell FROM {_sql_hex(_sql_forward(_FEATURES), grid.edge_m(8), 8)}")
 def s13_osm_features(spark, d):
     k, path = _c("c_custkey"), scratch(spark, "osm")
     end = lambda x: F.when(k % 3 == 0, x)
     rows = table(spark, d, "customer").select(k.cast("string").alias("osm_id"), F.when(k % 3 == 0, "road").otherwise("building").alias("feature_type"), (43 + k % 90 / 100.0).alias("latitude"), (2 + k % 70 / 100.0).alias("longitude"), end(43.01 + k % 90 / 100.0).alias("end_latitude"), end(2.01 + k % 70 / 100.0).alias("end_longitude"), F.lit("x").alias("name"))
     rows.write.option("header", True).csv(path)
-    return readers.read_osm_features(spark, path).where("cell is not null").groupBy("feature_type").agg(F.count("*").alias("n"))
+    return readers.read_osm_features(spark, path).select(_c("osm_id").cast("long").alias("osm_id"), "feature_type", "cell")
 
 
 @query(with_views("v_cells") + " SELECT cell, buildings FROM v_cells")
@@ -83,33 +89,36 @@ def c8_validate_reviews(spark, d):
     return evidence.validate_reviews(r, c).select("case", "verdict", "confidence", "error")
 
 
-@query()
+@query(_SERIES + "SELECT cell, date, round(ffmc, 4) AS ffmc, round(dmc, 4) AS dmc, round(dc, 4) AS dc, round(isi, 4) AS isi, round(bui, 4) AS bui, round(fwi, 4) AS fwi, false AS late FROM y")
 def n3_stream_fwi(spark, d):
     w = views.weather_daily(spark, d)
     path, out, state = scratch(spark, "weather"), scratch(spark, "series"), scratch(spark, "series-state")
-    w.repartition(1).sortWithinPartitions("date").write.parquet(path)
+    w.write.parquet(path)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     s = jobs.stream_fwi(spark.readStream.schema(w.schema).parquet(path))
     s.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).select("cell", "date", *(F.round(c, 4).alias(c) for c in weather_index.CODES), "late")
 
 
-@query(with_views("v_weather") + " SELECT cell, count(*) AS n FROM v_weather GROUP BY 1")
+@query(
+    _SERIES
+    + """SELECT cell, date, round(fwi, 4) AS fwi, round(pow(greatest(0::DOUBLE, least(1::DOUBLE, fwi / 30)), 0.6) * pow((0.4::DOUBLE * 0.2 + 0.2::DOUBLE * 0.3) * CASE WHEN isodow(date) >= 6 THEN 1.2::DOUBLE WHEN month(date) IN (12, 1, 2) THEN 0.6::DOUBLE ELSE 1::DOUBLE END, 0.4), 4) AS score FROM y"""
+)
 def n4_stream_forecast(spark, d):
     w = views.weather_daily(spark, d)
     src, path, manifest, state = (scratch(spark, n) for n in ("hourly", "published", "published-manifest", "forecast-state"))
     w.write.parquet(src)
-    static = spark.range(8).select(_c("id").alias("cell"), F.lit(0.3).alias("road"), F.lit(0.2).alias("hist"), F.lit(0.0).alias("wui"), F.lit(0.0).alias("agri"), F.lit(True).alias("combustible"))
+    static = w.select("cell").distinct().select("cell", F.lit(0.3).alias("road"), F.lit(0.2).alias("hist"), F.lit(0.0).alias("wui"), F.lit(0.0).alias("agri"), F.lit(True).alias("combustible"))
     cal = spark.createDataFrame([], "date date, school_holiday boolean, public_holiday boolean")
     score = lambda df: score_heuristic(weather_index.risk_inputs(static, weather_index.fwi_series(df), cal))
     jobs.stream_forecast(spark.readStream.schema(w.schema).parquet(src), score, lambda df, n: sinks.publish_batch(df, path, manifest, n), state).trigger(availableNow=True).start().awaitTermination()
-    return sinks.read_published(spark, path, manifest).groupBy("cell").agg(F.count("*").alias("n"))
+    return sinks.read_published(spark, path, manifest).select("cell", "date", F.round("fwi", 4).alias("fwi"), F.round("score", 4).alias("score"))
 
 
-@query()
+@query(SQL["w8_reactive_cases"])
 def n10_stream_reactive_cases(spark, d):
     path, schema = _obs_files(spark, d)
     out, state = scratch(spark, "cases"), scratch(spark, "cases-state")
-    windows = jobs.stream_signal_windows(spark.readStream.schema(schema).parquet(path), "60 days")
-    jobs.stream_reactive_cases(windows, 3, lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("append").parquet(out), state).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out).select("commune", "first_at", "daily_rank", "batch")
+    arrivals = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    jobs.stream_reactive_cases(jobs.stream_signal_windows(arrivals, "60 days"), 3, out, state).trigger(availableNow=True).start().awaitTermination()
+    return jobs.read_reactive_cases(spark, out).select("commune", "first_at", "daily_rank")

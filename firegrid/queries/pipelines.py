@@ -2,30 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from .. import views
 from ..functions import grid
-from ..operators import reads, spatial
+from ..operators import spatial
 from ..plans import weather_index
 from ..sources import readers, sinks
+from ..sources.staging import scratch
 from ..streaming import jobs
 from ..views import table, with_views
 from .joins import disk
 from .registry import query
+from .scalar import _CENTRE, _sql_forward, _sql_hex, _sql_inverse, sql_fingerprint
 
 _c = F.col
 
 
-def scratch(spark, name: str) -> str:
-    """A new path in the folder that driver and executors share; a local one only if none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="firegrid-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 # --- readers ----------------------------------------------------------------
 
 
@@ -40,9 +33,12 @@ def _detections(spark, d):
     return readers.read_firms(spark, path)
 
 
-@query("SELECT date_trunc('minute', ts) AS observed_at, count(*) AS n, round(sum(value), 4) AS frp FROM events WHERE event_id % 50 <> 0 AND event_id % 60 <> 0 GROUP BY 1")
+_DETECTED = "(SELECT event_id, date_trunc('minute', ts) AS observed_at, value AS frp, 42 + event_id % 97 / 12.0::DOUBLE AS lat, -2 + event_id % 89 / 9.0::DOUBLE AS lon FROM events WHERE event_id % 50 <> 0 AND event_id % 60 <> 0)"
+
+
+@query(f"SELECT observed_at, cell, frp, round(lat * 100000)::BIGINT || ':' || round(lon * 100000)::BIGINT || ':' || epoch(observed_at)::BIGINT || ':N' AS dedupe_key FROM {_sql_hex(_sql_forward(_DETECTED), grid.edge_m(8), 8)}")
 def s1_read_firms(spark, d):
-    return _detections(spark, d)[0].groupBy("observed_at").agg(F.count("*").alias("n"), F.round(F.sum("frp"), 4).alias("frp"))
+    return _detections(spark, d)[0].select("observed_at", "cell", "frp", "dedupe_key")
 
 
 @query("SELECT CASE WHEN event_id % 60 = 0 THEN 'invalid_time' ELSE 'invalid_latitude' END AS error, count(*) AS n FROM events WHERE event_id % 50 = 0 OR event_id % 60 = 0 GROUP BY 1")
@@ -65,6 +61,22 @@ def s4_noon_archive(spark, d):
     return readers.noon_archive(e, e.where("station % 3 = 0").select("station").distinct()).select("station", "date", "row")
 
 
+@query(
+    """WITH f AS (SELECT user_id, CAST(ts AS DATE) AS date, hour(ts) % 3 AS slot, min(event_id) AS e FROM events GROUP BY 1, 2, 3)
+    SELECT user_id::VARCHAR AS station, date, round(280 + e % 30 - 273.15::DOUBLE, 4) AS temp, (e % 100)::DOUBLE AS rh, round(e % 10 * 3.6::DOUBLE, 4) AS wind, (CASE WHEN e % 5 = 1 THEN 0 ELSE e % 4 END)::DOUBLE AS rain FROM f WHERE slot = 1 AND user_id % 3 = 0 AND e % 9 <> 0"""
+)
+def s4_read_synop_archive(spark, d):
+    e, path = _c("e"), scratch(spark, "archive")
+    days = table(spark, d, "events").groupBy("user_id", F.to_date("ts").alias("day"), (F.hour("ts") % 3).alias("slot")).agg(F.min("event_id").alias("e"))
+    hour = F.element_at(F.array(F.lit("09"), F.lit("12"), F.lit("15")), (_c("slot") + 1).cast("int"))
+    rain = F.when(e % 9 == 0, "mq").when(e % 5 == 1, "-0.1").otherwise((e % 4).cast("string"))
+    rows = days.select(_c("user_id").cast("string").alias("numer_sta"), F.concat(F.date_format("day", "yyyyMMdd"), hour, F.lit("0000")).alias("date"), (e % 10).alias("ff"), (e % 30 + 280).alias("t"), (e % 100).alias("u"), rain.alias("rr24"))
+    rows.write.options(header=True, sep=";", compression="gzip").csv(path)
+    known = days.where("user_id % 3 = 0").select(_c("user_id").cast("string").alias("station")).distinct()
+    t = readers.read_synop_archive(spark, path, known)
+    return t.select("station", "date", F.round("temp", 4).alias("temp"), "rh", F.round("wind", 4).alias("wind"), "rain")
+
+
 @query("SELECT DATE '2024-01-01' + CAST(k AS INTEGER) AS date FROM (SELECT unnest(range(0, 40)) AS k) WHERE DATE '2024-01-01' + CAST(k AS INTEGER) NOT IN (SELECT CAST(ts AS DATE) FROM events WHERE day(ts) % 4 <> 0)")
 def s4_missing_days(spark, d):
     e = table(spark, d, "events").select(F.to_date("ts").alias("date")).where(F.dayofmonth("date") % 4 != 0)
@@ -106,10 +118,15 @@ def s11_national_export(spark, d):
     return readers.normalize_national_export(raw, centres).groupBy("lat").agg(F.count("*").alias("n"), F.round(F.sum("surface_ha"), 2).alias("ha"))
 
 
-@query(with_views("v_ignitions") + " SELECT id, 43 + lat_m / 1000 AS latitude FROM v_ignitions WHERE (id % 2 = 0 OR id % 5 = 1) AND lat_m / 1000 BETWEEN 0.2 AND 0.6 AND lon_m / 1000 BETWEEN 0.1 AND 0.9")
+@query(with_views("v_ignitions") + " SELECT id::VARCHAR AS external_id, 43 + lat_m / 1000 AS latitude, cause FROM v_ignitions WHERE (id % 2 = 0 OR id % 5 = 1) AND lat_m / 1000 BETWEEN 0.2 AND 0.6 AND lon_m / 1000 BETWEEN 0.1 AND 0.9")
 def s12_fire_history(spark, d):
-    i = views.ignitions(spark, d).select("id", (43 + _c("lat_m") / 1000).alias("latitude"), (2 + _c("lon_m") / 1000).alias("longitude"))
-    return readers.fire_history([i.where("id % 2 = 0"), i.where("id % 2 = 1 and id % 5 = 1")], (2.1, 43.2, 2.9, 43.6)).select("id", "latitude")
+    i = views.ignitions(spark, d)
+    rows = i.select("id", _c("id").cast("string").alias("external_id"), F.date_format("occurred_at", "yyyy-MM-dd HH:mm:ss").alias("occurred_at"), F.lit("x").alias("municipality"), (43 + _c("lat_m") / 1000).alias("latitude"), (2 + _c("lon_m") / 1000).alias("longitude"), "surface_ha", "cause")
+    paths = []
+    for name, which in (("bdiff", "id % 2 = 0"), ("promethee", "id % 2 = 1 and id % 5 = 1")):
+        paths.append(scratch(spark, name))
+        rows.where(which).drop("id").write.option("header", True).csv(paths[-1])
+    return readers.read_fire_history(spark, paths, (2.1, 43.2, 2.9, 43.6)).select("external_id", "latitude", "cause")
 
 
 @query(with_views("v_cells") + ", t AS (SELECT key % 6 AS k, key FROM v_cells) SELECT key, CASE k WHEN 0 THEN 'road' WHEN 1 THEN 'power_line' WHEN 2 THEN 'building' WHEN 3 THEN 'poi' WHEN 4 THEN 'poi' END AS kind FROM t")
@@ -120,14 +137,24 @@ def s14_classify_tags(spark, d):
     return views.cells(spark, d).select("key", readers.classify_tags(tags).alias("kind"))
 
 
-@query("SELECT o_custkey % 50 AS way, count(*) - 1 AS segments FROM (SELECT DISTINCT o_custkey FROM orders) GROUP BY 1")
-def s15_way_segments(spark, d):
+_NODE = "(SELECT DISTINCT o_custkey AS node, o_custkey % 50 AS way, ['road', 'power_line', 'building', 'poi'][o_custkey % 50 % 4 + 1] AS kind, 43 + o_custkey % 100 / 1000.0::DOUBLE AS nlat, 2 + o_custkey / 100000.0::DOUBLE AS nlon FROM orders)"
+_METRES = "2 * 6371008.8::DOUBLE * asin(sqrt(least(pow(sin((radians(lat2) - radians(nlat)) / 2), 2) + cos(radians(nlat)) * cos(radians(lat2)) * pow(sin((radians(lon2) - radians(nlon)) / 2), 2), 1)))"
+
+
+@query(
+    f"""WITH n AS {_NODE}, sg AS (SELECT *, (nlat + lat2) / 2 AS lat, (nlon + lon2) / 2 AS lon, {_METRES} AS m FROM (SELECT *, lead(nlat) OVER w AS lat2, lead(nlon) OVER w AS lon2 FROM n WHERE kind IN ('road', 'power_line') WINDOW w AS (PARTITION BY way ORDER BY node)) WHERE lat2 IS NOT NULL),
+    li AS (SELECT cell, round(coalesce(sum(m) FILTER (kind = 'road'), 0), 3) AS road_m, round(coalesce(sum(m) FILTER (kind = 'power_line'), 0), 3) AS power_line_m FROM {_sql_hex(_sql_forward('sg'), grid.edge_m(8), 8)} GROUP BY 1),
+    sp AS (SELECT way, kind, avg(nlat) AS lat, avg(nlon) AS lon FROM n WHERE kind IN ('building', 'poi') GROUP BY 1, 2), sc AS (SELECT cell, count(DISTINCT sub) FILTER (kind = 'building') AS buildings, count(*) FILTER (kind = 'poi') AS poi FROM {_sql_hex(_sql_hex(_sql_forward('sp'), grid.edge_m(11), 11, 'sub'), grid.edge_m(8), 8)} GROUP BY 1)
+    SELECT cell, coalesce(road_m, 0) AS road_m, coalesce(power_line_m, 0) AS power_line_m, coalesce(buildings, 0) AS buildings, coalesce(poi, 0) AS poi FROM li FULL JOIN sc USING (cell)"""
+)
+def s15_aggregate_osm(spark, d):
+    node = _c("o_custkey")
     o = table(spark, d, "orders").select("o_custkey").distinct()
-    nodes = o.select(_c("o_custkey").alias("node"), (43 + _c("o_custkey") % 100 / 1000.0).alias("lat"), (2 + _c("o_custkey") / 1_000_000.0).alias("lon"))
-    ways = o.groupBy((_c("o_custkey") % 50).alias("way")).agg(F.array_sort(F.collect_list("o_custkey")).alias("refs")).withColumn("kind", F.lit("road"))
+    nodes = o.select(node.alias("node"), (43 + node % 100 / 1000.0).alias("lat"), (2 + node / 100_000.0).alias("lon"))
+    kind = F.element_at(F.array(*map(F.lit, ["road", "power_line", "building", "poi"])), (_c("way") % 4 + 1).cast("int"))
+    ways = o.groupBy((node % 50).alias("way")).agg(F.array_sort(F.collect_list("o_custkey")).alias("refs")).withColumn("kind", kind)
     a = readers.aggregate_osm(nodes, ways)
-    pieces = ways.select("way", (F.size("refs") - 1).cast("long").alias("segments"))
-    return pieces.crossJoin(F.broadcast(a.agg((F.sum("road_m") > 0).alias("_some")))).where("_some").drop("_some")
+    return a.select("cell", "road_m", "power_line_m", F.coalesce(F.size("building_cells"), F.lit(0)).cast("long").alias("buildings"), "poi")
 
 
 @query("SELECT p_partkey AS key, p_partkey % 400 BETWEEN 211 AND 244 AS agricultural, p_partkey % 400 BETWEEN 211 AND 244 OR p_partkey % 400 IN (311, 312, 313, 321, 322, 323, 324, 333, 334) AS combustible FROM part")
@@ -143,12 +170,13 @@ def s18_land_cover_cells(spark, d):
     return readers.aggregate_land_cover(views.cells(spark, d).select(x.alias("x"), y.alias("y"), code.alias("code")))
 
 
-@query(with_views("v_ignitions") + " SELECT count(*) AS squares, round(sum(greatest(surface_ha - 100, 0)), 3) AS people FROM v_ignitions")
+_SQUARES = "(SELECT (3700000 + id % 300 * 200 + 100)::DOUBLE AS x, (2300000 + id % 500 * 200 + 100)::DOUBLE AS y, surface_ha - 100 AS ind, (id % 2)::INTEGER AS imputed FROM v_ignitions)"
+
+
+@query(with_views("v_ignitions") + f" SELECT cell, round(sum(greatest(ind, 0)), 3) AS population, max(imputed) AS imputed FROM {_sql_hex(_SQUARES, grid.edge_m(8), 8)} GROUP BY 1")
 def s19_population(spark, d):
-    i = views.ignitions(spark, d)
-    rows = i.select(F.format_string("CRS3035RES200mN%dE%d", 2300000 + _c("id") % 500 * 200, 3700000 + _c("id") % 300 * 200).alias("id"), (_c("surface_ha") - 100).alias("ind"), (_c("id") % 2).cast("int").alias("imputed"))
-    a = readers.aggregate_population(rows)
-    return a.agg(F.round(F.sum("population"), 3).alias("people")).crossJoin(rows.agg(F.count("*").alias("squares"))).select("squares", "people")
+    rows = views.ignitions(spark, d).select(F.format_string("CRS3035RES200mN%dE%d", 2300000 + _c("id") % 500 * 200, 3700000 + _c("id") % 300 * 200).alias("id"), (_c("surface_ha") - 100).alias("ind"), (_c("id") % 2).cast("int").alias("imputed"))
+    return readers.aggregate_population(rows).select("cell", F.round("population", 3).alias("population"), "imputed")
 
 
 # --- versioned writes -------------------------------------------------------
@@ -215,15 +243,42 @@ def k8_source_status(spark, d):
     return sinks.source_status(_runs(spark, d))
 
 
-@query()
+_CORNERS = f"(SELECT key, k AS place, x + {grid.edge_m(8)!r}::DOUBLE * cos(radians(30 + 60 * (k % 6))) AS x, y + {grid.edge_m(8)!r}::DOUBLE * sin(radians(30 + 60 * (k % 6))) AS y FROM {_CENTRE}, (SELECT unnest(range(0, 7)) AS k))"
+
+
+@query(with_views("v_cells") + f" SELECT key, place::INTEGER AS place, round(lon, 6) AS lon, round(lat, 6) AS lat FROM {_sql_inverse(_CORNERS)}")
 def k9_geojson(spark, d):
-    return sinks.to_geojson(views.cells(spark, d), ["key", "road"])
+    shape = "type string, geometry struct<type:string,coordinates:array<array<array<double>>>>, properties struct<key:long,road:double>"
+    f = sinks.to_geojson(views.cells(spark, d), ["key", "road"]).select(F.from_json("value", shape).alias("f")).where("f.type = 'Feature' and f.geometry.type = 'Polygon'")
+    return f.select("f.properties.key", F.posexplode(F.col("f.geometry.coordinates")[0]).alias("place", "p")).select("key", "place", F.col("p")[0].alias("lon"), F.col("p")[1].alias("lat"))
 
 
-@query("SELECT 'fire-v1' AS logical_id, sha256('a') AS definition_hash, 'building' AS status UNION ALL SELECT 'fire-v9', sha256('b'), 'draft' FROM (SELECT count(*) FROM customer)")
+_VERSIONS = "WITH m AS (SELECT 'fire-v' || s_suppkey AS logical_id, sha256('d' || s_suppkey) AS h, ['finalized', 'building', 'draft'][s_suppkey % 3 + 1] AS status FROM supplier) "
+
+
+def _manifest(spark, d):
+    k = _c("s_suppkey")
+    return table(spark, d, "supplier").select(F.concat(F.lit("fire-v"), k).alias("logical_id"), F.sha2(F.concat(F.lit("d"), k), 256).alias("definition_hash"), F.element_at(F.array(F.lit("finalized"), F.lit("building"), F.lit("draft")), (k % 3 + 1).cast("int")).alias("status"))
+
+
+@query(_VERSIONS + ", a AS (SELECT 'fire-v' || c_custkey % 3000 AS logical_id, sha256('d' || (c_custkey % 3000 + CASE WHEN c_custkey % 7 = 0 THEN 1 ELSE 0 END)) AS d FROM customer) SELECT logical_id, d AS definition_hash, coalesce(status, 'draft') AS status, CASE WHEN h IS NULL THEN 'created' WHEN h <> d THEN 'changed' WHEN status = 'finalized' THEN 'finalized' ELSE 'reused' END AS outcome FROM a LEFT JOIN m USING (logical_id)")
 def k10_dataset_version(spark, d):
-    m = table(spark, d, "customer").agg(F.count("*").alias("n")).select(F.lit("fire-v1").alias("logical_id"), F.sha2(F.lit("a"), 256).alias("definition_hash"), F.lit("building").alias("status"))
-    return sinks.dataset_version(m, "fire-v1", "a").unionByName(sinks.dataset_version(m, "fire-v9", "b"))
+    v = _c("c_custkey") % 3000
+    asked = table(spark, d, "customer").select(F.concat(F.lit("fire-v"), v).alias("logical_id"), F.concat(F.lit("d"), v + F.when(_c("c_custkey") % 7 == 0, 1).otherwise(0)).alias("definition"))
+    return sinks.version_outcomes(asked, _manifest(spark, d))
+
+
+@query(
+    _VERSIONS
+    + """, r AS (SELECT 'fire-v' || l_suppkey AS logical_id, count(*) AS rows, count(*) FILTER (l_linenumber % 2 = 1) AS positives, sha256(sum(('0x' || substr(sha256(l_orderkey || ':' || l_linenumber || ':' || l_partkey), 1, 15))::BIGINT)::VARCHAR) AS checksum FROM lineitem WHERE l_suppkey % 4 <> 0 GROUP BY 1),
+    x AS (SELECT 'fire-v' || l_suppkey AS logical_id, count(*) AS exclusions FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
+    SELECT logical_id, CASE WHEN ready THEN 'finalized' ELSE status END AS status, CASE WHEN ready THEN rows END AS rows, CASE WHEN ready THEN positives END AS positives, CASE WHEN ready THEN rows - positives END AS negatives, CASE WHEN ready THEN checksum END AS checksum, CASE WHEN ready THEN coalesce(exclusions, 0) END AS exclusions
+    FROM (SELECT *, status = 'building' AND rows IS NOT NULL AS ready FROM m LEFT JOIN r USING (logical_id) LEFT JOIN x USING (logical_id))"""
+)
+def k10_finalize_versions(spark, d):
+    li = table(spark, d, "lineitem").withColumn("logical_id", F.concat(F.lit("fire-v"), "l_suppkey"))
+    rows = li.where("l_suppkey % 4 <> 0").select("logical_id", (_c("l_linenumber") % 2).alias("label"), F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey").alias("row_key"))
+    return sinks.finalize_versions(_manifest(spark, d), rows, li.where("l_returnflag = 'R'"))
 
 
 @query("SELECT o_orderkey AS id, CASE WHEN o_custkey % 20 = (SELECT o_custkey % 20 FROM orders WHERE o_orderkey = 5) THEN CASE WHEN o_orderkey = 5 THEN 'active' WHEN o_orderkey % 3 = 0 THEN 'superseded' ELSE 'registered' END WHEN o_orderkey % 3 = 0 THEN 'active' ELSE 'registered' END AS status FROM orders")
@@ -232,7 +287,7 @@ def k11_activate_snapshot(spark, d):
     return sinks.activate_snapshot(m, _c("id") == 5).select("id", "status")
 
 
-@query(with_views("v_cells") + ", r AS (SELECT DISTINCT cell::VARCHAR AS k FROM v_cells WHERE combustible), b AS (SELECT ('0x' || substr(md5(k), 1, 4))::BIGINT % 64 AS bucket, sha256(string_agg(k || ':' || sha256(k), ',' ORDER BY k || ':' || sha256(k))) AS part, count(*) AS n FROM r GROUP BY 1), f AS (SELECT sha256(string_agg(part, ',' ORDER BY bucket)) AS fingerprint, sum(n)::BIGINT AS cells FROM b) SELECT 'operational_aoi-' || substr(fingerprint, 1, 16) AS mask, fingerprint, cells FROM f")
+@query(with_views("v_cells") + ", f AS (" + sql_fingerprint("(SELECT DISTINCT cell::VARCHAR AS k, sha256(cell::VARCHAR) AS c FROM v_cells WHERE combustible)") + ") SELECT 'operational_aoi-' || substr(fingerprint, 1, 16) AS mask, fingerprint, rows AS cells FROM f")
 def k12_publish_mask(spark, d):
     return sinks.publish_mask(views.cells(spark, d).where("combustible"), "operational_aoi")
 
@@ -244,19 +299,31 @@ def k14_write_assessments(spark, d):
     return sinks.write_assessments(i, old, "r1", "c").select("rule", "entity")
 
 
-@query()
+@query(
+    with_views("v_cells") + ", s AS (SELECT cell, buildings, key FROM v_cells WHERE key % 10 <> 0), f AS (" + sql_fingerprint("(SELECT cell::VARCHAR AS k, sha256(concat_ws('|', buildings::VARCHAR, cell::VARCHAR)) AS c FROM s)")
+    + ") SELECT rows AS n, fingerprint, concat_ws(',', CASE WHEN rows <> 10 THEN 'row_count' END, 'checksum', CASE WHEN EXISTS (SELECT 1 FROM s WHERE key % 7 = 0) THEN 'cells_outside_mask' END) AS errors, CASE WHEN EXISTS (SELECT 1 FROM v_cells WHERE key % 7 <> 0 AND key % 10 = 0) THEN 'cells_missing' ELSE '' END AS warnings FROM f"
+)
 def q8_verify_snapshot(spark, d):
     c = views.cells(spark, d)
-    return sinks.verify_snapshot(c.where("key % 10 <> 0").select("cell", "road"), "cell", 10, "", c.where("key % 7 <> 0").select("cell"))
+    t = sinks.verify_snapshot(c.where("key % 10 <> 0").select("cell", "buildings"), "cell", 10, "", c.where("key % 7 <> 0").select("cell"))
+    return t.select("n", "fingerprint", F.array_join("errors", ",").alias("errors"), F.array_join("warnings", ",").alias("warnings"))
+
 
+_SHARE = lambda name, c: f"round(CASE WHEN max({c}) OVER (PARTITION BY department) > 0 THEN {c} / (max({c}) OVER (PARTITION BY department))::DOUBLE ELSE 0 END, 6) AS {name}"
 
-@query(with_views("v_cells", "v_weather") + f""", l AS (SELECT c.cell, c.department, coalesce(sum(v.buildings), 0) AS road FROM v_cells c, {disk(1)} n LEFT JOIN v_cells v ON v.cell = c.cell + n.dq * 67108864 + n.dr GROUP BY 1, 2) SELECT l.cell, round(CASE WHEN max(l.road) OVER (PARTITION BY l.department) > 0 THEN l.road / (max(l.road) OVER (PARTITION BY l.department))::DOUBLE ELSE 0 END, 6) AS road, round(CASE WHEN max(c.population) OVER (PARTITION BY l.department) > 0 THEN c.population / (max(c.population) OVER (PARTITION BY l.department))::DOUBLE ELSE 0 END, 6) AS population, c.combustible, c.key % 4 = 0 AS near FROM l JOIN v_cells c USING (cell)""")
+
+@query(
+    with_views("v_cells", "v_ignitions")
+    + f""", l AS (SELECT c.cell, coalesce(sum(v.buildings), 0) AS road, coalesce(sum(v.poi::INT), 0) AS poi FROM v_cells c, {disk(1)} n LEFT JOIN v_cells v ON v.cell = c.cell + n.dq * 67108864 + n.dr GROUP BY 1),
+    h AS (SELECT c.cell, coalesce(sum(pow(0.5, n.ring)) FILTER (i.id IS NOT NULL), 0) AS hist FROM v_cells c, {disk(2)} n LEFT JOIN v_ignitions i ON i.cell = c.cell + n.dq * 67108864 + n.dr GROUP BY 1), t AS (SELECT * FROM v_cells JOIN (SELECT cell, road AS near_road, poi AS near_poi FROM l) USING (cell) JOIN h USING (cell))
+    SELECT cell, {_SHARE('road', 'near_road')}, {_SHARE('power_line', 'near_road')}, {_SHARE('poi', 'near_poi')}, {_SHARE('population', 'population')}, {_SHARE('hist', 'hist')}, combustible, (key % 4 = 0)::INT::DOUBLE AS wui, agri::INT::DOUBLE AS agri FROM t"""
+)
 def a4_static_features(spark, d):
     c = views.cells(spark, d)
     lines = c.select("cell", _c("buildings").alias("road"), _c("buildings").alias("power_line"))
     poi = c.select("cell", _c("poi").cast("long").alias("poi"))
     t = weather_index.static_features(c, lines, poi, c, views.ignitions(spark, d), c.where("key % 4 = 0"), c.select("cell", "combustible", _c("agri").alias("agricultural")), ["department"])
-    return t.select("cell", F.round("road", 6).alias("road"), F.round("population", 6).alias("population"), "combustible", (_c("wui") == 1).alias("near"))
+    return t.select("cell", *(F.round(n, 6).alias(n) for n in ("road", "power_line", "poi", "population", "hist")), "combustible", "wui", "agri")
 
 
 # --- snapshots and streams --------------------------------------------------
@@ -347,14 +414,10 @@ def n2_stream_signal_windows(spark, d):
     return spatial.latest_per(out, ["commune", "window_start"], [F.desc("_n"), F.desc("signals")]).select("commune", "window_start", "signals", "max_frp")
 
 
-@query(with_views("v_cells") + " SELECT key FROM v_cells")
+@query(with_views("v_cells") + f" SELECT key FROM {_sql_inverse(_CENTRE)} WHERE lat BETWEEN 13.02 AND 13.3 AND lon BETWEEN -29.01 AND -28.8")
 def n5_stream_updates(spark, d):
-    c = views.cells(spark, d)
     path = scratch(spark, "updates")
-    box = c.select("cell", "key")
+    box = views.cells(spark, d).select("cell", "key")
     box.write.parquet(path)
     s = spark.readStream.schema(box.schema).parquet(path)
-    return _run_stream(jobs.stream_updates(s, (-90.0, -90.0, 90.0, 90.0)), "updates-out").select("key")
-
-
-del reads
+    return _run_stream(jobs.stream_updates(s, (-29.01, 13.02, -28.8, 13.3)), "updates-out").select("key")

@@ -35,6 +35,24 @@ def _sql_hex(src: str, edge: float, level: int, name: str = "cell") -> str:
       (SELECT *, ({math.sqrt(3) / 3!r}::DOUBLE * x - y / 3) / {edge!r}::DOUBLE AS hq, ({2 / 3!r}::DOUBLE * y) / {edge!r}::DOUBLE AS hr FROM {src})))"""
 
 
+def sql_fingerprint(rows: str) -> str:
+    """Digest and number of rows of a relation with ``k`` and ``c``, as text."""
+    words = ", ".join(f"coalesce(sum(('0x' || substr(h, {1 + 15 * k}, 15))::BIGINT), 0)::VARCHAR" for k in range(4))
+    return f"SELECT sha256(concat_ws(':', {words}, count(*)::VARCHAR)) AS fingerprint, count(*) AS rows FROM (SELECT sha256(k || ':' || c) AS h FROM {rows})"
+
+
+def _sql_inverse(src: str) -> str:
+    """Adds lat, lon to a relation with x, y."""
+    g = grid
+    e = g._E2
+    return f"""(SELECT *, degrees(be + {e / 3 + 31 * e**2 / 180 + 517 * e**3 / 5040!r}::DOUBLE * sin(2 * be) + {23 * e**2 / 360 + 251 * e**3 / 3780!r}::DOUBLE * sin(4 * be) + {761 * e**3 / 45360!r}::DOUBLE * sin(6 * be)) AS lat,
+      degrees({g._LON0!r}::DOUBLE + atan2(dx * sin(cc), rho * {math.cos(g._BETA0)!r}::DOUBLE * cos(cc) - dy * {math.sin(g._BETA0)!r}::DOUBLE * sin(cc))) AS lon FROM
+      (SELECT *, asin(cos(cc) * {math.sin(g._BETA0)!r}::DOUBLE + dy * sin(cc) * {math.cos(g._BETA0)!r}::DOUBLE / rho) AS be FROM
+      (SELECT *, 2 * asin(rho / {2 * g._RQ!r}::DOUBLE) AS cc FROM
+      (SELECT *, sqrt(dx * dx + dy * dy) AS rho FROM
+      (SELECT *, (x - {g._X0}::DOUBLE) / {g._D!r}::DOUBLE AS dx, (y - {g._Y0}::DOUBLE) * {g._D!r}::DOUBLE AS dy FROM {src})))))"""
+
+
 def _points(spark, d):
     k = F.col("c_custkey")
     return table(spark, d, "customer").select(k.alias("key"), (42.0 + k % 97 / 12.0).alias("lat"), (-2.0 + k % 89 / 9.0).alias("lon"))
@@ -114,6 +132,12 @@ def x6_cell_distance(spark, d):
     return c.join(b, F.floor(F.col("key") / 3) == F.col("k")).select("key", grid.cell_distance(F.col("cell"), F.col("other")).alias("distance"))
 
 
+@query(with_views("v_cells") + f" SELECT key, round(lat, 6) AS lat, round(lon, 6) AS lon FROM {_sql_inverse(_CENTRE)}")
+def x3_cell_centre_degrees(spark, d):
+    lat, lon = grid.cell_center(F.col("cell"))
+    return views.cells(spark, d).select("key", F.round(lat, 6).alias("lat"), F.round(lon, 6).alias("lon"))
+
+
 @query(
     with_views("v_stations")
     + """ SELECT station, count(*) AS cells FROM v_stations, (SELECT unnest(range(-1, 3)) AS dq) a, (SELECT unnest(range(-2, 2)) AS dr) b GROUP BY station"""
@@ -430,10 +454,7 @@ def c4_row_checksum(spark, d):
     return table(spark, d, "orders").select(_c("o_orderkey").alias("key"), text.row_checksum(_c("o_orderkey"), _c("o_custkey"), _c("o_orderpriority"), F.lit(None)).alias("checksum"))
 
 
-@query(
-    """WITH r AS (SELECT o_orderkey::VARCHAR AS k, sha256(concat_ws('|', o_orderkey::VARCHAR, o_custkey::VARCHAR)) AS c FROM orders), b AS (SELECT ('0x' || substr(md5(k), 1, 4))::BIGINT % 64 AS bucket, sha256(string_agg(k || ':' || c, ',' ORDER BY k || ':' || c)) AS part, count(*) AS n FROM r GROUP BY 1)
-    SELECT sha256(string_agg(part, ',' ORDER BY bucket)) AS fingerprint, sum(n)::BIGINT AS rows FROM b"""
-)
+@query(sql_fingerprint("(SELECT o_orderkey::VARCHAR AS k, sha256(concat_ws('|', o_orderkey::VARCHAR, o_custkey::VARCHAR)) AS c FROM orders)"))
 def c4_fingerprint(spark, d):
     rows = table(spark, d, "orders").select("o_orderkey", text.row_checksum(_c("o_orderkey"), _c("o_custkey")).alias("checksum"))
     return text.fingerprint(rows, "o_orderkey", "checksum")

@@ -7,12 +7,14 @@ the manifest.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.grid import cell_center
+from ..functions.grid import cell_center, cell_ring
 from ..functions.text import fingerprint, row_checksum
 from ..operators.spatial import latest_per
+from .staging import delete_path
 
 
 def new_rows(df: DataFrame, target: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -22,15 +24,19 @@ def new_rows(df: DataFrame, target: DataFrame, keys: list[str], order: list) ->
 
 def insert_new(df: DataFrame, path: str, keys: list[str], order: list) -> None:
     """Append new rows to a Parquet folder; running it again adds nothing."""
-    spark = df.sparkSession
+    new_rows(df, _or_empty(df.sparkSession, path, df), keys, order).write.mode("append").parquet(path)
+
+
+def _or_empty(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """A Parquet folder, or an empty table if there is none yet."""
     try:
-        target = spark.read.schema(df.schema).parquet(path)
-        target.limit(0).count()
-    except Exception as e:
+        found = spark.read.schema(like.schema).parquet(path)
+        found.limit(0).count()
+    except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        target = spark.createDataFrame([], df.schema)
-    new_rows(df, target, keys, order).write.mode("append").parquet(path)
+        return spark.createDataFrame([], like.schema)
+    return found
 
 
 def upsert(df: DataFrame, target: DataFrame, keys: list[str], version: str) -> DataFrame:
@@ -46,15 +52,26 @@ def update_history(static: DataFrame, hist: DataFrame) -> DataFrame:
 
 
 def publish_batch(df: DataFrame, path: str, manifest: str, batch: str) -> None:
-    """Write a batch's partition, then its manifest row; without that row readers don't see it, so a failed batch is simply written again."""
-    out = df.withColumn("batch", F.lit(batch))
-    out.write.partitionBy("batch").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
-    df.sparkSession.createDataFrame([(batch,)], "batch string").write.mode("append").parquet(manifest)
+    """Write a batch's partition, then its manifest row; without that row readers don't see it.
+
+    If writing fails, the partition goes, so that nothing half-written is left to
+    be taken for data. Publishing a batch again writes it again, and its manifest
+    row once.
+    """
+    spark = df.sparkSession
+    try:
+        df.withColumn("batch", F.lit(batch)).write.partitionBy("batch").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+    except Exception:
+        delete_path(spark, f"{path}/batch={batch}")
+        raise
+    done = spark.createDataFrame([(batch,)], "batch string")
+    new_rows(done, _or_empty(spark, manifest, done), ["batch"], ["batch"]).write.mode("append").parquet(manifest)
 
 
 def read_published(spark: SparkSession, path: str, manifest: str) -> DataFrame:
+    """Rows of the batches that the manifest has."""
     done = spark.read.parquet(manifest).distinct()
-    return spark.read.parquet(path).withColumn("batch", F.col("batch").cast("string")).join(F.broadcast(done), "batch", "left_semi")  # a row per batch
+    return spark.read.parquet(path).withColumn("batch", F.col("batch").cast("string")).join(done, "batch", "left_semi")
 
 
 def retire_batches(batches: DataFrame, keep: DataFrame, referenced: DataFrame) -> DataFrame:
@@ -84,11 +101,15 @@ def source_status(runs: DataFrame) -> DataFrame:
     return t.select("source", "last_run", "last_success", "runs", F.when(~F.col("l.ok"), F.col("l.error")).alias("error"))
 
 
-def to_geojson(df: DataFrame, properties: list[str]) -> DataFrame:
-    """One GeoJSON feature per cell: its centre as a point, and properties."""
-    lat, lon = cell_center(F.col("cell"))
-    geometry = F.struct(F.lit("Point").alias("type"), F.array(F.round(lon, 6), F.round(lat, 6)).alias("coordinates"))
-    return df.select(F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.struct(*properties).alias("properties"))).alias("value"))
+def to_geojson(df: DataFrame, properties: list[str], geometry: str = "polygon") -> DataFrame:
+    """One GeoJSON feature per cell, with properties: its outline as a closed polygon, or its centre as a ``point``; degrees to six places."""
+    degrees = lambda lon, lat: F.array(F.round(lon, 6), F.round(lat, 6))
+    if geometry == "polygon":
+        shape = F.struct(F.lit("Polygon").alias("type"), F.array(F.transform(cell_ring(F.col("cell")), lambda p: degrees(p["lon"], p["lat"]))).alias("coordinates"))
+    else:
+        lat, lon = cell_center(F.col("cell"))
+        shape = F.struct(F.lit("Point").alias("type"), degrees(lon, lat).alias("coordinates"))
+    return df.select(F.to_json(F.struct(F.lit("Feature").alias("type"), shape.alias("geometry"), F.struct(*properties).alias("properties"))).alias("value"))
 
 
 def write_cells(df: DataFrame, path: str) -> None:
@@ -103,22 +124,47 @@ def read_cells(spark: SparkSession, path: str, schema, resolution: int) -> DataF
     return t.withColumn("_g", level).where(F.col("_g").isNull()).drop("_g")
 
 
+def version_outcomes(asked: DataFrame, manifest: DataFrame) -> DataFrame:
+    """``logical_id, definition_hash, status, outcome`` for each version asked for by ``logical_id, definition``.
+
+    The existing row is ``reused`` if its definition is the same and it is still
+    open; without one a draft is ``created``; a ``changed`` definition and a
+    ``finalized`` version are refused.
+    """
+    old = manifest.select("logical_id", F.col("definition_hash").alias("_hash"), F.col("status").alias("_status"))
+    t = asked.select("logical_id", F.sha2("definition", 256).alias("definition_hash")).join(old, "logical_id", "left")
+    outcome = F.when(F.col("_hash").isNull(), "created").when(F.col("_hash") != F.col("definition_hash"), "changed").when(F.col("_status") == "finalized", "finalized").otherwise("reused")
+    return t.select("logical_id", "definition_hash", F.coalesce("_status", F.lit("draft")).alias("status"), outcome.alias("outcome"))
+
+
 def dataset_version(manifest: DataFrame, logical_id: str, definition: str) -> DataFrame:
-    """The version's manifest row: the existing one if its definition is the same, a new draft if there is none; a changed or finalised one raises an error."""
-    digest = F.sha2(F.lit(definition), 256)
-    asked = manifest.sparkSession.range(1).select(F.lit(logical_id).alias("logical_id"), digest.alias("definition_hash"))
-    old = manifest.select("logical_id", F.col("definition_hash").alias("old_hash"), "status")
-    t = asked.join(F.broadcast(old), "logical_id", "left")  # one row asked
-    same = F.coalesce(F.col("old_hash") == F.col("definition_hash"), F.lit(True))
-    open_ = F.coalesce(F.col("status") != "finalized", F.lit(True))
-    t = t.withColumn("_a", F.assert_true(same, F.lit("the definition has changed"))).withColumn("_b", F.assert_true(open_, F.lit("the version is finalized")))
-    return t.where("_a is null and _b is null").select("logical_id", "definition_hash", F.coalesce("status", F.lit("draft")).alias("status"))
+    """One version's manifest row by :func:`version_outcomes`; a refused one raises an error."""
+    asked = manifest.sparkSession.range(1).select(F.lit(logical_id).alias("logical_id"), F.lit(definition).alias("definition"))
+    t = version_outcomes(asked, manifest)
+    t = t.withColumn("_a", F.assert_true(F.col("outcome") != "changed", F.lit("the definition has changed"))).withColumn("_b", F.assert_true(F.col("outcome") != "finalized", F.lit("the version is finalized")))
+    return t.where("_a is null and _b is null").select("logical_id", "definition_hash", "status")
+
+
+def finalize_versions(manifest: DataFrame, rows: DataFrame, exclusions: DataFrame) -> DataFrame:
+    """The manifest with its built versions finalized: rows, positives, negatives, exclusions and a fingerprint of the row keys of each.
+
+    ``rows``: ``logical_id, label, row_key``. A version that is building and has
+    rows becomes ``finalized``; finalized ones stay as they are, drafts and empty
+    ones too, with null figures.
+    """
+    word = F.conv(F.substring(F.sha2("row_key", 256), 1, 15), 16, 10).cast("decimal(20,0)")
+    built = rows.groupBy("logical_id").agg(F.count("*").alias("rows"), F.count_if(F.col("label") == 1).alias("positives"), F.count_if(F.col("label") == 0).alias("negatives"), F.sha2(F.sum(word).cast("string"), 256).alias("checksum"))
+    left_out = exclusions.groupBy("logical_id").agg(F.count("*").alias("exclusions"))
+    t = manifest.join(built, "logical_id", "left").join(left_out, "logical_id", "left")
+    ready = (F.col("status") == "building") & F.col("rows").isNotNull()
+    figures = [F.when(ready, F.col(c)).alias(c) for c in ("rows", "positives", "negatives", "checksum")]
+    return t.select("logical_id", F.when(ready, "finalized").otherwise(F.col("status")).alias("status"), *figures, F.when(ready, F.coalesce("exclusions", F.lit(0))).alias("exclusions"))
 
 
 def activate_snapshot(manifest: DataFrame, snapshot: Column) -> DataFrame:
     """The snapshot becomes its family's active one; the others that were active are superseded."""
     family = manifest.where(snapshot).select(F.col("family").alias("_f"), F.col("id").alias("_id"))
-    t = manifest.join(F.broadcast(family), F.col("family") == F.col("_f"), "left")  # one row per activation
+    t = manifest.join(family, F.col("family") == F.col("_f"), "left")
     status = F.when(F.col("_id") == F.col("id"), "active").when(F.col("_id").isNotNull() & (F.col("status") == "active"), "superseded").otherwise(F.col("status"))
     return t.withColumn("status", status).drop("_f", "_id")
 
@@ -145,4 +191,4 @@ def verify_snapshot(rows: DataFrame, key: str, expected_rows: int, expected_fing
     missing = mask.join(rows.select(key), key, "left_anti").agg(F.count("*").alias("missing"))
     t = counts.crossJoin(digest).crossJoin(outside).crossJoin(missing)  # one row each
     errors = F.array_compact(F.array(F.when(F.col("n") != expected_rows, "row_count"), F.when(F.col("k") != F.col("n"), "repeated_key"), F.when(F.col("fingerprint") != expected_fingerprint, "checksum"), F.when(F.col("outside") > 0, "cells_outside_mask")))
-    return t.select("n", errors.alias("errors"), F.array_compact(F.array(F.when(F.col("missing") > 0, "cells_missing"))).alias("warnings"))
+    return t.select("n", "fingerprint", errors.alias("errors"), F.array_compact(F.array(F.when(F.col("missing") > 0, "cells_missing"))).alias("warnings"))

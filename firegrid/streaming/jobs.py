@@ -13,7 +13,7 @@ from ..functions import fwi
 from ..functions.dates import capture_window
 from ..functions.grid import cell_center, in_bbox
 from ..operators.bulletin import reactive_cases, signal_windows
-from ..operators.spatial import fill_missing
+from ..operators.spatial import fill_missing, latest_per
 
 
 def stream_observations(spark: SparkSession, path: str, schema, late: str = "2 days") -> DataFrame:
@@ -72,9 +72,30 @@ def stream_updates(scores: DataFrame, bbox: tuple[float, float, float, float]) -
     return scores.where(in_bbox(lat, lon, bbox))
 
 
-def stream_reactive_cases(windows: DataFrame, per_day: int, sink: Callable[[DataFrame, int], None], checkpoint: str):
-    """Cases from each micro-batch of signal windows."""
-    return windows.writeStream.outputMode("update").foreachBatch(lambda df, n: sink(reactive_cases(df, per_day), n)).option("checkpointLocation", checkpoint)
+def stream_reactive_cases(windows: DataFrame, per_day: int, path: str, checkpoint: str):
+    """Cases of updated signal windows, at most ``per_day`` a day, whatever batches they arrive in.
+
+    Each micro-batch's windows are kept under ``path``, and the days that it
+    touches are chosen again from all their windows so far; so a day's cases are
+    those that one batch of all its rows would give. A retried batch writes the
+    same files again.
+    """
+
+    def choose(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        if batch.isEmpty():
+            return
+        batch.withColumn("day", F.to_date("first_at")).write.partitionBy("day").mode("overwrite").parquet(f"{path}/windows/batch={n}")
+        days = [r["day"] for r in spark.read.parquet(f"{path}/windows/batch={n}").select("day").distinct().collect()]  # the days of one batch
+        kept = spark.read.option("basePath", f"{path}/windows").parquet(f"{path}/windows").where(F.col("day").isin(days))
+        latest = latest_per(kept, ["commune", "window_start"], [F.desc("batch"), F.desc("signals")]).drop("day", "batch")
+        reactive_cases(latest, per_day).write.partitionBy("day").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(f"{path}/cases")
+
+    return windows.writeStream.outputMode("update").foreachBatch(choose).option("checkpointLocation", checkpoint)
+
+
+def read_reactive_cases(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/cases")
 
 
 #: Ages in hours up to which a source counts as normal, transient, degraded, stale.

@@ -106,3 +106,131 @@ def test_negatives_are_drawn_until_enough(spark):
     everything = cells.crossJoin(spark.range(days)).select("cell", F.date_add(F.lit(first), F.col("id").cast("int")).alias("date"))
     with pytest.warns(UserWarning, match="0 of 30 negatives found in 1200 draws"):
         assert dataset.sample_negatives(cells, none, everything, "N2", "1996-01-01", days, 30, 9).count() == 0
+
+
+def test_nearest_by_blocks_equals_search_in_an_array(spark):
+    rng = random.Random(4)
+    cells = spark.createDataFrame([(k, rng.randrange(-40, 40), rng.randrange(-40, 40)) for k in range(300)] + [(900, 5000, -3), (901, 3, 3)], "cell long, q long, r long")
+    points = spark.createDataFrame([(k, rng.randrange(-50, 50), rng.randrange(-50, 50), float(k)) for k in range(80)] + [(99, 3, 3, 0.0)], "station long, sq long, sr long, temp double")
+    key = lambda df: sorted((r["cell"], round(r["distance"], 9), r["station"], r["temp"]) for r in df.collect())
+    for k in (1, 4, 100):
+        one = key(spatial.nearest(cells, points, k))
+        assert one == key(spatial.nearest(cells, points, k, most=10)) and len(one) == 302 * min(k, 81)
+    far = sorted(points.collect(), key=lambda p: ((5000 - p["sq"]) ** 2 + (5000 - p["sq"]) * (-3 - p["sr"]) + (-3 - p["sr"]) ** 2, p["station"]))
+    assert [s for c, _, s, _ in key(spatial.nearest(cells, points, 4, most=10)) if c == 900] == [p["station"] for p in far[:4]]
+    assert spatial.nearest(cells, points.limit(0), 4).count() == spatial.nearest(cells.limit(0), points, 4, most=10).count() == 0
+
+
+def test_all_stations_in_slices_give_the_same_weather(spark):
+    cells = spark.createDataFrame([(k, k % 7, k // 7) for k in range(60)], "cell long, q long, r long")
+    points = spark.createDataFrame([(k, k * 5 % 11, k * 3 % 9, None if k % 4 == 0 else float(k), 1.0 * k) for k in range(30)], "station long, sq long, sr long, temp double, rain double")
+    of = lambda df: {r["cell"]: (r["temp"], r["rain"]) for r in df.collect()}
+    whole, sliced = of(spatial.idw_all(cells, points, ["temp", "rain"])), of(spatial.idw_all(cells, points, ["temp", "rain"], most=4))
+    pairs = cells.crossJoin(points).withColumn("distance", spatial.axial_length(F.col("q") - F.col("sq"), F.col("r") - F.col("sr")))
+    plain = of(spatial.idw(pairs, "cell", ["temp", "rain"]))
+    for c, values in plain.items():
+        assert values == pytest.approx(whole[c], nan_ok=True) and values == pytest.approx(sliced[c], nan_ok=True)
+
+
+@pytest.mark.parametrize("strategy", ["N0", "N1", "N2", "N3"])
+def test_windows_by_blocks_match_brute_force(spark, strategy):
+    rng = random.Random(strategy)
+    first, half = datetime.date(1969, 12, 20), 2**25
+    cell = lambda q, r, level=8: level * 2**52 + (q + half) * 2**26 + r + half
+    at = lambda: (rng.randrange(-20, 20), rng.randrange(-20, 20), rng.randrange(30))
+    names = [*spatial.ADAPTIVE, "other"]
+    events = [(*at(), rng.choice(names)) for _ in range(60)]
+    wanted = [at() for _ in range(500)]
+    day = lambda k: first + datetime.timedelta(days=k)
+    e = spark.createDataFrame([(k, cell(q, r), day(t), n) for k, (q, r, t, n) in enumerate(events)], "event long, cell long, date date, category string")
+    c = spark.createDataFrame([(k, cell(q, r), day(t)) for k, (q, r, t) in enumerate(wanted)] + [(9000, cell(events[0][0], events[0][1], 7), day(events[0][2])), (9001, None, None)], "key long, cell long, date date")
+    reach = lambda n: spatial.WINDOWS.get(strategy) or spatial.ADAPTIVE.get(n, spatial.ADAPTIVE_DEFAULT)
+    far = lambda a, b, x, y: max(abs(a - x), abs(b - y), abs(a - x + b - y))
+    hits = {(k, j) for k, (q, r, t) in enumerate(wanted) for j, (x, y, u, n) in enumerate(events) if far(q, r, x, y) <= reach(n)[0] and abs(t - u) <= reach(n)[1]}
+    assert {r["key"] for r in spatial.exclude_near(c, e, strategy).collect()} == ({*range(500)} | {9000, 9001}) - {k for k, _ in hits}
+    found = [(r["key"], r["event"]) for r in spatial.near_events(c, e, strategy, ["event"]).collect()]
+    assert sorted(found) == sorted(hits)
+
+
+def test_covered_box_holds_the_cells_of_all_its_points(spark):
+    rng = random.Random(9)
+    boxes = [(2.0, 43.0, 2.03, 43.02), (-4.9, 48.1, -4.89, 48.11), (9.0, 41.4, 9.15, 41.46)]
+    for west, south, east, north in boxes:
+        box = F.struct(*(F.lit(v).alias(n) for v, n in zip((west, south, east, north), ("west", "south", "east", "north"), strict=True)))
+        cells = spark.range(1).select(F.explode(grid.cells_for_bbox(box, 8)).alias("cell"))
+        cover = {r["cell"] for r in cells.collect()}
+        points = spark.createDataFrame([(rng.uniform(south, north), rng.uniform(west, east)) for _ in range(1500)], "lat double, lon double")
+        assert {r[0] for r in points.select(grid.cell_of(F.col("lat"), F.col("lon"), 8)).distinct().collect()} <= cover
+        corner = F.exists(grid.cell_ring(F.col("cell")), lambda p: p["lon"].between(west - 0.02, east + 0.02) & p["lat"].between(south - 0.02, north + 0.02))
+        assert cells.where(~corner).count() == 0 and len(cover) < 60
+
+
+def test_outline_of_a_cell_surrounds_its_centre_and_area(spark):
+    c = spark.createDataFrame([(43.2, 2.1), (48.9, -3.0)], "lat double, lon double").select(grid.cell_of(F.col("lat"), F.col("lon"), 8).alias("cell"))
+    for r in c.select(F.transform(grid.cell_ring(F.col("cell")), lambda p: F.struct(*(v.alias(n) for v, n in zip(grid.laea_forward(p["lat"], p["lon"]), "xy", strict=True)))).alias("ring"), *(v.alias(n) for v, n in zip(grid.cell_xy(F.col("cell")), "xy", strict=True))).collect():
+        ring = [(p["x"], p["y"]) for p in r["ring"]]
+        area = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:], strict=False)) / 2
+        assert ring[0] == ring[-1] and area == pytest.approx(grid.AREA_8, rel=1e-6)
+        assert all(((x - r["x"]) ** 2 + (y - r["y"]) ** 2) ** 0.5 == pytest.approx(grid.edge_m(8), rel=1e-6) for x, y in ring)
+
+
+def test_failed_batches_are_removed_and_retries_count_once(spark, tmp_path):
+    path, manifest = str(tmp_path / "batches"), str(tmp_path / "manifest")
+    df = spark.range(10).withColumn("v", F.lit(1))
+    for _ in range(3):
+        sinks.publish_batch(df, path, manifest, "a")
+    assert spark.read.parquet(manifest).count() == 1 and sinks.read_published(spark, path, manifest).count() == 10
+    with pytest.raises(Exception, match="broken"):
+        sinks.publish_batch(df.withColumn("v", F.when(F.col("id") == 9, F.raise_error(F.lit("broken")).cast("int")).otherwise(1)), path, manifest, "b")
+    assert not (tmp_path / "batches" / "batch=b").exists() and sinks.read_published(spark, path, manifest).count() == 10
+
+
+def test_reactive_cases_do_not_depend_on_batches(spark, tmp_path, sf_dir):
+    from firegrid.operators.bulletin import reactive_cases, signal_windows
+    from firegrid.streaming import jobs
+
+    o = views.observations(spark, sf_dir).where("event_id % 3 = 0")
+    want = sorted(tuple(r) for r in reactive_cases(signal_windows(o), 2).select("commune", "first_at", "daily_rank").collect())
+    for parts in (1, 3):
+        src, out = str(tmp_path / f"in{parts}"), str(tmp_path / f"out{parts}")
+        o.repartition(parts).write.parquet(src)
+        s = spark.readStream.schema(o.schema).option("maxFilesPerTrigger", 1).parquet(src)
+        jobs.stream_reactive_cases(jobs.stream_signal_windows(s, "60 days"), 2, out, f"{out}-state").trigger(availableNow=True).start().awaitTermination()
+        assert sorted(tuple(r) for r in jobs.read_reactive_cases(spark, out).select("commune", "first_at", "daily_rank").collect()) == want
+
+
+def test_ranked_metrics_with_crowded_scores(spark):
+    rng = random.Random(2)
+    rows = [(k, 0.0 if k % 3 else rng.random() ** 9 / 1000, int(rng.random() < 0.3)) for k in range(900)]
+    df = spark.createDataFrame(rows, "id long, score double, label int")
+    order = sorted(rows, key=lambda r: (-r[1], r[0]))
+    pos = sum(r[2] for r in rows)
+    tp = ap = 0
+    for k, r in enumerate(order, 1):
+        tp += r[2]
+        ap += r[2] * tp / k
+    wins = sum((a[1] > b[1]) + 0.5 * (a[1] == b[1]) for a in rows if a[2] for b in rows if not b[2])
+    assert metrics.average_precision(df, "id").first()[0] == pytest.approx(ap / pos)
+    assert metrics.roc_auc(df).first()[0] == pytest.approx(wins / (pos * (900 - pos)))
+    top = {r["fraction"]: r for r in metrics.at_top(df, "id", (0.001, 0.1)).collect()}
+    assert top[0.1]["k"] == 90 and top[0.1]["precision"] == pytest.approx(sum(r[2] for r in order[:90]) / 90) and top[0.001]["k"] == 1
+    assert metrics.at_top(df.withColumn("label", F.lit(0)), "id", (0.1,)).first()["recall"] == 0
+
+
+def test_fingerprint_of_a_table(spark):
+    from firegrid.functions.text import fingerprint
+
+    df = spark.range(500).select("id", F.md5(F.col("id").cast("string")).alias("c"))
+    same = fingerprint(df, "id", "c").first()
+    assert fingerprint(df.repartition(7).orderBy(F.desc("c")), "id", "c").first() == same
+    for other in (df.where("id <> 3"), df.unionByName(df.where("id = 3")), df.withColumn("c", F.when(F.col("id") == 3, "x").otherwise(F.col("c")))):
+        assert fingerprint(other, "id", "c").first() != same
+    assert fingerprint(df.limit(0), "id", "c").first()["rows"] == 0
+
+
+def test_exclusion_reasons_take_precedence_and_unknown_ones_are_refused(spark):
+    t, n = F.lit(True), F.lit(None).cast("boolean")
+    r = spark.range(1).select(dataset.exclusion_reason({"out_of_period": t, "natural_cause": t}).alias("a"), dataset.exclusion_reason({"natural_cause": n}).alias("b"), dataset.exclusion_reason({"insufficient_geographic_quality": t, "missing_features": t}, dataset.STRICT).alias("c")).first()
+    assert (r["a"], r["b"], r["c"]) == ("natural_cause", None, "missing_features")
+    with pytest.raises(ValueError, match="unknown reasons"):
+        dataset.exclusion_reason({"weather": t})

@@ -11,9 +11,8 @@ def test_query_matches_sql(name, spark, duck, sf_dir):
     assert_same(catalog.queries()[name](spark, sf_dir).toPandas(), duck.execute(catalog.oracle_sql()[name]).df())
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
-def test_query_without_sql_runs(name, spark, sf_dir):
-    assert catalog.queries()[name](spark, sf_dir).count() >= 0
+def test_queries_without_sql_are_fits_with_tests_of_their_own():
+    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"m2_logistic", "m3_boosted_trees", "m4_platt", "m7_forward_cv", "m10_spatial_cv", "m11_importances"}
 
 
 def test_entry_has_rows(spark):

@@ -9,18 +9,39 @@ from pyspark.sql import functions as F
 from firegrid.functions import dates, fwi
 from firegrid.plans.weather_index import fwi_series
 
-#: First two days of the published sequence: weather, then the six values as printed.
-DAYS = [((17.0, 42.0, 25.0, 0.0), ("87.65", "8.545", "19.01", "10.78", "8.49", "10.04")), ((20.0, 21.0, 25.0, 2.4), ("86.2", "10.4", "23.57", "8.771", "10.36", "9.22"))]
-
-
-def frame(spark, start="2000-04-13"):
+#: The first 19 days of the published sequence, with a day of heavy rain and a change of month. Temperature, humidity, wind and rain, then the six values as printed.
+SEQUENCE = """
+17 42 25 0 87.65 8.545 19.01 10.78 8.49 10.04
+20 21 25 2.4 86.2 10.4 23.57 8.771 10.36 9.22
+8.5 40 17 0 86.91 11.8 26.05 6.478 11.74 7.517
+6.5 25 6 0 88.76 13.18 28.18 4.851 13.11 6.095
+13 34 24 0 89.04 15.44 31.47 12.51 15.34 14.73
+6 40 22 0.4 88.59 16.47 33.5 10.6 16.37 13.36
+5.5 52 6 0 87.28 17.24 35.45 3.923 17.14 5.796
+8.5 46 16 0 87.28 18.49 37.93 6.494 18.4 9.502
+9.5 54 20 0 86.73 19.68 40.6 7.347 19.58 10.88
+7 93 14 9 29.83 10.14 29.52 0.006623 10.91 0.004191
+6.5 71 17 1 49.4 10.68 31.65 0.3577 11.59 0.234
+6 59 17 0 67.22 11.38 33.68 1.346 12.34 0.9129
+13 52 4 0 77.73 13.03 36.98 1.126 13.85 0.8162
+15.5 40 11 0 85.41 15.44 40.72 3.88 15.85 5.474
+23 25 9 0 91.46 19.82 45.81 8.306 19.78 12.08
+19 46 16 0 89.87 22.45 50.19 9.423 22.4 14.2
+18 41 20 0 89.87 25.19 54.38 11.53 25.11 17.5
+14.5 51 16 0 88.36 27.04 57.95 7.581 26.96 13.17
+14.5 69 11 0 85.64 28.31 62.96 4.006 28.25 7.946
+"""
+DAYS = [(tuple(map(float, d[:4])), tuple(d[4:])) for d in map(str.split, SEQUENCE.strip().splitlines())]
+
+
+def frame(spark, start="2000-04-13", days=2):
     first = datetime.date.fromisoformat(start)
-    rows = [(1, first + datetime.timedelta(days=k), *w) for k, (w, _) in enumerate(DAYS)]
+    rows = [(1, first + datetime.timedelta(days=k), *w) for k, (w, _) in enumerate(DAYS[:days])]
     return spark.createDataFrame(rows, "cell long, date date, temp double, rh double, wind double, rain double")
 
 
 def test_published_sequence(spark):
-    got = fwi_series(frame(spark)).orderBy("date").toPandas()
+    got = fwi_series(frame(spark, days=len(DAYS))).orderBy("date").toPandas()
     for (_, want), (_, row) in zip(DAYS, got.iterrows(), strict=True):
         for text, name in zip(want, ("ffmc", "dmc", "dc", "isi", "bui", "fwi"), strict=True):
             digits = len(text.split(".")[1])
@@ -90,7 +111,32 @@ def test_recompute_carries_the_day_before(spark):
     g AS (SELECT *, {q.sql_isi('ffmc', 'wind')} AS isi, {q.sql_bui('dmc', 'dc')} AS bui FROM fr), h AS (SELECT *, {q.sql_fwi('isi', 'bui')} AS fwi FROM g)
     SELECT h.cell, h.carried, h.fwi, CASE WHEN c.combustible THEN pow(greatest(0::DOUBLE, least(1::DOUBLE, h.fwi / 30)), 0.6) * pow(greatest(0::DOUBLE, least(1::DOUBLE, 0.4 * 0.5 + 0.2 * greatest(0::DOUBLE, least(1::DOUBLE, c.road)) + 0.15 * c.agri::INT)), 0.4) ELSE 0 END AS score FROM h JOIN v_cells c USING (key)"""
     want = duck.execute(sql).df()
-    got = q.r5_recompute_day(spark, sf_dir).toPandas()
+    got = q._recomputed(spark, sf_dir).toPandas()
     both = got.merge(want, on="cell", suffixes=("", "_want"))
     assert len(both) == len(got) == len(want) == views.cells(spark, sf_dir).count() and want.carried.any()
     assert np.allclose(both.fwi, both.fwi_want, atol=1e-9) and np.allclose(both.score, both.score_want, atol=1e-9)
+
+
+def test_repeated_days_do_not_depend_on_arrival(spark):
+    a = frame(spark, days=6)
+    twice = a.unionByName(a.where("date > '2000-04-14'").withColumn("temp", F.col("temp") + 5))
+    first = fwi_series(twice.repartition(3)).orderBy("date").toPandas()
+    assert first.equals(fwi_series(twice.orderBy(F.desc("temp"))).orderBy("date").toPandas()) and len(first) == 6
+    assert np.allclose(first.fwi, fwi_series(a).orderBy("date").toPandas().fwi)
+
+
+def test_backtest_sees_earlier_days_only(spark):
+    from firegrid.plans.weather_index import backtest_scores
+
+    d = lambda k: datetime.date(2000, 5, 1) + datetime.timedelta(days=k)
+    base = 8 * 2**52 + 2**25 * 2**26 + 2**25
+    series = spark.createDataFrame([(base + c, d(k), 10.0) for c in range(6) for k in range(4)], "cell long, date date, fwi double")
+    static = spark.createDataFrame([(base + c, 0.5, 0.0, 0.0, True) for c in range(6)], "cell long, road double, wui double, agri double, combustible boolean")
+    fires = spark.createDataFrame([(base, d(1)), (base, d(1)), (base + 2, d(2)), (base + 900, d(0))], "cell long, date date")
+    cal = spark.createDataFrame([], "date date, school_holiday boolean, public_holiday boolean")
+    got = {(r["cell"] - base, r["date"]): (r["hist"], r["ignited"]) for r in backtest_scores(series, static, fires, cal).collect()}
+    assert len(got) == 24 and all(h == 0 for (_, day), (h, _) in got.items() if day <= d(1))
+    assert {c: got[c, d(2)][0] for c in range(6)} == {0: 1, 1: 0.5, 2: 0.25, 3: 0, 4: 0, 5: 0}
+    kernel = {0: 2.25, 1: 1.5, 2: 1.5, 3: 0.5, 4: 0.25, 5: 0}
+    assert {c: got[c, d(3)][0] for c in range(6)} == {c: v / 2.25 for c, v in kernel.items()}
+    assert {k for k, (_, hit) in got.items() if hit} == {(0, d(1)), (2, d(2))}
