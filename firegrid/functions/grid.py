@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HALF, ROW, LEVEL = 1 << 25, 1 << 26, 1 << 52
@@ -130,32 +130,41 @@ def cell_ring(cell: Column) -> Column:
     return F.transform(corners, degrees)
 
 
-def cells_for_bbox(box: Column, resolution: int) -> Column:
-    """Array of all cells that touch a box ``(west, south, east, north)`` of degrees.
+def cells_for_bbox(df: DataFrame, resolution: int, steps: int = 16) -> DataFrame:
+    """The rows of boxes ``west, south, east, north`` in degrees, once for each ``cell`` that touches the box.
 
     Candidates come from the plane around the box's outline, whose meridians and
     parallels bend there, with a margin. A cell touches the box if its centre or a
-    corner lies in it, or if it holds a point of the outline (taken every 1/16 of a
-    side and at least every fifth of an edge for boxes up to 3 edges wide).
+    corner lies in it, or if it holds one of the outline's points (``steps`` to a
+    side, so this finds cells that only an edge crosses for boxes up to as many
+    cells wide).
     """
-    steps = 16
-    w, s, e, n = (box[k] for k in ("west", "south", "east", "north"))
-    along = [(w + (e - w) * k / steps, s) for k in range(steps + 1)] + [(w + (e - w) * k / steps, n) for k in range(steps + 1)] + [(w, s + (n - s) * k / steps) for k in range(steps + 1)] + [(e, s + (n - s) * k / steps) for k in range(steps + 1)]
-    points = F.array(*(F.struct(*(c.alias(name) for c, name in zip(laea_forward(lat, lon), "xy", strict=True))) for lon, lat in along))
     edge = edge_m(resolution)
-    least, most = (lambda c: F.array_min(F.transform(points, lambda p: p[c]))), (lambda c: F.array_max(F.transform(points, lambda p: p[c])))
-    bend = (most("x") - least("x") + most("y") - least("y")) / (2 * steps) + 2 * edge  # what lies between two points of the outline, and a cell's own size
-    x0, x1, y0, y1 = least("x") - bend, most("x") + bend, least("y") - bend, most("y") + bend
-    lo_r, hi_r = F.floor(y0 / (edge * 1.5)), F.ceil(y1 / (edge * 1.5))
-    lo_q, hi_q = F.floor(x0 / (edge * math.sqrt(3)) - hi_r / 2), F.ceil(x1 / (edge * math.sqrt(3)) - lo_r / 2)
-    inside = lambda p: p["lon"].between(w, e) & p["lat"].between(s, n)
-
-    def touches(cell: Column) -> Column:
-        lat, lon = cell_center(cell)
-        return (lon.between(w, e) & lat.between(s, n)) | F.exists(cell_ring(cell), inside)
-
-    outline = F.transform(points, lambda p: cell_of_xy(p["x"], p["y"], resolution))
-    return F.array_sort(F.array_distinct(F.concat(F.filter(cells_between(lo_q, hi_q, lo_r, hi_r, resolution), touches), outline)))
+    west, south, east, north = (F.col(c) for c in ("west", "south", "east", "north"))
+
+    def outline(k: Column) -> Column:
+        part = (k % steps) / F.lit(float(steps))
+        lon = F.when(k < steps, west + (east - west) * part).when(k < 2 * steps, east).when(k < 3 * steps, east - (east - west) * part).otherwise(west)
+        lat = F.when(k < steps, south).when(k < 2 * steps, south + (north - south) * part).when(k < 3 * steps, north).otherwise(north - (north - south) * part)
+        return F.struct(lon.alias("lon"), lat.alias("lat"))
+
+    def plane(p: Column) -> Column:
+        x, y = laea_forward(p["lat"], p["lon"])
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    t = df.withColumn("_p", F.transform(F.sequence(F.lit(0), F.lit(4 * steps - 1)), outline)).withColumn("_p", F.transform("_p", plane))
+    for c in "xy":
+        t = t.withColumn(f"_{c}0", F.array_min(F.transform("_p", lambda p: p[c]))).withColumn(f"_{c}1", F.array_max(F.transform("_p", lambda p: p[c])))  # noqa: B023
+    bend = (F.col("_x1") - F.col("_x0") + F.col("_y1") - F.col("_y0")) / (2 * steps) + 2 * edge  # what lies between two points of the outline, and a cell's own size
+    t = t.withColumn("_b", bend).withColumn("_r0", F.floor((F.col("_y0") - F.col("_b")) / (edge * 1.5))).withColumn("_r1", F.ceil((F.col("_y1") + F.col("_b")) / (edge * 1.5)))
+    wide = edge * math.sqrt(3)
+    q0, q1 = F.floor((F.col("_x0") - F.col("_b")) / wide - F.col("_r1") / 2), F.ceil((F.col("_x1") + F.col("_b")) / wide - F.col("_r0") / 2)
+    near = t.select(*df.columns, F.explode(cells_between(q0, q1, F.col("_r0"), F.col("_r1"), resolution)).alias("cell"))
+    near = near.withColumn("_ring", cell_ring(F.col("cell"))).withColumn("_c", F.struct(*(c.alias(n) for c, n in zip(cell_center(F.col("cell")), ("lat", "lon"), strict=True))))
+    inside = lambda p: p["lon"].between(west, east) & p["lat"].between(south, north)
+    touching = near.where(inside(F.col("_c")) | F.exists("_ring", inside)).select(*df.columns, "cell")
+    crossed = t.select(*df.columns, F.explode("_p").alias("_p")).select(*df.columns, cell_of_xy(F.col("_p.x"), F.col("_p.y"), resolution).alias("cell"))
+    return touching.unionByName(crossed).distinct()
 
 
 def cell_parent(cell: Column, resolution: int) -> Column:

@@ -55,7 +55,7 @@ def top_metrics(df: DataFrame, key: str, fractions: tuple[float, ...], score: st
 
 
 def _percent(fraction: float) -> str:
-    return f"{100 * fraction:g}"
+    return f"{100 * fraction:g}".replace(".", "_")
 
 
 def at_top(df: DataFrame, key: str, fractions: tuple[float, ...], score: str = "score", label: str = "label") -> DataFrame:

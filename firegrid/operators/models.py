@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged
 from .metrics import feature_stats, point_metrics, roc_auc
 
 
@@ -72,18 +73,22 @@ def platt(df: DataFrame, score: str = "score") -> DataFrame:
 
 
 def forward_cv(df: DataFrame, columns: list[str], years: list[int], penalties: list[float]) -> DataFrame:
-    """For each penalty and validation year: fit on earlier years, with their statistics only, and score that year."""
-    out = None
+    """``year, l2, auc, brier`` for each penalty and validation year: fitted on earlier years, with their statistics only, and measured on that year."""
+    scored = None
     for year in years:
-        train = df.where(F.col("year") < year)
-        rules = fit_transform(train, {c: "standard" for c in columns})
-        t = transform(df.where(F.col("year") <= year), rules)
+        rules = fit_transform(df.where(F.col("year") < year), {c: "standard" for c in columns})
+        t = staged(transform(df.where(F.col("year") <= year), rules), "years")
         for l2 in penalties:
             model = fit_logistic(t.where(F.col("year") < year), list(rules), l2)
-            s = score_with(model, t.where(F.col("year") == year), list(rules))
-            m = roc_auc(s, "fitted").crossJoin(point_metrics(s, "fitted").select("brier")).withColumns({"year": F.lit(year), "l2": F.lit(l2)})  # one row each
-            out = m if out is None else out.unionByName(m)
-    return out
+            s = score_with(model, t.where(F.col("year") == year), list(rules)).select(F.lit(year).alias("year"), F.lit(float(l2)).alias("l2"), "label", "fitted")
+            scored = s if scored is None else scored.unionByName(s)
+    return _measured(scored, ["year", "l2"])
+
+
+def _measured(scored: DataFrame, by: list[str]) -> DataFrame:
+    """ROC AUC and Brier score of ``label, fitted`` in each group, from one table of all groups."""
+    t = staged(scored, "scored")
+    return roc_auc(t, "fitted", by=by).join(point_metrics(t, "fitted", by=by).select(*by, "brier"), by)
 
 
 def spatial_fold(parent: Column, folds: int = 5) -> Column:
@@ -92,15 +97,15 @@ def spatial_fold(parent: Column, folds: int = 5) -> Column:
 
 
 def spatial_cv(df: DataFrame, columns: list[str], folds: int = 5) -> DataFrame:
-    """Fit without each fold of coarse cells and score it."""
+    """``fold, auc, brier``: fitted without each fold of coarse cells, with the statistics of the rest, and measured on it."""
     t = df.withColumn("fold", spatial_fold(F.col("parent"), folds))
-    out = None
+    scored = None
     for k in range(folds):
         rules = fit_transform(t.where(F.col("fold") != k), {c: "standard" for c in columns})
-        s = transform(t, rules)
-        m = roc_auc(score_with(fit_logistic(s.where(F.col("fold") != k), list(rules)), s.where(F.col("fold") == k), list(rules)), "fitted").withColumn("fold", F.lit(k))
-        out = m if out is None else out.unionByName(m)
-    return out
+        s = staged(transform(t, rules), "folds")
+        held = score_with(fit_logistic(s.where(F.col("fold") != k), list(rules)), s.where(F.col("fold") == k), list(rules)).select("fold", "label", "fitted")
+        scored = held if scored is None else scored.unionByName(held)
+    return _measured(scored, ["fold"])
 
 
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:

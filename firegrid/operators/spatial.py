@@ -6,8 +6,11 @@ blocks of cells and days, so plans shuffle on keys and never compare all pairs.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.dates import latest_noon
 from ..functions.grid import LEVEL, ROW, cell_disk, cell_level, cell_q, cell_r
@@ -31,33 +34,49 @@ def axial_length(dq: Column, dr: Column) -> Column:
     return F.sqrt((dq * dq + dq * dr + dr * dr).cast("double"))
 
 
-#: Point sets up to this size go to every task, as one array; larger ones are joined by blocks.
+#: Point sets up to this size go to every task; larger ones are joined.
 MOST_POINTS = 5_000
 
+#: Distances that one NumPy step holds.
+STEP = 1 << 20
 
-def _as_array(points: DataFrame, point_key: str) -> DataFrame:
-    """All points as one array, ``_points``, in one row."""
-    return points.agg(F.sort_array(F.collect_list(F.struct(point_key, *(c for c in points.columns if c != point_key)))).alias("_points"))
+
+def _few(points: DataFrame, point_key: str, most: int) -> pa.Table | None:
+    """All points in order of their key, or None if there are over ``most``."""
+    if points.limit(most + 1).count() > most:
+        return None
+    return points.orderBy(point_key).toArrow()  # at most `most` rows
 
 
-def _to(p: Column) -> Column:
-    return axial_length(F.col("q") - p["sq"], F.col("r") - p["sr"])
+def _distances(batch: pa.RecordBatch, points: pa.Table):
+    """Yield ``(first, last, distances)`` for stretches of a batch of cells ``q, r`` to all points ``sq, sr``."""
+    q, r, sq, sr = (t.column(c).to_numpy(zero_copy_only=False) if isinstance(t, pa.RecordBatch) else t.column(c).to_numpy() for t, c in ((batch, "q"), (batch, "r"), (points, "sq"), (points, "sr")))
+    step = max(1, STEP // max(1, len(sq)))
+    for a in range(0, len(q), step):
+        dq, dr = q[a : a + step, None] - sq, r[a : a + step, None] - sr
+        yield a, min(a + step, len(q)), np.sqrt((dq * dq + dq * dr + dr * dr).astype(float))
 
 
 def nearest(cells: DataFrame, points: DataFrame, k: int, cell_key: str = "cell", point_key: str = "station", most: int = MOST_POINTS) -> DataFrame:
     """Cells ``q, r`` with their ``k`` nearest points ``sq, sr`` and the ``distance``, ties to the smaller point key.
 
-    Up to ``most`` points, each cell searches an array of them where it is; the
-    pairs are neither written down nor shuffled. Beyond, :func:`nearest_by_blocks`.
+    Up to ``most`` points, each cell searches all of them where it is; the pairs
+    are neither written down nor shuffled. Beyond, :func:`nearest_by_blocks`.
     """
-    if points.limit(most + 1).count() > most:
+    few = _few(points, point_key, most)
+    if few is None:
         return nearest_by_blocks(cells, points, k, cell_key, point_key)
-    t = cells.crossJoin(F.broadcast(_as_array(points, point_key)))  # one row
-    far = F.get(F.sort_array(F.transform("_points", _to)), F.least(F.lit(k), F.size("_points")) - 1)
-    t = t.withColumn("_far", far)
-    near = F.filter(F.transform("_points", lambda p: F.struct(_to(p).alias("distance"), p[point_key].alias("_key"), p.alias("p"))), lambda x: x["distance"] <= F.col("_far"))
-    t = t.select(*cells.columns, F.explode(F.slice(F.array_sort(near), 1, k)).alias("n"))
-    return t.select(*cells.columns, *(F.col(f"n.p.{c}").alias(c) for c in points.columns), F.col("n.distance").alias("distance"))
+    names = [*cells.columns, *points.columns, "distance"]
+
+    def search(batches):
+        for batch in batches:
+            for a, b, d in _distances(batch, few):
+                order = np.argsort(d, axis=1, kind="stable")[:, :k]
+                own, of = pa.array(np.repeat(np.arange(a, b), order.shape[1])), pa.array(order.ravel())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(own) for c in cells_names), *(few.column(c).combine_chunks().take(of) for c in points_names), pa.array(np.take_along_axis(d, order, 1).ravel())], names)
+
+    cells_names, points_names = cells.columns, points.columns
+    return cells.mapInArrow(search, StructType([*cells.schema, *points.schema, StructField("distance", DoubleType())]))
 
 
 def nearest_by_blocks(cells: DataFrame, points: DataFrame, k: int, cell_key: str = "cell", point_key: str = "station") -> DataFrame:
@@ -94,28 +113,26 @@ def nearest_by_blocks(cells: DataFrame, points: DataFrame, k: int, cell_key: str
 
 
 def idw_all(cells: DataFrame, points: DataFrame, variables: list[str], cell_key: str = "cell", point_key: str = "station", power: float = 2.0, most: int = MOST_POINTS) -> DataFrame:
-    """Inverse-distance weighted values per cell from all points; null values take no part, a point at no distance decides alone.
+    """Inverse-distance weighted values per cell from all points, by the rules of :func:`idw`.
 
-    Points come in arrays of at most about ``most``; each cell sums up an array
-    where it is, and only the sums of several arrays are shuffled.
+    Up to ``most`` points each cell sums them up where it is. Beyond, the pairs
+    are joined: every cell needs every point.
     """
-    slices = -(-points.count() // most)
-    if slices <= 1:
-        t = cells.crossJoin(F.broadcast(_as_array(points, point_key)))  # one row
-    else:
-        t = cells.crossJoin(points.groupBy(F.pmod(F.xxhash64(point_key), F.lit(slices)).alias("_s")).agg(F.collect_list(F.struct(*points.columns)).alias("_points")).drop("_s"))
-    near = lambda p: _to(p) <= EXACT_KM
+    few = _few(points, point_key, most)
+    if few is None:
+        return idw(cells.crossJoin(points).withColumn("distance", axial_length(F.col("q") - F.col("sq"), F.col("r") - F.col("sr"))), cell_key, variables, power)
+    values = {v: few.column(v).to_numpy().astype(float) for v in variables}
 
-    def total(v: str, exact: bool, value: bool) -> Column:
-        weight = (lambda p: F.when(near(p), 1.0).otherwise(0.0)) if exact else (lambda p: F.when(near(p), 0.0).otherwise(F.pow(_to(p), F.lit(-power))))
-        part = lambda p: F.when(p[v].isNull(), 0.0).otherwise(weight(p) * (p[v] if value else F.lit(1.0)))
-        return F.aggregate("_points", F.lit(0.0), lambda a, p: a + part(p))
+    def sums(batches):
+        for batch in batches:
+            for a, b, d in _distances(batch, few):
+                exact = d <= EXACT_KM
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    w = np.where(exact.any(1, keepdims=True), exact.astype(float), d**-power)
+                    out = [(w @ np.nan_to_num(x)) / (w @ np.isfinite(x).astype(float)) for x in values.values()]
+                yield pa.RecordBatch.from_arrays([batch.column(cell_key).slice(a, b - a), *(pa.array(x, pa.float64(), mask=~np.isfinite(x)) for x in out)], [cell_key, *variables])
 
-    sums = {f"_{v}_{e:d}{x:d}": total(v, e, x) for v in variables for e in (True, False) for x in (True, False)}
-    hits = F.aggregate("_points", F.lit(0), lambda a, p: a + near(p).cast("int"))
-    parts = t.select(cell_key, hits.alias("_hits"), *(c.alias(n) for n, c in sums.items())).groupBy(cell_key).agg(F.sum("_hits").alias("_hits"), *(F.sum(n).alias(n) for n in sums))
-    value = lambda v: F.when(F.col("_hits") > 0, F.try_divide(F.col(f"_{v}_11"), F.col(f"_{v}_10"))).otherwise(F.try_divide(F.col(f"_{v}_01"), F.col(f"_{v}_00"))).alias(v)
-    return parts.select(cell_key, *(value(v) for v in variables))
+    return cells.mapInArrow(sums, StructType([cells.schema[cell_key], *(StructField(v, DoubleType()) for v in variables)]))
 
 
 def lattice_pairs(cells: DataFrame, anchors: DataFrame, step: float, reach: int = 2) -> DataFrame:
@@ -128,11 +145,11 @@ def lattice_pairs(cells: DataFrame, anchors: DataFrame, step: float, reach: int
 
 
 def idw(pairs: DataFrame, cell_key: str, variables: list[str], power: float = 2.0) -> DataFrame:
-    """Inverse-distance weighted values per cell from ``distance`` (km) and the variables; a point at no distance decides alone."""
+    """Inverse-distance weighted values per cell from ``distance`` (km) and the variables; null values take no part, a point at no distance decides alone (null if its value is)."""
     near = F.min("distance").over(Window.partitionBy(cell_key))
     w = F.when(near <= EXACT_KM, F.when(F.col("distance") <= EXACT_KM, 1.0).otherwise(0.0)).otherwise(F.pow("distance", F.lit(-power)))
     weighted = pairs.withColumn("w", w)
-    return weighted.groupBy(cell_key).agg(*((F.sum(F.col("w") * F.col(v)) / F.sum(F.when(F.col(v).isNotNull(), F.col("w")))).alias(v) for v in variables))
+    return weighted.groupBy(cell_key).agg(*(F.try_divide(F.sum(F.col("w") * F.col(v)), F.sum(F.when(F.col(v).isNotNull(), F.col("w")))).alias(v) for v in variables))
 
 
 def latest_visible(scores: DataFrame, incomplete: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from firegrid import catalog
+from firegrid import catalog, views
 from firegrid.operators import models
 
 
@@ -127,5 +127,6 @@ def test_registered_validations_cover_years_penalties_and_folds(spark, sf_dir):
     cv = q["m7_forward_cv"](spark, sf_dir).toPandas()
     assert sorted(zip(cv.year, cv.l2, strict=True)) == [(y, p) for y in (1997, 1998, 1999) for p in (0.0, 0.001, 0.01, 0.1)] and cv.auc.between(0.2, 0.8).all()
     folds = q["m10_spatial_cv"](spark, sf_dir).toPandas()
-    assert sorted(folds.fold) == list(range(5)) and folds.auc.between(0.1, 0.9).all()
+    parents = {r["parent"] % 5 for r in views.labeled(spark, sf_dir).select("parent").distinct().collect()}
+    assert set(folds.fold) == parents and len(folds) == len(parents) and folds.auc.between(0.1, 0.9).all()
     assert sorted(q["m11_importances"](spark, sf_dir).toPandas().feature) == ["x1", "x2", "x3"]

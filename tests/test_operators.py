@@ -155,14 +155,15 @@ def test_windows_by_blocks_match_brute_force(spark, strategy):
 def test_covered_box_holds_the_cells_of_all_its_points(spark):
     rng = random.Random(9)
     boxes = [(2.0, 43.0, 2.03, 43.02), (-4.9, 48.1, -4.89, 48.11), (9.0, 41.4, 9.15, 41.46)]
-    for west, south, east, north in boxes:
-        box = F.struct(*(F.lit(v).alias(n) for v, n in zip((west, south, east, north), ("west", "south", "east", "north"), strict=True)))
-        cells = spark.range(1).select(F.explode(grid.cells_for_bbox(box, 8)).alias("cell"))
-        cover = {r["cell"] for r in cells.collect()}
-        points = spark.createDataFrame([(rng.uniform(south, north), rng.uniform(west, east)) for _ in range(1500)], "lat double, lon double")
-        assert {r[0] for r in points.select(grid.cell_of(F.col("lat"), F.col("lon"), 8)).distinct().collect()} <= cover
-        corner = F.exists(grid.cell_ring(F.col("cell")), lambda p: p["lon"].between(west - 0.02, east + 0.02) & p["lat"].between(south - 0.02, north + 0.02))
-        assert cells.where(~corner).count() == 0 and len(cover) < 60
+    df = spark.createDataFrame([(k, *b) for k, b in enumerate(boxes)], "box long, west double, south double, east double, north double")
+    cover = {(r["box"], r["cell"]) for r in grid.cells_for_bbox(df, 8).collect()}
+    points = spark.createDataFrame([(k, rng.uniform(s, n), rng.uniform(w, e)) for k, (w, s, e, n) in enumerate(boxes) for _ in range(1500)], "box long, lat double, lon double")
+    hit = {tuple(r) for r in points.select("box", grid.cell_of(F.col("lat"), F.col("lon"), 8).alias("cell")).distinct().collect()}
+    assert hit <= cover and len(cover) <= 1.5 * len(hit) + 12
+    centre = spark.createDataFrame(sorted(cover), "box long, cell long").select("box", *(c.alias(n) for c, n in zip(grid.cell_center(F.col("cell")), ("lat", "lon"), strict=True)))
+    for r in centre.collect():
+        w, s, e, n = boxes[r["box"]]
+        assert w - 0.012 <= r["lon"] <= e + 0.012 and s - 0.009 <= r["lat"] <= n + 0.009
 
 
 def test_outline_of_a_cell_surrounds_its_centre_and_area(spark):
@@ -171,7 +172,7 @@ def test_outline_of_a_cell_surrounds_its_centre_and_area(spark):
         ring = [(p["x"], p["y"]) for p in r["ring"]]
         area = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:], strict=False)) / 2
         assert ring[0] == ring[-1] and area == pytest.approx(grid.AREA_8, rel=1e-6)
-        assert all(((x - r["x"]) ** 2 + (y - r["y"]) ** 2) ** 0.5 == pytest.approx(grid.edge_m(8), rel=1e-6) for x, y in ring)
+        assert all(((x - r["x"]) ** 2 + (y - r["y"]) ** 2) ** 0.5 == pytest.approx(grid.edge_m(8), abs=0.05) for x, y in ring)  # the inverse is a series, good to about a centimetre
 
 
 def test_failed_batches_are_removed_and_retries_count_once(spark, tmp_path):
