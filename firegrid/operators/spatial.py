@@ -144,6 +144,31 @@ def lattice_pairs(cells: DataFrame, anchors: DataFrame, step: float, reach: int
     return c.join(a, ["ilat", "ilon"])
 
 
+def nearest_on_lattice(cells: DataFrame, anchors: DataFrame, step: float, k: int, cell_key: str = "cell", anchor_key: str = "anchor", reach: int = 2) -> DataFrame:
+    """Cells ``lat, lon`` with their ``k`` nearest anchors of a lattice by ``d2``, the squared distance in degrees to nine places, ties to the smaller anchor key.
+
+    What lies further than ``reach`` steps of the index is further than ``reach``
+    steps away, so cells whose ``k``-th anchor is nearer are done; the others look
+    twice as far, until that spans all anchors.
+    """
+    ends = lambda t, lat, lon: t.agg(F.min(lat), F.max(lat), F.min(lon), F.max(lon)).first()
+    a, c = ends(anchors, "alat", "alon"), ends(cells, "lat", "lon")
+    span = 0.0 if None in (*a, *c) else max(max(a[1], c[1]) - min(a[0], c[0]), max(a[3], c[3]) - min(a[2], c[2]))
+    out, left = None, cells
+    while True:
+        pairs = lattice_pairs(left, anchors, step, reach).withColumn("d2", F.round(F.pow(F.col("lat") - F.col("alat"), 2) + F.pow(F.col("lon") - F.col("alon"), 2), 9))
+        found = staged(top_per(pairs, [cell_key], ["d2", anchor_key], k).drop("_n"), "lattice")
+        if (reach - 1) * step >= span:
+            return found if out is None else out.unionByName(found)
+        done = found.groupBy(cell_key).agg(F.count("*").alias("_k"), F.max("d2").alias("_d")).where((F.col("_k") == k) & (F.col("_d") < (reach * step) ** 2)).select(cell_key)
+        some = found.join(done, cell_key, "left_semi")
+        out = some if out is None else out.unionByName(some)
+        left = staged(left.join(done, cell_key, "left_anti"), "left")
+        if left.isEmpty():
+            return out
+        reach *= 2
+
+
 def idw(pairs: DataFrame, cell_key: str, variables: list[str], power: float = 2.0) -> DataFrame:
     """Inverse-distance weighted values per cell from ``distance`` (km) and the variables; null values take no part, a point at no distance decides alone (null if its value is)."""
     near = F.min("distance").over(Window.partitionBy(cell_key))

@@ -246,8 +246,7 @@ def j6_lattice_nearest(spark, d):
     c = table(spark, d, "customer").select(k.alias("key"), (43 + k % 50 * F.lit(0.031)).alias("lat"), (1 + k % 37 * F.lit(0.037)).alias("lon"))
     i = spark.range(13)
     a = i.select(_c("id").alias("x")).crossJoin(i.select(_c("id").alias("y"))).select((_c("x") * 100 + _c("y")).alias("anchor"), (42.6 + _c("x") * F.lit(0.2)).alias("alat"), (0.6 + _c("y") * F.lit(0.2)).alias("alon"))
-    p = spatial.lattice_pairs(c, a, 0.2).withColumn("d2", F.round(F.pow(_c("lat") - _c("alat"), 2) + F.pow(_c("lon") - _c("alon"), 2), 9))
-    return spatial.top_per(p, ["key"], ["d2", "anchor"], 4).select("key", "anchor")
+    return spatial.nearest_on_lattice(c, a, 0.2, 4, "key").select("key", "anchor")
 
 
 @query(with_views("v_observations") + """, h AS (SELECT user_id AS loc, list(observed_at ORDER BY event_id) AS t, list(frp ORDER BY event_id) AS v FROM v_observations GROUP BY 1) SELECT loc, unnest(t) AS time, unnest(v) AS temp FROM h""")

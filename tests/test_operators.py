@@ -235,3 +235,17 @@ def test_exclusion_reasons_take_precedence_and_unknown_ones_are_refused(spark):
     assert (r["a"], r["b"], r["c"]) == ("natural_cause", None, "missing_features")
     with pytest.raises(ValueError, match="unknown reasons"):
         dataset.exclusion_reason({"weather": t})
+
+
+def test_lattice_search_widens_until_the_nearest_are_certain(spark):
+    rng = random.Random(11)
+    anchors = [(k, 43 + 0.2 * (k // 9), 1 + 0.2 * (k % 9)) for k in range(81) if rng.random() < 0.4]
+    cells = [(k, 43 + rng.random() * 1.6, 1 + rng.random() * 1.6) for k in range(60)] + [(90, 46.0, 1.5), (91, 43.1, -1.0)]
+    c, a = spark.createDataFrame(cells, "cell long, lat double, lon double"), spark.createDataFrame(anchors, "anchor long, alat double, alon double")
+    for k in (1, 4, 100):
+        got = {}
+        for r in spatial.nearest_on_lattice(c, a, 0.2, k).collect():
+            got.setdefault(r["cell"], set()).add(r["anchor"])
+        want = {x: {n for _, n in sorted((round((lat - u) ** 2 + (lon - v) ** 2, 9), n) for n, u, v in anchors)[:k]} for x, lat, lon in cells}
+        assert got == want
+    assert spatial.nearest_on_lattice(c.limit(0), a, 0.2, 4).count() == spatial.nearest_on_lattice(c, a.limit(0), 0.2, 4).count() == 0
