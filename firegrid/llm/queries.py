@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, exact, langid, mixing, neardup, packing, quality, toxicity, warc
+from . import ann, chat, exact, langid, lines, mixing, neardup, packing, prefixes, quality, spelling, toxicity, warc
 from .common import shared_dir
 
 
@@ -72,6 +72,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("passages").alias("passages"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = lines.drop_repeated_lines(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
@@ -84,6 +97,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat": op8_chat,
         "op9_langid": op9_langid,
         "op10_toxicity": op10_toxicity,
+        "op11_spelling": op11_spelling,
+        "op12_lines": op12_lines,
+        "op13_prefixes": op13_prefixes,
     }
 
 
@@ -142,5 +158,61 @@ FROM k GROUP BY 1
 """
 
 
+# The table of the reflected polynomial EDB88320, by its rule, and the checksum of a string's bytes with it.
+_CRC_TABLE = "SELECT list(list_reduce([i] || range(8), lambda c, k: xor(c >> 1, (c & 1) * 3988292384)) ORDER BY i) AS crc FROM range(256) r(i)"
+
+
+def _crc32(s: str) -> str:
+    octets = f"list_transform(range(0, strlen({s})), lambda j: ('0x' || substr(hex(encode({s})), 2 * j + 1, 2))::BIGINT)"
+    return f"xor(list_reduce([4294967295] || {octets}, lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+_ASCII = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+OP11_SQL = f"""
+WITH RECURSIVE k AS ({_CRC_TABLE}),
+r AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')), {_ASCII}) AS run FROM documents),
+d AS (SELECT run, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS s, count(*) AS n FROM r WHERE length(run) >= 7 GROUP BY doc_id, run),
+h AS (SELECT run, n, {_crc32("s")} AS h FROM d, k),
+x AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, n FROM h),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM x WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+p AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w),
+blank AS (SELECT word, n, substr(word, 1, i - 1) || '*' || substr(word, i + 1) AS m FROM p),
+cut AS (SELECT DISTINCT word, n, substr(word, 1, i - 1) || substr(word, i + 1) AS m FROM p),
+near AS (SELECT a.word, b.word AS other, b.n FROM blank a JOIN blank b ON a.m = b.m AND a.word <> b.word
+  UNION SELECT c.word, w.word, w.n FROM cut c JOIN w ON w.word = c.m UNION SELECT w.word, c.word, c.n FROM cut c JOIN w ON w.word = c.m),
+g AS (SELECT word, count(*) AS n_near, list(other ORDER BY n DESC, other)[1] AS other, max(n) AS top FROM near GROUP BY word),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 10 * w.n THEN other END AS form, CASE WHEN top >= 10 * w.n THEN top END AS form_n FROM w LEFT JOIN g USING (word)),
+up AS (SELECT word, form AS root, 1 AS step FROM f WHERE form IS NOT NULL UNION ALL SELECT up.word, f.form, step + 1 FROM up JOIN f ON f.word = up.root WHERE f.form IS NOT NULL)
+SELECT f.word, n, n_near, form, form_n, coalesce(u.root, f.word) AS root FROM f LEFT JOIN (SELECT word, arg_max(root, step) AS root FROM up GROUP BY word) u ON u.word = f.word
+"""
+
+OP12_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+e AS (SELECT rid, doc_id, i, ls[i] AS line, translate(trim(ls[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), {_ASCII}) AS key FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM d)),
+g AS (SELECT key, max(doc_id) AS top FROM e WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT coalesce(CAST(doc_id AS VARCHAR), '')) >= 3),
+x AS (SELECT e.*, g.key IS NOT NULL AND doc_id IS DISTINCT FROM top AS dropped FROM e LEFT JOIN g ON g.key = e.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT dropped), '')) AS kept_sha256 FROM x GROUP BY rid, doc_id
+"""
+
+OP13_SQL = f"""
+WITH k AS ({_CRC_TABLE}),
+o AS (SELECT conv_id, turn, strlen(coalesce(text, '')) AS b, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS id FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, b, id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, id) AS i FROM o),
+s AS (SELECT conv_id, count(*) AS n FROM c GROUP BY 1),
+q AS (SELECT conv_id, conv_id - conv_id % 5 AS base, {_crc32("CAST(conv_id AS VARCHAR)")} % 9 AS h FROM s, k),
+m AS (SELECT q.*, least(h, coalesce(s.n, 0)) AS m FROM q LEFT JOIN s ON s.conv_id = base),
+t AS (SELECT m.conv_id, i AS p, b, id FROM m JOIN c ON c.conv_id = base AND i <= h UNION ALL SELECT conv_id, i - h + m, b, id FROM m JOIN c USING (conv_id) WHERE i > h),
+v AS (SELECT s.conv_id, coalesce(list(id ORDER BY p) FILTER (id IS NOT NULL), []) AS ids, coalesce(list(b ORDER BY p) FILTER (id IS NOT NULL), []) AS bs FROM s LEFT JOIN t USING (conv_id) GROUP BY 1),
+e AS (SELECT conv_id, len(ids) AS size, d, ids[1:d] AS node, CASE WHEN d > 0 THEN bs[d] ELSE 0 END AS b FROM (SELECT *, unnest(range(0, len(ids) + 1)) AS d FROM v)),
+n AS (SELECT node, d, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(b) AS saved, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (size = d), '')) AS ends FROM e GROUP BY 1, 2),
+ch AS (SELECT node[1:d - 1] AS node, d - 1 AS d, count(*) AS n FROM n WHERE d > 0 GROUP BY 1, 2),
+z AS (SELECT n.*, coalesce(ch.n, 0) AS n_children FROM n LEFT JOIN ch ON ch.node = n.node AND ch.d = n.d),
+st AS (SELECT node[1:u] AS node, u AS d, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved FROM (SELECT *, unnest(range(0, d + 1)) AS u FROM z) GROUP BY 1, 2)
+SELECT z.conv_id, z.d AS depth, p.conv_id AS parent_conv_id, z.n_convs, z.n_children, st.n_leaves, CAST(st.saved AS BIGINT) AS saved_tokens, z.ends AS ends_sha256
+FROM z JOIN st ON st.node = z.node AND st.d = z.d LEFT JOIN z p ON p.d = z.d - 1 AND p.node = z.node[1:z.d - 1] AND z.d > 0
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op3_mixing": OP3_SQL, "op6_exact_dedup": OP6_SQL, "op8_chat": OP8_SQL}
+    return {"op1_warc": OP1_SQL, "op3_mixing": OP3_SQL, "op6_exact_dedup": OP6_SQL, "op8_chat": OP8_SQL, "op11_spelling": OP11_SQL, "op12_lines": OP12_SQL, "op13_prefixes": OP13_SQL}

@@ -166,7 +166,7 @@ def test_repeated_ids_and_rows(spark):
     assert len(got) == 20 * 5 and 50 not in set(got.vec_id) and set(got[got["rank"] == 1].vec_id) == {1}
 
 
-@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1", "check_s"])
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
 def test_recall_on_given_tables(spark, sf):
     df = queries.table(spark, f"/root/testdata/{sf}", "embeddings")
     got = ann.search(df).toPandas().sort_values(["query_id", "rank"])
