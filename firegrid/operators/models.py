@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.staging import staged
-from .metrics import feature_stats, point_metrics, roc_auc
+from .boosting import fit_boosted, score_boosted, split_counts
+from .metrics import ece, feature_stats, point_metrics, roc_auc
 
 
 def fit_transform(train: DataFrame, scaling: dict[str, str]) -> dict[str, tuple[str, float, float, float]]:
@@ -44,13 +45,6 @@ def fit_logistic(df: DataFrame, columns: list[str], l2: float = 0.01, weight: st
     return (model.setWeightCol(weight) if weight else model).fit(_assemble(df, columns))
 
 
-def fit_trees(df: DataFrame, columns: list[str], rounds: int = 10, depth: int = 3):
-    """Boosted trees of MLlib: its loss and leaf values differ from mean-residual boosting, so numbers do too."""
-    from pyspark.ml.classification import GBTClassifier
-
-    return GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.1, minInstancesPerNode=20, seed=3).fit(_assemble(df, columns))
-
-
 def score_with(model, df: DataFrame, columns: list[str]) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
 
@@ -61,9 +55,9 @@ def fit_and_score(df: DataFrame, columns: list[str], kind: str, first_test: int
     """Fit on earlier years and score the later ones."""
     rules = fit_transform(df.where(F.col("year") < first_test), {c: "standard" for c in columns})
     t = transform(df, rules)
-    train = t.where(F.col("year") < first_test)
-    model = fit_logistic(train, list(rules)) if kind == "logistic" else fit_trees(train, list(rules))
-    return score_with(model, t.where(F.col("year") >= first_test), list(rules)).select("id", "label", "fitted")
+    train, later = t.where(F.col("year") < first_test), t.where(F.col("year") >= first_test)
+    scored = score_with(fit_logistic(train, list(rules)), later, list(rules)) if kind == "logistic" else score_boosted(later, fit_boosted(train, list(rules)))
+    return scored.select("id", "label", "fitted")
 
 
 def platt(df: DataFrame, score: str = "score") -> DataFrame:
@@ -114,15 +108,30 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     return df.groupBy(label).agg(F.count("*").alias("k")).crossJoin(F.broadcast(n)).select(label, (F.col("n") / (2.0 * F.col("k"))).alias("weight"))  # one row
 
 
-def importances(model, columns: list[str]) -> list[tuple[str, float]]:
-    """Coefficients or split importances by feature."""
-    values = model.coefficients if hasattr(model, "coefficients") else model.featureImportances
-    return list(zip(columns, map(float, values.toArray()), strict=True))
+def feature_importances(train: DataFrame, columns: list[str], rounds: int = 10) -> DataFrame:
+    """``feature, coefficient, splits``: of a logistic model, and how many splits boosted trees have on it, both on the same standardised rows."""
+    rules = fit_transform(train, {c: "standard" for c in columns})
+    t, names = staged(transform(train, rules), "standardised"), list(rules)
+    linear, splits = fit_logistic(t, names).coefficients.toArray(), split_counts(fit_boosted(t, names, rounds=rounds))
+    return train.sparkSession.createDataFrame([(n, float(c), splits[n]) for n, c in zip(names, linear, strict=True)], "feature string, coefficient double, splits long")
+
+
+def repeats(df: DataFrame, label: str = "label") -> DataFrame:
+    """``repeats``: how often a positive row counts so that both classes weigh about the same: negatives over positives, rounded, 1 at least."""
+    t = df.agg(F.sum(label).alias("p"), F.count("*").alias("n"))
+    return t.select(F.coalesce(F.greatest(F.lit(1), F.floor((F.col("n") - F.col("p")) / F.nullif("p", F.lit(0)) + 0.5)), F.lit(1)).cast("long").alias("repeats"))
 
 
-def feature_importances(train: DataFrame, columns: list[str]) -> DataFrame:
-    """``feature, coefficient, importance``: of a logistic model and of boosted trees on the same standardised rows."""
+def compare_weighting(train: DataFrame, calibration: DataFrame, columns: list[str], l2: float = 0.01) -> DataFrame:
+    """``weighting, auc, brier, log_loss, ece`` on the calibration rows, of a logistic fit on the training rows as they are and with positives counted :func:`repeats` times; both take the training rows' scaling."""
     rules = fit_transform(train, {c: "standard" for c in columns})
-    t, names = transform(train, rules), list(rules)
-    linear, trees = dict(importances(fit_logistic(t, names), names)), dict(importances(fit_trees(t, names), names))
-    return train.sparkSession.createDataFrame([(n, linear[n], trees[n]) for n in names], "feature string, coefficient double, importance double")
+    names = list(rules)
+    t = staged(transform(train, rules).withColumn("_w", F.when(F.col("label") == 1, F.lit(float(repeats(train).first()[0]))).otherwise(1.0)), "weighted")
+    held, scored = transform(calibration, rules), None
+    for name, weight in (("none", None), ("class", "_w")):
+        s = score_with(fit_logistic(t, names, l2, weight), held, names).select(F.lit(name).alias("weighting"), "label", "fitted")
+        scored = s if scored is None else scored.unionByName(s)
+    scored = staged(scored, "scored")
+    by = ["weighting"]
+    out = roc_auc(scored, "fitted", by=by).join(point_metrics(scored, "fitted", by=by).select(*by, "brier", "log_loss"), by)
+    return out.join(ece(scored, "fitted", by=by), by)

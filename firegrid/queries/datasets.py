@@ -464,11 +464,26 @@ def m2_logistic(spark, d):
     return models.fit_and_score(views.labeled(spark, d), ["x1", "x2"], "logistic")
 
 
-@query()
+def _boosted_sql(features: list[str], rounds: int, depth: int = 3, rate: float = 0.1, least: int = 20) -> str:
+    """Definitions ``z<rounds>`` (rows with their log-odds ``z``) and ``b<round>_<level>`` (splits ``node, f, v``) of boosted trees over ``base``: ``id, label, train`` and the features. One definition a level: order statistics and sums up to them are windows over a node's rows."""
+    out = ["s AS (SELECT sum(label) / count(*)::DOUBLE AS p FROM base WHERE train)", "z0 AS MATERIALIZED (SELECT base.*, ln(p / (1 - p)) AS z FROM base, s)"]
+    for k in range(rounds):
+        out.append(f"t{k}_0 AS MATERIALIZED (SELECT *, label - 1 / (1 + exp(-z)) AS r, 0 AS node FROM z{k})")
+        for level in range(depth):
+            t = f"t{k}_{level}"
+            sides = " UNION ALL ".join(f"SELECT node, {f} AS f, d, {c} AS v, cnt, tot, below, s FROM (SELECT node, {c}, row_number() OVER (PARTITION BY node ORDER BY {c}) - 1 AS i, count(*) OVER (PARTITION BY node) AS cnt, sum(r) OVER (PARTITION BY node) AS tot, count(*) OVER (PARTITION BY node ORDER BY {c}) AS below, sum(r) OVER (PARTITION BY node ORDER BY {c}) AS s FROM {t} WHERE train), range(1, 10) x(d) WHERE cnt >= {least} AND i = least(cnt * d // 10, cnt - 1)" for f, c in enumerate(features))
+            out.append(f"b{k}_{level} AS MATERIALIZED (SELECT node, f, v FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY round(s * s / below + (tot - s) * (tot - s) / (cnt - below), 9) DESC, f, d) AS best FROM ({sides}) WHERE below < cnt) WHERE best = 1)")
+            value = "CASE b.f " + " ".join(f"WHEN {f} THEN {c}" for f, c in enumerate(features)) + " END"
+            out.append(f"t{k}_{level + 1} AS MATERIALIZED (SELECT t.* EXCLUDE (node), CASE WHEN b.node IS NULL THEN t.node WHEN {value} <= b.v THEN 2 * t.node + 1 ELSE 2 * t.node + 2 END AS node FROM {t} t LEFT JOIN b{k}_{level} b ON b.node = t.node)")
+        out.append(f"z{k + 1} AS MATERIALIZED (SELECT t.* EXCLUDE (node, r, z), z + {rate}::DOUBLE * l.v AS z FROM t{k}_{depth} t JOIN (SELECT node, sum(r) / count(*) AS v FROM t{k}_{depth} WHERE train GROUP BY node) l ON l.node = t.node)")
+    return ", ".join(out)
+
+
+@query(_L + ", base AS (SELECT id, label, year < 1999 AS train, x1, x2 FROM v_labeled), " + _boosted_sql(["x1", "x2"], 10) + " SELECT id, label, round(1 / (1 + exp(-z)), 6) AS fitted FROM z10 WHERE NOT train")
 def m3_boosted_trees(spark, d):
     from ..operators import models
 
-    return models.fit_and_score(views.labeled(spark, d), ["x1", "x2"], "trees")
+    return models.fit_and_score(views.labeled(spark, d), ["x1", "x2"], "trees").withColumn("fitted", F.round("fitted", 6))
 
 
 @query()
@@ -537,6 +552,33 @@ def m11_importances(spark, d):
     return models.feature_importances(views.labeled(spark, d).where("year < 1999"), ["x1", "x2", "x3"])
 
 
+@query(
+    _L + ", base AS (SELECT id, label, true AS train, x1, x2, coalesce(x3, 11) AS x3 FROM v_labeled WHERE year < 1999), " + _boosted_sql(["x1", "x2", "x3"], 4)
+    + " SELECT ['x1', 'x2', 'x3'][f + 1] AS feature, count(*) AS splits FROM (" + " UNION ALL ".join(f"SELECT f FROM b{k}_{level}" for k in range(4) for level in range(3)) + ") GROUP BY 1"
+)
+def m11_split_counts(spark, d):
+    from ..operators.boosting import fit_boosted, split_counts
+
+    t = views.labeled(spark, d).where("year < 1999").withColumn("x3", F.coalesce("x3", F.lit(11.0)))
+    counts = split_counts(fit_boosted(t, ["x1", "x2", "x3"], rounds=4))
+    return spark.createDataFrame([(k, n) for k, n in counts.items() if n], "feature string, splits long")
+
+
+@query()
+def m11_weighting(spark, d):
+    from ..operators.models import compare_weighting
+
+    t = views.labeled(spark, d)
+    return compare_weighting(t.where("year < 1998"), t.where("year = 1998"), ["x1", "x2"])
+
+
+@query(_L + " SELECT greatest(1, round(sum(1 - label) / sum(label)))::BIGINT AS repeats FROM v_labeled WHERE year < 1998")
+def m11_repeats(spark, d):
+    from ..operators.models import repeats
+
+    return repeats(views.labeled(spark, d).where("year < 1998"))
+
+
 @query(_L + " SELECT fold::INTEGER AS fold, count(*) AS rows, sum(label)::BIGINT AS positives FROM (SELECT parent % 5 AS fold, label FROM v_labeled) GROUP BY 1")
 def m10_spatial_folds(spark, d):
     from ..operators.models import spatial_fold

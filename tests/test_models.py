@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from firegrid import catalog, views
-from firegrid.operators import models
+from firegrid.operators import boosting, models, scoring
 
 
 def rows(spark, n=1500):
@@ -87,17 +87,85 @@ def test_spatial_validation_leaves_each_fold_out(spark):
     assert set(got) == set(range(5))
 
 
-def test_trees_lower_the_loss_and_repeat(spark):
-    df = rows(spark)
-    loss = []
-    for rounds in (1, 5, 20):
-        s = models.score_with(models.fit_trees(df, ["x1", "x2"], rounds), df, ["x1", "x2"]).toPandas()
-        p = s.fitted.clip(1e-9, 1 - 1e-9)
-        loss.append(-(s.label * np.log(p) + (1 - s.label) * np.log(1 - p)).mean())
-    share = df.agg(F.avg("label")).first()[0]
-    assert loss[2] < loss[1] < loss[0] < -(share * np.log(share) + (1 - share) * np.log(1 - share))
-    again = models.score_with(models.fit_trees(df, ["x1", "x2"], 20), df, ["x1", "x2"]).toPandas()
-    assert np.allclose(s.sort_values("id").fitted, again.sort_values("id").fitted)
+def grow(x, r, depth, least=20):
+    """One tree on residuals, by sorting: the best of the nine deciles of each feature."""
+    n = len(r)
+    if depth == 0 or n < least:
+        return {"value": r.mean()}
+    best = None
+    for f in range(x.shape[1]):
+        values = np.sort(x[:, f])
+        for d in range(1, 10):
+            v = values[min(n * d // 10, n - 1)]
+            left = x[:, f] <= v
+            if 0 < left.sum() < n:
+                gain = round(r[left].sum() ** 2 / left.sum() + r[~left].sum() ** 2 / (~left).sum(), 9)
+                if best is None or gain > best[0]:
+                    best = (gain, f, v, left)
+    if best is None:
+        return {"value": r.mean()}
+    _, f, v, left = best
+    return {"feature": f, "threshold": v, "left": grow(x[left], r[left], depth - 1, least), "right": grow(x[~left], r[~left], depth - 1, least)}
+
+
+def reach(tree, x):
+    while "feature" in tree:
+        tree = tree["left"] if x[tree["feature"]] <= tree["threshold"] else tree["right"]
+    return tree["value"]
+
+
+def same_tree(a, b):
+    if "value" in a or "value" in b:
+        assert a["value"] == pytest.approx(b["value"], abs=1e-9)
+        return
+    assert (a["feature"], a["threshold"]) == (b["feature"], pytest.approx(b["threshold"], abs=1e-12))
+    same_tree(a["left"], b["left"])
+    same_tree(a["right"], b["right"])
+
+
+@pytest.mark.parametrize(("ranges", "fold"), [(256, 10), (5, 1)])
+def test_boosted_trees_equal_sorted_ones(spark, ranges, fold):
+    df = rows(spark, 1200).withColumn("x3", F.col("id") % 4).withColumn("x4", F.when(F.col("id") < 1100, 0.0).otherwise(F.col("x1")))
+    pdf = df.toPandas()
+    x, y = pdf[["x1", "x2", "x3", "x4"]].to_numpy(float), pdf.label.to_numpy(float)
+    model = boosting.fit_boosted(df, ["x1", "x2", "x3", "x4"], rounds=3, ranges=ranges, fold=fold)
+    z = np.full(len(y), np.log(y.mean() / (1 - y.mean())))
+    for tree in model["trees"]:
+        want = grow(x, y - 1 / (1 + np.exp(-z)), 3)
+        same_tree(tree, want)
+        z += 0.1 * np.array([reach(want, row) for row in x])
+    got = boosting.score_boosted(df, model).toPandas().set_index("id").loc[pdf.id].fitted
+    assert np.allclose(got, 1 / (1 + np.exp(-z)), atol=1e-9)
+    # The same model goes through the scorer of stored artifacts.
+    whole = scoring.score_artifact(df, model | {"calibrator": [(1.0, 0.5)]}).toPandas().set_index("id").loc[pdf.id].raw_score
+    assert np.allclose(got, whole, atol=1e-12)
+    assert sum(boosting.split_counts(model).values()) >= 9
+
+
+def test_boosting_of_few_rows_and_one_class(spark):
+    few = boosting.fit_boosted(rows(spark, 19), ["x1"], rounds=2)
+    assert [set(t) for t in few["trees"]] == [{"value"}] * 2
+    same = boosting.fit_boosted(rows(spark, 60).withColumn("label", F.lit(1)).withColumn("x1", F.lit(2.0)), ["x1"], rounds=1)
+    assert same["trees"][0] == {"value": pytest.approx(1e-6, rel=1e-3)} and same["start"] > 13
+    with pytest.raises(ValueError):
+        boosting.fit_boosted(rows(spark, 30).where("id < 0"), ["x1"])
+
+
+def test_weighting_is_compared_on_the_calibration_rows(spark):
+    df = rows(spark).where("label = 0 or id % 4 = 0")
+    train, held = df.where("year < 1999"), df.where("year >= 1999")
+    got = models.compare_weighting(train, held, ["x1", "x2"]).toPandas().set_index("weighting")
+    pdf, test = train.toPandas(), held.toPandas()
+    times = max(1, int(np.floor((pdf.label == 0).sum() / (pdf.label == 1).sum() + 0.5)))
+    assert models.repeats(train).first()[0] == times > 1
+    for name, n in (("none", 1), ("class", times)):
+        x, y = scaled(pdf, pdf), pdf.label.to_numpy()
+        more = np.repeat(np.arange(len(y)), np.where(y == 1, n, 1))
+        w = logistic(x[more], y[more], 0.01)
+        p = 1 / (1 + np.exp(-(scaled(test, pdf) @ w[:2] + w[2])))
+        assert got.loc[name, "auc"] == pytest.approx(auc(p, test.label.to_numpy()), abs=0.01)
+        assert got.loc[name, "brier"] == pytest.approx(((p - test.label) ** 2).mean(), abs=0.01)
+    assert got.loc["class", "brier"] != pytest.approx(got.loc["none", "brier"], abs=1e-3)
 
 
 def test_platt_scaling_is_a_fit_of_one_score(spark):
@@ -109,9 +177,9 @@ def test_platt_scaling_is_a_fit_of_one_score(spark):
 
 def test_importances_agree_with_the_signal(spark):
     df = rows(spark).withColumn("x3", F.rand(3))
-    got = {r["feature"]: r for r in models.feature_importances(df, ["x1", "x2", "x3"]).collect()}
+    got = {r["feature"]: r for r in models.feature_importances(df, ["x1", "x2", "x3"], rounds=3).collect()}
     assert set(got) == {"x1", "x2", "x3"} and min(got["x1"]["coefficient"], got["x2"]["coefficient"]) > 5 * abs(got["x3"]["coefficient"])
-    assert sum(r["importance"] for r in got.values()) == pytest.approx(1) and got["x1"]["importance"] > got["x3"]["importance"]
+    assert 3 <= sum(r["splits"] for r in got.values()) <= 21 and got["x1"]["splits"] > got["x3"]["splits"]
 
 
 @pytest.mark.parametrize("name", ["m2_logistic", "m3_boosted_trees", "m4_platt"])
