@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged
+
 
 def running(df: DataFrame, by: list[str], order: list, sums: dict[str, str], parts: int = 64) -> DataFrame:
     """Running sums *before* each row in descending ``order[0]``, in two levels: ranges between quantiles of it, then rows within a range. No task holds a whole group, however its values crowd; only rows of one equal value stay together."""
@@ -138,24 +143,59 @@ def drawn_dates(df: DataFrame, unit: str, rounds: int, seed: int) -> DataFrame:
     return draws.select("round", pick.cast("int").alias("_no")).groupBy("round", "_no").agg(F.count("*").alias("w")).join(numbered, "_no").drop("_no")
 
 
+#: Draws (rounds times dates) that go to all tasks as a matrix.
+MOST_DRAWS = 20_000_000
+
+
 def bootstrap(df: DataFrame, scores: list[str], label: str = "label", unit: str = "date", rounds: int = 200, seed: int = 11, steps: int = 1000) -> DataFrame:
     """``round, score, auc, average_precision, brier`` on ``rounds`` draws of whole dates with replacement; all scores take the same draws.
 
     Rows are summed up by date and score first, scores rounded to ``steps`` steps
-    for the ranked metrics, so what meets the draws has at most ``steps + 1`` rows
-    per date and score, however long the table is. Rows of one step share the
+    for the ranked metrics, so at most ``steps + 1`` rows a date and score go on,
+    however long the table is. The draws are a matrix of rounds by dates (at most
+    ``MOST_DRAWS`` entries, else ValueError); each step's sums by date are
+    multiplied by it, which gives the step's sums in every round at once, and of a
+    score one task takes ``steps + 1`` such rows. Rows of one step share the
     precision at its end.
     """
     step = lambda s: F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(s))) * steps + 0.5)
     long = df.select(unit, F.col(label).alias("y"), F.explode(F.array(*(F.struct(F.lit(s).alias("score"), step(s).alias("s"), F.pow(F.col(s) - F.col(label), 2).alias("e")) for s in scores))).alias("x")).select(unit, "y", "x.*")
     sums = long.groupBy(unit, "score", "s").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"), F.sum("e").alias("e"))
-    drawn = sums.join(drawn_dates(df, unit, rounds, seed), unit).groupBy("round", "score", "s").agg(*(F.sum(F.col("w") * F.col(c)).alias(c) for c in ("p", "n", "e")))
-    r = running(drawn, ["round", "score"], ["s"], {"above_p": "p", "above_n": "n"})
-    p, n = F.col("p"), F.col("n")
-    precision = F.try_divide(F.col("above_p") + p, F.col("above_p") + p + F.col("above_n") + n)
-    t = r.groupBy("round", "score").agg(F.sum(n * (F.col("above_p") + p / 2.0)).alias("won"), F.sum(p * precision).alias("hit"), F.sum("p").alias("tp"), F.sum("n").alias("tn"), F.sum("e").alias("e"))
-    auc = F.coalesce(F.try_divide(F.col("won").cast("double"), (F.col("tp") * F.col("tn")).cast("double")), F.lit(0.5))
-    return t.select("round", "score", auc.alias("auc"), F.coalesce(F.try_divide(F.col("hit"), F.col("tp").cast("double")), F.lit(0.0)).alias("average_precision"), (F.col("e") / (F.col("tp") + F.col("tn"))).alias("brier"))
+    sums = staged(sums.select(F.col(unit).cast("string").alias("unit"), "score", "s", *(F.col(c).cast("double").alias(c) for c in "pne")), "sums")
+    days = sums.select("unit").distinct().orderBy("unit")
+    if days.limit(MOST_DRAWS // rounds + 1).count() > MOST_DRAWS // rounds:
+        raise ValueError("too many draws: take fewer rounds or longer units")
+    names = pa.array([r["unit"] for r in days.collect()], pa.string())  # checked above
+    draws = drawn_dates(sums.select("unit"), "unit", rounds, seed).toArrow()
+    weights = np.zeros((rounds, len(names)))
+    weights[draws["round"].to_numpy(), pc.index_in(draws["unit"], names).to_numpy()] = draws["w"].to_numpy()
+
+    def multiply(table: pa.Table) -> pa.Table:
+        """Sums of each step in every round, by blocks of steps."""
+        at = pc.index_in(table["unit"], names).to_numpy()
+        step_of, own = np.unique(table["s"].to_numpy(), return_inverse=True)
+        out = []
+        for c in "pne":
+            by_step = np.zeros((len(names), len(step_of)))
+            by_step[at, own] = table[c].to_numpy()
+            out.append(pa.array((weights @ by_step).T.tolist(), pa.list_(pa.float64())))
+        return pa.table({"score": pa.array([table["score"][0].as_py()] * len(step_of), pa.string()), "s": pa.array(step_of, pa.int64()), **dict(zip("pne", out, strict=True))})
+
+    def measure(table: pa.Table) -> pa.Table:
+        """A score's metrics in every round from its steps, the highest first."""
+        order = np.argsort(-table["s"].to_numpy())
+        p, n, e = (np.array(table[c].to_pylist())[order] for c in "pne")
+        above_p, above_n = np.cumsum(p, 0) - p, np.cumsum(n, 0) - n
+        tp, tn = p.sum(0), n.sum(0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            auc = (n * (above_p + p / 2)).sum(0) / (tp * tn)
+            hit = np.nansum(p * (above_p + p) / (above_p + p + above_n + n), 0) / tp
+            brier = e.sum(0) / (tp + tn)
+        metrics = np.where(tp * tn > 0, auc, 0.5), np.where(tp > 0, hit, 0.0), brier
+        return pa.table({"round": pa.array(np.arange(rounds)), "score": pa.array([table["score"][0].as_py()] * rounds, pa.string()), **{m: pa.array(v) for m, v in zip(BOOTSTRAPPED, metrics, strict=True)}})
+
+    blocks = sums.groupBy("score", F.floor(F.col("s") / 50).alias("_block")).applyInArrow(multiply, "score string, s long, p array<double>, n array<double>, e array<double>")
+    return blocks.groupBy("score").applyInArrow(measure, "round long, score string, auc double, average_precision double, brier double")
 
 
 BOOTSTRAPPED = ["auc", "average_precision", "brier"]
@@ -186,23 +226,66 @@ def feature_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     return base.join(points, "feature")
 
 
-def isotonic_blocks(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
-    """Pool-adjacent-violators blocks ``x_max, value`` of labels over scores: pooled within score ranges in parallel, then the ranges' blocks once more."""
-    import pandas as pd
+def _pooled(table: pa.Table) -> pa.Table:
+    """Adjacent violators pooled, over rows ``x, s, w``: the last score, sum of labels and weight of each block."""
+    table = table.sort_by("x")
+    blocks: list[list[float]] = []
+    for x, s, w in zip(*(table[c].to_pylist() for c in "xsw"), strict=True):
+        while blocks and blocks[-1][1] * w >= s * blocks[-1][2]:
+            _, s2, w2 = blocks.pop()
+            s, w = s + s2, w + w2
+        blocks.append([x, s, w])
+    return pa.table({c: pa.array([b[k] for b in blocks], pa.float64()) for k, c in enumerate("xsw")})
 
-    def pool(pdf: pd.DataFrame) -> pd.DataFrame:
-        blocks: list[list[float]] = []
-        for x, s, w in pdf.sort_values("x")[["x", "s", "w"]].itertuples(index=False):
-            blocks.append([x, s, w])
-            while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] >= blocks[-1][1] * blocks[-2][2]:
-                x2, s2, w2 = blocks.pop()
-                blocks[-1] = [x2, blocks[-1][1] + s2, blocks[-1][2] + w2]
-        return pd.DataFrame(blocks, columns=["x", "s", "w"]).astype(float)
 
-    g = df.groupBy(F.col(score).alias("x")).agg(F.sum(label).cast("double").alias("s"), F.count("*").cast("double").alias("w"))
-    ranges = g.withColumn("cut", F.floor(F.col("x") * 64)).groupBy("cut").applyInPandas(lambda p: pool(p), "x double, s double, w double")
-    whole = ranges.groupBy(F.lit(0).alias("g")).applyInPandas(lambda p: pool(p), "x double, s double, w double")  # pooled blocks only
-    return whole.select(F.col("x").alias("x_max"), (F.col("s") / F.col("w")).alias("value"))
+def isotonic_blocks(df: DataFrame, score: str = "score", label: str = "label", rows: int = 100_000) -> DataFrame:
+    """Pool-adjacent-violators blocks ``x_max, value`` of labels over scores.
+
+    Distinct scores are cut into ranges of about ``rows`` and pooled within them.
+    Neighbouring ranges whose boundary still violates the order are then pooled
+    together, two and two, odd and even in turn, and parted again where they were:
+    no range grows, so no task holds over two of them, and when no boundary
+    violates, the blocks of all ranges are those of the whole. Null scores and
+    labels take no part.
+    """
+    g = staged(df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).cast("double").alias("x")).agg(F.sum(label).cast("double").alias("s"), F.count("*").cast("double").alias("w")), "scores")
+    n = max(1, -(-g.count() // rows))
+    cut = g.repartitionByRange(n, "x").withColumn("range", F.spark_partition_id()) if n > 1 else g.withColumn("range", F.lit(0))
+    schema = "range int, x double, s double, w double"
+
+    def within(table: pa.Table) -> pa.Table:
+        return _keep(_pooled(table), [(None, table["range"][0].as_py())])
+
+    def _keep(table: pa.Table, ends: list) -> pa.Table:
+        """Blocks with their range: ``ends`` are ``(last score or None, range)``."""
+        own = [next(r for end, r in ends if end is None or x <= end) for x in table["x"].to_pylist()]
+        return pa.table({"range": pa.array(own, pa.int32()), **{c: table[c] for c in "xsw"}})
+
+    def together(table: pa.Table) -> pa.Table:
+        """Two ranges pooled as one, parted at the first one's last score."""
+        ranges = sorted(set(table["range"].to_pylist()))
+        ends = [(max(x for x, r in zip(table["x"].to_pylist(), table["range"].to_pylist(), strict=True) if r == ranges[0]), ranges[0]), (None, ranges[-1])]
+        return _keep(_pooled(table), ends if len(ranges) > 1 else [(None, ranges[0])])
+
+    blocks = staged(cut.groupBy("range").applyInArrow(within, schema), "pooled")
+    turn, quiet = 0, 0
+    while n > 1:
+        value = F.col("s") / F.col("w")
+        order = Window.orderBy("range")  # a row per range
+        edges = blocks.groupBy("range").agg(F.min_by(value, "x").alias("first"), F.max_by(value, "x").alias("last")).withColumn("k", F.row_number().over(order)).withColumn("before", F.lag("last").over(order)).withColumn("other", F.lag("range").over(order))
+        bad = edges.where(F.col("before") >= F.col("first"))
+        mine = bad.where(F.col("k") % 2 == turn).select("other", "range")
+        pairs = staged(mine.select(F.col("other").alias("pair"), F.explode(F.array("other", "range")).alias("range")), "pairs")
+        turn = 1 - turn
+        if pairs.isEmpty():
+            quiet += 1
+            if quiet == 2:  # neither odd nor even boundaries violate
+                break
+            continue
+        quiet = 0
+        merged = blocks.join(pairs, "range").groupBy("pair").applyInArrow(together, schema)
+        blocks = staged(blocks.join(pairs, "range", "left_anti").select("range", "x", "s", "w").unionByName(merged), "pooled")
+    return blocks.select(F.col("x").alias("x_max"), (F.col("s") / F.col("w")).alias("value"))
 
 
 def apply_isotonic(df: DataFrame, blocks: list[tuple[float, float]], score: str = "score") -> DataFrame:

@@ -10,10 +10,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
 from ..functions.dates import latest_noon
-from ..functions.grid import LEVEL, ROW, cell_disk, cell_level, cell_q, cell_r
+from ..functions.grid import LEVEL, ROW, cell_disk, cell_distance, cell_level, cell_q, cell_r
 from ..sources.staging import staged
 
 EXACT_KM = 1e-9
@@ -24,6 +24,15 @@ def top_per(df: DataFrame, keys: list[str], order: list, n: int = 1, name: str =
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(name) <= n)
 
 
+def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str = "rank") -> DataFrame:
+    """Rows numbered from 1 within ``keys`` by ``order``. Rows are sorted over ranges of both and numbered within ranges, whose offsets are sums of counts, so a key with many rows lies in several tasks, ties or not."""
+    ranged = staged(df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy(*keys, "_range").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    t = ranged.withColumn(name, F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order))).join(offsets, [*keys, "_range"])
+    return t.withColumn(name, F.col(name) + F.col("_before")).drop("_range", "_before")
+
+
 def latest_per(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """One row per key, the first in ``order``."""
     return top_per(df, keys, order).drop("_n")
@@ -115,12 +124,12 @@ def nearest_by_blocks(cells: DataFrame, points: DataFrame, k: int, cell_key: str
 def idw_all(cells: DataFrame, points: DataFrame, variables: list[str], cell_key: str = "cell", point_key: str = "station", power: float = 2.0, most: int = MOST_POINTS) -> DataFrame:
     """Inverse-distance weighted values per cell from all points, by the rules of :func:`idw`.
 
-    Up to ``most`` points each cell sums them up where it is. Beyond, the pairs
-    are joined: every cell needs every point.
+    Up to ``most`` points each cell sums them up where it is; beyond,
+    :func:`idw_by_blocks`.
     """
     few = _few(points, point_key, most)
     if few is None:
-        return idw(cells.crossJoin(points).withColumn("distance", axial_length(F.col("q") - F.col("sq"), F.col("r") - F.col("sr"))), cell_key, variables, power)
+        return idw_by_blocks(cells, points, variables, cell_key, point_key, power, most)
     values = {v: few.column(v).to_numpy().astype(float) for v in variables}
 
     def sums(batches):
@@ -135,6 +144,48 @@ def idw_all(cells: DataFrame, points: DataFrame, variables: list[str], cell_key:
     return cells.mapInArrow(sums, StructType([cells.schema[cell_key], *(StructField(v, DoubleType()) for v in variables)]))
 
 
+#: Cells that meet a block of points at a time.
+CELLS_PER_PART = 20_000
+
+
+def idw_by_blocks(cells: DataFrame, points: DataFrame, variables: list[str], cell_key: str = "cell", point_key: str = "station", power: float = 2.0, block: int = MOST_POINTS) -> DataFrame:
+    """:func:`idw_all` for any number of points: sums by cell and block of about ``block`` points, added up by cell.
+
+    Parts of cells meet blocks of points, each once, in NumPy; a cell leaves a row
+    of sums for each block, never one for each point. Cells are told apart by their
+    key.
+    """
+    n_blocks, n_parts = -(-points.count() // block), max(1, -(-cells.count() // CELLS_PER_PART))
+    c = cells.select(cell_key, "q", "r").withColumn("_p", F.pmod(F.xxhash64(cell_key), F.lit(n_parts))).withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
+    s = points.select(F.pmod(F.xxhash64(point_key), F.lit(n_blocks)).alias("_b"), "sq", "sr", *variables).withColumn("_p", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_parts - 1).cast("long"))))
+    names = [f"{kind}_{v}" for v in variables for kind in ("sum", "weight", "exact", "exacts")]
+
+    def sums(own: pa.Table, of: pa.Table) -> pa.Table:
+        own, of = own.combine_chunks(), of.combine_chunks()
+        out: list[list] = [[] for _ in names]
+        hit = []
+        if of.num_rows:
+            values = [of.column(v).to_numpy().astype(float) for v in variables]
+            for batch in own.to_batches():
+                for _, _, d in _distances(batch, of):
+                    exact = (d <= EXACT_KM).astype(float)
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        w = np.where(exact > 0, 0.0, d**-power)
+                    hit.append(exact.any(1))
+                    for k, x in enumerate(values):
+                        there, x = np.isfinite(x).astype(float), np.nan_to_num(x)
+                        for j, part in enumerate((w @ x, w @ there, exact @ x, exact @ there)):
+                            out[4 * k + j].append(part)
+        keys = own.column(cell_key) if of.num_rows else own.column(cell_key).slice(0, 0)
+        cat = lambda parts, kind: pa.array(np.concatenate(parts) if parts else np.zeros(0), kind)
+        return pa.table({cell_key: keys, "_hit": cat(hit, pa.bool_()), **{n: cat(o, pa.float64()) for n, o in zip(names, out, strict=True)}})
+
+    shape = StructType([cells.schema[cell_key], StructField("_hit", BooleanType()), *(StructField(n, DoubleType()) for n in names)])
+    by_block = c.groupBy("_p", "_b").cogroup(s.groupBy("_p", "_b")).applyInArrow(sums, shape)
+    t = by_block.groupBy(cell_key).agg(F.max("_hit").alias("_hit"), *(F.sum(n).alias(n) for n in names))
+    return t.select(cell_key, *(F.when(F.col("_hit"), F.try_divide(F.col(f"exact_{v}"), F.col(f"exacts_{v}"))).otherwise(F.try_divide(F.col(f"sum_{v}"), F.col(f"weight_{v}"))).alias(v) for v in variables))
+
+
 def lattice_pairs(cells: DataFrame, anchors: DataFrame, step: float, reach: int = 2) -> DataFrame:
     """Cells ``lat, lon`` with the anchors of a lattice of ``step`` degrees that lie within ``reach`` steps: an equi-join on lattice indices."""
     around = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1)))
@@ -183,13 +234,67 @@ def latest_visible(scores: DataFrame, incomplete: DataFrame) -> DataFrame:
     return visible.join(visible.groupBy("horizon").agg(F.max("computed_at").alias("computed_at")), ["horizon", "computed_at"], "left_semi")
 
 
+def snapshot_intervals(snapshots: DataFrame, by: str | None = None) -> DataFrame:
+    """The snapshots' columns with ``_start, _end``: stretches of time, in microseconds and without overlap, in which the row is the newest one available. ``_end`` is null where that never ends.
+
+    A sweep over the edges of a family's snapshots, newest available first; the
+    snapshots of one family (not the facts) meet in one task.
+    """
+    import heapq
+
+    s = snapshots.withColumn("_from", F.unix_micros("available_from")).withColumn("_until", F.unix_micros("available_until")).where("_from is not null")
+    rank = F.struct("_from", *(F.col(c) for c in snapshots.columns))
+    s = s.withColumn("_row", F.struct(*snapshots.columns)).withColumn("_family", F.col(by) if by else F.lit(0)).select("_family", "_from", "_until", "_row", rank.alias("_rank"))
+
+    def sweep(table: pa.Table) -> pa.Table:
+        order = pa.array(sorted(range(table.num_rows), key=lambda k: ranks[k])) if (ranks := [tuple((v is not None, v) for v in r.values()) for r in table["_rank"].to_pylist()]) else pa.array([], pa.int64())
+        table = table.take(order)
+        start, until = table["_from"].to_pylist(), table["_until"].to_pylist()
+        edges = sorted({*start, *(u for u in until if u is not None)})
+        held: list[int] = []
+        k, out = 0, []
+        for n, t in enumerate(edges):
+            while k < len(start) and start[k] <= t:
+                heapq.heappush(held, -k)  # rows are in order, the newest last
+                k += 1
+            while held and until[-held[0]] is not None and until[-held[0]] <= t:
+                heapq.heappop(held)
+            end = edges[n + 1] if n + 1 < len(edges) else None
+            if held and out and out[-1][0] == -held[0] and out[-1][2] == t:
+                out[-1][2] = end
+            elif held:
+                out.append([-held[0], t, end])
+        rows = table.take(pa.array([r[0] for r in out], pa.int64()))
+        return pa.table({"_row": rows["_row"], "_start": pa.array([r[1] for r in out], pa.int64()), "_end": pa.array([r[2] for r in out], pa.int64())})
+
+    shape = StructType([StructField("_row", s.schema["_row"].dataType), StructField("_start", LongType()), StructField("_end", LongType())])
+    return s.groupBy("_family").applyInArrow(sweep, shape).select("_row.*", "_start", "_end")
+
+
 def asof_snapshot(facts: DataFrame, snapshots: DataFrame, at: str, key: str, by: str | None = None) -> DataFrame:
-    """Each fact with the snapshot available then (``available_from <= at < available_until``), the most recent one; facts without one stay."""
-    held = (F.col(at) >= F.col("available_from")) & (F.col("available_until").isNull() | (F.col(at) < F.col("available_until")))
-    on = held if by is None else (facts[by] == snapshots[by]) & held
-    s = snapshots.drop(by) if by else snapshots
-    found = facts.join(snapshots, on).groupBy(key).agg(F.max_by(F.struct(*s.columns), "available_from").alias("s"))
-    return facts.join(found.select(key, "s.*"), key, "left")
+    """Each fact with the snapshot available then (``available_from <= at < available_until``), the most recent one; facts without one stay. Of snapshots available from the same instant the last in order of its columns counts.
+
+    Snapshots become stretches of time with one winner each, stretches and facts
+    are dealt into buckets about as long as a stretch, and both meet by equal
+    bucket. ``key`` names a fact; it only has to be a column.
+    """
+    pieces = staged(snapshot_intervals(snapshots, by), "intervals")
+    t = facts.withColumn("_at", F.unix_micros(at))
+    n, lo, hi = pieces.agg(F.count("*"), F.min("_start"), F.max(F.coalesce("_end", "_start"))).first()
+    last = t.agg(F.max("_at")).first()[0]
+    if not n or last is None:
+        names = [c for c in snapshots.columns if c != by]
+        return facts.select("*", *(F.lit(None).cast(snapshots.schema[c].dataType).alias(c) for c in names))
+    width = max(1, (max(hi, last) - lo) // n)
+    bucket = lambda c: F.floor(c / width)
+    # An open stretch goes on to the last fact.
+    end = F.coalesce("_end", F.lit(max(hi, last) + 1))
+    spread = pieces.withColumn("_end", end).where(F.col("_end") > F.col("_start")).withColumn("_bucket", F.explode(F.sequence(bucket(F.col("_start")), bucket(F.col("_end") - 1))))
+    if by:
+        spread = spread.withColumnRenamed(by, "_by")
+    held = (F.col("_b") == F.col("_bucket")) & (F.col("_at") >= F.col("_start")) & (F.col("_at") < F.col("_end"))
+    on = held if by is None else held & (F.col(by) == F.col("_by"))
+    return t.withColumn("_b", bucket(F.col("_at"))).join(spread, on, "left").drop("_at", "_b", "_bucket", "_start", "_end", "_by")
 
 
 def asof_noon(valid: DataFrame, daily: DataFrame, valid_at: str = "valid_at") -> DataFrame:
@@ -275,12 +380,28 @@ def max_normalize(df: DataFrame, name: str, by: list[str]) -> DataFrame:
 
 
 def wui_cells(buildings: DataFrame, points: DataFrame, flags: DataFrame, metres: float = 50.0) -> DataFrame:
-    """Cells of buildings within some metres of a combustible point of the ring around, or whose own cell is combustible."""
-    near = buildings.select("cell", F.col("x").alias("bx"), F.col("y").alias("by"), F.explode(cell_disk(F.col("cell"), 1)).alias("n"))
-    p = points.select(F.col("cell").alias("pcell"), "x", "y")
-    close = near.join(p, F.col("n.cell") == F.col("pcell")).where(F.pow(F.col("bx") - F.col("x"), 2) + F.pow(F.col("by") - F.col("y"), 2) <= metres * metres).select("cell")
-    own = buildings.join(flags.where("combustible").select("cell"), "cell", "left_semi").select("cell")
-    return close.unionByName(own).distinct()
+    """Cells of buildings within some metres of a combustible point of the ring around, or whose own cell is combustible.
+
+    Buildings look into the nine squares of ``metres`` around them and stop at the
+    first point; squares of a 1.5th of that width, whose points are all near
+    enough, are asked first, so crowded places are settled without distances. A
+    cell goes on to the next step only while none of its buildings has a hit.
+    """
+    square = lambda c, w: F.floor(F.col(c) / w)
+    own = buildings.join(flags.where("combustible").select("cell"), "cell", "left_semi").select("cell").distinct()
+    small = metres / 1.5  # its diagonal is shorter than ``metres``
+    p = points.select(F.col("cell").alias("pcell"), F.col("x").alias("px"), F.col("y").alias("py")).distinct()
+    b = buildings.select("cell", F.col("x").alias("bx"), F.col("y").alias("by")).distinct().join(own, "cell", "left_anti")
+    # A square and a cell of the ring that both have points: any pair of them is near.
+    crowded = p.select("pcell", square("px", small).alias("_x"), square("py", small).alias("_y")).distinct()
+    near = b.withColumn("n", F.explode(cell_disk(F.col("cell"), 1))).select("cell", F.col("n.cell").alias("pcell"), square("bx", small).alias("_x"), square("by", small).alias("_y")).distinct()
+    sure = near.join(crowded, ["pcell", "_x", "_y"], "left_semi").select("cell").distinct()
+    left = b.join(sure, "cell", "left_anti").withColumn("_i", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).withColumn("_j", F.explode(F.array(*map(F.lit, (-1, 0, 1)))))
+    left = left.withColumn("_x", square("bx", metres) + F.col("_i")).withColumn("_y", square("by", metres) + F.col("_j"))
+    bins = p.withColumn("_px", square("px", metres)).withColumn("_py", square("py", metres))
+    hit = (F.col("_x") == F.col("_px")) & (F.col("_y") == F.col("_py")) & (cell_distance(F.col("cell"), F.col("pcell")) <= 1) & (F.pow(F.col("bx") - F.col("px"), 2) + F.pow(F.col("by") - F.col("py"), 2) <= metres * metres)
+    close = left.join(bins, hit, "left_semi").select("cell").distinct()
+    return own.unionByName(sure).unionByName(close)
 
 
 def nearest_combustible(events: DataFrame, static: DataFrame, keep: int = 5) -> DataFrame:
@@ -291,18 +412,42 @@ def nearest_combustible(events: DataFrame, static: DataFrame, keep: int = 5) ->
     return counts.join(first, "event")
 
 
-def duplicate_pairs(events: DataFrame) -> DataFrame:
-    """Candidate duplicates ``left < right`` of one UTC day: cells at most a ring apart, or one municipality within 24 h.
+#: Events that one side of a comparison holds at a time.
+PART_ROWS = 2_000
+
+
+def _triangle(events: DataFrame, by: list[str], rows: int) -> tuple[DataFrame, DataFrame]:
+    """Two copies of events whose equal ``by, _i, _j`` meet every pair of a group once: large groups are cut into parts, and part meets part."""
+    sizes = events.groupBy(*by).agg(F.count("*").alias("_m")).where(F.col("_m") > rows).select(*by, F.ceil(F.col("_m") / rows).alias("_parts"))
+    t = events.join(sizes, by, "left").withColumn("_parts", F.coalesce("_parts", F.lit(1))).withColumn("_part", F.pmod(F.xxhash64("id"), F.col("_parts")))
+    left = t.withColumn("_i", F.col("_part")).withColumn("_j", F.explode(F.sequence("_part", F.col("_parts") - 1)))
+    right = t.withColumn("_j", F.col("_part")).withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_part"))))
+    return left.drop("_part", "_parts"), right.drop("_part", "_parts")
+
+
+def duplicate_pairs(events: DataFrame, rows: int = PART_ROWS) -> DataFrame:
+    """Candidate duplicates ``left < right`` of one UTC day: cells at most a ring apart, or one municipality within 24 h. Ids are unique.
 
     Joins on day and neighbour cell, and on day and municipality; no pair of a
-    day is compared otherwise.
+    day is compared otherwise. A day of a cell or municipality with over ``rows``
+    events is cut into parts, so no task holds its pairs: of a municipality each
+    pair of parts meets once, of a cell each part meets all neighbours.
     """
-    e = events.select("id", "cell", "commune", F.to_date("occurred_at").alias("day"), "occurred_at")
-    r = e.select(F.col("id").alias("right"), F.col("cell").alias("rcell"), F.col("commune").alias("rcommune"), F.col("day").alias("rday"))
-    a = e.select(F.col("id").alias("left"), "day", F.explode(cell_disk(F.col("cell"), 1)).alias("n"))
-    by_cell = a.join(r, (F.col("day") == F.col("rday")) & (F.col("n.cell") == F.col("rcell")) & (F.col("left") < F.col("right"))).select("left", "right")
-    by_place = e.withColumnRenamed("id", "left").join(r, (F.col("day") == F.col("rday")) & (F.col("commune") == F.col("rcommune")) & (F.col("left") < F.col("right"))).select("left", "right")
-    return by_cell.unionByName(by_place).distinct()
+    e = events.select("id", "cell", "commune", F.to_date("occurred_at").alias("day"))
+    first, second = _triangle(e.where("commune is not null and day is not null"), ["day", "commune"], rows)
+    second = second.select(F.col("id").alias("id2"), F.col("cell").alias("cell2"), F.col("day").alias("day2"), F.col("commune").alias("commune2"), F.col("_i").alias("_i2"), F.col("_j").alias("_j2"))
+    same = (F.col("day") == F.col("day2")) & (F.col("commune") == F.col("commune2")) & (F.col("_i") == F.col("_i2")) & (F.col("_j") == F.col("_j2"))
+    apart = F.coalesce(cell_distance(F.col("cell"), F.col("cell2")) > 1, F.lit(True))  # nearer ones come from the other join
+    place = first.join(second, same & apart & ((F.col("_i") < F.col("_j")) | (F.col("id") < F.col("id2"))) & (F.col("id") != F.col("id2")))
+    by_place = place.select(F.least("id", "id2").alias("left"), F.greatest("id", "id2").alias("right"))
+
+    r = e.select(F.col("id").alias("right"), F.col("cell").alias("rcell"), F.col("day").alias("rday")).where("rcell is not null and rday is not null")
+    hot = r.groupBy("rcell", "rday").agg(F.count("*").alias("_m")).where(F.col("_m") > rows).select("rcell", "rday", F.ceil(F.col("_m") / rows).alias("_parts"))
+    r = r.join(hot, ["rcell", "rday"], "left").withColumn("_part", F.pmod(F.xxhash64("right"), F.coalesce("_parts", F.lit(1)))).drop("_parts")
+    a = e.select(F.col("id").alias("left"), F.col("day").alias("rday"), F.explode(cell_disk(F.col("cell"), 1)).alias("n")).select("left", "rday", F.col("n.cell").alias("rcell"))
+    a = a.join(hot, ["rcell", "rday"], "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    by_cell = a.join(r, ["rday", "rcell", "_part"]).where("left < right").select("left", "right")
+    return by_cell.unionByName(by_place)
 
 
 def fill_missing(expected: DataFrame, values: DataFrame, key: str) -> DataFrame:

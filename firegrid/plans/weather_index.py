@@ -10,47 +10,83 @@ from pyspark.sql import functions as F
 from ..functions import fwi
 from ..operators.scoring import score_heuristic
 from ..functions.grid import cell_disk
-from ..operators.spatial import history_kernel, idw, max_normalize
+from ..operators.spatial import history_kernel, idw, max_normalize, numbered
 from ..sources.staging import staged
 
 CODES = ["ffmc", "dmc", "dc", "isi", "bui", "fwi"]
 
 
-def fwi_series(weather: DataFrame, start: tuple[float, float, float] = fwi.START, buckets: int | None = None, rows_per_bucket: int = 500_000) -> DataFrame:
+def walk(cells: np.ndarray, days: np.ndarray, months: np.ndarray, values: dict[str, np.ndarray], state: dict) -> tuple[np.ndarray, np.ndarray]:
+    """The six codes of each row, and which rows are late: day after day, all cells of a day in one step.
+
+    Rows come with one row per cell and day. ``state`` holds ``cell`` (sorted),
+    ``day`` (NaT for none yet) and the three codes as arrays; it is carried on in
+    place and must have every cell. A cell starts afresh after a missing day; a day
+    that is not after its last one is late and has no codes.
+    """
+    at = np.searchsorted(state["cell"], cells)
+    out, late = np.full((len(cells), 6), np.nan), np.zeros(len(cells), bool)
+    order = np.argsort(days, kind="stable")
+    for rows in np.split(order, np.flatnonzero(np.diff(days[order])) + 1) if len(order) else []:
+        last = state["day"][at[rows]]
+        behind = last >= days[rows]  # never for NaT
+        late[rows[behind]] = True
+        rows, last = rows[~behind], last[~behind]
+        if not len(rows):
+            continue
+        own, fresh = at[rows], last != days[rows] - 1
+        before = [np.where(fresh, v, state[c][own]) for c, v in zip(CODES[:3], fwi.START, strict=True)]
+        new = fwi.step(before, *(values[c][rows] for c in ("temp", "rh", "wind", "rain")), months[rows])
+        for c, v in zip(CODES[:3], new, strict=False):
+            state[c][own] = v
+        state["day"][own] = days[rows]
+        out[rows] = np.stack(new, 1)
+    return out, late
+
+
+def fwi_series(weather: DataFrame, state: DataFrame | None = None, buckets: int | None = None, rows_per_bucket: int = 500_000) -> DataFrame:
     """Codes and indices for ``cell, date, temp, rh, wind, rain``, carried from day to day.
 
-    A cell starts afresh after a missing day. The recurrence isn't linear, so no
-    window function has it: cells are dealt into buckets of about
-    ``rows_per_bucket`` rows and each bucket's days are walked in order, all cells
-    of a day at once in NumPy. Of rows that repeat a cell and day the first in
-    order of their values counts.
+    ``state``: ``cell, date, ffmc, dmc, dc`` of each cell's last day
+    (:func:`last_codes`), to go on from; a cell without one starts afresh, as does
+    any cell after a missing day. Days that are not after a cell's state are left
+    out. So a day costs a day and not the series before it.
+
+    The recurrence isn't linear, so no window function has it: cells are dealt into
+    buckets of about ``rows_per_bucket`` rows, met by their states, and each
+    bucket's days are walked in order, all cells of a day at once in NumPy. Of rows
+    that repeat a cell and day the first in order of their values counts.
     """
     kind = weather.schema["cell"].dataType.simpleString()
     weather = weather.select("cell", "date", "temp", "rh", "wind", "rain")
     n = buckets or max(int(weather.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-weather.count() // rows_per_bucket))
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(pdf: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["cell", "date", "temp", "rh", "wind", "rain"]).drop_duplicates(["cell", "date"])
-        days = pd.to_datetime(pdf["date"])
-        cell, no = np.unique(pdf["cell"].to_numpy(), return_inverse=True)
-        state, last = [np.full(len(cell), v) for v in start], np.full(len(cell), np.datetime64("NaT", "D"))
-        day = days.to_numpy().astype("datetime64[D]")
-        month = days.dt.month.to_numpy()
-        values = {c: pdf[c].to_numpy(float) for c in ("temp", "rh", "wind", "rain")}
-        out = np.empty((len(pdf), 6))
-        for rows in np.split(np.argsort(day, kind="stable"), np.flatnonzero(np.diff(np.sort(day))) + 1) if len(pdf) else []:
-            at = no[rows]
-            fresh = last[at] != day[rows] - 1
-            before = [np.where(fresh, v, s[at]) for v, s in zip(start, state, strict=True)]
-            new = fwi.step(before, *(values[c][rows] for c in ("temp", "rh", "wind", "rain")), month[rows])
-            for s, v in zip(state, new, strict=False):
-                s[at] = v
-            last[at] = day[rows]
-            out[rows] = np.stack(new, 1)
-        return pd.concat([pdf[["cell", "date"]].reset_index(drop=True), pd.DataFrame(out, columns=CODES)], axis=1)
-
-    rows = weather.withColumn("_b", F.pmod(F.xxhash64("cell"), F.lit(n)))
-    return rows.groupBy("_b").applyInPandas(walk, f"cell {kind}, date date, " + ", ".join(f"{c} double" for c in CODES))
+        cells, days = pdf["cell"].to_numpy(), pd.to_datetime(pdf["date"])
+        own = np.unique(cells)
+        now = {"cell": own, "day": np.full(len(own), np.datetime64("NaT"), "datetime64[D]"), **{c: np.zeros(len(own)) for c in CODES[:3]}}
+        old = old[old["cell"].isin(own)]
+        at = np.searchsorted(own, old["cell"].to_numpy())
+        now["day"][at] = pd.to_datetime(old["date"]).to_numpy().astype("datetime64[D]")
+        for c in CODES[:3]:
+            now[c][at] = old[c].to_numpy(float)
+        out, late = walk(cells, days.to_numpy().astype("datetime64[D]"), days.dt.month.to_numpy(), {c: pdf[c].to_numpy(float) for c in ("temp", "rh", "wind", "rain")}, now)
+        return pd.concat([pdf[["cell", "date"]].reset_index(drop=True), pd.DataFrame(out, columns=CODES)], axis=1)[~late]
+
+    bucket = F.pmod(F.xxhash64("cell"), F.lit(n))
+    if state is None:
+        state = weather.sparkSession.createDataFrame([], f"cell {kind}, date date, ffmc double, dmc double, dc double")
+    state = state.select(F.col("cell").cast(kind).alias("cell"), "date", *CODES[:3])
+    both = weather.withColumn("_b", bucket).groupBy("_b").cogroup(state.withColumn("_b", bucket).groupBy("_b"))
+    return both.applyInPandas(run, f"cell {kind}, date date, " + ", ".join(f"{c} double" for c in CODES))
+
+
+def last_codes(series: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """``cell, date, ffmc, dmc, dc`` of each cell's last day in a series, or in the state before it: what :func:`fwi_series` goes on from. Write it down where the next run finds it."""
+    t = series.select("cell", "date", *CODES[:3])
+    t = t if before is None else t.unionByName(before.select("cell", "date", *CODES[:3]))
+    return t.groupBy("cell").agg(F.max_by(F.struct("date", *CODES[:3]), "date").alias("s")).select("cell", "s.*")
 
 
 def recompute_day(cells: DataFrame, pairs: DataFrame, state: DataFrame, static: DataFrame, calendar: DataFrame, day) -> DataFrame:
@@ -117,16 +153,22 @@ def backtest_scores(series: DataFrame, static: DataFrame, ignitions: DataFrame,
     return score_heuristic(risk_inputs(static.drop("hist"), max_normalize(t, "hist", ["date"]), calendar))
 
 
+def ranked_days(scores: DataFrame) -> DataFrame:
+    """Scores with their ``rank`` on their day, by score, then cell."""
+    return numbered(scores, ["date"], [F.desc("score"), F.asc("cell")])
+
+
 def daily_hits(scores: DataFrame, fractions: tuple[float, ...] = (0.05, 0.10)) -> DataFrame:
-    """Per day: ignited cells, and how many of them rank within the first fractions by score (ties by cell)."""
-    by = Window.partitionBy("date")
-    t = scores.withColumn("rank", F.row_number().over(by.orderBy(F.desc("score"), "cell"))).withColumn("n", F.count("*").over(by))
-    return t.groupBy("date").agg(F.count("*").alias("cells"), F.sum("ignited").alias("ignited"), *(F.count_if((F.col("ignited") == 1) & (F.col("rank") <= F.ceil(F.col("n") * f))).alias(f"hits_{round(f * 100)}") for f in fractions))
+    """Per day: ignited cells, and how many of them rank within the first fractions by score (ties by cell). Only ignited cells' ranks meet the days' sizes."""
+    days = scores.groupBy("date").agg(F.count("*").alias("cells"), F.sum("ignited").alias("ignited"))
+    t = ranked_days(scores).where("ignited = 1").select("date", "rank").join(days.select("date", "cells"), "date")
+    hits = t.groupBy("date").agg(*(F.count_if(F.col("rank") <= F.ceil(F.col("cells") * f)).alias(f"hits_{round(f * 100)}") for f in fractions))
+    return days.join(hits, "date", "left").na.fill(0, [f"hits_{round(f * 100)}" for f in fractions])
 
 
 def worst_misses(scores: DataFrame, n: int = 10) -> DataFrame:
-    """Ignited cells ranked lowest on their day: by rank, then score."""
-    t = scores.withColumn("rank", F.row_number().over(Window.partitionBy("date").orderBy(F.desc("score"), "cell")))
+    """Ignited cells ranked lowest on their day: by rank, then score. ``n`` is the report's length."""
+    t = ranked_days(scores)
     return t.where("ignited = 1").orderBy(F.desc("rank"), "score", "date", "cell").limit(n).select("date", "cell", "rank", "score")
 
 

@@ -8,6 +8,7 @@ from .. import views
 from ..functions import fwi as codes
 from ..operators import bulletin, reads, scoring, spatial
 from ..plans import weather_index
+from ..sources.staging import staged
 from ..views import table, with_views
 from .joins import _stations, disk
 from .registry import query
@@ -297,6 +298,28 @@ def p8_fwi_series(spark, d):
     return weather_index.fwi_series(views.weather_daily(spark, d)).select("cell", "date", *(F.round(c, 4).alias(c) for c in weather_index.CODES))
 
 
+_CELL_SERIES = _SERIES.replace(with_views("v_weather"), with_views("v_weather_cells")).replace("v_weather ", "v_weather_cells ")
+_CODES_SQL = "SELECT cell, date, round(ffmc, 4) AS ffmc, round(dmc, 4) AS dmc, round(dc, 4) AS dc, round(isi, 4) AS isi, round(bui, 4) AS bui, round(fwi, 4) AS fwi FROM y"
+
+
+@query(_CELL_SERIES + _CODES_SQL)
+def p8_fwi_continued(spark, d):
+    """The series of every cell in three runs, each from the codes that the runs before it wrote."""
+    w = views.weather_cells(spark, d)
+    done, state, cuts = None, None, ["1996-03-20", "1996-04-03", "1996-04-04", "1997-01-01"]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        run = staged(weather_index.fwi_series(w.where((_c("date") >= a) & (_c("date") < b)), state), "run")
+        state = staged(weather_index.last_codes(run, state), "state")
+        done = run if done is None else done.unionByName(run)
+    return done.select("cell", "date", *(F.round(c, 4).alias(c) for c in weather_index.CODES))
+
+
+@query(_CELL_SERIES + "SELECT cell, date, round(ffmc, 4) AS ffmc, round(dmc, 4) AS dmc, round(dc, 4) AS dc FROM y QUALIFY row_number() OVER (PARTITION BY cell ORDER BY date DESC) = 1")
+def p8_last_codes(spark, d):
+    t = weather_index.last_codes(weather_index.fwi_series(views.weather_cells(spark, d)))
+    return t.select("cell", "date", *(F.round(c, 4).alias(c) for c in weather_index.CODES[:3]))
+
+
 _BACK = (
     _SERIES.replace("WITH RECURSIVE ", "WITH RECURSIVE v_cells AS (" + views.SQL["v_cells"] + "), v_ignitions AS (" + views.SQL["v_ignitions"] + "), ", 1)
     + f""", g AS (SELECT c.cell, c.road, c.combustible, c.agri, y.date, y.fwi FROM v_cells c JOIN y ON y.cell = c.key % 8),
@@ -329,6 +352,14 @@ def w6_daily_hits(spark, d):
     return weather_index.daily_hits(_backtest(spark, d))
 
 
+@query(
+    _BACK + """, rk AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY round(score, 9) DESC, cell) AS rank FROM sc)
+    SELECT date, cell, rank, round(score, 9) AS score FROM rk WHERE ignited = 1 ORDER BY rank DESC, round(score, 9), date, cell LIMIT 10"""
+)
+def w6_worst_misses(spark, d):
+    return weather_index.worst_misses(_backtest(spark, d).withColumn("score", F.round("score", 9)))
+
+
 _NEAR4 = """p AS (SELECT c.key, c.cell, s.station, sqrt(((c.q - s.q) * (c.q - s.q) + (c.q - s.q) * (c.r - s.r) + (c.r - s.r) * (c.r - s.r))::DOUBLE) AS km, s.temp, s.rh, s.wind, s.rain FROM v_cells c, v_stations s),
     n AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY km, station) AS k, min(km) OVER (PARTITION BY cell) AS near FROM p), w AS (SELECT *, CASE WHEN near <= 1e-9 THEN CASE WHEN km <= 1e-9 THEN 1::DOUBLE ELSE 0::DOUBLE END ELSE pow(km, -2) END AS w FROM n WHERE k <= 4),
     v AS (SELECT key, cell, sum(w * temp) / sum(w) AS temp, sum(w * rh) / sum(w) AS rh, sum(w * wind) / sum(w) AS wind, sum(w * rain) / sum(w) AS rain FROM w GROUP BY 1, 2)"""

@@ -14,7 +14,7 @@ from ..sources.staging import scratch
 from ..streaming import jobs
 from ..views import table, with_views
 from .pipelines import _obs_files
-from .forecasts import _SERIES
+from .forecasts import _CELL_SERIES, _CODES_SQL, _SERIES
 from .registry import SQL, query
 from .scalar import _sql_forward, _sql_hex
 
@@ -89,17 +89,25 @@ def c8_validate_reviews(spark, d):
     return evidence.validate_reviews(r, c).select("case", "verdict", "confidence", "error")
 
 
-@query(_SERIES + "SELECT cell, date, round(ffmc, 4) AS ffmc, round(dmc, 4) AS dmc, round(dc, 4) AS dc, round(isi, 4) AS isi, round(bui, 4) AS bui, round(fwi, 4) AS fwi, false AS late FROM y")
-def n3_stream_fwi(spark, d):
-    w = views.weather_daily(spark, d)
+def _streamed(spark, w, **options):
     path, out, state = scratch(spark, "weather"), scratch(spark, "series"), scratch(spark, "series-state")
     w.write.parquet(path)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    s = jobs.stream_fwi(spark.readStream.schema(w.schema).parquet(path))
+    s = jobs.stream_fwi(spark.readStream.schema(w.schema).parquet(path), **options)
     s.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out).select("cell", "date", *(F.round(c, 4).alias(c) for c in weather_index.CODES), "late")
 
 
+@query(_SERIES + _CODES_SQL.replace(" FROM y", ", false AS late FROM y"))
+def n3_stream_fwi(spark, d):
+    return _streamed(spark, views.weather_daily(spark, d))
+
+
+@query(_CELL_SERIES + _CODES_SQL.replace(" FROM y", ", false AS late FROM y"))
+def n3_stream_fwi_cells(spark, d):
+    return _streamed(spark, views.weather_cells(spark, d), buckets=16)
+
+
 @query(
     _SERIES
     + """SELECT cell, date, round(fwi, 4) AS fwi, round(pow(greatest(0::DOUBLE, least(1::DOUBLE, fwi / 30)), 0.6) * pow((0.4::DOUBLE * 0.2 + 0.2::DOUBLE * 0.3) * CASE WHEN isodow(date) >= 6 THEN 1.2::DOUBLE WHEN month(date) IN (12, 1, 2) THEN 0.6::DOUBLE ELSE 1::DOUBLE END, 0.4), 4) AS score FROM y"""

@@ -197,6 +197,17 @@ def k2_upsert(spark, d):
     return sinks.upsert(new, c, ["key"], "version")
 
 
+@query("SELECT c_custkey AS key, 'p' || c_custkey % 20 AS batch, CASE WHEN c_custkey % 20 IN (4, 7) AND c_custkey % 3 = 0 THEN 2 ELSE 1 END AS version FROM customer UNION ALL SELECT c_custkey + 1000000, 'p4', 2 FROM customer WHERE c_custkey % 20 = 4 AND c_custkey % 3 = 0")
+def k2_upsert_published(spark, d):
+    path, manifest = scratch(spark, "upserts"), scratch(spark, "upserts-manifest")
+    c = table(spark, d, "customer").select(_c("c_custkey").alias("key"), F.concat(F.lit("p"), _c("c_custkey") % 20).alias("batch"), F.lit(1).alias("version"))
+    new = c.where("key % 20 in (4, 7) and key % 3 = 0").withColumn("version", F.lit(2))
+    new = new.unionByName(new.where("batch = 'p4'").withColumn("key", _c("key") + 1000000))
+    for rows in (c, new, new):  # the last one is a retry
+        sinks.upsert_published(rows, path, manifest, ["key"], "version")
+    return sinks.read_published(spark, path, manifest)
+
+
 @query(with_views("v_cells") + " SELECT key, CASE WHEN key % 3 = 0 THEN 1::DOUBLE ELSE 0.5::DOUBLE END AS hist FROM v_cells")
 def k3_update_history(spark, d):
     c = views.cells(spark, d).withColumn("hist", F.lit(0.5))
@@ -206,9 +217,9 @@ def k3_update_history(spark, d):
 @query(with_views("v_scores") + " SELECT horizon, count(*) AS n FROM v_scores WHERE month(computed_at) = 3 GROUP BY 1")
 def k4_publish_batch(spark, d):
     s, path, manifest = views.scores(spark, d), scratch(spark, "batches"), scratch(spark, "manifest")
-    sinks.publish_batch(s.where(F.month("computed_at") == 3), path, manifest, "m03")
-    s.where(F.month("computed_at") == 4).limit(10).withColumn("batch", F.lit("m04")).write.partitionBy("batch").mode("append").parquet(path)  # unfinished: no manifest row
-    sinks.publish_batch(s.where(F.month("computed_at") == 3), path, manifest, "m03")  # a retry
+    sinks.publish_batch(s.where(F.month("computed_at") == 2), path, manifest, "m03")
+    s.where(F.month("computed_at") == 4).withColumn("batch", F.lit("m04")).write.partitionBy("batch").parquet(f"{path}/attempt=unfinished")  # no manifest row
+    sinks.publish_batch(s.where(F.month("computed_at") == 3), path, manifest, "m03")  # published again, with other rows
     return sinks.read_published(spark, path, manifest).groupBy("horizon").agg(F.count("*").alias("n"))
 
 

@@ -1,20 +1,23 @@
 """Versioned writes: idempotent inserts, upserts, batches, snapshots.
 
 Targets are Parquet folders partitioned by batch or day. What is published is
-never rewritten: a new partition is written, then its manifest row; readers join
-the manifest.
+never rewritten: a new attempt is written, then the manifest row that points to
+it; readers join the manifest.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.grid import cell_center, cell_ring
 from ..functions.text import fingerprint, row_checksum
 from ..operators.spatial import latest_per
-from .staging import delete_path
+from .staging import delete_path, staged
 
 
 def new_rows(df: DataFrame, target: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -51,27 +54,73 @@ def update_history(static: DataFrame, hist: DataFrame) -> DataFrame:
     return static.join(new, "cell", "left").withColumn("hist", F.coalesce("_hist", "hist")).drop("_hist")
 
 
-def publish_batch(df: DataFrame, path: str, manifest: str, batch: str) -> None:
-    """Write a batch's partition, then its manifest row; without that row readers don't see it.
+_MANIFEST = "batch string, attempt string, version long"
+
+
+def live_attempts(spark: SparkSession, manifest: str) -> DataFrame:
+    """``batch, attempt``: the attempt that each published batch points to, the one of its newest manifest row."""
+    rows = _or_empty(spark, manifest, spark.createDataFrame([], _MANIFEST))
+    return rows.groupBy("batch").agg(F.max_by("attempt", F.struct("version", "attempt")).alias("attempt"))
+
 
-    If writing fails, the partition goes, so that nothing half-written is left to
-    be taken for data. Publishing a batch again writes it again, and its manifest
-    row once.
+def publish(df: DataFrame, path: str, manifest: str) -> None:
+    """Publish the batches of a table by its column ``batch``.
+
+    Every attempt writes a folder of its own; only when that is complete, a manifest
+    row per batch points to it. So readers see a batch's old rows until its new ones
+    are whole, and a failed attempt takes away nothing but its own files. Attempts
+    that nothing points to any more can go by :func:`sweep_attempts`.
     """
-    spark = df.sparkSession
+    spark, attempt = df.sparkSession, f"a{uuid.uuid4().hex}"
+    mine = f"{path}/attempt={attempt}"
     try:
-        df.withColumn("batch", F.lit(batch)).write.partitionBy("batch").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+        df.write.partitionBy("batch").parquet(mine)
     except Exception:
-        delete_path(spark, f"{path}/batch={batch}")
+        delete_path(spark, mine)
         raise
-    done = spark.createDataFrame([(batch,)], "batch string")
-    new_rows(done, _or_empty(spark, manifest, done), ["batch"], ["batch"]).write.mode("append").parquet(manifest)
+    seen = _or_empty(spark, manifest, spark.createDataFrame([], _MANIFEST)).agg(F.coalesce(F.max("version"), F.lit(0)) + 1).first()[0]
+    done = _attempts(spark, mine).select("batch").distinct()
+    done.select("batch", F.lit(attempt).alias("attempt"), F.lit(seen).cast("long").alias("version")).write.mode("append").parquet(manifest)
+
+
+def publish_batch(df: DataFrame, path: str, manifest: str, batch: str) -> None:
+    """:func:`publish` a table as one batch. A batch without rows can't be told from none and is not published."""
+    publish(df.withColumn("batch", F.lit(batch)), path, manifest)
+
+
+def _attempts(spark: SparkSession, path: str) -> DataFrame:
+    """All attempts' rows; folder names stay strings as they were written."""
+    found = spark.read.parquet(path).schema
+    for f in found.fields:
+        if f.name in ("batch", "attempt"):
+            f.dataType = StringType()
+    return spark.read.schema(found).parquet(path)
 
 
 def read_published(spark: SparkSession, path: str, manifest: str) -> DataFrame:
-    """Rows of the batches that the manifest has."""
-    done = spark.read.parquet(manifest).distinct()
-    return spark.read.parquet(path).withColumn("batch", F.col("batch").cast("string")).join(done, "batch", "left_semi")
+    """Rows of the batches that the manifest has, with their ``batch``; other attempts' folders are pruned by the join."""
+    return _attempts(spark, path).join(live_attempts(spark, manifest), ["batch", "attempt"], "left_semi").drop("attempt")
+
+
+def sweep_attempts(spark: SparkSession, path: str, manifest: str) -> int:
+    """Delete the attempts that no batch points to; how many went. For when no reader of older attempts is left and nothing is being published."""
+    live = {r["attempt"] for r in live_attempts(spark, manifest).select("attempt").distinct().collect()}  # a row per publication that still counts
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    dead = [f.getPath() for f in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder) if f.getPath().getName().removeprefix("attempt=") not in live]
+    for d in dead:
+        delete_path(spark, d.toString())
+    return len(dead)
+
+
+def upsert_published(df: DataFrame, path: str, manifest: str, keys: list[str], version: str) -> None:
+    """:func:`upsert` rows with a ``batch`` into a published table: only the batches that the new rows touch are read and written again, and all of them change at once."""
+    spark = df.sparkSession
+    new = staged(df, "upsert")
+    if live_attempts(spark, manifest).isEmpty():
+        publish(latest_per(new, [*keys, "batch"], [F.desc(version)]), path, manifest)
+        return
+    old = read_published(spark, path, manifest).join(new.select("batch").distinct(), "batch", "left_semi")
+    publish(upsert(new, old.select(*new.columns), [*keys, "batch"], version), path, manifest)
 
 
 def retire_batches(batches: DataFrame, keep: DataFrame, referenced: DataFrame) -> DataFrame:

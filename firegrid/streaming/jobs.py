@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..functions import fwi
 from ..functions.dates import capture_window
 from ..functions.grid import cell_center, in_bbox
 from ..operators.bulletin import reactive_cases, signal_windows
 from ..operators.spatial import fill_missing, latest_per
+from ..plans.weather_index import CODES, walk
 
 
 def stream_observations(spark: SparkSession, path: str, schema, late: str = "2 days") -> DataFrame:
@@ -28,37 +29,40 @@ def stream_signal_windows(obs: DataFrame, late: str = "2 days") -> DataFrame:
 
 
 class FwiState(StatefulProcessor):
-    """Carries each cell's codes from day to day; a day not after the last one comes back marked late."""
+    """Carries the codes of a bucket's cells from day to day, all cells of a day in one NumPy step; a day not after a cell's last one comes back marked late."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("codes", "ffmc double, dmc double, dc double, day date")
+        self.state = handle.getValueState("codes", "cell array<bigint>, day array<int>, ffmc array<double>, dmc array<double>, dc array<double>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        days = pd.concat(list(rows)).sort_values("date").drop_duplicates("date")
-        last = self.state.get() if self.state.exists() else None
-        codes, day = (last[:3], last[3]) if last else (fwi.START, None)
-        out = []
-        for r in days.itertuples():
-            if day is not None and r.date <= day:
-                out.append((key[0], r.date, None, None, None, None, None, None, True))
-                continue
-            before = codes if day is not None and (r.date - day).days == 1 else fwi.START
-            new = fwi.step(tuple(pd.Series([v]).to_numpy(float) for v in before), *(pd.Series([getattr(r, c)]).to_numpy(float) for c in ("temp", "rh", "wind", "rain")), pd.Series([r.date.month]).to_numpy())
-            values = [float(v[0]) for v in new]
-            codes, day = tuple(values[:3]), r.date
-            out.append((key[0], day, *values, False))
-        if day is not None:
-            self.state.update((*codes, day))
-        yield pd.DataFrame(out, columns=["cell", "date", "ffmc", "dmc", "dc", "isi", "bui", "fwi", "late"])
+        pdf = pd.concat(list(rows)).sort_values(["cell", "date", "temp", "rh", "wind", "rain"]).drop_duplicates(["cell", "date"])
+        cells, dates = pdf["cell"].to_numpy(np.int64), pd.to_datetime(pdf["date"])
+        old = self.state.get() if self.state.exists() else ([], [], [], [], [])
+        known = np.asarray(old[0], np.int64)
+        own = np.union1d(known, cells)
+        at = np.searchsorted(own, known)
+        now = {"cell": own, "day": np.full(len(own), np.datetime64("NaT"), "datetime64[D]"), **{c: np.zeros(len(own)) for c in CODES[:3]}}
+        now["day"][at] = np.asarray(old[1], np.int64).astype("datetime64[D]")
+        for c, v in zip(CODES[:3], old[2:], strict=True):
+            now[c][at] = v
+        out, late = walk(cells, dates.to_numpy().astype("datetime64[D]"), dates.dt.month.to_numpy(), {c: pdf[c].to_numpy(float) for c in ("temp", "rh", "wind", "rain")}, now)
+        self.state.update((own.tolist(), now["day"].astype(np.int64).tolist(), *(now[c].tolist() for c in CODES[:3])))
+        done = pd.concat([pdf[["cell", "date"]].reset_index(drop=True), pd.DataFrame(out, columns=CODES)], axis=1)  # NaN becomes null
+        yield done.assign(late=late)
 
     def close(self) -> None:
         pass
 
 
-def stream_fwi(weather: DataFrame) -> DataFrame:
-    """The daily index as a stream; needs the RocksDB state store."""
+#: Cells are dealt into so many buckets, each with one state; a stream keeps the number it began with.
+STATE_BUCKETS = 64
+
+
+def stream_fwi(weather: DataFrame, buckets: int = STATE_BUCKETS) -> DataFrame:
+    """The daily index as a stream; needs the RocksDB state store. Choose ``buckets`` so that a bucket has some ten thousand cells."""
     schema = "cell long, date date, ffmc double, dmc double, dc double, isi double, bui double, fwi double, late boolean"
-    return weather.groupBy("cell").transformWithStateInPandas(statefulProcessor=FwiState(), outputStructType=schema, outputMode="append", timeMode="None")
+    rows = weather.select(F.pmod(F.xxhash64("cell"), F.lit(buckets)).alias("_bucket"), "cell", "date", "temp", "rh", "wind", "rain")
+    return rows.groupBy("_bucket").transformWithStateInPandas(statefulProcessor=FwiState(), outputStructType=schema, outputMode="append", timeMode="None")
 
 
 def stream_forecast(weather: DataFrame, forecast: Callable[[DataFrame], DataFrame], publish: Callable[[DataFrame, str], None], checkpoint: str):

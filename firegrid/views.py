@@ -42,6 +42,18 @@ def weather_daily(spark: SparkSession, d: str) -> DataFrame:
     return g.select("cell", "date", (F.col("s") % 35).cast("double").alias("temp"), (20 + F.col("s") % 71).cast("double").alias("rh"), (F.col("s") % 41).cast("double").alias("wind"), (F.col("s") % 7 * F.lit(0.7)).alias("rain"), F.month("date").alias("month"))
 
 
+#: Days of each cell's weather in ``weather_cells``.
+CELL_DAYS = 40
+
+
+def weather_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Weather of every customer as a cell, so cells grow with the table: a row a day from March on, without one day in ten of each."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("cell"), F.explode(F.sequence(F.lit(0), F.lit(CELL_DAYS - 1))).alias("i")).where("(cell + i) % 10 <> 7 or cell % 3 = 0")
+    k = F.col("cell") * 31 + F.col("i") * 17
+    date = F.date_add(F.lit("1996-03-20").cast("date"), F.col("i"))
+    return c.select("cell", date.alias("date"), (k % 35).cast("double").alias("temp"), (20 + k % 71).cast("double").alias("rh"), (k % 41).cast("double").alias("wind"), (k % 7 * F.lit(0.7)).alias("rain"), F.month(date).alias("month"))
+
+
 def scores(spark: SparkSession, d: str) -> DataFrame:
     names = F.array(*(F.lit(n) for n, _ in HORIZONS))
     hours = F.array(*(F.lit(h) for _, h in HORIZONS))
@@ -92,6 +104,8 @@ SQL = {
         CAST(s_suppkey * 3 % 40 AS DOUBLE) AS wind, s_suppkey % 5 * CAST(0.8 AS DOUBLE) AS rain FROM supplier""",
     "v_weather": """SELECT o_custkey % 8 AS cell, CAST(o_orderdate AS DATE) AS date, CAST(CAST(sum(o_orderkey) AS BIGINT) % 35 AS DOUBLE) AS temp, CAST(20 + CAST(sum(o_orderkey) AS BIGINT) % 71 AS DOUBLE) AS rh,
         CAST(CAST(sum(o_orderkey) AS BIGINT) % 41 AS DOUBLE) AS wind, CAST(sum(o_orderkey) AS BIGINT) % 7 * CAST(0.7 AS DOUBLE) AS rain, month(CAST(o_orderdate AS DATE)) AS month FROM orders GROUP BY o_custkey % 8, CAST(o_orderdate AS DATE)""",
+    "v_weather_cells": f"""SELECT cell, CAST(DATE '1996-03-20' + i AS DATE) AS date, CAST(k % 35 AS DOUBLE) AS temp, CAST(20 + k % 71 AS DOUBLE) AS rh, CAST(k % 41 AS DOUBLE) AS wind, k % 7 * CAST(0.7 AS DOUBLE) AS rain, month(DATE '1996-03-20' + i) AS month
+        FROM (SELECT c_custkey AS cell, CAST(i AS INTEGER) AS i, c_custkey * 31 + i * 17 AS k FROM customer, range({CELL_DAYS}) t(i) WHERE (c_custkey + i) % 10 <> 7 OR c_custkey % 3 = 0)""",
     "v_scores": """SELECT l_partkey AS cell, l_suppkey AS commune, ['nowcast', 'hours_6', 'hours_24', 'hours_48'][l_linenumber % 4 + 1] AS horizon, l_discount * 10 AS score, l_quantity / 50 AS physical, l_tax * 12.5 AS human,
         CAST(date_trunc('month', l_shipdate) AS TIMESTAMP) AS computed_at, CAST(date_trunc('month', l_shipdate) AS TIMESTAMP) + to_hours([0, 6, 24, 48][l_linenumber % 4 + 1]) AS valid_at, l_orderkey AS k1, l_linenumber AS k2 FROM lineitem""",
     "v_observations": """SELECT event_id, event_type AS source, ts AS observed_at, user_id % 50 AS commune, value AS frp, props AS payload, user_id, date_trunc('minute', ts) AS minute FROM events""",
