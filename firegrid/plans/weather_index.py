@@ -153,13 +153,18 @@ def backtest_scores(series: DataFrame, static: DataFrame, ignitions: DataFrame,
     return score_heuristic(risk_inputs(static.drop("hist"), max_normalize(t, "hist", ["date"]), calendar))
 
 
+def _narrow(scores: DataFrame) -> DataFrame:
+    return staged(scores.select("date", "cell", "score", "ignited"), "scores")  # read for sizes, for ranges and for ranks
+
+
 def ranked_days(scores: DataFrame) -> DataFrame:
-    """Scores with their ``rank`` on their day, by score, then cell."""
+    """``date, cell, score, ignited`` with the ``rank`` on the day, by score, then cell."""
     return numbered(scores, ["date"], [F.desc("score"), F.asc("cell")])
 
 
 def daily_hits(scores: DataFrame, fractions: tuple[float, ...] = (0.05, 0.10)) -> DataFrame:
     """Per day: ignited cells, and how many of them rank within the first fractions by score (ties by cell). Only ignited cells' ranks meet the days' sizes."""
+    scores = _narrow(scores)
     days = scores.groupBy("date").agg(F.count("*").alias("cells"), F.sum("ignited").alias("ignited"))
     t = ranked_days(scores).where("ignited = 1").select("date", "rank").join(days.select("date", "cells"), "date")
     hits = t.groupBy("date").agg(*(F.count_if(F.col("rank") <= F.ceil(F.col("cells") * f)).alias(f"hits_{round(f * 100)}") for f in fractions))
@@ -168,7 +173,7 @@ def daily_hits(scores: DataFrame, fractions: tuple[float, ...] = (0.05, 0.10)) -
 
 def worst_misses(scores: DataFrame, n: int = 10) -> DataFrame:
     """Ignited cells ranked lowest on their day: by rank, then score. ``n`` is the report's length."""
-    t = ranked_days(scores)
+    t = ranked_days(_narrow(scores))
     return t.where("ignited = 1").orderBy(F.desc("rank"), "score", "date", "cell").limit(n).select("date", "cell", "rank", "score")
 
 

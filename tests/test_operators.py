@@ -4,6 +4,7 @@ import datetime
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,15 +176,43 @@ def test_outline_of_a_cell_surrounds_its_centre_and_area(spark):
         assert all(((x - r["x"]) ** 2 + (y - r["y"]) ** 2) ** 0.5 == pytest.approx(grid.edge_m(8), abs=0.05) for x, y in ring)  # the inverse is a series, good to about a centimetre
 
 
-def test_failed_batches_are_removed_and_retries_count_once(spark, tmp_path):
+def broken(df):
+    return df.withColumn("v", F.when(F.col("id") == 9, F.raise_error(F.lit("broken")).cast("int")).otherwise(2))
+
+
+def test_failed_attempts_leave_what_was_published(spark, tmp_path):
     path, manifest = str(tmp_path / "batches"), str(tmp_path / "manifest")
     df = spark.range(10).withColumn("v", F.lit(1))
+    read = lambda: sorted((r["batch"], r["id"], r["v"]) for r in sinks.read_published(spark, path, manifest).collect())
     for _ in range(3):
-        sinks.publish_batch(df, path, manifest, "a")
-    assert spark.read.parquet(manifest).count() == 1 and sinks.read_published(spark, path, manifest).count() == 10
+        sinks.publish_batch(df, path, manifest, "001")
+    want = [("001", k, 1) for k in range(10)]
+    assert read() == want
+    for batch in ("b", "001"):  # a new batch, and one that has been published
+        with pytest.raises(Exception, match="broken"):
+            sinks.publish_batch(broken(df), path, manifest, batch)
+        assert read() == want and len(list((tmp_path / "batches").iterdir())) == 3
+    df.where("id < 4").withColumn("batch", F.lit("001")).write.partitionBy("batch").parquet(f"{path}/attempt=torn")  # died before its manifest row
+    assert read() == want
+    sinks.publish_batch(df.where("id < 2").withColumn("v", F.lit(5)), path, manifest, "001")
+    assert read() == [("001", 0, 5), ("001", 1, 5)]
+    assert sinks.sweep_attempts(spark, path, manifest) == 4 and read() == [("001", 0, 5), ("001", 1, 5)]
+
+
+def test_upserts_touch_their_batches_only(spark, tmp_path):
+    path, manifest = str(tmp_path / "rows"), str(tmp_path / "manifest")
+    df = spark.range(30).select(F.col("id").alias("key"), F.concat(F.lit("b"), F.col("id") % 3).alias("batch"), F.lit(1).alias("version"))
+    sinks.upsert_published(df, path, manifest, ["key"], "version")
+    old = {r["batch"]: r["attempt"] for r in sinks.live_attempts(spark, manifest).collect()}
+    new = spark.createDataFrame([(4, "b1", 2), (100, "b1", 1), (4, "b1", 3)], "key long, batch string, version int")
+    sinks.upsert_published(new, path, manifest, ["key"], "version")
+    got = {(r["key"], r["batch"]): r["version"] for r in sinks.read_published(spark, path, manifest).collect()}
+    assert got == {(k, f"b{k % 3}"): 1 for k in range(30)} | {(4, "b1"): 3, (100, "b1"): 1}
+    now = {r["batch"]: r["attempt"] for r in sinks.live_attempts(spark, manifest).collect()}
+    assert now["b1"] != old["b1"] and all(now[b] == old[b] for b in ("b0", "b2"))
     with pytest.raises(Exception, match="broken"):
-        sinks.publish_batch(df.withColumn("v", F.when(F.col("id") == 9, F.raise_error(F.lit("broken")).cast("int")).otherwise(1)), path, manifest, "b")
-    assert not (tmp_path / "batches" / "batch=b").exists() and sinks.read_published(spark, path, manifest).count() == 10
+        sinks.upsert_published(new.withColumn("version", F.raise_error(F.lit("broken")).cast("int")), path, manifest, ["key"], "version")
+    assert {r["batch"]: r["attempt"] for r in sinks.live_attempts(spark, manifest).collect()} == now
 
 
 def test_reactive_cases_do_not_depend_on_batches(spark, tmp_path, sf_dir):
@@ -249,3 +278,114 @@ def test_lattice_search_widens_until_the_nearest_are_certain(spark):
         want = {x: {n for _, n in sorted((round((lat - u) ** 2 + (lon - v) ** 2, 9), n) for n, u, v in anchors)[:k]} for x, lat, lon in cells}
         assert got == want
     assert spatial.nearest_on_lattice(c.limit(0), a, 0.2, 4).count() == spatial.nearest_on_lattice(c, a.limit(0), 0.2, 4).count() == 0
+
+
+def test_asof_snapshots_equal_brute_force(spark):
+    rng = np.random.default_rng(8)
+    at = lambda m: datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=int(m))
+    rows = []
+    for k in range(120):
+        a = int(rng.integers(0, 4000))
+        rows.append((k % 3, k, at(a), None if k % 7 == 0 else at(a + int(rng.integers(-5, 900)))))
+    rows += [(0, 500, at(100), at(100)), (0, 501, None, None), (None, 502, at(0), None)]
+    facts = [(i, int(rng.integers(0, 3)), at(rng.integers(-50, 5200))) for i in range(400)] + [(400, 0, None), (401, 9, at(5)), (401, 9, at(5)), (402, None, at(5))]
+    s = spark.createDataFrame(rows, "family int, snapshot int, available_from timestamp, available_until timestamp")
+    f = spark.createDataFrame(facts, "fact int, family int, t timestamp")
+
+    def best(family, t, any_family):
+        held = [r for r in rows if t is not None and r[2] is not None and r[2] <= t and (r[3] is None or t < r[3]) and (any_family or (family is not None and r[0] == family))]
+        return max(held, key=lambda r: (r[2], r[0] is not None, r[0] or 0, r[1]), default=None)
+
+    for by in ("family", None):
+        got = spatial.asof_snapshot(f if by else f.drop("family"), s if by else s.withColumnRenamed("family", "of"), "t", "fact", by)
+        assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+        want = sorted((i, (best(fam, t, by is None) or [None] * 2)[1]) for i, fam, t in facts)
+        assert sorted(((r["fact"], r["snapshot"]) for r in got.collect()), key=str) == sorted(want, key=str)
+    assert spatial.asof_snapshot(f, s.limit(0), "t", "fact", "family").where("snapshot is null").count() == len(facts)
+    assert spatial.asof_snapshot(f.limit(0), s, "t", "fact", "family").count() == 0
+
+
+def test_weights_from_blocks_of_stations_equal_those_from_all(spark):
+    cells = spark.range(500).select(F.col("id").alias("cell"), (F.col("id") % 80).alias("q"), F.floor(F.col("id") / 25).alias("r"))
+    points = spark.range(6000).select(F.col("id").alias("station"), (F.col("id") * 7 % 300 - 20).alias("sq"), (F.col("id") * 13 % 250).alias("sr"), F.when(F.col("id") % 5 != 0, F.col("id") % 40).alias("temp"), F.when(F.col("id") % 400 == 3, 1.0).alias("rare"))
+    want = spatial.idw_all(cells, points, ["temp", "rare"], most=10_000).toPandas().set_index("cell")
+    blocked = spatial.idw_all(cells, points, ["temp", "rare"])
+    assert not any(n in blocked._jdf.queryExecution().executedPlan().toString() for n in ("CartesianProduct", "NestedLoop"))
+    got = blocked.toPandas().set_index("cell").loc[want.index]
+    assert len(want) == 500 and np.allclose(got.temp, want.temp, equal_nan=True) and np.allclose(got.rare, want.rare, equal_nan=True)
+
+
+def test_crowded_squares_are_settled_at_the_first_hit(spark):
+    base = 8 * 2**52 + 2**25 * 2**26 + 2**25
+    n = 100_000
+    b = spark.range(n).select(F.lit(base).alias("cell"), (F.col("id") % 997 / 10).alias("x"), (F.col("id") % 991 / 10).alias("y"))
+    p = b.select("cell", (F.col("x") + 40).alias("x"), "y")
+    none = spark.createDataFrame([], "cell long, combustible boolean")
+    assert [r[0] for r in spatial.wui_cells(b, p, none).collect()] == [base]
+    # Points of every distance around the limit, against all pairs.
+    rng = np.random.default_rng(5)
+    cell = lambda k: base + int(k % 5) * 2**26 + int(k // 5)
+    rows = [[(cell(k), float(x), float(y)) for k, (x, y) in zip(rng.integers(0, 25, m), rng.uniform(-300, 300, (m, 2)), strict=True)] for m in (60, 150)]
+    near = lambda a, c: max(abs(dq := (a - c + 2**25) // 2**26), abs(dr := a - c - dq * 2**26), abs(dq + dr)) <= 1
+    want = {a for a, x, y in rows[0] if any(near(a, c) and (x - u) ** 2 + (y - v) ** 2 <= 2500 for c, u, v in rows[1])}
+    got = spatial.wui_cells(*(spark.createDataFrame(r, "cell long, x double, y double") for r in rows), none)
+    assert {r[0] for r in got.collect()} == want and 0 < len(want) < 25
+
+
+def test_a_day_of_many_events_meets_part_by_part(spark):
+    base = 8 * 2**52 + 2**25 * 2**26 + 2**25
+    e = spark.range(300).select("id", (F.lit(base) + F.col("id") % 40 * 3).alias("cell"), (F.col("id") % 2).alias("commune"), F.lit("2024-07-01 10:00:00").cast("timestamp").alias("occurred_at"))
+    e = e.unionByName(e.where("id < 30").select((F.col("id") + 1000).alias("id"), F.when(F.col("id") % 3 > 0, F.col("cell")).alias("cell"), F.when(F.col("id") % 2 == 0, 7).alias("commune"), "occurred_at"))
+    pairs = lambda t: sorted(map(tuple, t.collect()))
+    want = pairs(spatial.duplicate_pairs(e))
+    assert len(want) == len(set(want)) > 150 * 149 and want == pairs(spatial.duplicate_pairs(e, rows=7))
+    # 20,000 events of one municipality and day: every pair once, in tasks of two parts.
+    many = spark.range(20_000).select("id", (F.lit(base) + F.col("id") * 3).alias("cell"), F.lit(1).alias("commune"), F.lit("2024-07-01 10:00:00").cast("timestamp").alias("occurred_at"))
+    assert spatial.duplicate_pairs(many).count() == 20_000 * 19_999 // 2
+
+
+def test_ranks_over_ranges_are_row_numbers(spark):
+    from pyspark.sql import Window
+
+    t = spark.range(20_000).select((F.col("id") % 3).alias("day"), F.when(F.col("id") % 2 == 0, 0.0).otherwise(F.col("id") % 11 / 10).alias("score"), (F.col("id") * 7919 % 20_011).alias("cell"))
+    want = t.withColumn("rank", F.row_number().over(Window.partitionBy("day").orderBy(F.desc("score"), "cell")))
+    got = spatial.numbered(t.repartition(6), ["day"], [F.desc("score"), F.asc("cell")])
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_isotonic_ranges_pool_like_the_whole(spark):
+    rng = np.random.default_rng(6)
+    cases = [np.arange(300) / 300 > rng.random(300), rng.random(300) > 0.5, np.arange(300) < 150, np.arange(300) >= 150, np.r_[np.zeros(200), np.ones(3), np.zeros(97)] > 0]
+    for y in cases:
+        df = spark.createDataFrame([(k / 300, int(v)) for k, v in enumerate(y)] + [(None, 1), (0.5, None)], "score double, label int")
+        blocks = []
+        for k, v in enumerate(y):
+            x, s, w = k / 300, float(v), 1.0
+            while blocks and blocks[-1][1] * w >= s * blocks[-1][2]:
+                _, s2, w2 = blocks.pop()
+                s, w = s + s2, w + w2
+            blocks.append([x, s, w])
+        for rows in (100_000, 40):
+            got = sorted(map(tuple, metrics.isotonic_blocks(df, rows=rows).collect()))
+            assert got == [(x, pytest.approx(s / w)) for x, s, w in blocks]
+
+
+def test_bootstrap_equals_drawing_rows(spark):
+    rng = np.random.default_rng(9)
+    rows = [(f"2024-01-{1 + k % 9:02d}", int(rng.random() < 0.4), float(rng.integers(0, 21)) / 20, float(rng.random())) for k in range(200)]
+    df = spark.createDataFrame(rows, "date string, label int, a double, b double")
+    got = metrics.bootstrap(df, ["a", "b"], rounds=5, seed=3).toPandas().set_index(["round", "score"])
+    draws = metrics.drawn_dates(df, "date", 5, 3).toPandas()
+    assert len(got) == 10
+    for k in range(5):
+        times = draws[draws["round"] == k].set_index("date").w.to_dict()
+        some = [r for r in rows for _ in range(times.get(r[0], 0))]
+        y = np.array([r[1] for r in some])
+        for name, col in (("a", 2), ("b", 3)):
+            v = np.array([r[col] for r in some])
+            s = np.floor(v * 1000 + 0.5)
+            wins = (s[y == 1][:, None] > s[y == 0]).mean() + 0.5 * (s[y == 1][:, None] == s[y == 0]).mean()
+            precision = np.mean([y[s >= t].mean() for t in s[y == 1]])
+            assert tuple(got.loc[(k, name)]) == pytest.approx((wins, precision, ((v - y) ** 2).mean()))
+    with pytest.raises(ValueError, match="draws"):
+        metrics.bootstrap(df, ["a"], rounds=metrics.MOST_DRAWS)

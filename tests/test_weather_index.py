@@ -7,9 +7,9 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from firegrid.functions import dates, fwi
-from firegrid.plans.weather_index import fwi_series
+from firegrid.plans.weather_index import fwi_series, last_codes
 
-#: The first 19 days of the published sequence, with a day of heavy rain and a change of month. Temperature, humidity, wind and rain, then the six values as printed.
+#: The 48 days of the published sequence (13 April to 30 May). Temperature, humidity, wind and rain, then the six values as printed.
 SEQUENCE = """
 17 42 25 0 87.65 8.545 19.01 10.78 8.49 10.04
 20 21 25 2.4 86.2 10.4 23.57 8.771 10.36 9.22
@@ -30,6 +30,35 @@ SEQUENCE = """
 18 41 20 0 89.87 25.19 54.38 11.53 25.11 17.5
 14.5 51 16 0 88.36 27.04 57.95 7.581 26.96 13.17
 14.5 69 11 0 85.64 28.31 62.96 4.006 28.25 7.946
+15.5 42 8 0 87.32 30.85 68.15 4.367 30.78 9.006
+21 37 8 0 89.33 34.51 74.34 5.822 34.43 12.17
+23 32 16 0 90.93 38.83 80.88 10.96 38.72 20.88
+23 32 14 0 91.15 43.14 87.43 10.23 43.01 20.94
+27 33 12 0 91.61 48.1 94.69 9.862 47.95 21.56
+28 17 27 0 95.11 54.46 102.13 34.27 54.26 52.31
+23.5 54 20 0 89.65 57.43 108.77 11.16 57.24 25.72
+16 50 22 12.2 62.2 29.92 91.8 1.405 32.97 3.011
+11 58 20 0 76.44 31.26 96.19 2.29 34.49 5.341
+16 54 16 0 83.33 33.33 101.47 3.77 36.6 8.786
+21.5 37 9 0 88.6 37.08 107.74 5.515 39.86 12.63
+14 61 22 0.2 86.62 38.63 112.67 7.997 41.6 17.2
+15 30 27 0 89.58 41.6 117.77 15.71 44.18 28.66
+20 23 11 0 92.07 45.87 123.78 10.01 47.62 21.72
+14 95 3 16.4 21.32 20.09 96.89 0.0002476 26.46 0.0002689
+20 53 4 2.8 51 18.24 102.9 0.2256 25.27 0.2378
+19.5 30 16 0 82.21 22.03 108.81 3.273 29.25 6.758
+25.5 51 20 6 75.32 16.37 106.33 2.135 23.65 3.802
+10 38 24 0 84.27 18.19 110.54 6.386 25.77 11.21
+19 27 16 0 90.25 22.05 116.36 9.946 29.92 17.1
+26 46 11 4.2 77.54 18.67 117.65 1.578 26.74 2.917
+30 38 22 0 90.17 23.75 125.46 13.29 32.24 21.91
+25.5 67 19 12.6 65.28 13.14 108.44 1.389 20.17 1.862
+12 53 28 11.8 55.39 7.74 91.58 1.183 12.78 0.8184
+21 38 8 0 80.79 11.35 97.76 1.852 17.59 2.532
+13 70 20 3.8 61.7 8.406 97.8 1.238 13.84 0.8966
+9 78 24 1.4 64.43 8.991 101.82 1.726 14.73 1.941
+11 54 16 0 77.57 10.46 106.21 2.036 16.78 2.766
+15.5 39 9 0 85.37 13.12 111.4 3.486 20.27 5.719
 """
 DAYS = [(tuple(map(float, d[:4])), tuple(d[4:])) for d in map(str.split, SEQUENCE.strip().splitlines())]
 
@@ -44,10 +73,28 @@ def test_published_sequence(spark):
     got = fwi_series(frame(spark, days=len(DAYS))).orderBy("date").toPandas()
     for (_, want), (_, row) in zip(DAYS, got.iterrows(), strict=True):
         for text, name in zip(want, ("ffmc", "dmc", "dc", "isi", "bui", "fwi"), strict=True):
-            digits = len(text.split(".")[1])
+            digits = len((text + ".").split(".")[1])
             assert abs(row[name] - float(text)) <= 0.5 * 10**-digits + 1e-10, name
 
 
+def test_a_series_goes_on_from_stored_codes(spark, tmp_path):
+    w = frame(spark, days=len(DAYS))
+    w = w.unionByName(w.withColumn("cell", F.lit(2).cast("long")).withColumn("temp", F.col("temp") + 3).where("date <> '2000-05-03'")).unionByName(w.withColumn("cell", F.lit(3).cast("long")).where("date > '2000-05-10'"))
+    whole = fwi_series(w).orderBy("cell", "date").toPandas()
+    for cuts in (["2000-05-01"], ["2000-04-20", "2000-05-03", "2000-05-04", "2000-05-20"]):
+        state, runs = None, []
+        for k, (a, b) in enumerate(zip(["2000-01-01", *cuts], [*cuts, "2001-01-01"], strict=True)):
+            run = fwi_series(w.where((F.col("date") >= a) & (F.col("date") < b)), state)
+            runs.append(run.toPandas())
+            last_codes(run, state).write.parquet(str(tmp_path / f"{len(cuts)}-{k}"))
+            state = spark.read.parquet(str(tmp_path / f"{len(cuts)}-{k}"))
+        got = pd.concat(runs).sort_values(["cell", "date"], ignore_index=True)
+        assert got.equals(whole) and state.count() == 3
+    # Days that are not after the stored one are left out; a run of no days gives none and keeps the state.
+    assert fwi_series(w, state).count() == 0
+    assert sorted(last_codes(fwi_series(w.limit(0), state), state).collect()) == sorted(state.collect())
+
+
 def test_missing_day_starts_afresh_and_order_does_not_matter(spark):
     a = frame(spark).toPandas()
     later = a.assign(date=[d + datetime.timedelta(days=10) for d in a.date])
