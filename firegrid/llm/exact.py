@@ -6,7 +6,9 @@ shifting the left one by the right one's length, so the chunks of a huge
 document are hashed in parallel tasks. Of rows whose fingerprint and length
 agree, the chunks are then dealt out by fingerprint and part of the group and
 compared place by place as they stream through a task; that comparison, not the
-fingerprint, decides. No task holds a whole huge text or two texts at once.
+fingerprint, decides. A huge text is held whole only as the string that Spark
+reads: one pass in NumPy normalises it step by step, feeds its SHA-256 and deals
+out its chunks, and everything after works on chunks.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, SPACES, stage, text_steps
+from .common import IS_SPACE, STEP_BYTES, stage, text_steps
 
 #: Two primes below 2**31 and a base for each.
 PRIMES, BASES = (2147483647, 2147483629), (1103515245, 1588635695)
@@ -98,20 +100,67 @@ def _marks(batches):
 
 def _chunk_marks(batches):
     for batch in batches:
-        for i, j, data, offsets in text_steps(batch.column("part")):
-            one, two = fingerprints(data, offsets)
-            lengths = np.diff(offsets)
-            shift = [[pow(b, int(n), p) for n in lengths] for b, p in zip(BASES, PRIMES, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in ("_id", "row", "place", "sha")), pa.array(one), pa.array(two), pa.array(shift[0], pa.int64()), pa.array(shift[1], pa.int64()), pa.array(lengths)], ["_id", "row", "place", "sha", "h1", "h2", "s1", "s2", "n"])
+        marks: list[list] = [[] for _ in range(5)]
+        for chunk in batch.column("chunk"):
+            data = np.frombuffer(chunk.as_buffer(), np.uint8) if chunk.is_valid else np.zeros(0, np.uint8)
+            one, two = fingerprints(data, np.array([0, len(data)]))
+            for column, value in zip(marks, (one[0], two[0], *(pow(b, len(data), p) for b, p in zip(BASES, PRIMES, strict=True)), len(data)), strict=True):
+                column.append(int(value))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_id", "row", "place", "sha")), *(pa.array(m, pa.int64()) for m in marks)], ["_id", "row", "place", "sha", "h1", "h2", "s1", "s2", "n"])
+
+
+def streamed_chunks(data: np.ndarray):
+    """Yield the chunks of one text's normalised bytes, then the hex SHA-256 of them all: steps of the text are normalised as they come, and what does not fill a chunk waits for the next."""
+    digest, held, ended, made = hashlib.sha256(), b"", False, 0
+    for a in range(0, len(data), STEP_BYTES):
+        piece = data[a : a + STEP_BYTES]
+        space = IS_SPACE[piece]
+        keep = np.ones(len(piece), bool)
+        keep[1:] = ~(space[1:] & space[:-1])
+        keep[0] = not (ended and space[0])
+        ended = bool(space[-1])
+        body = np.where(space, np.uint8(32), piece)[keep].tobytes()
+        digest.update(body)
+        held += body
+        full = len(held) // CHUNK * CHUNK
+        for k in range(0, full, CHUNK):
+            made += 1
+            yield held[k : k + CHUNK]
+        held = held[full:]
+    if held or not made:
+        yield held
+    yield digest.hexdigest()
+
+
+def _huge_chunks(batches):
+    """A row per chunk of each text, then one with its SHA-256; some chunks at a time."""
+    from pyspark import TaskContext
+
+    task, row, names = TaskContext.get().partitionId() << 33, 0, ["_id", "row", "place", "chunk", "sha"]
+    for batch in batches:
+        for at, text in enumerate(batch.column("_text")):
+            out: list[list] = [[], [], []]
+
+            def rows(out=out, at=at, row=row, batch=batch):
+                n = len(out[0])
+                return pa.RecordBatch.from_arrays([batch.column("_id").take(pa.array([at] * n, pa.int64())), pa.array([task + row] * n, pa.int64()), pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.string())], names)
+
+            for place, x in enumerate(streamed_chunks(np.frombuffer(text.as_buffer(), np.uint8))):
+                last = isinstance(x, str)
+                for column, value in zip(out, (-1 if last else place, None if last else x, x if last else None), strict=True):
+                    column.append(value)
+                if len(out[0]) == 64:
+                    yield rows()
+                    for column in out:
+                        column.clear()
+            yield rows()
+            row += 1
 
 
 def huge_parts(docs: DataFrame, huge_chars: int) -> DataFrame:
-    """``_id, row, sha, place, part``: the normalised texts of over ``huge_chars`` characters in parts of half as many, dealt over all tasks. (A SHA-256 is sequential: one task computes it for each text.)"""
-    body = F.regexp_replace("_text", SPACES, " ")
-    huge = docs.where(F.length("_text") > huge_chars).select("_id", F.monotonically_increasing_id().alias("row"), body.alias("body")).where(F.length("body") > huge_chars)
-    step = huge_chars // 2
-    places = F.sequence(F.lit(0), F.floor((F.length("body") - 1) / step).cast("int"))
-    parts = huge.withColumn("sha", F.sha2("body", 256)).select("_id", "row", "sha", F.posexplode(F.transform(places, lambda k: F.substring("body", k * step + 1, F.lit(step)))).alias("place", "part"))
+    """``_id, row, place, chunk, sha`` of the texts of over ``huge_chars`` characters, dealt over all tasks: a row per chunk of the normalised text, and one of place -1 with its SHA-256. (That is sequential: the task that reads a text streams it through the digest once, chunk after chunk.)"""
+    huge = docs.where(F.length("_text") > huge_chars)
+    parts = huge.mapInArrow(_huge_chunks, f"_id {docs.schema['_id'].dataType.simpleString()}, row long, place int, chunk binary, sha string")
     return parts.repartition("row", "place")
 
 
@@ -122,11 +171,11 @@ def usual_marks(docs: DataFrame, huge_chars: int) -> DataFrame:
 
 
 def huge_marks(parts: DataFrame) -> DataFrame:
-    """``row, _id, fp1, fp2, bytes, sha`` of huge texts, combined from their parts, which are hashed in parallel."""
+    """``row, _id, fp1, fp2, bytes, sha`` of huge texts, combined from their chunks, which are hashed in parallel."""
     kind = parts.schema["_id"].dataType.simpleString()
     marks = parts.mapInArrow(_chunk_marks, f"_id {kind}, row long, place int, sha string, h1 long, h2 long, s1 long, s2 long, n long")
-    fold = "aggregate(array_sort(collect_list(struct(place, h{k}, s{k}))), 0L, (a, x) -> (a * x.s{k} + x.h{k}) % {p}L)"
-    whole = marks.groupBy("row", "_id", "sha").agg(F.expr(fold.format(k=1, p=PRIMES[0])).alias("fp1"), F.expr(fold.format(k=2, p=PRIMES[1])).alias("fp2"), F.sum("n").alias("bytes"))
+    fold = "aggregate(array_sort(collect_list(struct(place, h{k}, s{k})) FILTER (WHERE place >= 0)), 0L, (a, x) -> (a * x.s{k} + x.h{k}) % {p}L)"
+    whole = marks.groupBy("row", "_id").agg(F.expr(fold.format(k=1, p=PRIMES[0])).alias("fp1"), F.expr(fold.format(k=2, p=PRIMES[1])).alias("fp2"), F.sum("n").alias("bytes"), F.max("sha").alias("sha"))
     return whole.select("row", "_id", "fp1", "fp2", "bytes", "sha")
 
 
@@ -137,9 +186,8 @@ def fingerprint_rows(df: DataFrame, id_col: str, text_col: str, huge_chars: int
 
 
 def _usual(docs: DataFrame, huge_chars: int) -> DataFrame:
-    """The rows whose normalised text is not huge."""
-    small = F.coalesce(F.length("_text"), F.lit(0)) <= huge_chars
-    return docs.where(F.when(small, True).otherwise(F.length(F.regexp_replace("_text", SPACES, " ")) <= huge_chars))
+    """The rows whose text is not huge."""
+    return docs.where(F.coalesce(F.length("_text"), F.lit(0)) <= huge_chars)
 
 
 def _chunks(batches):
@@ -237,7 +285,7 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     are dealt into parts before any text moves (there can't be more than
     ``most_hot`` of them, so their keys are broadcast); then one text of each
     class of each part is compared with the others'. Texts of over ``huge_chars``
-    normalised characters go in parts through fingerprints and comparison.
+    characters go in chunks through fingerprints and comparison.
     """
     key = ["fp1", "fp2", "bytes"]
     docs = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
@@ -254,7 +302,7 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def chunks(some: DataFrame) -> DataFrame:
         """Chunk rows of the usual texts of ``some``, and of all huge ones."""
         made = _usual(some, huge_chars).mapInArrow(_chunks, f"fp1 long, fp2 long, bytes long, _id {kind}, row long, place int, chunk binary")
-        return made.unionByName(huge.drop("_id", "sha").join(whole.drop("sha"), "row").select(*key, "_id", (-F.col("row") - 1).alias("row"), "place", F.col("part").cast("binary").alias("chunk")))
+        return made.unionByName(huge.where("place >= 0").drop("_id", "sha").join(whole.drop("sha"), "row").select(*key, "_id", (-F.col("row") - 1).alias("row"), "place", "chunk"))
 
     def compare(rows: DataFrame) -> DataFrame:
         return rows.repartition(*key, "part").sortWithinPartitions(*key, "part", "place", "_id", "row").mapInArrow(tell_apart, result)

@@ -160,29 +160,43 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((both[1:] == both[:-1]).sum())
 
 
-def verify_pairs(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full shingle sets meet ``percent``: 100 * intersection >= percent * union."""
+#: Members that one copy of their leader's text is sent for.
+PART_MEMBERS = 512
+
+
+def verify_leaders(found: DataFrame, texts: DataFrame, percent: int, part: int = PART_MEMBERS) -> DataFrame:
+    """``a, b``: the pairs of members ``x`` and leaders ``y`` whose full shingle sets meet ``percent``: 100 * intersection >= percent * union.
+
+    A leader's members are dealt into parts of about ``part``. Its text goes to each
+    part once and comes first there; its shingles are taken once, and the members
+    stream past them.
+    """
+    kind = found.schema["x"].dataType.simpleString()
 
     def run(batches):
+        now, own = None, np.zeros(0, np.uint64)
         for batch in batches:
-            keep = []
-            at = 0
-            sets: list[list[np.ndarray]] = [[], []]
-            for side, name in enumerate(("text_a", "text_b")):
-                for _, _, data, offsets in text_steps(batch.column(name)):
-                    hashes, begin = shingle_sets(data, offsets)
-                    sets[side] += [hashes[p:q] for p, q in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
-            for at, (x, y) in enumerate(zip(*sets, strict=True)):
-                if min(len(x), len(y)) * 100 >= percent * max(len(x), len(y)):
-                    same = _overlap(x, y)
-                    if same and 100 * same >= percent * (len(x) + len(y) - same):
-                        keep.append(at)
-            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in "ab"], ["a", "b"])
-
-    left = texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b"))
-    kind = pairs.schema["a"].dataType.simpleString()
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}")
+            y, part, x = (batch.column(c).to_pylist() for c in ("y", "part", "x"))
+            out: list[list] = [[], []]
+            for i, j, data, offsets in text_steps(batch.column("text")):
+                hashes, begin = shingle_sets(data, offsets)
+                for k in range(i, j):
+                    mine = hashes[begin[k - i] : begin[k - i + 1]]
+                    if x[k] is None:
+                        now, own = (y[k], part[k]), mine.copy()
+                    elif now == (y[k], part[k]) and min(len(mine), len(own)) * 100 >= percent * max(len(mine), len(own)):
+                        same = _overlap(mine, own)
+                        if same and 100 * same >= percent * (len(mine) + len(own) - same):
+                            out[0].append(min(x[k], y[k]))
+                            out[1].append(max(x[k], y[k]))
+            yield pa.RecordBatch.from_arrays([pa.array(o, batch.column("y").type) for o in out], ["a", "b"])
+
+    sizes = stage(found.groupBy("y").agg(F.count("*").alias("m")).withColumn("parts", F.ceil(F.col("m") / part)), "led")
+    dealt = join_counted(found.select("x", "y"), sizes, "y", "m", found.count()).withColumn("part", F.pmod(F.xxhash64("x"), F.col("parts")))
+    members = dealt.join(texts.withColumnRenamed("rep", "x"), "x").select("y", "part", "x", "text")
+    copies = sizes.select("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).join(texts.withColumnRenamed("rep", "y"), "y")
+    rows = members.unionByName(copies.select("y", "part", F.lit(None).cast(kind).alias("x"), "text"))
+    return rows.repartition("y", "part").sortWithinPartitions("y", "part", F.asc_nulls_first("x")).mapInArrow(run, f"a {kind}, b {kind}")
 
 
 # --- components -------------------------------------------------------------
@@ -278,10 +292,6 @@ def _complete(members: DataFrame, labels: DataFrame, reps: DataFrame, texts: Dat
     return rows.groupBy("key", "i", "j").applyInArrow(run, f"a {kind}, b {kind}")
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, miss: float = 1e-6, block: int = 4096, block_bytes: int = 8 << 20) -> DataFrame:
     """One row per input row: ``<id_col>, n_shingles, component_id, kept``.
 
@@ -323,7 +333,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         found = stage(open_.withColumn("nth", F.row_number().over(nth)).where(F.col("nth") <= width).select("x", "y"), "leaders")
         if tested is not None and found.isEmpty():
             break
-        new = verify_pairs(_ordered(found), texts, percent)
+        new = verify_leaders(found, texts, percent)
         links = stage(new if links is None else links.unionByName(new), "links")
         labels = _labelled(reps, links)
         tested = found if tested is None else stage(tested.unionByName(found), "tested")

@@ -3,6 +3,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
@@ -47,6 +48,25 @@ def test_salts_and_huge_texts_change_nothing(spark):
     assert cut.equals(whole)
 
 
+@given(st.lists(st.sampled_from([b" ", b"\t\n", b"ab", b"\xc3\xa9", b"    "]), max_size=60), st.integers(1, 9), st.integers(1, 9))
+def test_streamed_chunks_are_those_of_the_normalised_text(parts, step, chunk):
+    data = np.frombuffer(b"".join(parts), np.uint8)
+    body = exact.normalise(data, np.array([0, len(data)]))[0].tobytes()
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(exact, "STEP_BYTES", step)
+        patch.setattr(exact, "CHUNK", chunk)
+        *chunks, digest = exact.streamed_chunks(data)
+    assert chunks == ([body[k : k + chunk] for k in range(0, len(body), chunk)] or [b""]) and digest == hashlib.sha256(body).hexdigest()
+
+
+def test_a_huge_text_equals_a_small_one_with_fewer_spaces(spark):
+    small, wide = "word " * 30_000, "word" + " " * 90_000 + "word " * 29_999
+    rows = [(1, small), (2, wide), (3, wide.replace(" ", "\n")), (4, small + "x"), (5, " " * 200_000), (6, " ")]
+    got = result(spark, rows, huge_chars=170_000).sort_values("doc_id")
+    assert got.keep_id.tolist() == [1, 1, 1, 4, 5, 5]
+    assert got.text_sha256.tolist() == [hashlib.sha256(SPACES.sub(" ", t).encode()).hexdigest() for _, t in rows]
+
+
 def test_empty_table(spark):
     assert result(spark, []).empty
 

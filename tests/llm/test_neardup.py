@@ -64,3 +64,26 @@ def test_components_of_a_chain_and_a_star(spark):
     links = [(k, k + 1) for k in range(100, 130)] + [(1, k) for k in range(2, 20)]
     got = {r["node"]: r["comp"] for r in neardup.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {k: 100 for k in range(101, 131)} | {k: 1 for k in range(2, 20)} | {k: v for k, v in got.items() if k in (1, 100)}
+
+
+def test_members_meet_their_leader_part_by_part(spark):
+    rng = np.random.default_rng(3)
+    base = [f"w{x}" for x in rng.integers(0, 10**6, 400)]
+    texts = {0: base}
+    for k in range(1, 300):
+        words = list(base)
+        for at in rng.choice(400, int(rng.integers(0, 40)), replace=False):
+            words[at] = f"x{k}"
+        texts[k] = words
+    texts |= {1000 + k: [f"y{x}" for x in range(k, k + 60)] for k in range(20)}
+    texts = {k: " ".join(v) for k, v in texts.items()}
+    found = [(k, 0) for k in range(1, 300)] + [(1000 + k, 1010) for k in range(20) if k != 10] + [(1000, 0)]
+    want = set()
+    for x, y in found:
+        a, b = shingles(texts[x]), shingles(texts[y])
+        if 100 * len(a & b) >= 75 * len(a | b):
+            want.add((min(x, y), max(x, y)))
+    assert 20 < len(want) < 300
+    pairs, rows = spark.createDataFrame(found, "x long, y long"), spark.createDataFrame(list(texts.items()), "rep long, text string")
+    for part in (512, 16):
+        assert {tuple(r) for r in neardup.verify_leaders(pairs, rows, 75, part).collect()} == want

@@ -26,7 +26,7 @@ def rebuilt(rows):
     out = {}
     for c, turns in own.items():
         h = zlib.crc32(str(c).encode()) % 9
-        out[c] = own.get(c - c % 5, [])[:h] + turns[h:]
+        out[c] = own.get(c - int(np.fmod(c, 5)), [])[:h] + turns[h:]
     return out
 
 
