@@ -195,10 +195,48 @@ def test_reach_never_drops_what_reaches(seed, least):
     pairs = ann.pairs_of(x)
     code = rng.integers(0, 16, (200, 4))
     scores = ann.scan(ann.tables(ann.pairs_of(query[None]), books), ann.pack_codes(code))[0]
-    may = ann.reach(scores, *ann.slack(pairs, books, code), least)
+    may = ann.reach(scores, *ann.slack(pairs, ann.decode(books, code)), least)
     assert may[x @ query >= least].all()
 
 
+def test_few_vectors_are_scored_exactly():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(8000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    pairs, eta = ann.pairs_of(x), ann.eta_for(0.2, 64)
+    books = ann.train(pairs[:4000], eta, rounds=6)
+    coded = ann.decode(books, code := ann.encode(pairs, books, eta))
+    finer = ann.train(pairs[:4000] - coded[:4000], 1.0, rounds=6)
+    rest = ann.encode(pairs - coded, finer, 1.0, passes=0)
+    block = ann.Block(np.arange(8000), np.ones(8000, bool), x, [ann.pack_codes(code), ann.pack_codes(rest)], [ann.slack(pairs, coded), ann.slack(pairs, coded + ann.decode(finer, rest))])
+    for q in range(0, 8000, 400):
+        t = ann.pairs_of(x[q][None])
+        at, scores = block.nearest(ann.scan(ann.tables(t, books), block.codes[0])[0], ann.tables(t, finer)[0], x[q], 5, 60, -2.0)
+        want = np.argsort(-(x @ x[q]))[:10]
+        assert at.tolist() == want.tolist() and np.allclose(scores, (x @ x[q])[want])
+    assert block.exact < 0.05 * 20 * 8000
+
+
+def test_an_id_with_many_vectors_leaves_room_for_others(spark):
+    # 400 vectors of id 50 alone lie nearest to its query; the nearest others must still come, ties of one vector included.
+    rows = [(50, [1.0, k / 10_000]) for k in range(400)] + [(k, [1.0, 0.2 + k / 100]) for k in range(1, 9)] + [(9, [1.0, 0.0001]), (50, [1.0, 0.5])]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), rerank=20).toPandas()
+    assert len(got) == 401 * 5
+    assert {tuple(g.sort_values("rank").vec_id) for _, g in got.groupby(got.index // 5)} >= {(9, 1, 2, 3, 4)}
+    assert 50 not in set(got.vec_id)
+
+
+@given(st.lists(st.tuples(st.integers(0, 3), st.booleans()), max_size=30), st.integers(1, 3))
+def test_capped_keeps_k_of_one_id_alone(rows, k):
+    lead, single = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], bool)
+    want, seen = [], {}
+    for at, (of, alone) in enumerate(rows):
+        seen[of] = seen.get(of, 0) + alone
+        if not alone or seen[of] <= k:
+            want.append(at)
+    assert ann.capped(np.arange(len(rows)), lead, single, k).tolist() == want
+
+
 def test_few_and_no_candidates(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in ann.search(df).collect()] == [(0, 1, 1, 0.0)]
