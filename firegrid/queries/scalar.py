@@ -147,6 +147,39 @@ def x7_cover_box(spark, d):
     return views.stations(spark, d).select("station", F.explode(grid.cells_between(q - 1, q + 2, r - 2, r + 1, 8)).alias("c")).groupBy("station").agg(F.count("*").alias("cells"))
 
 
+_BOX = (0.03, 0.02)  # half the boxes' width and height in degrees
+_TOUCHED = f"""
+WITH p AS (SELECT s_suppkey AS station, 42.0 + s_suppkey % 97 / 12.0::DOUBLE AS lat, -2.0 + s_suppkey % 89 / 9.0::DOUBLE AS lon FROM supplier),
+home AS (SELECT station, lat AS lat0, lon AS lon0, cell, (cell // 67108864) % 67108864 - 33554432 AS q, cell % 67108864 - 33554432 AS r FROM {_sql_hex(_sql_forward("p"), _E8, 8)}),
+near AS (SELECT station, lat0, lon0, cell + dq * 67108864 + dr AS cell, {_E8!r}::DOUBLE * {math.sqrt(3)!r}::DOUBLE * (q + dq + (r + dr) / 2.0::DOUBLE) AS x0, {_E8!r}::DOUBLE * 1.5 * (r + dr) AS y0 FROM home, range(-7, 8) a(dq), range(-7, 8) b(dr) WHERE abs(dq + dr) <= 7),
+points AS (SELECT station, lat0, lon0, cell, x0 AS x, y0 AS y FROM near UNION ALL SELECT station, lat0, lon0, cell, x0 + {_E8!r}::DOUBLE * cos(radians(30 + 60 * k)), y0 + {_E8!r}::DOUBLE * sin(radians(30 + 60 * k)) FROM near, range(6) t(k)),
+inside AS (SELECT station, cell FROM {_sql_inverse("points")} WHERE lon BETWEEN lon0 - {_BOX[0]} AND lon0 + {_BOX[0]} AND lat BETWEEN lat0 - {_BOX[1]} AND lat0 + {_BOX[1]}),
+outline AS (SELECT station, CASE WHEN k < 16 THEN lon - {_BOX[0]} + {2 * _BOX[0]}::DOUBLE * (k % 16) / 16 WHEN k < 32 THEN lon + {_BOX[0]} WHEN k < 48 THEN lon + {_BOX[0]} - {2 * _BOX[0]}::DOUBLE * (k % 16) / 16 ELSE lon - {_BOX[0]} END AS lon,
+  CASE WHEN k < 16 THEN lat - {_BOX[1]} WHEN k < 32 THEN lat - {_BOX[1]} + {2 * _BOX[1]}::DOUBLE * (k % 16) / 16 WHEN k < 48 THEN lat + {_BOX[1]} ELSE lat + {_BOX[1]} - {2 * _BOX[1]}::DOUBLE * (k % 16) / 16 END AS lat FROM p, range(64) t(k))
+SELECT station, cell FROM inside UNION SELECT station, cell FROM {_sql_hex(_sql_forward("outline"), _E8, 8)}"""
+
+
+@query(_TOUCHED)
+def x7_cells_for_bbox(spark, d):
+    k = F.col("s_suppkey")
+    lat, lon = 42.0 + k % 97 / 12.0, -2.0 + k % 89 / 9.0
+    boxes = table(spark, d, "supplier").select(k.alias("station"), (lon - _BOX[0]).alias("west"), (lat - _BOX[1]).alias("south"), (lon + _BOX[0]).alias("east"), (lat + _BOX[1]).alias("north"))
+    return grid.cells_for_bbox(boxes, 8).select("station", "cell")
+
+
+_CORNERS = [(10.3, 5.2), (80.7, 8.1), (95.9, 30.3), (50.2, 50.4), (15.1, 35.7)]  # counter-clockwise, in edges
+
+
+@query(
+    with_views("v_cells")
+    + f" SELECT key FROM {_CENTRE} WHERE "
+    + " AND ".join(f"({b[0] - a[0]!r}::DOUBLE * (y / {_E8!r} - {a[1]}) - {b[1] - a[1]!r}::DOUBLE * (x / {_E8!r} - {a[0]})) > 0" for a, b in zip(_CORNERS, [*_CORNERS[1:], _CORNERS[0]], strict=True))
+)
+def x7_fill_plane(spark, d):
+    ring = F.array(*(F.struct(F.lit(x * _E8).alias("x"), F.lit(y * _E8).alias("y")) for x, y in [*_CORNERS, _CORNERS[0]]))
+    return views.cells(spark, d).where(grid.in_ring(*grid.cell_xy(F.col("cell")), ring)).select("key")
+
+
 @query(with_views("v_cells") + " SELECT key FROM v_cells WHERE (q > 5 AND q < 25 AND r > 3 AND r < 18) AND NOT (q + r > 38)")
 def x7_fill_polygon(spark, d):
     corners = [(5.0, 3.0), (25.0, 3.0), (25.0, 13.5), (20.5, 18.0), (5.0, 18.0), (5.0, 3.0)]
