@@ -464,6 +464,37 @@ def m2_logistic(spark, d):
     return models.fit_and_score(views.labeled(spark, d), ["x1", "x2"], "logistic")
 
 
+_STEPS, _RATE, _L2 = 25, 0.3, 0.01
+
+
+@query(
+    _L
+    + f""", m AS (SELECT avg(x1) AS m1, stddev_pop(x1) AS s1, avg(x2) AS m2, stddev_pop(x2) AS s2 FROM v_labeled WHERE year < 1999), t AS (SELECT id, year, label AS y, (x1 - m1) / s1 AS x1, (x2 - m2) / s2 AS x2 FROM v_labeled, m),
+    g AS (SELECT 0 AS step, 0::DOUBLE AS b, 0::DOUBLE AS w1, 0::DOUBLE AS w2 UNION ALL SELECT step + 1, b - {_RATE}::DOUBLE * avg(1 / (1 + exp(-(b + w1 * x1 + w2 * x2))) - y), w1 - {_RATE}::DOUBLE * (avg((1 / (1 + exp(-(b + w1 * x1 + w2 * x2))) - y) * x1) + {_L2}::DOUBLE * w1), w2 - {_RATE}::DOUBLE * (avg((1 / (1 + exp(-(b + w1 * x1 + w2 * x2))) - y) * x2) + {_L2}::DOUBLE * w2) FROM g, t WHERE t.year < 1999 AND step < {_STEPS} GROUP BY step, b, w1, w2)
+    SELECT id, round(1 / (1 + exp(-(b + w1 * x1 + w2 * x2))), 6) AS fitted FROM t, g WHERE step = {_STEPS} AND year >= 1999"""
+)
+def m2_descent(spark, d):
+    from ..operators import models
+
+    t = views.labeled(spark, d)
+    t = models.transform(t, models.fit_transform(t.where("year < 1999"), {"x1": "standard", "x2": "standard"}))
+    fit = models.fit_descent(t.where("year < 1999"), ["x1", "x2"], _L2, _STEPS, _RATE)
+    return models.score_descent(t.where("year >= 1999"), ["x1", "x2"], *fit).select("id", F.round("fitted", 6).alias("fitted"))
+
+
+@query(
+    _L
+    + f""", g AS (SELECT 0 AS step, 0::DOUBLE AS b, 0::DOUBLE AS w UNION ALL SELECT step + 1, b - {_RATE}::DOUBLE * avg(1 / (1 + exp(-(b + w * score))) - label), w - {_RATE}::DOUBLE * avg((1 / (1 + exp(-(b + w * score))) - label) * score) FROM g, v_labeled WHERE step < {_STEPS} GROUP BY step, b, w)
+    SELECT id, round(1 / (1 + exp(-(b + w * score))), 6) AS calibrated FROM v_labeled, g WHERE step = {_STEPS}"""
+)
+def m4_platt_descent(spark, d):
+    from ..operators import models
+
+    t = views.labeled(spark, d)
+    fit = models.fit_descent(t, ["score"], 0.0, _STEPS, _RATE)
+    return models.score_descent(t, ["score"], *fit, "calibrated").select("id", F.round("calibrated", 6).alias("calibrated"))
+
+
 def _boosted_sql(features: list[str], rounds: int, depth: int = 3, rate: float = 0.1, least: int = 20) -> str:
     """Definitions ``z<rounds>`` (rows with their log-odds ``z``) and ``b<round>_<level>`` (splits ``node, f, v``) of boosted trees over ``base``: ``id, label, train`` and the features. One definition a level: order statistics and sums up to them are windows over a node's rows."""
     out = ["s AS (SELECT sum(label) / count(*)::DOUBLE AS p FROM base WHERE train)", "z0 AS MATERIALIZED (SELECT base.*, ln(p / (1 - p)) AS z FROM base, s)"]

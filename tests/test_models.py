@@ -52,6 +52,21 @@ def test_logistic_meets_its_gradient_condition(spark):
         assert np.allclose(w, logistic(x, y, l2), atol=0.01)
 
 
+def test_descent_takes_full_batch_steps(spark):
+    df = rows(spark, 600)
+    t = models.transform(df, models.fit_transform(df, {"x1": "standard", "x2": "standard"}))
+    pdf = t.toPandas()
+    x, y, w, b = pdf[["x1", "x2"]].to_numpy(), pdf.label.to_numpy(), np.zeros(2), 0.0
+    for _ in range(12):
+        e = 1 / (1 + np.exp(-(x @ w + b))) - y
+        w, b = w - 0.3 * (x.T @ e / len(y) + 0.01 * w), b - 0.3 * e.mean()
+    weights, bias = models.fit_descent(t, ["x1", "x2"], 0.01, 12)
+    assert np.allclose(weights, w, atol=1e-12) and bias == pytest.approx(b, abs=1e-12)
+    got = models.score_descent(t, ["x1", "x2"], weights, bias).toPandas().fitted
+    assert np.allclose(got, 1 / (1 + np.exp(-(x @ w + b))))
+    assert models.fit_descent(t.limit(0), ["x1"], steps=3) == ([0.0], 0.0)
+
+
 def test_later_years_are_scored_by_earlier_ones(spark):
     df = rows(spark)
     pdf = df.toPandas()
