@@ -204,9 +204,8 @@ def search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
     query can have another among its ``k`` nearest. A query's own id may hold
     several of the nearest vectors alone: of each id ``k`` such vectors are kept at
     most and ``2 * k`` vectors in all, so ``k`` others are always among them.
-    Codebooks are fitted on at most
-    ``train_rows`` distinct vectors (those of the smallest id hashes); every
-    distinct vector is encoded and scanned by every query, block against block.
+    Codebooks are fitted on at most ``train_rows`` distinct vectors (those of the
+    smallest id hashes); every distinct vector is encoded and scanned by every query, block against block.
     In a block the ``rerank`` best by approximate score are scored exactly, in
     double precision; what they reach is the least that others must be able to
     reach. Whose code allows that is scanned with a second table, of codes for what

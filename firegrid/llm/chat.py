@@ -130,7 +130,7 @@ def format_chats(df: DataFrame, id_col: str = "conv_id", turn_col: str = "turn",
 
 
 def digest_chats(parts: DataFrame, id_col: str = "conv_id") -> DataFrame:
-    """``<id_col>, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars`` per conversation, read back from rendered parts in the order in which :func:`format_chats` returns them.
+    """``<id_col>, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars`` per conversation, read back from rendered parts in the order in which :func:`format_chats` returns them (a table doesn't keep it: digest parts before they are written, or sort them again).
 
     Turns are those of the parser, unescaped; the loss text is what the spans
     hold, unescaped, one after the other. An empty turn adds its role and two

@@ -138,6 +138,10 @@ def _count(batches):
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(some), pa.string()), pa.array(some.view(np.int64)), pa.array(counts, pa.int64())], ["lang", "g", "n"])
 
 
+#: A score weighs a text's entropies as if it had at most so many letters: neighbouring sequences overlap, and all scores of longer texts would be 1. The prediction takes all letters.
+MOST_WEIGHED = 40
+
+
 def score_texts(model: CharModel, column: pa.Array):
     """Yield ``(i, j, events, best, entropy, score)`` for rows ``i:j``; ``best`` is -1 for texts without letters."""
     for i, j, data, offsets in text_steps(column, 1 << 20):
@@ -150,7 +154,7 @@ def score_texts(model: CharModel, column: pa.Array):
             rate = -total / n[full, None]
             best[full] = rate.argmin(1)
             entropy[full] = rate.min(1)
-            odds = np.exp(np.minimum(n[full], 40)[:, None] * (entropy[full][:, None] - rate))
+            odds = np.exp(np.minimum(n[full], MOST_WEIGHED)[:, None] * (entropy[full][:, None] - rate))
             score[full] = 1 / odds.sum(1)
         yield i, j, n, best, entropy, score
 
@@ -236,7 +240,9 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     has no letter gets ``und`` and score 0 and is rejected; so is one of at least
     20 letters whose cross-entropy lies further above its language's median than
     ``slack`` times the distance to the 99.5 % point of the labelled texts, and by more than 1. If
-    there is nothing to learn from, every text gets ``und``. Equal entropies go to
+    there is nothing to learn from, every text gets ``und``. ``score`` is the
+    language's share of the likelihoods, with entropies per letter weighed by the
+    number of letters, ``MOST_WEIGHED`` at most. Equal entropies go to
     the first language by name. Rows that repeat an id are scored each, as are
     rows with a null id, which teach nothing; an empty table gives an empty result.
     """
@@ -255,7 +261,13 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
 
 
 def known(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = 2500, slack: float = 4.0) -> DataFrame:
-    """The rows that :func:`identify` does not reject, as they are; each row is judged on its own text, so no join is needed."""
+    """The rows that :func:`identify` does not reject, as they are; each row is judged on its own text, so no join is needed.
+
+    Null texts and texts without a letter go. Rows that repeat an id, and rows
+    with a null id, are judged each. If there is nothing to learn from (no row
+    with a language outside fold 1), no language is known and no row stays; an
+    empty table gives an empty one. Columns of any name are carried along.
+    """
     fitted = fit(df, id_col, text_col, lang_col, train_docs, slack)
     if fitted is None:
         return df.limit(0)

@@ -268,7 +268,10 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
     """Rows of kind ``record`` and, for what had to be skipped, of kind ``gap`` with its bytes ``begin`` to ``end`` and the failed check.
 
     Each file is read whole by one task, so archives should stay well below an
-    executor's memory (and under 2 GB, Spark's bound for one value).
+    executor's memory (and under 2 GB, Spark's bound for one value). An empty file
+    gives no rows, a file without any sound record one gap. Records are returned
+    as often as they are found, repeated ones too. A field that a record doesn't
+    have is null; a record without payload has an empty one of 0 bytes.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
