@@ -74,7 +74,7 @@ def publish(df: DataFrame, path: str, manifest: str) -> None:
     spark, attempt = df.sparkSession, f"a{uuid.uuid4().hex}"
     mine = f"{path}/attempt={attempt}"
     try:
-        df.write.partitionBy("batch").parquet(mine)
+        df.hint("rebalance", "batch").write.partitionBy("batch").parquet(mine)  # small batches in few files, large ones in many
     except Exception:
         delete_path(spark, mine)
         raise

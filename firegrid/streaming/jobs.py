@@ -15,6 +15,8 @@ from ..functions.grid import cell_center, in_bbox
 from ..operators.bulletin import reactive_cases, signal_windows
 from ..operators.spatial import fill_missing, latest_per
 from ..plans.weather_index import CODES, walk
+from ..sources.sinks import read_published, sweep_attempts, upsert_published
+from ..sources.staging import staged
 
 
 def stream_observations(spark: SparkSession, path: str, schema, late: str = "2 days") -> DataFrame:
@@ -79,21 +81,24 @@ def stream_updates(scores: DataFrame, bbox: tuple[float, float, float, float]) -
 def stream_reactive_cases(windows: DataFrame, per_day: int, path: str, checkpoint: str):
     """Cases of updated signal windows, at most ``per_day`` a day, whatever batches they arrive in.
 
-    Each micro-batch's windows are kept under ``path``, and the days that it
-    touches are chosen again from all their windows so far; so a day's cases are
-    those that one batch of all its rows would give. A retried batch writes the
-    same files again.
+    The windows' latest states are kept under ``path`` by day: a micro-batch reads
+    and writes the days that it touches, each once and by pointer, and their cases
+    are chosen again from all their windows; so a day's cases are those that one
+    batch of all its rows would give. A retried batch changes nothing.
     """
+    windows_at, manifest = f"{path}/windows", f"{path}/manifest"
 
     def choose(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
         if batch.isEmpty():
             return
-        batch.withColumn("day", F.to_date("first_at")).write.partitionBy("day").mode("overwrite").parquet(f"{path}/windows/batch={n}")
-        days = [r["day"] for r in spark.read.parquet(f"{path}/windows/batch={n}").select("day").distinct().collect()]  # the days of one batch
-        kept = spark.read.option("basePath", f"{path}/windows").parquet(f"{path}/windows").where(F.col("day").isin(days))
-        latest = latest_per(kept, ["commune", "window_start"], [F.desc("batch"), F.desc("signals")]).drop("day", "batch")
-        reactive_cases(latest, per_day).write.partitionBy("day").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(f"{path}/cases")
+        days = F.date_format("first_at", "yyyy-MM-dd")
+        new = staged(batch.withColumn("batch", days).withColumn("version", F.struct(F.lit(n).alias("n"), "signals")), "windows")
+        upsert_published(new, windows_at, manifest, ["commune", "window_start"], "version")
+        touched = new.select("batch").distinct()
+        latest = read_published(spark, windows_at, manifest).join(touched, "batch", "left_semi").drop("batch", "version")
+        reactive_cases(latest, per_day).hint("rebalance", "day").write.partitionBy("day").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(f"{path}/cases")
+        sweep_attempts(spark, windows_at, manifest)  # nobody else reads the windows
 
     return windows.writeStream.outputMode("update").foreachBatch(choose).option("checkpointLocation", checkpoint)
 
