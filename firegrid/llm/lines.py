@@ -279,7 +279,10 @@ class LineIndex:
     def crowded(self, least: int = LEAST_DOCS) -> DataFrame:
         """``key, n, holder``: keys that ``least`` documents hold, with the largest id of these."""
         many = stage(self.refs().where(F.col("n") >= least), "crowded")
-        return many.join(self.postings(many).groupBy("key").agg(F.max("_id").alias("holder")), "key")
+        rows = self._read(self.postings_at, self._postings)
+        # Hot keys are told where their postings lie, then these are dealt by key and document.
+        live = join_counted(rows, many.withColumn("_in", F.lit(True)), "key", "n", rows.count()).groupBy("key", "_id").agg(F.sum("sign").alias("s")).where("s > 0")
+        return many.join(live.groupBy("key").agg(F.max("_id").alias("holder")), "key")
 
     def clean(self, docs: DataFrame, keys: DataFrame | None = None, least: int = LEAST_DOCS) -> DataFrame:
         """``_id, n_lines, n_dropped, kept``: each row of ``_id, _text`` without the lines whose keys are crowded and held by a larger id. ``keys``: their staged :func:`line_keys`, if there are any."""
