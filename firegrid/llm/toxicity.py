@@ -200,14 +200,16 @@ def platt(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1e-3) -
     return a, b
 
 
-def toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_docs: int = 20_000, least_z: float = 3.5, cost: float = 0.1, most: float = 0.05) -> DataFrame:
+def toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_docs: int = 20_000, least_z: tuple[float, ...] = (3.5, 4.25, 5.0), cost: float = 0.1, most: float = 0.05) -> DataFrame:
     """One row per input row: ``<id_col>, held_out, score, passages``.
 
     Learns from labelled rows outside fold 1, at most ``train_docs`` of them (those
     of the smallest id hashes): the lexicon, the extreme-value law, and the final
     probability from each text's evidence, the last two under the lexicon without
-    that text. Lexicon tokens have a log-odds z-score of at least ``least_z``
-    either way; any other token takes off ``cost``; segments count if fewer than
+    that text. Lexicon tokens have a log-odds z-score of at least one of ``least_z``
+    either way: the more texts are labelled, the more chance tokens pass a low bar
+    and add up in long texts, so the bar is the one under which the labelled texts
+    are predicted with the least loss. Any other token takes off ``cost``; segments count if fewer than
     ``most`` such are expected by chance. Null and empty texts, and those without
     letters, have no passages and the lowest score. Null labels teach nothing;
     without labels of both kinds the score is the share of label 1 (0 if there
@@ -228,23 +230,27 @@ def toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     counts = sample.mapInArrow(_feature_counts, "token long, toxic long, clean long").groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     z, _ = log_odds(F.col("toxic"), F.col("clean"), toxic_docs, clean_docs)
-    words = counts.where(F.abs(z) >= least_z).select("token", "toxic", "clean").toArrow()  # significant tokens only
+    words = counts.where(F.abs(z) >= min(least_z)).select("token", "toxic", "clean").toArrow()  # significant tokens only
     by_key = np.argsort(words["token"].to_numpy().view(np.uint64))
     keys, hits, misses = (words[c].to_numpy()[by_key] for c in ("token", "toxic", "clean"))
 
-    def lexicon(less_toxic: int, less_clean: int) -> Lexicon:
+    def lexicon(least: float, less_toxic: int, less_clean: int) -> Lexicon:
         """From all labelled texts but one toxic or clean one that holds the token."""
         z, odds = log_odds(np.maximum(hits - less_toxic, 0), np.maximum(misses - less_clean, 0), toxic_docs - less_toxic, clean_docs - less_clean)
-        return Lexicon(keys.view(np.uint64), np.where(np.abs(z) >= least_z, odds, 0.0), cost)
-
-    # A labelled text's own evidence is taken without its part in the lexicon, else the curve would be too sure.
-    checked = [_scan(sample.where(F.col("toxic") == t), lexicon(t, 1 - t), kind).withColumn("toxic", F.lit(t)) for t in (0, 1)]
-    checked = stage(checked[0].unionByName(checked[1]), "checked")
-    clean = checked.where("toxic = 0")
-    seen = clean.select(F.explode("segments.score").alias("s")).agg(F.count("s"), F.sum("s"), F.min("s")).first()
-    law = Law.fitted(seen[0], seen[1] or 0.0, seen[2] or 0.0, clean.agg(F.sum("words")).first()[0] or 0)
-    curve = _judged(checked, law, most).select("evidence", "toxic").toArrow()  # two numbers for each of at most train_docs rows
-    x, y = curve["evidence"].to_numpy(), curve["toxic"].to_numpy().astype(float)
-    a, b = platt(np.log1p(x), y)
-    score = 1 / (1 + F.exp(-(F.lit(float(max(a, 0.0))) * F.log1p("evidence") + F.lit(float(b)))))
-    return _judged(_scan(docs, lexicon(0, 0), kind, law, most), law, most).select(F.col("_id").alias(id_col), held, score.alias("score"), "passages")
+        return Lexicon(keys.view(np.uint64), np.where(np.abs(z) >= least, odds, 0.0), cost)
+
+    def fitted(least: float) -> tuple[float, float, Law, float, float]:
+        """Mean loss on the labelled texts of lexica of one significance, with the law and the curve. A labelled text's own evidence is taken without its part in the lexicon, else the curve would be too sure."""
+        checked = [_scan(sample.where(F.col("toxic") == t), lexicon(least, t, 1 - t), kind).withColumn("toxic", F.lit(t)) for t in (0, 1)]
+        checked = stage(checked[0].unionByName(checked[1]), "checked")
+        clean = checked.where("toxic = 0")
+        seen = clean.select(F.explode("segments.score").alias("s")).agg(F.count("s"), F.sum("s"), F.min("s")).first()
+        law = Law.fitted(seen[0], seen[1] or 0.0, seen[2] or 0.0, clean.agg(F.sum("words")).first()[0] or 0)
+        curve = _judged(checked, law, most).select("evidence", "toxic").toArrow()  # two numbers for each of at most train_docs rows
+        x, y = np.log1p(curve["evidence"].to_numpy()), curve["toxic"].to_numpy().astype(float)
+        a, b = platt(x, y)
+        return float(np.logaddexp(0, np.where(y > 0, -1, 1) * (max(a, 0.0) * x + b)).mean()), least, law, max(a, 0.0), b
+
+    _, least, law, a, b = min(map(fitted, least_z), key=lambda f: f[:2])
+    score = 1 / (1 + F.exp(-(F.lit(float(a)) * F.log1p("evidence") + F.lit(float(b)))))
+    return _judged(_scan(docs, lexicon(least, 0, 0), kind, law, most), law, most).select(F.col("_id").alias(id_col), held, score.alias("score"), "passages")
