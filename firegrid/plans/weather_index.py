@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import fwi
 from ..operators.scoring import score_heuristic
 from ..functions.grid import cell_disk
-from ..operators.spatial import history_kernel, idw, max_normalize, numbered
+from ..operators.spatial import idw, max_normalize, numbered
 from ..sources.staging import staged
 
 CODES = ["ffmc", "dmc", "dc", "isi", "bui", "fwi"]
@@ -178,14 +178,22 @@ def worst_misses(scores: DataFrame, n: int = 10) -> DataFrame:
 
 
 def static_features(cells: DataFrame, lines: DataFrame, poi: DataFrame, population: DataFrame, ignitions: DataFrame, wui: DataFrame, flags: DataFrame, by: list[str]) -> DataFrame:
-    """One row per cell: neighbourhood sums and the history kernel, normalised within each partition; flags."""
-    from ..operators.spatial import ring_sum
-
-    t = cells.select("cell", *by)
-    for name, values in (("road", lines), ("power_line", lines), ("poi", poi)):
-        t = t.join(ring_sum(cells, values, name), "cell")
-    t = t.join(population.select("cell", "population"), "cell", "left").na.fill(0, ["population"]).join(history_kernel(cells, ignitions), "cell")
-    for name in ("road", "power_line", "poi", "population", "hist"):
-        t = max_normalize(t, name, by)
-    t = t.join(wui.select("cell", F.lit(True).alias("_w")), "cell", "left").join(flags.select("cell", "combustible", "agricultural"), "cell", "left").na.fill(False, ["_w", "combustible", "agricultural"])
-    return t.withColumn("wui", F.when(F.col("_w"), 1.0).otherwise(0.0)).withColumn("agri", F.when(F.col("agricultural"), 1.0).otherwise(0.0)).drop("_w", "agricultural")
+    """One row per cell: neighbourhood sums and the history kernel, normalised within each partition; flags.
+
+    Everything that a cell gets, from itself or a neighbour, is a row of one union,
+    added up in one shuffle by cell; the partitions' maxima are one aggregate.
+    """
+    measures, marks = ["road", "power_line", "poi", "population", "hist"], ["_w", "combustible", "agricultural"]
+    hits = ignitions.groupBy("cell").agg(F.count("*").alias("n")).select(F.explode(cell_disk(F.col("cell"), 2)).alias("d"), (F.col("n") * F.pow(F.lit(0.5), F.col("d.ring"))).alias("hist"))
+    spread = lambda t, *names: t.select(F.explode(cell_disk(F.col("cell"), 1)).alias("d"), *names).select(F.col("d.cell").alias("cell"), *names)
+    parts = [spread(lines, "road", "power_line"), spread(poi, "poi"), population.select("cell", "population"), hits.select(F.col("d.cell").alias("cell"), "hist")]
+    parts += [wui.select("cell", F.lit(True).alias("_w")), flags.select("cell", "combustible", "agricultural")]
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part, allowMissingColumns=True)
+    sums = every.groupBy("cell").agg(*(F.sum(m).cast("double").alias(m) for m in measures), *(F.max(m).alias(m) for m in marks))
+    t = cells.select("cell", *by).join(sums, "cell", "left").na.fill(0.0, measures).na.fill(False, marks)
+    top = t.groupBy(*by).agg(*(F.max(m).alias(f"_top_{m}") for m in measures))
+    t = t.join(top, by).withColumns({m: F.when(F.col(f"_top_{m}") > 0, F.col(m) / F.col(f"_top_{m}")).otherwise(0.0) for m in measures})
+    t = t.withColumn("wui", F.when(F.col("_w"), 1.0).otherwise(0.0)).withColumn("agri", F.when(F.col("agricultural"), 1.0).otherwise(0.0))
+    return t.drop("_w", "agricultural", *(f"_top_{m}" for m in measures))
