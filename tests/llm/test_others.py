@@ -498,3 +498,21 @@ def test_held_out_scores_on_given_tables(spark):
     for query, column, least in ((queries.op5_quality, "quality", 0.97), (queries.op10_toxicity, "toxic", 0.95)):
         got = query(spark, d).where("held_out").join(labels, "doc_id").toPandas()
         assert (got.predicted == got[column]).mean() > least, column
+
+
+def test_the_bar_of_least_loss_is_taken(spark):
+    rng = np.random.default_rng(12)
+    common = [f"{a}{b}ing" for a in "bcdfghjk" for b in "aeiouy"]
+    rows, marks = [], []
+    for k in range(400):
+        bad = k % 4 == 0
+        words = list(rng.choice(common, int(rng.integers(5, 60)))) + (["vileword", "hateful"] if bad else [])
+        rows.append((k, " ".join(map(str, rng.permutation(words)))))
+        marks.append((k, int(bad)))
+    df, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")
+    run = lambda *bars: toxicity.toxicity(df, labels, least_z=bars).select("doc_id", "held_out", "score").toPandas().set_index("doc_id").sort_index()
+    low, high, both = run(1.5), run(4.0), run(1.5, 4.0)
+    truth = np.array([m for _, m in marks])
+    right = lambda t: (((t.score >= 0.7) == (truth == 1)) & t.held_out).sum()
+    assert both.equals(high) or both.equals(low)
+    assert right(both) == max(right(low), right(high)) >= 0.98 * both.held_out.sum(), (right(low), right(high))
