@@ -229,11 +229,9 @@ class LineIndex:
     def _postings(self) -> str:
         return f"key binary, _id {self.kind}, sign int"
 
-    def postings(self, keys: DataFrame | None = None) -> DataFrame:
-        """``key, _id``: the live references, of some keys or all."""
-        t = self._read(self.postings_at, self._postings)
-        t = t.join(keys.select("key"), "key", "left_semi") if keys is not None else t
-        return t.groupBy("key", "_id").agg(F.sum("sign").alias("n")).where("n > 0").drop("n")
+    def postings(self) -> DataFrame:
+        """``key, _id``: the live references."""
+        return self._read(self.postings_at, self._postings).groupBy("key", "_id").agg(F.sum("sign").alias("n")).where("n > 0").drop("n")
 
     def refs(self) -> DataFrame:
         """``key, n``: the number of documents that hold each key."""
@@ -252,9 +250,15 @@ class LineIndex:
     def insert(self, keys: DataFrame) -> LineIndex:
         """The index with documents' keys (``key, _id``; further columns aside); references that it has already are not counted again."""
         new = stage(keys.select("key", "_id").distinct(), "new")
-        probed = self._probed(new.select("key").distinct())
-        known = self.postings(probed.where("seen")).withColumnsRenamed({"key": "_k", "_id": "_i"})
-        fresh = new.join(known, (F.col("key") == F.col("_k")) & F.col("_id").eqNullSafe(F.col("_i")), "left_anti")
+        counted = stage(new.groupBy("key").agg(F.count("*").alias("m")), "counted")
+        probed = self._probed(counted.select("key"))
+        # References to keys that the filters may hold; hot keys are told to their rows, and these meet the tables by key and document.
+        seen = counted.join(probed.where("seen").select("key"), "key").withColumn("_in", F.lit(True))
+        asked = stage(join_counted(new, seen, "key", "m", new.count()).select(F.col("key").alias("_k"), F.col("_id").alias("_i")), "asked")
+        same = (F.col("key") == F.col("_k")) & F.col("_id").eqNullSafe(F.col("_i"))
+        held = self._read(self.postings_at, self._postings).join(asked, same, "left_semi")
+        known = held.groupBy("key", "_id").agg(F.sum("sign").alias("s")).where("s > 0").select(F.col("key").alias("_k"), F.col("_id").alias("_i"))
+        fresh = new.join(known, same, "left_anti")
         fresh = stage(fresh.withColumn("sign", F.lit(1)), "fresh")
         kept = probed.where("full = false").select("shard", "data")
         over = probed.where("full").select("shard")
