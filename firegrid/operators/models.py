@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,13 +25,18 @@ def fit_transform(train: DataFrame, scaling: dict[str, str]) -> dict[str, tuple[
     return rules
 
 
-def transform(df: DataFrame, rules: dict[str, tuple[str, float, float, float]]) -> DataFrame:
-    """Missing values filled with the training median, then scaled."""
+def scaled(rules: dict[str, tuple[str, float, float, float]]) -> dict[str, Column]:
+    """The columns of :func:`transform`."""
     out = {}
     for name, (kind, fill, centre, scale) in rules.items():
         v = F.coalesce(F.col(name).cast("double"), F.lit(fill))
         out[name] = F.log1p(F.greatest(v, F.lit(0.0))) if kind == "log1p" else (v - centre) / scale
-    return df.withColumns(out)
+    return out
+
+
+def transform(df: DataFrame, rules: dict[str, tuple[str, float, float, float]]) -> DataFrame:
+    """Missing values filled with the training median, then scaled."""
+    return df.withColumns(scaled(rules))
 
 
 def _assemble(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -45,28 +53,52 @@ def fit_logistic(df: DataFrame, columns: list[str], l2: float = 0.01, weight: st
     return (model.setWeightCol(weight) if weight else model).fit(_assemble(df, columns))
 
 
+def _logistic(xs: list[Column], weights: list[float], bias: float) -> Column:
+    return 1 / (1 + F.exp(-sum((F.lit(w) * x for x, w in zip(xs, weights, strict=True)), F.lit(bias))))
+
+
 def fit_descent(df: DataFrame, columns: list[str], l2: float = 0.01, steps: int = 300, rate: float = 0.3, label: str = "label") -> tuple[list[float], float]:
     """Weights and bias of logistic regression after so many full-batch gradient steps from zero; the penalty leaves the bias alone.
 
-    A step is one aggregate over the table, which is written down once with the
-    columns that it needs; only the gradient reaches the driver. An empty table
-    gives zeros. For a converged fit use :func:`fit_logistic`.
+    An empty table gives zeros. For a converged fit use :func:`fit_logistic`.
     """
-    t = staged(df.select(F.col(label).cast("double").alias("_y"), *(F.col(c).cast("double").alias(f"_x{k}") for k, c in enumerate(columns))), "descent")
-    weights, bias = [0.0] * len(columns), 0.0
+    return fit_descents(df, [(F.lit(True), [F.col(c) for c in columns], F.lit(1.0))], [l2], steps, rate, label)[0][0]
+
+
+def fit_descents(df: DataFrame, parts: list[tuple[Column, list[Column], Column]], penalties: list[float], steps: int = 300, rate: float = 0.3, label: str = "label") -> list[list[tuple[list[float], float]]]:
+    """As :func:`fit_descent`, for every part (which rows train, features, weight of a row) and penalty at once.
+
+    The table is written down once with what the parts need; a step is one aggregate
+    over it that takes all gradients, so folds, years and penalties cost one pass
+    together, and only gradients reach the driver. A row that lacks its label,
+    weight or a feature does not train; a part without rows gives zeros.
+    """
+    y, made = F.col(label).cast("double"), {}
+    for p, (train, xs, weight) in enumerate(parts):
+        xs = [x.cast("double") for x in xs]
+        made[f"_w{p}"] = F.when(reduce(and_, (c.isNotNull() for c in (y, *xs)), train), weight.cast("double"))
+        made |= {f"_x{p}_{k}": x for k, x in enumerate(xs)}
+    t = staged(df.select(y.alias("_y"), *(c.alias(n) for n, c in made.items())), "descent")
+    features = [[F.col(f"_x{p}_{k}") for k in range(len(xs))] for p, (_, xs, _) in enumerate(parts)]
+    mass = t.agg(*(F.sum(f"_w{p}") for p in range(len(parts)))).first()
+    fits = [[([0.0] * len(xs), 0.0) for _ in penalties] for xs in features]
     for _ in range(steps):
-        z = sum((F.lit(w) * F.col(f"_x{k}") for k, w in enumerate(weights)), F.lit(bias))
-        error = 1 / (1 + F.exp(-z)) - F.col("_y")
-        down, *slopes = t.agg(F.avg(error), *(F.avg(error * F.col(f"_x{k}")) for k in range(len(columns)))).first()
-        if down is None:
-            break
-        weights = [w - rate * (g + l2 * w) for w, g in zip(weights, slopes, strict=True)]
-        bias -= rate * down
-    return weights, bias
+        sums = []
+        for p, xs in enumerate(features):
+            for weights, bias in fits[p]:
+                error = F.col(f"_w{p}") * (_logistic(xs, weights, bias) - F.col("_y"))
+                sums += [F.sum(error), *(F.sum(error * x) for x in xs)]
+        got = iter(t.agg(*sums).first())
+        for p, xs in enumerate(features):
+            for m, (l2, (weights, bias)) in enumerate(zip(penalties, fits[p], strict=True)):
+                down, *slopes = [next(got) for _ in range(len(xs) + 1)]
+                if mass[p]:
+                    fits[p][m] = [w - rate * (g / mass[p] + l2 * w) for w, g in zip(weights, slopes, strict=True)], bias - rate * down / mass[p]
+    return fits
 
 
 def score_descent(df: DataFrame, columns: list[str], weights: list[float], bias: float, name: str = "fitted") -> DataFrame:
-    return df.withColumn(name, 1 / (1 + F.exp(-sum((F.lit(w) * F.col(c) for c, w in zip(columns, weights, strict=True)), F.lit(bias)))))
+    return df.withColumn(name, _logistic([F.col(c) for c in columns], weights, bias))
 
 
 def score_with(model, df: DataFrame, columns: list[str]) -> DataFrame:
@@ -90,19 +122,56 @@ def platt(df: DataFrame, score: str = "score") -> DataFrame:
     return score_with(model, df, [score]).withColumnRenamed("fitted", "calibrated")
 
 
-def forward_cv(df: DataFrame, columns: list[str], years: list[int], penalties: list[float]) -> DataFrame:
-    """``year, l2, auc, brier`` for each penalty and validation year: fitted on earlier years, with their statistics only, and measured on that year."""
-    scored = None
+def _descended(df: DataFrame, parts: list[tuple[dict[str, Column], Column, Column, Column, dict]], penalties: list[float], steps: int) -> DataFrame:
+    """``label, fitted, l2`` and a part's names, of the rows that each part holds out; ``parts``: names, rows that train, rows held out, weight, scaling."""
+    features = [list(scaled(rules).values()) for *_, rules in parts]
+    fits = fit_descents(df, [(train, xs, weight) for (_, train, _, weight, _), xs in zip(parts, features, strict=True)], penalties, steps)
+    held = [
+        F.when(held, F.struct(*(c.alias(n) for n, c in names.items()), F.lit(float(l2)).alias("l2"), _logistic(xs, *fit).alias("fitted")))
+        for (names, _, held, _, _), xs, own in zip(parts, features, fits, strict=True) for l2, fit in zip(penalties, own, strict=True)
+    ]
+    return df.select("label", F.explode(F.array_compact(F.array(*held))).alias("_s")).select("label", "_s.*")
+
+
+def forward_cv(df: DataFrame, columns: list[str], years: list[int], penalties: list[float], steps: int | None = None) -> DataFrame:
+    """``year, l2, auc, brier`` for each penalty and validation year: fitted on earlier years, with their statistics only, and measured on that year. With ``steps``, all fits descend together (:func:`fit_descents`)."""
+    scaling, y, scored = {c: "standard" for c in columns}, F.col("year"), None
+    if steps:
+        parts = [({"year": F.lit(year)}, y < year, y == year, F.lit(1.0), fit_transform(df.where(y < year), scaling)) for year in years]
+        return _measured(_descended(df, parts, penalties, steps), ["year", "l2"])
     for year in years:
-        rules = fit_transform(df.where(F.col("year") < year), {c: "standard" for c in columns})
-        t = staged(transform(df.where(F.col("year") <= year), rules), "years")
+        rules = fit_transform(df.where(y < year), scaling)
+        t = staged(transform(df.where(y <= year), rules), "years")
         for l2 in penalties:
-            model = fit_logistic(t.where(F.col("year") < year), list(rules), l2)
-            s = score_with(model, t.where(F.col("year") == year), list(rules)).select(F.lit(year).alias("year"), F.lit(float(l2)).alias("l2"), "label", "fitted")
+            model = fit_logistic(t.where(y < year), list(rules), l2)
+            s = score_with(model, t.where(y == year), list(rules)).select(F.lit(year).alias("year"), F.lit(float(l2)).alias("l2"), "label", "fitted")
             scored = s if scored is None else scored.unionByName(s)
     return _measured(scored, ["year", "l2"])
 
 
+def forward_cv_boosted(df: DataFrame, columns: list[str], years: list[int], grid: list[tuple[int, int, float]], least_rows: int = 100) -> DataFrame:
+    """As :func:`forward_cv` for boosted trees: ``year, rounds, depth, rate, auc, brier``. A year with under ``least_rows`` rows before it, or none of its own, is left out; without any year the table is empty."""
+    y = F.col("year")
+    sizes = df.agg(*(F.count_if(c) for year in years for c in (y < year, y == year))).first()
+    scored = df.sparkSession.createDataFrame([], "year int, rounds int, depth int, rate double, label int, fitted double")
+    for year, before, own in zip(years, sizes[::2], sizes[1::2], strict=True):
+        if before < least_rows or not own:
+            continue
+        rules = fit_transform(df.where(y < year), {c: "standard" for c in columns})
+        t = staged(transform(df.where(y <= year), rules).select("year", "label", *rules), "years")
+        for rounds, depth, rate in grid:
+            model = fit_boosted(t.where(y < year), list(rules), rounds=rounds, depth=depth, rate=rate)
+            named = {"year": F.lit(year), "rounds": F.lit(rounds), "depth": F.lit(depth), "rate": F.lit(float(rate))}
+            scored = scored.unionByName(score_boosted(t.where(y == year), model).select(*(c.alias(n) for n, c in named.items()), F.col("label").cast("int").alias("label"), "fitted"))
+    return _measured(scored, ["year", "rounds", "depth", "rate"])
+
+
+def choose(measured: DataFrame, by: list[str]) -> DataFrame:
+    """``by, auc, years``: the setting of largest mean ROC AUC over the validation years (ties: the smallest in the order of ``by``); one row, none of an empty table."""
+    means = measured.groupBy(*by).agg(F.avg("auc").alias("auc"), F.count("*").alias("years"))
+    return means.orderBy(F.desc("auc"), *by).limit(1)
+
+
 def _measured(scored: DataFrame, by: list[str]) -> DataFrame:
     """ROC AUC and Brier score of ``label, fitted`` in each group, from one table of all groups."""
     t = staged(scored, "scored")
@@ -114,14 +183,16 @@ def spatial_fold(parent: Column, folds: int = 5) -> Column:
     return F.pmod(parent, F.lit(folds)).cast("int")
 
 
-def spatial_cv(df: DataFrame, columns: list[str], folds: int = 5) -> DataFrame:
-    """``fold, auc, brier``: fitted without each fold of coarse cells, with the statistics of the rest, and measured on it."""
-    t = df.withColumn("fold", spatial_fold(F.col("parent"), folds))
-    scored = None
+def spatial_cv(df: DataFrame, columns: list[str], folds: int = 5, steps: int | None = None) -> DataFrame:
+    """``fold, auc, brier``: fitted without each fold of coarse cells, with the statistics of the rest, and measured on it. With ``steps``, all fits descend together (:func:`fit_descents`)."""
+    t, fold, scored = df.withColumn("fold", spatial_fold(F.col("parent"), folds)), F.col("fold"), None
+    if steps:
+        parts = [({"fold": F.lit(k)}, fold != k, fold == k, F.lit(1.0), fit_transform(t.where(fold != k), {c: "standard" for c in columns})) for k in range(folds)]
+        return _measured(_descended(t, parts, [0.01], steps), ["fold"])
     for k in range(folds):
-        rules = fit_transform(t.where(F.col("fold") != k), {c: "standard" for c in columns})
+        rules = fit_transform(t.where(fold != k), {c: "standard" for c in columns})
         s = staged(transform(t, rules), "folds")
-        held = score_with(fit_logistic(s.where(F.col("fold") != k), list(rules)), s.where(F.col("fold") == k), list(rules)).select("fold", "label", "fitted")
+        held = score_with(fit_logistic(s.where(fold != k), list(rules)), s.where(fold == k), list(rules)).select("fold", "label", "fitted")
         scored = held if scored is None else scored.unionByName(held)
     return _measured(scored, ["fold"])
 
@@ -146,16 +217,20 @@ def repeats(df: DataFrame, label: str = "label") -> DataFrame:
     return t.select(F.coalesce(F.greatest(F.lit(1), F.floor((F.col("n") - F.col("p")) / F.nullif("p", F.lit(0)) + 0.5)), F.lit(1)).cast("long").alias("repeats"))
 
 
-def compare_weighting(train: DataFrame, calibration: DataFrame, columns: list[str], l2: float = 0.01) -> DataFrame:
-    """``weighting, auc, brier, log_loss, ece`` on the calibration rows, of a logistic fit on the training rows as they are and with positives counted :func:`repeats` times; both take the training rows' scaling."""
+def compare_weighting(train: DataFrame, calibration: DataFrame, columns: list[str], l2: float = 0.01, steps: int | None = None) -> DataFrame:
+    """``weighting, auc, brier, log_loss, ece`` on the calibration rows, of a logistic fit on the training rows as they are and with positives counted :func:`repeats` times; both take the training rows' scaling. With ``steps``, both fits descend together (:func:`fit_descents`)."""
     rules = fit_transform(train, {c: "standard" for c in columns})
-    names = list(rules)
-    t = staged(transform(train, rules).withColumn("_w", F.when(F.col("label") == 1, F.lit(float(repeats(train).first()[0]))).otherwise(1.0)), "weighted")
-    held, scored = transform(calibration, rules), None
-    for name, weight in (("none", None), ("class", "_w")):
-        s = score_with(fit_logistic(t, names, l2, weight), held, names).select(F.lit(name).alias("weighting"), "label", "fitted")
-        scored = s if scored is None else scored.unionByName(s)
+    names, by, scored = list(rules), ["weighting"], None
+    weight = F.when(F.col("label") == 1, F.lit(float(repeats(train).first()[0]))).otherwise(1.0)
+    if steps:
+        both = train.select("label", *columns, F.lit(False).alias("_held")).unionByName(calibration.select("label", *columns, F.lit(True).alias("_held")))
+        parts = [({"weighting": F.lit(name)}, ~F.col("_held"), F.col("_held"), w, rules) for name, w in (("none", F.lit(1.0)), ("class", weight))]
+        scored = _descended(both, parts, [l2], steps)
+    else:
+        t, held = staged(transform(train, rules).withColumn("_w", weight), "weighted"), transform(calibration, rules)
+        for name, own in (("none", None), ("class", "_w")):
+            s = score_with(fit_logistic(t, names, l2, own), held, names).select(F.lit(name).alias("weighting"), "label", "fitted")
+            scored = s if scored is None else scored.unionByName(s)
     scored = staged(scored, "scored")
-    by = ["weighting"]
     out = roc_auc(scored, "fitted", by=by).join(point_metrics(scored, "fitted", by=by).select(*by, "brier", "log_loss"), by)
     return out.join(ece(scored, "fitted", by=by), by)

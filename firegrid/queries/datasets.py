@@ -495,18 +495,19 @@ def m4_platt_descent(spark, d):
     return models.score_descent(t, ["score"], *fit, "calibrated").select("id", F.round("calibrated", 6).alias("calibrated"))
 
 
-def _boosted_sql(features: list[str], rounds: int, depth: int = 3, rate: float = 0.1, least: int = 20) -> str:
-    """Definitions ``z<rounds>`` (rows with their log-odds ``z``) and ``b<round>_<level>`` (splits ``node, f, v``) of boosted trees over ``base``: ``id, label, train`` and the features. One definition a level: order statistics and sums up to them are windows over a node's rows."""
-    out = ["s AS (SELECT sum(label) / count(*)::DOUBLE AS p FROM base WHERE train)", "z0 AS MATERIALIZED (SELECT base.*, ln(p / (1 - p)) AS z FROM base, s)"]
+def _boosted_sql(features: list[str], rounds: int, depth: int = 3, rate: float = 0.1, least: int = 20, base: str = "base", at: str = "") -> str:
+    """Definitions ``z<rounds>`` (rows with their log-odds ``z``) and ``b<round>_<level>`` (splits ``node, f, v``) of boosted trees over ``base``: ``id, label, train`` and the features. One definition a level: order statistics and sums up to them are windows over a node's rows. ``at`` goes before the names."""
+    out = [f"{at}s AS (SELECT sum(label) / count(*)::DOUBLE AS p FROM {base} WHERE train)", f"{at}z0 AS MATERIALIZED (SELECT i.*, ln(p / (1 - p)) AS z FROM {base} i, {at}s)"]
     for k in range(rounds):
-        out.append(f"t{k}_0 AS MATERIALIZED (SELECT *, label - 1 / (1 + exp(-z)) AS r, 0 AS node FROM z{k})")
+        out.append(f"{at}t{k}_0 AS MATERIALIZED (SELECT *, label - 1 / (1 + exp(-z)) AS r, 0 AS node FROM {at}z{k})")
         for level in range(depth):
-            t = f"t{k}_{level}"
+            t, b = f"{at}t{k}_{level}", f"{at}b{k}_{level}"
             sides = " UNION ALL ".join(f"SELECT node, {f} AS f, d, {c} AS v, cnt, tot, below, s FROM (SELECT node, {c}, row_number() OVER (PARTITION BY node ORDER BY {c}) - 1 AS i, count(*) OVER (PARTITION BY node) AS cnt, sum(r) OVER (PARTITION BY node) AS tot, count(*) OVER (PARTITION BY node ORDER BY {c}) AS below, sum(r) OVER (PARTITION BY node ORDER BY {c}) AS s FROM {t} WHERE train), range(1, 10) x(d) WHERE cnt >= {least} AND i = least(cnt * d // 10, cnt - 1)" for f, c in enumerate(features))
-            out.append(f"b{k}_{level} AS MATERIALIZED (SELECT node, f, v FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY round(s * s / below + (tot - s) * (tot - s) / (cnt - below), 9) DESC, f, d) AS best FROM ({sides}) WHERE below < cnt) WHERE best = 1)")
+            out.append(f"{b} AS MATERIALIZED (SELECT node, f, v FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY round(s * s / below + (tot - s) * (tot - s) / (cnt - below), 9) DESC, f, d) AS best FROM ({sides}) WHERE below < cnt) WHERE best = 1)")
             value = "CASE b.f " + " ".join(f"WHEN {f} THEN {c}" for f, c in enumerate(features)) + " END"
-            out.append(f"t{k}_{level + 1} AS MATERIALIZED (SELECT t.* EXCLUDE (node), CASE WHEN b.node IS NULL THEN t.node WHEN {value} <= b.v THEN 2 * t.node + 1 ELSE 2 * t.node + 2 END AS node FROM {t} t LEFT JOIN b{k}_{level} b ON b.node = t.node)")
-        out.append(f"z{k + 1} AS MATERIALIZED (SELECT t.* EXCLUDE (node, r, z), z + {rate}::DOUBLE * l.v AS z FROM t{k}_{depth} t JOIN (SELECT node, sum(r) / count(*) AS v FROM t{k}_{depth} WHERE train GROUP BY node) l ON l.node = t.node)")
+            out.append(f"{at}t{k}_{level + 1} AS MATERIALIZED (SELECT t.* EXCLUDE (node), CASE WHEN b.node IS NULL THEN t.node WHEN {value} <= b.v THEN 2 * t.node + 1 ELSE 2 * t.node + 2 END AS node FROM {t} t LEFT JOIN {b} b ON b.node = t.node)")
+        leaves = f"{at}t{k}_{depth}"
+        out.append(f"{at}z{k + 1} AS MATERIALIZED (SELECT t.* EXCLUDE (node, r, z), z + {rate}::DOUBLE * l.v AS z FROM {leaves} t JOIN (SELECT node, sum(r) / count(*) AS v FROM {leaves} WHERE train GROUP BY node) l ON l.node = t.node)")
     return ", ".join(out)
 
 
@@ -540,6 +541,71 @@ def m7_forward_cv(spark, d):
     return models.forward_cv(views.labeled(spark, d), ["x1", "x2"], [1997, 1998, 1999], [0.0, 0.001, 0.01, 0.1])
 
 
+def _measured_sql(scored: str, by: str) -> str:
+    """``mt``: ``by``, ROC AUC, Brier score, log-loss and calibration error of ``scored``: ``by, y, s``."""
+    return f"""mp AS MATERIALIZED (SELECT {by}, y, s FROM {scored}), mg AS (SELECT {by}, s, sum(y) AS p, sum(1 - y) AS n FROM mp GROUP BY {by}, s),
+    mu AS (SELECT {by}, p, n, coalesce(sum(p) OVER (PARTITION BY {by} ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ab FROM mg), ma AS (SELECT {by}, coalesce(sum(n * (ab + p / 2.0)) / nullif(sum(p) * sum(n), 0), 0.5)::DOUBLE AS auc FROM mu GROUP BY {by}),
+    mc AS (SELECT {by}, sum(n * abs(ms - l)) / sum(n) AS ece FROM (SELECT {by}, count(*) AS n, avg(s) AS ms, avg(y) AS l FROM mp GROUP BY {by}, least(floor(s * 10), 9)) GROUP BY {by}),
+    mt AS (SELECT * FROM (SELECT {by}, avg(pow(s - y, 2)) AS brier, avg(-(y * ln(greatest(1e-12, least(1 - 1e-12, s))) + (1 - y) * ln(1 - greatest(1e-12, least(1 - 1e-12, s))))) AS log_loss FROM mp GROUP BY {by}) JOIN ma USING ({by}) JOIN mc USING ({by}))"""
+
+
+def _descended_sql(rows: str, parts: str) -> str:
+    """``mt`` by ``k, l2`` of descents: ``rows`` gives ``k, l2, held, w, y, x1, x2`` (a weight; not standardised), of ``parts``: ``k, l2``."""
+    e = "w * (1 / (1 + exp(-(b + w1 * x1 + w2 * x2))) - y)"
+    return (
+        f"""dp AS (SELECT k, l2::DOUBLE AS l2 FROM {parts}), dr AS ({rows}), ds AS (SELECT k, l2, avg(x1) AS m1, stddev_pop(x1) AS s1, avg(x2) AS m2, stddev_pop(x2) AS s2 FROM dr WHERE NOT held GROUP BY 1, 2),
+    dt AS (SELECT k, l2, held, w, y, (x1 - m1) / s1 AS x1, (x2 - m2) / s2 AS x2 FROM dr JOIN ds USING (k, l2)),
+    dg AS (SELECT k, l2, 0 AS step, 0::DOUBLE AS b, 0::DOUBLE AS w1, 0::DOUBLE AS w2 FROM dp UNION ALL SELECT k, l2, step + 1, b - {_RATE}::DOUBLE * sum({e}) / sum(w), w1 - {_RATE}::DOUBLE * (sum({e} * x1) / sum(w) + l2 * w1), w2 - {_RATE}::DOUBLE * (sum({e} * x2) / sum(w) + l2 * w2) FROM dg JOIN dt USING (k, l2) WHERE NOT held AND step < {_STEPS} GROUP BY k, l2, step, b, w1, w2),
+    dh AS (SELECT k, l2, y, 1 / (1 + exp(-(b + w1 * x1 + w2 * x2))) AS s FROM dg JOIN dt USING (k, l2) WHERE held AND step = {_STEPS}), """
+        + _measured_sql("dh", "k, l2")
+    )
+
+
+_PENALTIES = [0.001, 0.01, 0.1, 1.0]
+_FORWARD = (
+    _L + ", " + _descended_sql(
+        "SELECT k, l2, year = k AS held, 1::DOUBLE AS w, label AS y, x1, x2 FROM v_labeled JOIN dp ON year <= k",
+        "(SELECT unnest([1997, 1998, 1999]) AS k) CROSS JOIN (SELECT unnest(" + str(_PENALTIES) + ") AS l2)",
+    )
+)
+
+
+@query(_FORWARD + " SELECT k::INTEGER AS year, l2, round(auc, 6) AS auc, round(brier, 6) AS brier FROM mt")
+def m7_forward_descent(spark, d):
+    return _forward(spark, d).select("year", "l2", F.round("auc", 6).alias("auc"), F.round("brier", 6).alias("brier"))
+
+
+def _forward(spark, d):
+    from ..operators.models import forward_cv
+
+    return forward_cv(views.labeled(spark, d), ["x1", "x2"], [1997, 1998, 1999], _PENALTIES, _STEPS)
+
+
+@query(_FORWARD + " SELECT l2, round(avg(round(auc, 9)), 6) AS auc, count(*) AS years FROM mt GROUP BY l2 ORDER BY avg(round(auc, 9)) DESC, l2 LIMIT 1")
+def m7_choose_penalty(spark, d):
+    from ..operators.models import choose
+
+    return choose(_forward(spark, d).withColumn("auc", F.round("auc", 9)), ["l2"]).withColumn("auc", F.round("auc", 6))
+
+
+_GRID = [(3, 2, 0.1), (3, 3, 0.1)]
+_BOOSTED_PARTS = [(y, *g, f"q{y}_{g[1]}_") for y in (1998, 1999) for g in _GRID]
+_BOOSTED_CV = (
+    _L + ", " + ", ".join(f"base{y} AS (SELECT id, label, year, year < {y} AS train, x1, x2 FROM v_labeled WHERE year <= {y})" for y in (1998, 1999))
+    + ", " + ", ".join(_boosted_sql(["x1", "x2"], n, depth, rate, base=f"base{y}", at=at) for y, n, depth, rate, at in _BOOSTED_PARTS)
+    + ", mh AS (" + " UNION ALL ".join(f"SELECT {y} AS year, {n} AS rounds, {depth} AS depth, {rate}::DOUBLE AS rate, label AS y, round(1 / (1 + exp(-z)), 12) AS s FROM {at}z{n} WHERE NOT train" for y, n, depth, rate, at in _BOOSTED_PARTS) + "), "
+    + _measured_sql("mh", "year, rounds, depth, rate")
+)
+
+
+@query(_BOOSTED_CV + " SELECT rounds, depth, rate, round(avg(round(auc, 9)), 6) AS auc, count(*) AS years FROM mt GROUP BY 1, 2, 3 ORDER BY avg(round(auc, 9)) DESC, 1, 2, 3 LIMIT 1")
+def m7_choose_trees(spark, d):
+    from ..operators.models import choose, forward_cv_boosted
+
+    cv = forward_cv_boosted(views.labeled(spark, d), ["x1", "x2"], [1998, 1999], _GRID)
+    return choose(cv.withColumn("auc", F.round("auc", 9)), ["rounds", "depth", "rate"]).withColumn("auc", F.round("auc", 6))
+
+
 _ROUNDS = (
     _L
     + """, d AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS no FROM (SELECT DISTINCT date FROM v_labeled)), dr AS (SELECT r, ('0x' || substr(md5('11|' || r || '|' || no), 1, 8))::BIGINT % (SELECT count(*) FROM d) AS no FROM d, (SELECT unnest(range(0, 200)) AS r)),
@@ -576,6 +642,16 @@ def m10_spatial_cv(spark, d):
     return spatial_cv(views.labeled(spark, d), ["x1", "x2"])
 
 
+@query(
+    _L + ", " + _descended_sql("SELECT k, l2, parent % 5 = k AS held, 1::DOUBLE AS w, label AS y, x1, x2 FROM v_labeled, dp", "(SELECT unnest(range(5)) AS k, 0.01 AS l2)")
+    + " SELECT k::INTEGER AS fold, round(auc, 6) AS auc, round(brier, 6) AS brier FROM mt"
+)
+def m10_spatial_descent(spark, d):
+    from ..operators.models import spatial_cv
+
+    return spatial_cv(views.labeled(spark, d), ["x1", "x2"], steps=_STEPS).select("fold", F.round("auc", 6).alias("auc"), F.round("brier", 6).alias("brier"))
+
+
 @query()
 def m11_importances(spark, d):
     from ..operators import models
@@ -603,6 +679,19 @@ def m11_weighting(spark, d):
     return compare_weighting(t.where("year < 1998"), t.where("year = 1998"), ["x1", "x2"])
 
 
+@query(
+    _L + ", c AS (SELECT greatest(1, round(sum(1 - label) / sum(label)))::DOUBLE AS n FROM v_labeled WHERE year < 1998), "
+    + _descended_sql("SELECT k, l2, year = 1998 AS held, CASE WHEN k = 'class' AND label = 1 THEN n ELSE 1::DOUBLE END AS w, label AS y, x1, x2 FROM v_labeled, c, dp WHERE year <= 1998", "(SELECT unnest(['none', 'class']) AS k, 0.01 AS l2)")
+    + " SELECT k AS weighting, round(auc, 6) AS auc, round(brier, 6) AS brier, round(log_loss, 6) AS log_loss, round(ece, 6) AS ece FROM mt"
+)
+def m11_weighting_descent(spark, d):
+    from ..operators.models import compare_weighting
+
+    t = views.labeled(spark, d)
+    out = compare_weighting(t.where("year < 1998"), t.where("year = 1998"), ["x1", "x2"], steps=_STEPS)
+    return out.select("weighting", *(F.round(m, 6).alias(m) for m in ("auc", "brier", "log_loss", "ece")))
+
+
 @query(_L + " SELECT greatest(1, round(sum(1 - label) / sum(label)))::BIGINT AS repeats FROM v_labeled WHERE year < 1998")
 def m11_repeats(spark, d):
     from ..operators.models import repeats
