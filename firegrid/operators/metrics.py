@@ -212,18 +212,19 @@ def interval(rounds: DataFrame, names: list[str]) -> DataFrame:
     return rounds.agg(*(F.percentile(n, F.lit(q)).alias(f"{n}_{label}") for n in names for q, label in ((0.025, "low"), (0.975, "high"))))
 
 
-def feature_stats(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Per feature: present and missing rows, mean, population deviation, nearest-rank 5, 50 and 95 % points, extremes."""
-    long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in columns))).alias("x")).select("x.*")
-    base = long.groupBy("feature").agg(F.count("v").alias("present"), F.count_if(F.col("v").isNull()).alias("missing"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    values = long.where("v is not null").groupBy("feature", "v").agg(F.count("*").alias("n"))
-    span = values.join(base.select("feature", "lo", "hi", "present"), "feature")
+def feature_stats(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
+    """Per group and feature: present and missing rows, mean, population deviation, nearest-rank 5, 50 and 95 % points, extremes."""
+    keys = [*(by or []), "feature"]
+    long = df.select(*(by or []), F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in columns))).alias("x")).select(*(by or []), "x.*")
+    base = long.groupBy(*keys).agg(F.count("v").alias("present"), F.count_if(F.col("v").isNull()).alias("missing"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    values = long.where("v is not null").groupBy(*keys, "v").agg(F.count("*").alias("n"))
+    span = values.join(base.select(*keys, "lo", "hi", "present"), keys)
     scaled = span.withColumn("_s", F.when(F.col("hi") > F.col("lo"), 1 - (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0))
-    r = running(scaled, ["feature"], ["_s"], {"before": "n"})
+    r = running(scaled, keys, ["_s"], {"before": "n"})
     at = lambda q: F.floor((F.col("present") - 1) * q + 0.5)
     holds = lambda q: (F.col("before") <= at(q)) & (at(q) < F.col("before") + F.col("n"))
-    points = r.groupBy("feature").agg(*(F.max(F.when(holds(q), F.col("v"))).alias(name) for q, name in ((0.05, "p05"), (0.5, "median"), (0.95, "p95"))))
-    return base.join(points, "feature")
+    points = r.groupBy(*keys).agg(*(F.max(F.when(holds(q), F.col("v"))).alias(name) for q, name in ((0.05, "p05"), (0.5, "median"), (0.95, "p95"))))
+    return base.join(points, keys)
 
 
 def _pooled(table: pa.Table) -> pa.Table:

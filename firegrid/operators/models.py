@@ -15,13 +15,19 @@ from .metrics import ece, feature_stats, point_metrics, roc_auc
 
 def fit_transform(train: DataFrame, scaling: dict[str, str]) -> dict[str, tuple[str, float, float, float]]:
     """Per feature its scaling, fill value, centre and scale from the training rows; features with over half missing are left out."""
-    rules = {}
-    for r in feature_stats(train, list(scaling)).collect():  # a row per feature
+    return fit_transforms(train, [F.lit(True)], scaling)[0]
+
+
+def fit_transforms(df: DataFrame, parts: list[Column], scaling: dict[str, str]) -> list[dict[str, tuple[str, float, float, float]]]:
+    """As :func:`fit_transform` for every part of the rows (a condition; parts may overlap), all in one pass."""
+    part = F.explode(F.array_compact(F.array(*(F.when(p, F.lit(k)) for k, p in enumerate(parts))))).alias("_part")
+    rules: list[dict] = [{} for _ in parts]
+    for r in feature_stats(df.select(part, *scaling), list(scaling), ["_part"]).collect():  # a row per part and feature
         if r["missing"] > r["present"]:
             continue
         kind = scaling[r["feature"]]
         centre, scale = {"standard": (r["mean"], r["sd"]), "robust": (r["median"], r["p95"] - r["p05"])}.get(kind, (0.0, 1.0))
-        rules[r["feature"]] = (kind, float(r["median"]), float(centre), float(scale) or 1.0)
+        rules[r["_part"]][r["feature"]] = (kind, float(r["median"]), float(centre), float(scale) or 1.0)
     return rules
 
 
@@ -137,7 +143,8 @@ def forward_cv(df: DataFrame, columns: list[str], years: list[int], penalties: l
     """``year, l2, auc, brier`` for each penalty and validation year: fitted on earlier years, with their statistics only, and measured on that year. With ``steps``, all fits descend together (:func:`fit_descents`)."""
     scaling, y, scored = {c: "standard" for c in columns}, F.col("year"), None
     if steps:
-        parts = [({"year": F.lit(year)}, y < year, y == year, F.lit(1.0), fit_transform(df.where(y < year), scaling)) for year in years]
+        rules = fit_transforms(df, [y < year for year in years], scaling)
+        parts = [({"year": F.lit(year)}, y < year, y == year, F.lit(1.0), own) for year, own in zip(years, rules, strict=True)]
         return _measured(_descended(df, parts, penalties, steps), ["year", "l2"])
     for year in years:
         rules = fit_transform(df.where(y < year), scaling)
@@ -154,10 +161,8 @@ def forward_cv_boosted(df: DataFrame, columns: list[str], years: list[int], grid
     y = F.col("year")
     sizes = df.agg(*(F.count_if(c) for year in years for c in (y < year, y == year))).first()
     scored = df.sparkSession.createDataFrame([], "year int, rounds int, depth int, rate double, label int, fitted double")
-    for year, before, own in zip(years, sizes[::2], sizes[1::2], strict=True):
-        if before < least_rows or not own:
-            continue
-        rules = fit_transform(df.where(y < year), {c: "standard" for c in columns})
+    years = [year for year, before, own in zip(years, sizes[::2], sizes[1::2], strict=True) if before >= least_rows and own]
+    for year, rules in zip(years, fit_transforms(df, [y < year for year in years], {c: "standard" for c in columns}) if years else [], strict=True):
         t = staged(transform(df.where(y <= year), rules).select("year", "label", *rules), "years")
         for rounds, depth, rate in grid:
             model = fit_boosted(t.where(y < year), list(rules), rounds=rounds, depth=depth, rate=rate)
@@ -187,7 +192,8 @@ def spatial_cv(df: DataFrame, columns: list[str], folds: int = 5, steps: int | N
     """``fold, auc, brier``: fitted without each fold of coarse cells, with the statistics of the rest, and measured on it. With ``steps``, all fits descend together (:func:`fit_descents`)."""
     t, fold, scored = df.withColumn("fold", spatial_fold(F.col("parent"), folds)), F.col("fold"), None
     if steps:
-        parts = [({"fold": F.lit(k)}, fold != k, fold == k, F.lit(1.0), fit_transform(t.where(fold != k), {c: "standard" for c in columns})) for k in range(folds)]
+        rules = fit_transforms(t, [fold != k for k in range(folds)], {c: "standard" for c in columns})
+        parts = [({"fold": F.lit(k)}, fold != k, fold == k, F.lit(1.0), own) for k, own in enumerate(rules)]
         return _measured(_descended(t, parts, [0.01], steps), ["fold"])
     for k in range(folds):
         rules = fit_transform(t.where(fold != k), {c: "standard" for c in columns})

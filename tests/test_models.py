@@ -67,6 +67,48 @@ def test_descent_takes_full_batch_steps(spark):
     assert models.fit_descent(t.limit(0), ["x1"], steps=3) == ([0.0], 0.0)
 
 
+def test_descents_of_parts_and_penalties_equal_single_ones(spark):
+    """Weights count, rows without a label or feature do not train, a part without rows stays at zero."""
+    df = rows(spark, 400).withColumn("x2", F.when(F.col("id") % 50 != 0, F.col("x2") / 40)).withColumn("label", F.when(F.col("id") % 70 != 1, F.col("label")))
+    xs, twice = [F.col("x1") - 3, F.col("x2")], F.when(F.col("label") == 1, 2.0).otherwise(1.0)
+    got = models.fit_descents(df, [(F.col("year") < 1998, xs, F.lit(1.0)), (F.col("year") >= 1998, xs, twice), (F.col("year") < 0, xs, F.lit(1.0))], [0.0, 0.2], 8, 0.3)
+    pdf = df.toPandas().dropna(subset=["label", "x2"])
+    for part, keep, n in ((0, pdf.year < 1998, 1), (1, pdf.year >= 1998, 2)):
+        t = pdf[keep]
+        x, y = np.column_stack([t.x1 - 3, t.x2]), t.label.to_numpy(float)
+        weight = np.where(y == 1, n, 1.0)
+        for at, l2 in enumerate((0.0, 0.2)):
+            w, b = np.zeros(2), 0.0
+            for _ in range(8):
+                e = weight * (1 / (1 + np.exp(-(x @ w + b))) - y)
+                w, b = w - 0.3 * (x.T @ e / weight.sum() + l2 * w), b - 0.3 * e.sum() / weight.sum()
+            assert np.allclose([*got[part][at][0], got[part][at][1]], [*w, b], atol=1e-9)
+    assert got[2] == [([0.0, 0.0], 0.0)] * 2
+
+
+def test_scaling_of_parts_equals_that_of_their_rows(spark):
+    df = rows(spark, 300)
+    parts = [F.col("year") < 1997, F.col("parent") % 5 != 2, F.col("year") < 0]
+    scaling = {"x1": "standard", "x2": "robust"}
+    for got, part in zip(models.fit_transforms(df, parts, scaling), parts, strict=True):
+        alone = models.fit_transform(df.where(part), scaling)
+        assert set(got) == set(alone)
+        assert all(got[c][0] == alone[c][0] and got[c][1:] == pytest.approx(alone[c][1:]) for c in got)
+
+
+def test_trees_are_validated_on_years_with_enough_rows_before(spark):
+    df = rows(spark, 240)
+    got = models.forward_cv_boosted(df, ["x1", "x2"], [1996, 1999, 2005], [(2, 2, 0.1)]).collect()
+    assert [(r["year"], r["rounds"], r["depth"]) for r in got] == [(1999, 2, 2)]  # 40 rows before 1996, none in 2005
+    assert got[0]["auc"] > 0.6
+
+
+def test_the_setting_of_largest_mean_is_chosen(spark):
+    t = spark.createDataFrame([(1997, 0.1, 0.6), (1998, 0.1, 0.8), (1997, 0.01, 0.7), (1998, 0.01, 0.7), (1997, 1.0, 0.5)], "year int, l2 double, auc double")
+    assert models.choose(t, ["l2"]).collect() == [(0.01, 0.7, 2)]
+    assert models.choose(t.where("false"), ["l2"]).count() == 0
+
+
 def test_later_years_are_scored_by_earlier_ones(spark):
     df = rows(spark)
     pdf = df.toPandas()
