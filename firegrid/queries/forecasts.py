@@ -281,6 +281,13 @@ def j1_risk_inputs(spark, d):
     return t.select(_c("cell").alias("key"), "date", F.round(_c("temp") + _c("road"), 6).alias("x"), _c("public_holiday").alias("holiday"))
 
 
+@query(with_views("v_cells", "v_weather_cells") + " SELECT c.key, w.date, round(w.temp + c.road, 6) AS x, w.date = DATE '1996-04-05' AS holiday FROM v_cells c JOIN v_weather_cells w ON w.cell = c.key")
+def j1_risk_inputs_cells(spark, d):
+    cal = spark.sql("select date '1996-04-05' as date, cast(null as boolean) as school_holiday, true as public_holiday")
+    t = weather_index.risk_inputs(views.cells(spark, d).select(_c("key").alias("cell"), "road"), views.weather_cells(spark, d), cal)
+    return t.select(_c("cell").alias("key"), "date", F.round(_c("temp") + _c("road"), 6).alias("x"), _c("public_holiday").alias("holiday"))
+
+
 # --- recursion --------------------------------------------------------------
 
 _F, _P, _C = codes.START
@@ -320,30 +327,49 @@ def p8_last_codes(spark, d):
     return t.select("cell", "date", *(F.round(c, 4).alias(c) for c in weather_index.CODES[:3]))
 
 
-_BACK = (
-    _SERIES.replace("WITH RECURSIVE ", "WITH RECURSIVE v_cells AS (" + views.SQL["v_cells"] + "), v_ignitions AS (" + views.SQL["v_ignitions"] + "), ", 1)
-    + f""", g AS (SELECT c.cell, c.road, c.combustible, c.agri, y.date, y.fwi FROM v_cells c JOIN y ON y.cell = c.key % 8),
+
+def _back_sql(series: str, lane: str) -> str:
+    """``sc``: the backtest over a series of which a cell takes the ``lane``."""
+    return (
+        series.replace("WITH RECURSIVE ", "WITH RECURSIVE v_cells AS (" + views.SQL["v_cells"] + "), v_ignitions AS (" + views.SQL["v_ignitions"] + "), ", 1)
+        + f""", g AS (SELECT c.cell, c.road, c.combustible, c.agri, y.date, y.fwi FROM v_cells c JOIN y ON y.cell = {lane}),
     ig AS (SELECT DISTINCT i.cell, CAST(i.occurred_at AS DATE) AS date, i.id FROM v_ignitions i),
     k AS (SELECT i.cell + n.dq * 67108864 + n.dr AS cell, i.date, sum(pow(0.5, n.ring)) AS k FROM ig i, {disk(2)} n GROUP BY 1, 2),
     u AS (SELECT cell, date, k FROM k UNION ALL SELECT cell, date, 0 FROM g), c0 AS (SELECT cell, date, max(h) AS h0 FROM (SELECT cell, date, coalesce(sum(k) OVER (PARTITION BY cell ORDER BY date RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING), 0) AS h FROM u) GROUP BY 1, 2), hs AS (SELECT g.*, h0 FROM g JOIN c0 USING (cell, date)), hn AS (SELECT *, CASE WHEN max(h0) OVER (PARTITION BY date) > 0 THEN h0 / max(h0) OVER (PARTITION BY date) ELSE 0 END AS hist FROM hs),
     sc AS (SELECT hn.*, CASE WHEN combustible THEN pow(greatest(0::DOUBLE, least(1::DOUBLE, fwi / 30)), 0.6) * pow(greatest(0::DOUBLE, least(1::DOUBLE, (0.4 * hist + 0.2 * greatest(0::DOUBLE, least(1::DOUBLE, road)) + CASE WHEN agri AND month(hn.date) BETWEEN 6 AND 8 THEN 0.15::DOUBLE ELSE 0 END) * CASE WHEN isodow(hn.date) >= 6 THEN 1.2::DOUBLE WHEN month(hn.date) IN (12, 1, 2) THEN 0.6::DOUBLE ELSE 1::DOUBLE END)), 0.4) ELSE 0 END AS score,
       (ic.cell IS NOT NULL)::INTEGER AS ignited FROM hn LEFT JOIN (SELECT DISTINCT cell, date FROM ig) ic ON ic.cell = hn.cell AND ic.date = hn.date) """
-)
+    )
+
 
+_BACK = _back_sql(_SERIES, "c.key % 8")
 
-def _backtest(spark, d):
+
+def _backtest(spark, d, weather=views.weather_daily, lane="key % 8"):
     c = views.cells(spark, d)
-    s = weather_index.fwi_series(views.weather_daily(spark, d)).select(_c("cell").alias("lane"), "date", "fwi")
-    series = c.select("cell", (_c("key") % 8).alias("lane")).join(s, "lane").select("cell", "date", "fwi")
+    s = weather_index.fwi_series(weather(spark, d)).select(_c("cell").alias("lane"), "date", "fwi")
+    series = c.select("cell", F.expr(lane).alias("lane")).join(s, "lane").select("cell", "date", "fwi")
     static = c.select("cell", "road", F.lit(0.0).alias("wui"), F.when(_c("agri"), 1.0).otherwise(0.0).alias("agri"), "combustible")
     cal = spark.createDataFrame([], "date date, school_holiday boolean, public_holiday boolean")
     i = views.ignitions(spark, d).select("cell", F.to_date("occurred_at").alias("date"))
     return weather_index.backtest_scores(series, static, i, cal)
 
 
-@query(_BACK + "SELECT date, count(*) AS cells, round(avg(hist), 6) AS hist, round(avg(score), 5) AS score, round(max(score), 5) AS peak, sum(ignited)::BIGINT AS ignited FROM sc GROUP BY date")
+_DAYS_SQL = "SELECT date, count(*) AS cells, round(avg(hist), 6) AS hist, round(avg(score), 5) AS score, round(max(score), 5) AS peak, sum(ignited)::BIGINT AS ignited FROM sc GROUP BY date"
+
+
+@query(_BACK + _DAYS_SQL)
 def r7_backtest(spark, d):
-    t = _backtest(spark, d).groupBy("date").agg(F.count("*").alias("cells"), F.avg("hist").alias("hist"), F.avg("score").alias("score"), F.max("score").alias("peak"), F.sum("ignited").alias("ignited"))
+    return _by_day(_backtest(spark, d))
+
+
+@query(_back_sql(_CELL_SERIES, "c.key") + _DAYS_SQL)
+def r7_backtest_cells(spark, d):
+    """The backtest with a series of each cell's own."""
+    return _by_day(_backtest(spark, d, views.weather_cells, "key"))
+
+
+def _by_day(scores):
+    t = scores.groupBy("date").agg(F.count("*").alias("cells"), F.avg("hist").alias("hist"), F.avg("score").alias("score"), F.max("score").alias("peak"), F.sum("ignited").alias("ignited"))
     return t.select("date", "cells", F.round("hist", 6).alias("hist"), F.round("score", 5).alias("score"), F.round("peak", 5).alias("peak"), "ignited")
 
 
@@ -387,6 +413,24 @@ def _recomputed(spark, d):
     return weather_index.recompute_day(cells, pairs, state, static, cal, "1996-07-02")
 
 
+@query(
+    _CELL_SERIES.replace("WITH RECURSIVE ", with_views("v_cells", "v_stations") + ", ", 1)
+    + f""", {_NEAR4}, o AS (SELECT v.*, coalesce(y.ffmc, {_F}::DOUBLE) AS f0, coalesce(y.dmc, {_P}::DOUBLE) AS p0, coalesce(y.dc, {_C}::DOUBLE) AS c0 FROM v LEFT JOIN y ON y.cell = v.key AND y.date = DATE '1996-04-22'),
+    fr AS (SELECT *, {sql_ffmc('f0', 'temp', 'rh', 'wind', 'rain')} AS ffmc, {sql_dmc('p0', 'temp', 'rh', 'rain', '4')} AS dmc, {sql_dc('c0', 'temp', 'rain', '4')} AS dc FROM o),
+    gg AS (SELECT *, {sql_isi('ffmc', 'wind')} AS isi, {sql_bui('dmc', 'dc')} AS bui FROM fr), h AS (SELECT *, {sql_fwi('isi', 'bui')} AS fwi FROM gg)
+    SELECT h.cell, round(fwi, 5) AS fwi FROM h"""
+)
+def r5_recompute_cells(spark, d):
+    """The day after each cell's own state, from its nearest stations."""
+    cells = views.cells(spark, d)
+    codes = weather_index.fwi_series(views.weather_cells(spark, d).where("date <= '1996-04-22'")).where("date = '1996-04-22'").select(_c("cell").alias("key"), "ffmc", "dmc", "dc")
+    state = cells.select("cell", "key").join(codes, "key").select("cell", "ffmc", "dmc", "dc")
+    static = cells.select("cell", "road", F.lit(0.5).alias("hist"), F.lit(0.0).alias("wui"), F.lit(0.0).alias("agri"), "combustible")
+    cal = spark.createDataFrame([], "date date, school_holiday boolean, public_holiday boolean")
+    pairs = spatial.nearest(cells.select("cell", "q", "r"), _stations(spark, d), 4)
+    return weather_index.recompute_day(cells, pairs, state, static, cal, "1996-04-23").select("cell", F.round("fwi", 5).alias("fwi"))
+
+
 def _step_sql(name: str, source: str, step: int) -> str:
     return f"{name} AS (SELECT cell, temp, rh, wind, rain, {step} AS step, {sql_ffmc('ffmc', 'temp', 'rh', 'wind', 'rain')} AS ffmc, {sql_dmc('dmc', 'temp', 'rh', 'rain', '7')} AS dmc, {sql_dc('dc', 'temp', 'rain', '7')} AS dc FROM {source})"
 

@@ -108,12 +108,20 @@ def n3_stream_fwi_cells(spark, d):
     return _streamed(spark, views.weather_cells(spark, d), buckets=16)
 
 
-@query(
-    _SERIES
-    + """SELECT cell, date, round(fwi, 4) AS fwi, round(pow(greatest(0::DOUBLE, least(1::DOUBLE, fwi / 30)), 0.6) * pow((0.4::DOUBLE * 0.2 + 0.2::DOUBLE * 0.3) * CASE WHEN isodow(date) >= 6 THEN 1.2::DOUBLE WHEN month(date) IN (12, 1, 2) THEN 0.6::DOUBLE ELSE 1::DOUBLE END, 0.4), 4) AS score FROM y"""
-)
+_PUBLISHED_SQL = """SELECT cell, date, round(fwi, 4) AS fwi, round(pow(greatest(0::DOUBLE, least(1::DOUBLE, fwi / 30)), 0.6) * pow((0.4::DOUBLE * 0.2 + 0.2::DOUBLE * 0.3) * CASE WHEN isodow(date) >= 6 THEN 1.2::DOUBLE WHEN month(date) IN (12, 1, 2) THEN 0.6::DOUBLE ELSE 1::DOUBLE END, 0.4), 4) AS score FROM y"""
+
+
+@query(_SERIES + _PUBLISHED_SQL)
 def n4_stream_forecast(spark, d):
-    w = views.weather_daily(spark, d)
+    return _published(spark, views.weather_daily(spark, d))
+
+
+@query(_CELL_SERIES + _PUBLISHED_SQL)
+def n4_stream_forecast_cells(spark, d):
+    return _published(spark, views.weather_cells(spark, d))
+
+
+def _published(spark, w):
     src, path, manifest, state = (scratch(spark, n) for n in ("hourly", "published", "published-manifest", "forecast-state"))
     w.write.parquet(src)
     static = w.select("cell").distinct().select("cell", F.lit(0.3).alias("road"), F.lit(0.2).alias("hist"), F.lit(0.0).alias("wui"), F.lit(0.0).alias("agri"), F.lit(True).alias("combustible"))
