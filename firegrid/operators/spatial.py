@@ -66,26 +66,44 @@ def _distances(batch: pa.RecordBatch, points: pa.Table):
         yield a, min(a + step, len(q)), np.sqrt((dq * dq + dq * dr + dr * dr).astype(float))
 
 
+def _first(d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of each row's ``k`` smallest values, smallest first, ties to the smaller column."""
+    k = min(k, d.shape[1])
+    row, col = np.nonzero(d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k])
+    order = np.lexsort((col, d[row, col], row))
+    row, col = row[order], col[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[keep], col[keep]
+
+
+def spread_out(df: DataFrame) -> DataFrame:
+    """The rows over all tasks, where each row is much work and the file that holds them is small."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def nearest(cells: DataFrame, points: DataFrame, k: int, cell_key: str = "cell", point_key: str = "station", most: int = MOST_POINTS) -> DataFrame:
     """Cells ``q, r`` with their ``k`` nearest points ``sq, sr`` and the ``distance``, ties to the smaller point key.
 
-    Up to ``most`` points, each cell searches all of them where it is; the pairs
-    are neither written down nor shuffled. Beyond, :func:`nearest_by_blocks`.
+    Points at one place are equally far from every cell, so the first ``k`` of each
+    place by their key are enough. Up to ``most`` of those, each cell searches all
+    of them where it is; the pairs are neither written down nor shuffled. Beyond,
+    :func:`nearest_by_blocks`.
     """
+    points = top_per(points, ["sq", "sr"], [point_key], k).drop("_n")
     few = _few(points, point_key, most)
     if few is None:
-        return nearest_by_blocks(cells, points, k, cell_key, point_key)
+        return nearest_by_blocks(cells, staged(points, "points"), k, cell_key, point_key)
     names = [*cells.columns, *points.columns, "distance"]
 
     def search(batches):
-        for batch in batches:
-            for a, b, d in _distances(batch, few):
-                order = np.argsort(d, axis=1, kind="stable")[:, :k]
-                own, of = pa.array(np.repeat(np.arange(a, b), order.shape[1])), pa.array(order.ravel())
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(own) for c in cells_names), *(few.column(c).combine_chunks().take(of) for c in points_names), pa.array(np.take_along_axis(d, order, 1).ravel())], names)
+        for batch in batches if few.num_rows else ():
+            for a, _, d in _distances(batch, few):
+                row, of = _first(d, k)
+                own = pa.array(row + a)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(own) for c in cells_names), *(few.column(c).combine_chunks().take(pa.array(of)) for c in points_names), pa.array(d[row, of])], names)
 
     cells_names, points_names = cells.columns, points.columns
-    return cells.mapInArrow(search, StructType([*cells.schema, *points.schema, StructField("distance", DoubleType())]))
+    return spread_out(cells).mapInArrow(search, StructType([*cells.schema, *points.schema, StructField("distance", DoubleType())]))
 
 
 def nearest_by_blocks(cells: DataFrame, points: DataFrame, k: int, cell_key: str = "cell", point_key: str = "station") -> DataFrame:
@@ -121,16 +139,25 @@ def nearest_by_blocks(cells: DataFrame, points: DataFrame, k: int, cell_key: str
         width *= 4
 
 
+def _places(points: DataFrame, variables: list[str]) -> DataFrame:
+    """Points added up by place: ``sq, sr``, each variable's sum and count of finite values, and a ``_place`` to tell them by."""
+    finite = lambda v: F.when(F.abs(F.col(v).cast("double")) < float("inf"), F.col(v).cast("double"))
+    t = points.groupBy("sq", "sr").agg(*(f.alias(f"{kind}_{v}") for v in variables for kind, f in (("sum", F.coalesce(F.sum(finite(v)), F.lit(0.0))), ("n", F.count(finite(v))))))
+    return t.withColumn("_place", F.struct("sq", "sr"))
+
+
 def idw_all(cells: DataFrame, points: DataFrame, variables: list[str], cell_key: str = "cell", point_key: str = "station", power: float = 2.0, most: int = MOST_POINTS) -> DataFrame:
     """Inverse-distance weighted values per cell from all points, by the rules of :func:`idw`.
 
-    Up to ``most`` points each cell sums them up where it is; beyond,
+    Points at one place weigh the same, so a place's sums and counts stand for them.
+    Up to ``most`` places each cell sums them up where it is; beyond,
     :func:`idw_by_blocks`.
     """
-    few = _few(points, point_key, most)
+    places = _places(points, variables)
+    few = _few(places, "_place", most)
     if few is None:
         return idw_by_blocks(cells, points, variables, cell_key, point_key, power, most)
-    values = {v: few.column(v).to_numpy().astype(float) for v in variables}
+    values = {v: [few.column(f"{kind}_{v}").to_numpy().astype(float) for kind in ("sum", "n")] for v in variables}
 
     def sums(batches):
         for batch in batches:
@@ -138,10 +165,10 @@ def idw_all(cells: DataFrame, points: DataFrame, variables: list[str], cell_key:
                 exact = d <= EXACT_KM
                 with np.errstate(divide="ignore", invalid="ignore"):
                     w = np.where(exact.any(1, keepdims=True), exact.astype(float), d**-power)
-                    out = [(w @ np.nan_to_num(x)) / (w @ np.isfinite(x).astype(float)) for x in values.values()]
+                    out = [(w @ x) / (w @ n) for x, n in values.values()]
                 yield pa.RecordBatch.from_arrays([batch.column(cell_key).slice(a, b - a), *(pa.array(x, pa.float64(), mask=~np.isfinite(x)) for x in out)], [cell_key, *variables])
 
-    return cells.mapInArrow(sums, StructType([cells.schema[cell_key], *(StructField(v, DoubleType()) for v in variables)]))
+    return spread_out(cells).mapInArrow(sums, StructType([cells.schema[cell_key], *(StructField(v, DoubleType()) for v in variables)]))
 
 
 #: Cells that meet a block of points at a time.
@@ -152,12 +179,13 @@ def idw_by_blocks(cells: DataFrame, points: DataFrame, variables: list[str], cel
     """:func:`idw_all` for any number of points: sums by cell and block of about ``block`` points, added up by cell.
 
     Parts of cells meet blocks of points, each once, in NumPy; a cell leaves a row
-    of sums for each block, never one for each point. Cells are told apart by their
-    key.
+    of sums for each block, never one for each point, and points at one place are
+    added up before. Cells are told apart by their key.
     """
+    points = staged(_places(points, variables), "places")
     n_blocks, n_parts = -(-points.count() // block), max(1, -(-cells.count() // CELLS_PER_PART))
     c = cells.select(cell_key, "q", "r").withColumn("_p", F.pmod(F.xxhash64(cell_key), F.lit(n_parts))).withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
-    s = points.select(F.pmod(F.xxhash64(point_key), F.lit(n_blocks)).alias("_b"), "sq", "sr", *variables).withColumn("_p", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_parts - 1).cast("long"))))
+    s = points.select(F.pmod(F.xxhash64("sq", "sr"), F.lit(n_blocks)).alias("_b"), "sq", "sr", *(f"{kind}_{v}" for v in variables for kind in ("sum", "n"))).withColumn("_p", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_parts - 1).cast("long"))))
     names = [f"{kind}_{v}" for v in variables for kind in ("sum", "weight", "exact", "exacts")]
 
     def sums(own: pa.Table, of: pa.Table) -> pa.Table:
@@ -165,15 +193,14 @@ def idw_by_blocks(cells: DataFrame, points: DataFrame, variables: list[str], cel
         out: list[list] = [[] for _ in names]
         hit = []
         if of.num_rows:
-            values = [of.column(v).to_numpy().astype(float) for v in variables]
+            values = [[of.column(f"{kind}_{v}").to_numpy().astype(float) for kind in ("sum", "n")] for v in variables]
             for batch in own.to_batches():
                 for _, _, d in _distances(batch, of):
                     exact = (d <= EXACT_KM).astype(float)
                     with np.errstate(divide="ignore", invalid="ignore"):
                         w = np.where(exact > 0, 0.0, d**-power)
                     hit.append(exact.any(1))
-                    for k, x in enumerate(values):
-                        there, x = np.isfinite(x).astype(float), np.nan_to_num(x)
+                    for k, (x, there) in enumerate(values):
                         for j, part in enumerate((w @ x, w @ there, exact @ x, exact @ there)):
                             out[4 * k + j].append(part)
         keys = own.column(cell_key) if of.num_rows else own.column(cell_key).slice(0, 0)

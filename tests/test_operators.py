@@ -395,6 +395,28 @@ def _tree(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_points_at_one_place_are_searched_once(spark):
+    """Over 5,000 points at few places, far from most cells: no blocks, no pairs written, and the same rows as brute force."""
+    cells = spark.range(300).select(F.col("id").alias("cell"), (F.col("id") % 9).alias("q"), (F.col("id") * 40).alias("r"))
+    points = spark.range(6000).select(F.col("id").alias("station"), (F.col("id") * 7 % 10).alias("sq"), (F.col("id") * 11 % 12).alias("sr"), F.when(F.col("id") % 4 > 0, (F.col("id") % 97).cast("double")).alias("temp"))
+    near, every = spatial.nearest(cells, points, 4), spatial.idw_all(cells, points, ["temp"])
+    assert "MapInArrow" in _tree(near) and "MapInArrow" in _tree(every)
+    p, c = points.toPandas(), cells.toPandas()
+    q, r = c.q.to_numpy()[:, None] - p.sq.to_numpy(), c.r.to_numpy()[:, None] - p.sr.to_numpy()
+    d = np.sqrt((q * q + q * r + r * r).astype(float))
+    want = {(int(c.cell[k]), int(s)) for k in range(300) for s in np.lexsort((p.station, d[k]))[:4]}
+    assert {(x["cell"], x["station"]) for x in near.collect()} == want == {(x["cell"], x["station"]) for x in spatial.nearest(cells, points, 4, most=20).collect()}
+    ok = p.temp.notna().to_numpy()
+    for got in (every, spatial.idw_all(cells, points, ["temp"], most=20)):
+        for x in got.collect():
+            at = d[x["cell"]]
+            w = (at == 0).astype(float) if (at == 0).any() else at**-2.0
+            if w[ok].sum():
+                assert x["temp"] == pytest.approx((w[ok] @ p.temp[ok]) / w[ok].sum())
+            else:
+                assert x["temp"] is None
+
+
 def test_an_exploded_series_is_never_sent_to_the_driver(spark):
     from firegrid.plans.weather_index import risk_inputs
 
