@@ -219,16 +219,33 @@ def lattice_pairs(cells: DataFrame, anchors: DataFrame, step: float, reach: int
     at = lambda c: F.floor(F.col(c) / step + 0.5)
     a = anchors.withColumn("ilat", at("alat")).withColumn("ilon", at("alon"))
     c = cells.withColumn("_o", F.explode(around)).withColumn("ilat", at("lat") + F.col("_o.i")).withColumn("ilon", at("lon") + F.col("_o.j")).drop("_o")
-    return c.join(a, ["ilat", "ilon"])
+    return c.join(a, ["ilat", "ilon"]).drop("ilat", "ilon")
 
 
-def nearest_on_lattice(cells: DataFrame, anchors: DataFrame, step: float, k: int, cell_key: str = "cell", anchor_key: str = "anchor", reach: int = 2) -> DataFrame:
+def nearest_on_lattice(cells: DataFrame, anchors: DataFrame, step: float, k: int, cell_key: str = "cell", anchor_key: str = "anchor", reach: int = 2, most: int = MOST_POINTS) -> DataFrame:
     """Cells ``lat, lon`` with their ``k`` nearest anchors of a lattice by ``d2``, the squared distance in degrees to nine places, ties to the smaller anchor key.
 
-    What lies further than ``reach`` steps of the index is further than ``reach``
+    Up to ``most`` anchors each cell searches all of them where it is, so cells that
+    crowd a few squares of the lattice stay spread over tasks. Beyond, what lies further than ``reach`` steps of the index is further than ``reach``
     steps away, so cells whose ``k``-th anchor is nearer are done; the others look
     twice as far, until that spans all anchors.
     """
+    few = _few(anchors, anchor_key, most)
+    if few is not None:
+        own_names, anchor_names = cells.columns, anchors.columns
+        alat, alon = (few.column(c).to_numpy().astype(float) for c in ("alat", "alon"))
+
+        def search(batches):
+            for batch in batches if few.num_rows else ():
+                lat, lon = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("lat", "lon"))
+                part = max(1, STEP // few.num_rows)
+                for a in range(0, len(lat), part):
+                    d2 = np.floor(((lat[a : a + part, None] - alat) ** 2 + (lon[a : a + part, None] - alon) ** 2) * 1e9 + 0.5) / 1e9
+                    row, of = _first(d2, k)
+                    own = pa.array(row + a)
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(own) for c in own_names), *(few.column(c).combine_chunks().take(pa.array(of)) for c in anchor_names), pa.array(d2[row, of])], [*own_names, *anchor_names, "d2"])
+
+        return spread_out(cells).mapInArrow(search, StructType([*cells.schema, *anchors.schema, StructField("d2", DoubleType())]))
     ends = lambda t, lat, lon: t.agg(F.min(lat), F.max(lat), F.min(lon), F.max(lon)).first()
     a, c = ends(anchors, "alat", "alon"), ends(cells, "lat", "lon")
     span = 0.0 if None in (*a, *c) else max(max(a[1], c[1]) - min(a[0], c[0]), max(a[3], c[3]) - min(a[2], c[2]))

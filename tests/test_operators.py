@@ -417,6 +417,15 @@ def test_points_at_one_place_are_searched_once(spark):
                 assert x["temp"] is None
 
 
+def test_a_crowded_lattice_square_is_not_one_task(spark):
+    a = spark.range(40).select(F.col("id").alias("anchor"), (43 + F.floor(F.col("id") / 7) * 0.2).alias("alat"), (1 + F.col("id") % 7 * 0.2).alias("alon"))
+    c = spark.range(5000).select(F.col("id").alias("cell"), (43 + F.col("id") % 3 * 0.01).alias("lat"), (1 + F.col("id") % 5 * 0.01).alias("lon"))
+    got = spatial.nearest_on_lattice(c, a, 0.2, 4)
+    assert "Join" not in _tree(got)
+    rows = lambda df: sorted((r["cell"], r["anchor"], round(r["d2"], 9)) for r in df.collect())
+    assert rows(got) == rows(spatial.nearest_on_lattice(c, a, 0.2, 4, most=10))
+
+
 def test_an_exploded_series_is_never_sent_to_the_driver(spark):
     from firegrid.plans.weather_index import risk_inputs
 
