@@ -426,12 +426,12 @@ def max_normalize(df: DataFrame, name: str, by: list[str]) -> DataFrame:
 def wui_cells(buildings: DataFrame, points: DataFrame, flags: DataFrame, metres: float = 50.0) -> DataFrame:
     """Cells of buildings within some metres of a combustible point of the ring around, or whose own cell is combustible.
 
-    Buildings look into the nine squares of ``metres`` around them and stop at the
-    first point; squares of a 1.5th of that width, whose points are all near
+    Buildings look, in each cell of the ring, into the up to four squares of twice
+    ``metres`` around them and stop at the first point; squares of a 1.5th of that width, whose points are all near
     enough, are asked first, so crowded places are settled without distances. A
     cell goes on to the next step only while none of its buildings has a hit.
     """
-    square = lambda c, w: F.floor(F.col(c) / w)
+    square = lambda c, w: F.floor((F.col(c) if isinstance(c, str) else c) / w)
     own = buildings.join(flags.where("combustible").select("cell"), "cell", "left_semi").select("cell").distinct()
     small = metres / 1.5  # its diagonal is shorter than ``metres``
     p = points.select(F.col("cell").alias("pcell"), F.col("x").alias("px"), F.col("y").alias("py")).distinct()
@@ -440,10 +440,12 @@ def wui_cells(buildings: DataFrame, points: DataFrame, flags: DataFrame, metres:
     crowded = p.select("pcell", square("px", small).alias("_x"), square("py", small).alias("_y")).distinct()
     near = b.withColumn("n", F.explode(cell_disk(F.col("cell"), 1))).select("cell", F.col("n.cell").alias("pcell"), square("bx", small).alias("_x"), square("by", small).alias("_y")).distinct()
     sure = near.join(crowded, ["pcell", "_x", "_y"], "left_semi").select("cell").distinct()
-    left = b.join(sure, "cell", "left_anti").withColumn("_i", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).withColumn("_j", F.explode(F.array(*map(F.lit, (-1, 0, 1)))))
-    left = left.withColumn("_x", square("bx", metres) + F.col("_i")).withColumn("_y", square("by", metres) + F.col("_j"))
-    bins = p.withColumn("_px", square("px", metres)).withColumn("_py", square("py", metres))
-    hit = (F.col("_x") == F.col("_px")) & (F.col("_y") == F.col("_py")) & (cell_distance(F.col("cell"), F.col("pcell")) <= 1) & (F.pow(F.col("bx") - F.col("px"), 2) + F.pow(F.col("by") - F.col("py"), 2) <= metres * metres)
+    wide = 2 * metres
+    around = lambda c: F.explode(F.sequence(square(c - metres, wide), square(c + metres, wide)))
+    left = b.join(sure, "cell", "left_anti").withColumn("_x", around(F.col("bx"))).withColumn("_y", around(F.col("by")))
+    left = left.withColumn("n", F.explode(cell_disk(F.col("cell"), 1))).withColumn("_cell", F.col("n.cell")).drop("n")
+    bins = p.withColumn("_px", square("px", wide)).withColumn("_py", square("py", wide))
+    hit = (F.col("_cell") == F.col("pcell")) & (F.col("_x") == F.col("_px")) & (F.col("_y") == F.col("_py")) & (F.pow(F.col("bx") - F.col("px"), 2) + F.pow(F.col("by") - F.col("py"), 2) <= metres * metres)
     close = left.join(bins, hit, "left_semi").select("cell").distinct()
     return own.unionByName(sure).unionByName(close)
 

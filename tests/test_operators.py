@@ -426,6 +426,17 @@ def test_a_crowded_lattice_square_is_not_one_task(spark):
     assert rows(got) == rows(spatial.nearest_on_lattice(c, a, 0.2, 4, most=10))
 
 
+def test_buildings_of_other_cells_in_one_square_are_not_compared(spark):
+    base = 8 * 2**52 + 2**25 * 2**26 + 2**25
+    b = spark.range(40_000).select((F.lit(base) + F.col("id") * 10).alias("cell"), (F.col("id") % 30).cast("double").alias("x"), F.lit(0.0).alias("y"))
+    p = b.select("cell", (F.col("x") + F.when((F.col("cell") - base) % 20 == 0, 45).otherwise(60)).alias("x"), "y")
+    none = spark.createDataFrame([], "cell long, combustible boolean")
+    out = spatial.wui_cells(b, p, none)
+    joins = [line.split("LeftSemi")[0] for line in _tree(out).splitlines() if "_px#" in line and "Join" in line]
+    assert joins and all("pcell#" in j for j in joins)
+    assert out.count() == 20_000
+
+
 def test_an_exploded_series_is_never_sent_to_the_driver(spark):
     from firegrid.plans.weather_index import risk_inputs
 
