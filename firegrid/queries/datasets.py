@@ -266,9 +266,9 @@ def b9_leakage_checks(spark, d):
 
 @query(
     with_views("v_cells", "v_ignitions")
-    + f""", e AS (SELECT DISTINCT cell, CAST(occurred_at AS DATE) AS date, {_CAUSE} AS category FROM v_ignitions), w AS (SELECT cell, DATE '1996-01-01' + CAST(('0x' || substr(md5('8|' || cell::VARCHAR), 1, 7))::BIGINT % 365 AS INTEGER) AS date FROM v_cells WHERE combustible),
-    t AS (SELECT cell, date + CAST(k AS INTEGER) AS date FROM w, (SELECT unnest(range(0, 31)) AS k)) SELECT DISTINCT cell, date, 1 AS label FROM e JOIN v_cells USING (cell) WHERE category = 'human_known' AND combustible
-    UNION ALL SELECT cell, min(date), 0 FROM t WHERE (cell, date) NOT IN (SELECT (cell, date) FROM e) GROUP BY cell"""
+    + f""", e AS (SELECT DISTINCT cell, CAST(occurred_at AS DATE) AS date, {_CAUSE} AS category FROM v_ignitions), w AS (SELECT cell, ('0x' || substr(md5('8|' || cell::VARCHAR), 1, 7))::BIGINT % 365 AS start FROM v_cells WHERE combustible),
+    t AS (SELECT cell, k, DATE '1996-01-01' + CAST((start + k) % 365 AS INTEGER) AS date FROM w, (SELECT unnest(range(0, 365)) AS k)) SELECT DISTINCT cell, date, 1 AS label FROM e JOIN v_cells USING (cell) WHERE category = 'human_known' AND combustible
+    UNION ALL SELECT cell, arg_min(date, k), 0 FROM t ANTI JOIN (SELECT DISTINCT cell, date FROM e) USING (cell, date) GROUP BY cell"""
 )
 def b10_training_sample(spark, d):
     e = _mapped(spark, d).select("cell", F.to_date("occurred_at").alias("date"), "category")
