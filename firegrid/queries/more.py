@@ -59,8 +59,10 @@ _EDGE, _W = grid.edge_m(8), grid.edge_m(8) * 3**0.5
 
 def _square_sql(step: float, code: str, pick: str) -> str:
     return f"""WITH sq AS (SELECT {code} AS code, s_suppkey % 20 * {step}::DOUBLE AS x0, s_suppkey // 20 * {step}::DOUBLE AS y0 FROM supplier),
-    g AS (SELECT q, r, {_W!r}::DOUBLE * (q + r / 2.0::DOUBLE) AS x, {_EDGE!r}::DOUBLE * 1.5 * r AS y FROM (SELECT unnest(range(-60, 160)) AS q), (SELECT unnest(range(-10, 120)) AS r)),
-    i AS (SELECT code, 8 * 4503599627370496 + (q + 33554432) * 67108864 + r + 33554432 AS cell FROM sq, g WHERE x >= x0 AND x < x0 + 5000 AND y >= y0 AND y < y0 + 5000) {pick}"""
+    gr AS (SELECT *, unnest(range(floor(y0 / ({_EDGE!r}::DOUBLE * 1.5))::BIGINT - 1, ceil((y0 + 5000) / ({_EDGE!r}::DOUBLE * 1.5))::BIGINT + 2)) AS r FROM sq),
+    gq AS (SELECT *, unnest(range(floor(x0 / {_W!r}::DOUBLE - r / 2.0::DOUBLE)::BIGINT - 1, ceil((x0 + 5000) / {_W!r}::DOUBLE - r / 2.0::DOUBLE)::BIGINT + 2)) AS q FROM gr),
+    g AS (SELECT *, {_W!r}::DOUBLE * (q + r / 2.0::DOUBLE) AS x, {_EDGE!r}::DOUBLE * 1.5 * r AS y FROM gq),
+    i AS (SELECT code, 8 * 4503599627370496 + (q + 33554432) * 67108864 + r + 33554432 AS cell FROM g WHERE x >= x0 AND x < x0 + 5000 AND y >= y0 AND y < y0 + 5000) {pick}"""
 
 
 @query(_square_sql(4000.0, "lpad(s_suppkey::VARCHAR, 3, '0')", "SELECT cell, min(code) AS code, count(DISTINCT code) AS claims FROM i GROUP BY cell"))
