@@ -67,14 +67,20 @@ def duplicate_contributions(p: dict[str, Column]) -> dict[str, Column]:
     }
 
 
+#: What of an event a pair's assessment looks at.
+ASSESSED = ("occurred_at", "commune", "cell", "x", "y", "surface_ha", "category", "subcategory", "geography")
+
+
 def assess_duplicates(pairs: DataFrame, events: DataFrame) -> DataFrame:
     """Score, class and parts of each pair. A full score alone is not certain: all signals must agree.
 
     ``events``: ``id, occurred_at, commune, cell, x, y, surface_ha, category,
-    subcategory, geography`` with plane coordinates in metres.
+    subcategory, geography`` with plane coordinates in metres. Pairs that have the
+    columns ``ASSESSED`` of both sides need no join with them.
     """
-    side = lambda n: events.select(*(F.col(c).alias(f"{c}_{n}") for c in ("id", "occurred_at", "commune", "cell", "x", "y", "surface_ha", "category", "subcategory", "geography")))
-    t = pairs.join(side("l"), F.col("left") == F.col("id_l")).join(side("r"), F.col("right") == F.col("id_r"))
+    side = lambda n: events.select(*(F.col(c).alias(f"{c}_{n}") for c in ("id", *ASSESSED)))
+    held = {f"{c}_{n}" for c in ASSESSED for n in "lr"} <= set(pairs.columns)
+    t = pairs if held else pairs.join(side("l"), F.col("left") == F.col("id_l")).join(side("r"), F.col("right") == F.col("id_r"))
     same = lambda c: F.col(f"{c}_l") == F.col(f"{c}_r")
     largest = F.greatest("surface_ha_l", "surface_ha_r")
     t = t.select(
@@ -95,11 +101,11 @@ def assess_duplicates(pairs: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def duplicate_groups(pairs: DataFrame) -> DataFrame:
-    """Two members for each pair to review: the anchor, which is kept, and the candidate."""
+    """Two members for each pair to review: the anchor, which is kept, and the candidate; with the pair's class."""
     members = F.array(F.struct(F.col("left").alias("event"), F.lit("anchor").alias("role")), F.struct(F.col("right").alias("event"), F.lit("candidate").alias("role")))
     t = pairs.where(F.col("classification").isin("certain_duplicate", "probable_duplicate", "possible_duplicate")).withColumn("m", F.explode(members))
     decision = F.when(F.col("m.role") == "anchor", "keep").when(F.col("classification") == "certain_duplicate", "exclude").otherwise("review")
-    return t.select(F.concat_ws(":", F.col("left").cast("string"), F.col("right").cast("string")).alias("group"), F.col("m.event").alias("event"), F.col("m.role").alias("role"), decision.alias("decision"))
+    return t.select(F.concat_ws(":", F.col("left").cast("string"), F.col("right").cast("string")).alias("group"), F.col("m.event").alias("event"), F.col("m.role").alias("role"), decision.alias("decision"), "classification")
 
 
 def assess_combustibility(events: DataFrame, static: DataFrame) -> DataFrame:
@@ -114,7 +120,7 @@ def assess_combustibility(events: DataFrame, static: DataFrame) -> DataFrame:
 def audit_quality(events: DataFrame, static: DataFrame) -> dict[str, DataFrame]:
     """The whole audit: labels, geography, duplicates with their groups, combustibility."""
     labels = events.select("id", assess_label(F.col("category"), F.col("subcategory")).alias("label"))
-    pairs = assess_duplicates(duplicate_pairs(events), events)
+    pairs = assess_duplicates(duplicate_pairs(events, keep=ASSESSED), events)
     return {"labels": labels, "pairs": pairs, "groups": duplicate_groups(pairs), "combustibility": assess_combustibility(events.withColumnRenamed("id", "event"), static)}
 
 

@@ -14,7 +14,7 @@ from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, St
 
 from ..functions.dates import latest_noon
 from ..functions.grid import LEVEL, ROW, cell_disk, cell_distance, cell_level, cell_q, cell_r
-from ..sources.staging import staged
+from ..sources.staging import spread_out, staged
 
 EXACT_KM = 1e-9
 
@@ -76,11 +76,6 @@ def _first(d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return row[keep], col[keep]
 
 
-def spread_out(df: DataFrame) -> DataFrame:
-    """The rows over all tasks, where each row is much work and the file that holds them is small."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-
 def nearest(cells: DataFrame, points: DataFrame, k: int, cell_key: str = "cell", point_key: str = "station", most: int = MOST_POINTS) -> DataFrame:
     """Cells ``q, r`` with their ``k`` nearest points ``sq, sr`` and the ``distance``, ties to the smaller point key.
 
@@ -471,28 +466,36 @@ def _triangle(events: DataFrame, by: list[str], rows: int) -> tuple[DataFrame, D
     return left.drop("_part", "_parts"), right.drop("_part", "_parts")
 
 
-def duplicate_pairs(events: DataFrame, rows: int = PART_ROWS) -> DataFrame:
+def duplicate_pairs(events: DataFrame, rows: int = PART_ROWS, keep: tuple[str, ...] = ()) -> DataFrame:
     """Candidate duplicates ``left < right`` of one UTC day: cells at most a ring apart, or one municipality within 24 h. Ids are unique.
 
     Joins on day and neighbour cell, and on day and municipality; no pair of a
     day is compared otherwise. A day of a cell or municipality with over ``rows``
     events is cut into parts, so no task holds its pairs: of a municipality each
-    pair of parts meets once, of a cell each part meets all neighbours.
+    pair of parts meets once, of a cell each part meets all neighbours. The columns
+    ``keep`` of both events come along as ``{column}_l`` and ``{column}_r``: only
+    events are shuffled, never pairs.
     """
-    e = events.select("id", "cell", "commune", F.to_date("occurred_at").alias("day"))
-    first, second = _triangle(e.where("commune is not null and day is not null"), ["day", "commune"], rows)
-    second = second.select(F.col("id").alias("id2"), F.col("cell").alias("cell2"), F.col("day").alias("day2"), F.col("commune").alias("commune2"), F.col("_i").alias("_i2"), F.col("_j").alias("_j2"))
-    same = (F.col("day") == F.col("day2")) & (F.col("commune") == F.col("commune2")) & (F.col("_i") == F.col("_i2")) & (F.col("_j") == F.col("_j2"))
-    apart = F.coalesce(cell_distance(F.col("cell"), F.col("cell2")) > 1, F.lit(True))  # nearer ones come from the other join
+    e = events.select("id", F.to_date("occurred_at").alias("day"), F.col("commune").alias("_c"), F.col("cell").alias("_cell"), cell_level(F.col("cell")).alias("_l"), cell_q(F.col("cell")).alias("_q"), cell_r(F.col("cell")).alias("_r"), F.struct(F.col("id").alias("_id"), *(F.col(c) for c in keep)).alias("_e")).where("day is not null")
+    second_of = lambda t: t.select(*(F.col(c).alias(f"{c}2") for c in t.columns))
+    sides = lambda one, two: [one["_id"].alias("left"), two["_id"].alias("right"), *(one[c].alias(f"{c}_l") for c in keep), *(two[c].alias(f"{c}_r") for c in keep)]
+    first, second = _triangle(e.where("_c is not null"), ["day", "_c"], rows)
+    second = second_of(second)
+    same = F.lit(True)
+    for c in ("day", "_c", "_i", "_j"):
+        same = same & (F.col(c) == F.col(f"{c}2"))
+    dq, dr = F.col("_q") - F.col("_q2"), F.col("_r") - F.col("_r2")
+    apart = F.coalesce((F.col("_l") != F.col("_l2")) | (F.greatest(F.abs(dq), F.abs(dr), F.abs(dq + dr)) > 1), F.lit(True))  # nearer ones come from the other join
     place = first.join(second, same & apart & ((F.col("_i") < F.col("_j")) | (F.col("id") < F.col("id2"))) & (F.col("id") != F.col("id2")))
-    by_place = place.select(F.least("id", "id2").alias("left"), F.greatest("id", "id2").alias("right"))
+    in_order = F.col("id") < F.col("id2")
+    by_place = place.select(*sides(F.when(in_order, F.col("_e")).otherwise(F.col("_e2")), F.when(in_order, F.col("_e2")).otherwise(F.col("_e"))))
 
-    r = e.select(F.col("id").alias("right"), F.col("cell").alias("rcell"), F.col("day").alias("rday")).where("rcell is not null and rday is not null")
+    r = e.select(F.col("_cell").alias("rcell"), F.col("day").alias("rday"), F.col("id").alias("id2"), F.col("_e").alias("_e2")).where("rcell is not null")
     hot = r.groupBy("rcell", "rday").agg(F.count("*").alias("_m")).where(F.col("_m") > rows).select("rcell", "rday", F.ceil(F.col("_m") / rows).alias("_parts"))
-    r = r.join(hot, ["rcell", "rday"], "left").withColumn("_part", F.pmod(F.xxhash64("right"), F.coalesce("_parts", F.lit(1)))).drop("_parts")
-    a = e.select(F.col("id").alias("left"), F.col("day").alias("rday"), F.explode(cell_disk(F.col("cell"), 1)).alias("n")).select("left", "rday", F.col("n.cell").alias("rcell"))
+    r = r.join(hot, ["rcell", "rday"], "left").withColumn("_part", F.pmod(F.xxhash64("id2"), F.coalesce("_parts", F.lit(1)))).drop("_parts")
+    a = e.select("id", "_e", F.col("day").alias("rday"), F.explode(cell_disk(F.col("_cell"), 1)).alias("n")).select("id", "_e", "rday", F.col("n.cell").alias("rcell"))
     a = a.join(hot, ["rcell", "rday"], "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
-    by_cell = a.join(r, ["rday", "rcell", "_part"]).where("left < right").select("left", "right")
+    by_cell = a.join(r, ["rday", "rcell", "_part"]).where("id < id2").select(*sides(F.col("_e"), F.col("_e2")))
     return by_cell.unionByName(by_place)
 
 

@@ -93,7 +93,7 @@ _PAIRED = (
 
 def _assessed(spark, d):
     e = _mapped(spark, d).withColumnsRenamed({"lat_m": "x", "lon_m": "y"}).withColumn("geography", F.when(_c("id") % 6 == 0, "municipality_centroid_probable").otherwise("precision_undocumented"))
-    return quality.assess_duplicates(spatial.duplicate_pairs(e), e)
+    return quality.assess_duplicates(spatial.duplicate_pairs(e, keep=quality.ASSESSED), e)
 
 
 @query(_PAIRED + 'SELECT l AS "left", r AS "right", score, classification FROM k')
@@ -107,7 +107,7 @@ def q3_assess_duplicates(spark, d):
     UNION ALL SELECT l || ':' || r, r, 'candidate', CASE WHEN classification = 'certain_duplicate' THEN 'exclude' ELSE 'review' END FROM g"""
 )
 def q4_duplicate_groups(spark, d):
-    return quality.duplicate_groups(_assessed(spark, d))
+    return quality.duplicate_groups(_assessed(spark, d)).drop("classification")
 
 
 @query(
@@ -746,7 +746,7 @@ def a15_quality_summary(spark, d):
     from ..operators.reads import quality_summary
 
     pairs = _assessed(spark, d)
-    groups = quality.duplicate_groups(pairs).join(pairs.select(F.concat_ws(":", "left", "right").alias("group"), "classification"), "group")
+    groups = quality.duplicate_groups(pairs)
     burns = views.ignitions(spark, d).select(F.when(_c("id") % 19 != 0, _c("id") % 3 == 0).alias("combustible"))
     return quality_summary(_placed(spark, d), groups, _geography(spark, d).select("g.category"), burns, pairs)
 

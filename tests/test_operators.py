@@ -461,3 +461,16 @@ def test_sql_of_squares_and_controls_reaches_past_the_small_tables(spark, tmp_pa
         con.execute(f"copy {t} to '{d}/{t}.parquet' (format parquet)")
     for name in ("s21_load_territory", "s22_load_communes", "b10_training_sample"):
         assert_same(catalog.queries()[name](spark, d).toPandas(), con.execute(catalog.oracle_sql()[name]).df())
+
+
+def test_pairs_are_assessed_where_they_meet(spark):
+    """No join of pairs with events, and the same assessment as with it."""
+    from firegrid.operators import quality
+
+    base = 8 * 2**52 + 2**25 * 2**26 + 2**25
+    k = F.col("id")
+    e = spark.range(120).select("id", F.timestamp_seconds(1_700_000_000 + k * 911 % 90_000).alias("occurred_at"), (k % 4).alias("commune"), (F.lit(base) + k % 9).alias("cell"), (k % 50).cast("double").alias("x"), (k % 30).cast("double").alias("y"), (k % 5).cast("double").alias("surface_ha"), F.lit("human_known").alias("category"), (k % 2).cast("string").alias("subcategory"), F.when(k % 6 == 0, "municipality_centroid_probable").otherwise("x").alias("geography"))
+    one = quality.assess_duplicates(spatial.duplicate_pairs(e, keep=quality.ASSESSED), e)
+    two = quality.assess_duplicates(spatial.duplicate_pairs(e), e)
+    rows = lambda t: sorted(map(tuple, t.select("left", "right", "score", "classification").collect()))
+    assert rows(one) == rows(two) and "id_l" not in _tree(one) and "classification" in quality.duplicate_groups(one).columns
