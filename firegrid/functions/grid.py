@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.staging import spread_out
+
 HALF, ROW, LEVEL = 1 << 25, 1 << 26, 1 << 52
 EARTH_M = 6_371_008.8
 
@@ -152,7 +154,7 @@ def cells_for_bbox(df: DataFrame, resolution: int, steps: int = 16) -> DataFrame
         x, y = laea_forward(p["lat"], p["lon"])
         return F.struct(x.alias("x"), y.alias("y"))
 
-    t = df.withColumn("_p", F.transform(F.sequence(F.lit(0), F.lit(4 * steps - 1)), outline)).withColumn("_p", F.transform("_p", plane))
+    t = spread_out(df).withColumn("_p", F.transform(F.sequence(F.lit(0), F.lit(4 * steps - 1)), outline)).withColumn("_p", F.transform("_p", plane))
     for c in "xy":
         t = t.withColumn(f"_{c}0", F.array_min(F.transform("_p", lambda p: p[c]))).withColumn(f"_{c}1", F.array_max(F.transform("_p", lambda p: p[c])))  # noqa: B023
     bend = (F.col("_x1") - F.col("_x0") + F.col("_y1") - F.col("_y0")) / (2 * steps) + 2 * edge  # what lies between two points of the outline, and a cell's own size

@@ -17,7 +17,7 @@ from pyspark.sql.types import StringType
 from ..functions.grid import cell_center, cell_ring
 from ..functions.text import fingerprint, row_checksum
 from ..operators.spatial import latest_per
-from .staging import delete_path, staged
+from .staging import delete_path, spread_out, staged
 
 
 def new_rows(df: DataFrame, target: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -158,7 +158,7 @@ def to_geojson(df: DataFrame, properties: list[str], geometry: str = "polygon")
     else:
         lat, lon = cell_center(F.col("cell"))
         shape = F.struct(F.lit("Point").alias("type"), degrees(lon, lat).alias("coordinates"))
-    return df.select(F.to_json(F.struct(F.lit("Feature").alias("type"), shape.alias("geometry"), F.struct(*properties).alias("properties"))).alias("value"))
+    return spread_out(df).select(F.to_json(F.struct(F.lit("Feature").alias("type"), shape.alias("geometry"), F.struct(*properties).alias("properties"))).alias("value"))
 
 
 def write_cells(df: DataFrame, path: str) -> None:

@@ -474,3 +474,12 @@ def test_pairs_are_assessed_where_they_meet(spark):
     two = quality.assess_duplicates(spatial.duplicate_pairs(e), e)
     rows = lambda t: sorted(map(tuple, t.select("left", "right", "score", "classification").collect()))
     assert rows(one) == rows(two) and "id_l" not in _tree(one) and "classification" in quality.duplicate_groups(one).columns
+
+
+def test_boxes_and_outlines_of_a_small_file_are_spread_over_tasks(spark):
+    from firegrid.functions import grid
+    from firegrid.sources import sinks
+
+    boxes = spark.range(3).select(F.col("id").alias("station"), F.lit(1.0).alias("west"), F.lit(43.0).alias("south"), F.lit(1.01).alias("east"), F.lit(43.01).alias("north"))
+    cells = spark.range(3).select((F.lit(8 * 2**52 + 2**25 * 2**26 + 2**25) + F.col("id")).alias("cell"))
+    assert all("REPARTITION_BY_NUM" in _tree(t) for t in (grid.cells_for_bbox(boxes, 8), sinks.to_geojson(cells, [])))
