@@ -107,7 +107,8 @@ def n3_stream_fwi(spark, d):
 
 @query(_CELL_SERIES + _CODES_SQL.replace(" FROM y", ", false AS late FROM y"))
 def n3_stream_fwi_cells(spark, d):
-    return _streamed(spark, views.weather_cells(spark, d), buckets=16)
+    w = views.weather_cells(spark, d)
+    return _streamed(spark, w, buckets=jobs.state_buckets(w.select("cell").distinct().count()))
 
 
 _PUBLISHED_SQL = """SELECT cell, date, round(fwi, 4) AS fwi, round(pow(greatest(0::DOUBLE, least(1::DOUBLE, fwi / 30)), 0.6) * pow((0.4::DOUBLE * 0.2 + 0.2::DOUBLE * 0.3) * CASE WHEN isodow(date) >= 6 THEN 1.2::DOUBLE WHEN month(date) IN (12, 1, 2) THEN 0.6::DOUBLE ELSE 1::DOUBLE END, 0.4), 4) AS score FROM y"""

@@ -60,6 +60,11 @@ class FwiState(StatefulProcessor):
 STATE_BUCKETS = 64
 
 
+def state_buckets(cells: int, per_bucket: int = 10_000, least: int = 16) -> int:
+    """Buckets for so many cells, some ten thousand in each, so that what a task holds at a time doesn't grow with the cells."""
+    return max(least, -(-cells // per_bucket))
+
+
 def stream_fwi(weather: DataFrame, buckets: int = STATE_BUCKETS) -> DataFrame:
     """The daily index as a stream; needs the RocksDB state store. Choose ``buckets`` so that a bucket has some ten thousand cells."""
     schema = "cell long, date date, ffmc double, dmc double, dc double, isi double, bui double, fwi double, late boolean"
