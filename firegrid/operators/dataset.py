@@ -12,10 +12,22 @@ from ..functions.text import hash_order, row_checksum
 from .spatial import exclude_near, near_events, top_per
 
 
-def candidate_events(events: DataFrame, labels: DataFrame, geography: DataFrame, combustibility: DataFrame, duplicates: DataFrame) -> DataFrame:
-    """Events with their assessments and whether they are the later member of a certain duplicate."""
+#: Rows that a task of :func:`candidate_events` or :func:`variant_stats` holds, about.
+ROWS_PER_TASK = 500_000
+
+
+def _tasks(df: DataFrame, rows_per_task: int) -> tuple[int, bool]:
+    """Tasks for so many rows each, and whether these are more than Spark's own."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = -(-df.count() // rows_per_task)
+    return max(least, n), n > least
+
+
+def candidate_events(events: DataFrame, labels: DataFrame, geography: DataFrame, combustibility: DataFrame, duplicates: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Events with their assessments and whether they are the later member of a certain duplicate. Tasks that join grow in number with the events."""
+    n, more = _tasks(events, rows_per_task)
     later = duplicates.where("classification = 'certain_duplicate'").select(F.col("right").alias("id")).distinct().withColumn("duplicate", F.lit(True))
-    t = events.join(labels, "id").join(geography, "id").join(combustibility, "id", "left").join(later, "id", "left")
+    t = (events.repartition(n, "id") if more else events).join(labels, "id").join(geography, "id").join(combustibility, "id", "left").join(later, "id", "left")
     return t.na.fill(False, ["duplicate"])
 
 
@@ -126,9 +138,16 @@ def build_variants(positives: DataFrame, negatives: dict[str, DataFrame]) -> Dat
     return out.withColumn("row_key", row_checksum(F.col("variant"), F.col("cell"), F.col("date"), F.col("label")))
 
 
-def variant_stats(rows: DataFrame) -> DataFrame:
-    """Per variant and label: rows, distinct keys with the first and last of them, and the days."""
-    return rows.groupBy("variant", "label").agg(F.count("*").alias("n"), F.countDistinct("row_key").alias("keys"), F.min("row_key").alias("first_key"), F.max("row_key").alias("last_key"), F.min("date").alias("first_day"), F.max("date").alias("last_day"))
+def variant_stats(rows: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Per variant and label: rows, distinct keys with the first and last of them, and the days.
+
+    Rows are dealt by key into as many tasks as they need, so a task holds about
+    ``rows_per_task`` keys however long the table is.
+    """
+    by = ["variant", "label"]
+    dealt = rows.select(*by, "row_key", "date").repartition(_tasks(rows, rows_per_task)[0], "row_key")
+    keys = dealt.groupBy(*by, "row_key").agg(F.count("*").alias("n"), F.min("date").alias("lo"), F.max("date").alias("hi"))
+    return keys.groupBy(*by).agg(F.sum("n").alias("n"), F.count("*").alias("keys"), F.min("row_key").alias("first_key"), F.max("row_key").alias("last_key"), F.min("lo").alias("first_day"), F.max("hi").alias("last_day"))
 
 
 def leakage_checks(rows: DataFrame, bounds: dict[str, tuple[str, str]]) -> DataFrame:

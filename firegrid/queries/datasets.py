@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .. import views
 from ..functions import grid, text
 from ..operators import dataset, metrics, quality, scoring, spatial
+from ..sources.staging import staged
 from ..views import table, with_views
 from .joins import _DIST, _EV, _events, disk
 from .registry import query
@@ -237,7 +238,7 @@ def b7_row_features(spark, d):
     SELECT v AS variant, label, count(*) AS n, count(DISTINCT k) AS keys, min(k) AS first_key, max(k) AS last_key, min(date) AS first_day, max(date) AS last_day FROM (SELECT *, sha256(concat_ws('|', v, cell::VARCHAR, date::VARCHAR, label::VARCHAR)) AS k FROM r) GROUP BY 1, 2"""
 )
 def b8_build_variants(spark, d):
-    p = _positives(spark, d)
+    p = staged(_positives(spark, d).select("cell", "date", "id", "strict"), "positives")  # each variant takes them
     n = p.where("id % 3 = 0").select((_c("cell") + 1).alias("cell"), "date")
     return dataset.variant_stats(dataset.build_variants(p, {"N2": n, "N3": n}))
 

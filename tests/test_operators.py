@@ -3,6 +3,7 @@
 import datetime
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -483,3 +484,15 @@ def test_boxes_and_outlines_of_a_small_file_are_spread_over_tasks(spark):
     boxes = spark.range(3).select(F.col("id").alias("station"), F.lit(1.0).alias("west"), F.lit(43.0).alias("south"), F.lit(1.01).alias("east"), F.lit(43.01).alias("north"))
     cells = spark.range(3).select((F.lit(8 * 2**52 + 2**25 * 2**26 + 2**25) + F.col("id")).alias("cell"))
     assert all("REPARTITION_BY_NUM" in _tree(t) for t in (grid.cells_for_bbox(boxes, 8), sinks.to_geojson(cells, [])))
+
+
+def test_variant_keys_are_dealt_into_tasks_by_their_number(spark):
+    days = F.date_add(F.lit("1996-01-01").cast("date"), (F.col("id") % 40).cast("int"))
+    pos = spark.range(600).select((F.col("id") % 500).alias("cell"), days.alias("date"), (F.col("id") % 3 == 0).alias("strict"))
+    rows = dataset.build_variants(pos.unionByName(pos.limit(20)), {"N2": pos.where("cell < 9").select("cell", "date")})
+    t = dataset.variant_stats(rows, rows_per_task=100)
+    assert max(int(n) for n in re.findall(r"hashpartitioning\(row_key#\d+, (\d+)\)", t._jdf.queryExecution().toString())) == -(-rows.count() // 100)
+    got = {(r["variant"], r["label"]): tuple(r)[2:] for r in t.collect()}
+    pdf = rows.toPandas()
+    want = {k: (len(g), g.row_key.nunique(), g.row_key.min(), g.row_key.max(), g.date.min(), g.date.max()) for k, g in pdf.groupby(["variant", "label"])}
+    assert got == want and any(n > keys for n, keys, *_ in want.values())
