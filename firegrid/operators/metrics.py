@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+from operator import or_
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.staging import staged
@@ -227,6 +231,45 @@ def feature_stats(df: DataFrame, columns: list[str], by: list[str] | None = None
     return base.join(points, keys)
 
 
+def part_stats(df: DataFrame, parts: list[Column], columns: list[str], accuracy: int = 1_000) -> list[dict]:
+    """:func:`feature_stats` of every part of the rows (a condition; parts may overlap), without the extremes; a feature that a part has no value of is left out. ``part`` numbers the parts.
+
+    Nothing is sorted or shuffled whole: approximate quantiles on both sides of a
+    point bound it, and only what lies between is counted by value, some
+    ``4 / accuracy`` of the rows. Where a bound doesn't hold, wider ones are taken.
+    """
+    names = [f"_v{k}" for k in range(len(columns))]
+    t = staged(df.select(*(F.coalesce(p, F.lit(False)).alias(f"_p{k}") for k, p in enumerate(parts)), *(F.col(c).cast("double").alias(n) for c, n in zip(columns, names, strict=True))), "parts")
+    sets = [(k, c, n) for k in range(len(parts)) for c, n in zip(columns, names, strict=True)]
+    of = {(k, c): F.when(F.col(f"_p{k}"), F.col(n)) for k, c, n in sets}
+    points, margins = {"p05": 0.05, "median": 0.5, "p95": 0.95}, [2 / accuracy, 20 / accuracy, 200 / accuracy]
+    plain = iter(t.agg(*(x for k, c, n in sets for x in (F.count(of[k, c]), F.count_if(F.col(f"_p{k}") & F.col(n).isNull()), F.avg(of[k, c]), F.stddev_pop(of[k, c]), F.min(of[k, c]), F.max(of[k, c])))).first())
+    sides = F.array(*(F.lit(min(max(q + side * m, 0.0), 1.0)) for q in points.values() for m in margins for side in (-1, 1)))
+    near = t.agg(*(F.percentile_approx(of[k, c], sides, F.lit(accuracy)) for k, c, _ in sets)).first()
+    out, bounds = {}, {}
+    for (k, c, _), cuts in zip(sets, near, strict=True):
+        present, missing, mean, sd, low, high = (next(plain) for _ in range(6))
+        if present:
+            out[k, c] = {"part": k, "feature": c, "present": present, "missing": missing, "mean": mean, "sd": sd}
+            for at, (name, q) in enumerate(points.items()):
+                own = cuts[2 * len(margins) * at : 2 * len(margins) * (at + 1)]
+                bounds[k, c, name] = math.floor((present - 1) * q + 0.5), [*zip(own[::2], own[1::2], strict=True), (low, high)]
+    for turn in range(len(margins) + 1):
+        left = [(key, place, tries[turn]) for key, (place, tries) in bounds.items() if key[2] not in out[key[:2]]]
+        if not left:
+            break
+        below = t.agg(*(F.count_if(of[key[:2]] < low) for key, _, (low, _) in left)).first()
+        inside = reduce(or_, (of[key[:2]].between(low, high) for key, _, (low, high) in left))
+        hits = (F.when(of[key[:2]].between(low, high), F.struct(F.lit(i).alias("i"), of[key[:2]].alias("v"))) for i, (key, _, (low, high)) in enumerate(left))
+        counts = t.where(inside).select(F.explode(F.array_compact(F.array(*hits))).alias("x")).groupBy("x.i", "x.v").agg(F.count("*").alias("n"))
+        place = F.element_at(F.array(*(F.lit(place - b) for (_, place, _), b in zip(left, below, strict=True))), F.col("i") + 1)
+        upto = counts.withColumn("upto", F.sum("n").over(Window.partitionBy("i").orderBy("v")))
+        for r in upto.where((place >= F.col("upto") - F.col("n")) & (place < F.col("upto"))).select("i", "v").collect():  # one a point
+            key = left[r["i"]][0]
+            out[key[:2]][key[2]] = r["v"]
+    return list(out.values())
+
+
 def _pooled(table: pa.Table) -> pa.Table:
     """Adjacent violators pooled, over rows ``x, s, w``: the last score, sum of labels and weight of each block."""
     table = table.sort_by("x")

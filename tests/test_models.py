@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from firegrid import catalog, views
-from firegrid.operators import boosting, models, scoring
+from firegrid.operators import boosting, metrics, models, scoring
 
 
 def rows(spark, n=1500):
@@ -255,3 +255,25 @@ def test_registered_validations_cover_years_penalties_and_folds(spark, sf_dir):
     parents = {r["parent"] % 5 for r in views.labeled(spark, sf_dir).select("parent").distinct().collect()}
     assert set(folds.fold) == parents and len(folds) == len(parents) and folds.auc.between(0.1, 0.9).all()
     assert sorted(q["m11_importances"](spark, sf_dir).toPandas().feature) == ["x1", "x2", "x3"]
+
+
+def test_statistics_of_parts_come_from_bounds_and_not_from_sorting(spark):
+    """Ties, missing values, an empty part, and bounds so loose that wider ones are needed."""
+    df = spark.range(3000).select("id", (F.col("id") * 7919 % 3000 / 10).alias("a"), F.when(F.col("id") % 9 != 0, (F.col("id") % 4).cast("double")).alias("b"))
+    pdf = df.toPandas()
+    parts = {0: pdf.id >= 0, 1: pdf.id % 3 == 0, 3: pdf.id < 2}
+    for accuracy in (1_000, 20):
+        got = {(r["part"], r["feature"]): r for r in metrics.part_stats(df, [F.lit(True), F.col("id") % 3 == 0, F.col("id") < 0, F.col("id") < 2], ["a", "b"], accuracy)}
+        assert set(got) == {(p, c) for p in parts for c in "ab"}
+        for (p, c), r in got.items():
+            v = np.sort(pdf[parts[p]][c].dropna())
+            assert (r["present"], r["missing"]) == (len(v), int(pdf[parts[p]][c].isna().sum()))
+            assert [r["p05"], r["median"], r["p95"]] == [v[int((len(v) - 1) * q + 0.5)] for q in (0.05, 0.5, 0.95)]
+            assert (r["mean"], r["sd"]) == pytest.approx((v.mean(), v.std()))
+
+
+def test_a_descent_writes_a_shared_feature_once(spark):
+    """Folds differ in scaling only, so five of them need no five copies of each feature."""
+    parts = [(F.col("year") != k, F.col("year") == k, F.lit(1.0), [(x, ("standard", 0.0, float(k), 2.0)) for x in xs]) for xs in [[F.col("x1"), F.col("x2")]] for k in range(1995, 2000)]
+    t, features = models._descent_rows(rows(spark, 60), parts)
+    assert [c for c in t.columns if c.startswith("_x")] == ["_x0", "_x1"] and [[n for n, _ in own] for _, own in features] == [["_x0", "_x1"]] * 5
