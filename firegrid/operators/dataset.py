@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.grid import cell_disk, cell_parent
 from ..functions.text import hash_order, row_checksum
-from .spatial import exclude_near, near_events, top_per
+from .spatial import exclude_near, near_by_strategy, top_per
 
 
 #: Rows that a task of :func:`candidate_events` or :func:`variant_stats` holds, about.
@@ -267,8 +267,7 @@ def passes(metrics: DataFrame, least: dict[str, float] = AT_LEAST, most: dict[st
 
 def exclusion_census(candidates: DataFrame, events: DataFrame, by: str = "cause") -> DataFrame:
     """How many candidates each strategy rules out, by an attribute of the event (a candidate may count under several)."""
-    found = None
-    for s in ("N0", "N1", "N2", "N3"):
-        hit = near_events(candidates, events, s, [by]).select("key", by).distinct().withColumn("strategy", F.lit(s))
-        found = hit if found is None else found.unionByName(hit)
-    return found.groupBy(by).agg(*(F.count_if(F.col("strategy") == s).alias(s.lower()) for s in ("N0", "N1", "N2", "N3")))
+    names = ["N0", "N1", "N2", "N3"]
+    near = near_by_strategy(candidates, events, names, [by]).groupBy("key", by).agg(*(F.bool_or(s.lower()).alias(s.lower()) for s in names))
+    found = near.groupBy(by).agg(*(F.count_if(F.col(s.lower())).alias(s.lower()) for s in names))
+    return found.where("n0 + n1 + n2 + n3 > 0")

@@ -361,14 +361,19 @@ def _placed(df: DataFrame, cell: str, date: str) -> DataFrame:
     return df.withColumns({"_l": cell_level(F.col(cell)), "_q": cell_q(F.col(cell)), "_r": cell_r(F.col(cell)), "_d": F.datediff(date, F.lit("1970-01-01").cast("date"))})
 
 
+def _reach(strategy: str) -> tuple[Column, Column]:
+    """Rings and days around an event."""
+    if strategy != "N3":
+        return F.lit(WINDOWS[strategy][0]), F.lit(WINDOWS[strategy][1])
+    k, days = F.lit(ADAPTIVE_DEFAULT[0]), F.lit(ADAPTIVE_DEFAULT[1])
+    for name, (a, b) in ADAPTIVE.items():
+        k, days = F.when(F.col("category") == name, a).otherwise(k), F.when(F.col("category") == name, b).otherwise(days)
+    return k, days
+
+
 def event_windows(events: DataFrame, strategy: str, keep: list[str] | None = None) -> DataFrame:
     """The distinct windows of events: ``wcell, wdate``, rings and days around them, and the columns ``keep``."""
-    if strategy == "N3":
-        k, days = F.lit(ADAPTIVE_DEFAULT[0]), F.lit(ADAPTIVE_DEFAULT[1])
-        for name, (a, b) in ADAPTIVE.items():
-            k, days = F.when(F.col("category") == name, a).otherwise(k), F.when(F.col("category") == name, b).otherwise(days)
-    else:
-        k, days = map(F.lit, WINDOWS[strategy])
+    k, days = _reach(strategy)
     return events.select(F.col("cell").alias("wcell"), F.col("date").alias("wdate"), k.alias("rings"), days.alias("days"), *(keep or [])).distinct()
 
 
@@ -399,6 +404,17 @@ def near_events(candidates: DataFrame, events: DataFrame, strategy: str, keep: l
     return c.join(w, on).select(*candidates.columns, *keep)
 
 
+def near_by_strategy(candidates: DataFrame, events: DataFrame, strategies: list[str], keep: list[str]) -> DataFrame:
+    """As :func:`near_events` for several strategies by one join on the widest of an event's windows: a row per candidate and event near it, with a flag per strategy, in lower case."""
+    reach = {s: _reach(s) for s in strategies}
+    own = [c.alias(f"_{s}{n}") for s, both in reach.items() for n, c in enumerate(both)]
+    widest = [F.greatest(*(both[n] for both in reach.values())).alias(name) for n, name in enumerate(("rings", "days"))]
+    c, w, on = _within(candidates, events.select(F.col("cell").alias("wcell"), F.col("date").alias("wdate"), *widest, *own, *keep).distinct())
+    dq, dr = F.col("_q") - F.col("_w_q"), F.col("_r") - F.col("_w_r")
+    rings, days = F.greatest(F.abs(dq), F.abs(dr), F.abs(dq + dr)), F.abs(F.col("_d") - F.col("_w_d"))
+    return c.join(w, on).select(*candidates.columns, *keep, *(((rings <= F.col(f"_{s}0")) & (days <= F.col(f"_{s}1"))).alias(s.lower()) for s in strategies))
+
+
 def ring_sum(cells: DataFrame, values: DataFrame, name: str, k: int = 1) -> DataFrame:
     """Sum of a value over each cell's ``k`` rings; the values scatter to their neighbours."""
     spread = values.select(F.explode(cell_disk(F.col("cell"), k)).alias("n"), name).groupBy(F.col("n.cell").alias("cell")).agg(F.sum(name).alias(name))

@@ -496,3 +496,19 @@ def test_variant_keys_are_dealt_into_tasks_by_their_number(spark):
     pdf = rows.toPandas()
     want = {k: (len(g), g.row_key.nunique(), g.row_key.min(), g.row_key.max(), g.date.min(), g.date.max()) for k, g in pdf.groupby(["variant", "label"])}
     assert got == want and any(n > keys for n, keys, *_ in want.values())
+
+
+def test_census_joins_once_for_all_strategies(spark):
+    rng = random.Random(4)
+    names = ["precision_undocumented", "rounded_coordinate_probable", "municipality_centroid_probable", "other"]
+    cell = lambda: (8 << 52) + (rng.randrange(12) + (1 << 25)) * (1 << 26) + rng.randrange(12) + (1 << 25)
+    day = lambda: datetime.date(1996, 1, 1) + datetime.timedelta(rng.randrange(20))
+    c = spark.createDataFrame([(k, cell(), day()) for k in range(80)], "key long, cell long, date date")
+    e = spark.createDataFrame([(cell(), day(), rng.choice(names), rng.choice("xyz")) for _ in range(25)], "cell long, date date, category string, cause string")
+    t = dataset.exclusion_census(c, e)
+    assert len(re.findall(r"Join", t._jdf.queryExecution().optimizedPlan().toString())) == 1
+    want = {}
+    for n, s in enumerate(("N0", "N1", "N2", "N3")):
+        for r in spatial.near_events(c, e, s, ["cause"]).collect():
+            want.setdefault(r["cause"], [set() for _ in range(4)])[n].add(r["key"])
+    assert {r["cause"]: list(r)[1:] for r in t.collect()} == {k: [len(v) for v in sets] for k, sets in want.items()}
