@@ -202,8 +202,9 @@ def score_with(model, df: DataFrame, columns: list[str]) -> DataFrame:
 
 def fit_and_score(df: DataFrame, columns: list[str], kind: str, first_test: int = 1999) -> DataFrame:
     """Fit on earlier years and score the later ones."""
-    rules = fit_transform(df.where(F.col("year") < first_test), {c: "standard" for c in columns})
-    t = transform(df, rules)
+    t = staged(df.select("id", "label", "year", *columns), "years")
+    rules = fit_transform(t.where(F.col("year") < first_test), {c: "standard" for c in columns})
+    t = transform(t, rules)
     train, later = t.where(F.col("year") < first_test), t.where(F.col("year") >= first_test)
     scored = score_with(fit_logistic(train, list(rules)), later, list(rules)) if kind == "logistic" else score_boosted(later, fit_boosted(train, list(rules)))
     return scored.select("id", "label", "fitted")

@@ -208,6 +208,47 @@ def test_boosting_of_few_rows_and_one_class(spark):
         boosting.fit_boosted(rows(spark, 30).where("id < 0"), ["x1"])
 
 
+def test_passes_of_boosting_are_spread_over_tasks(spark, monkeypatch):
+    """A table in one partition is dealt to all tasks once, so that none of the passes over it is a single task."""
+    df = spark.range(0, 45_000, 1, 1).select((F.col("id") * 7919 % 1009).alias("x1"), (F.col("id") * 31 % 997).alias("x2"), (F.col("id") % 4 == 0).cast("int").alias("label"))
+    tasks, candidates = [], boosting._candidates
+    monkeypatch.setattr(boosting, "_candidates", lambda t, *rest: tasks.append(t.rdd.getNumPartitions()) or candidates(t, *rest))
+    boosting.fit_boosted(df, ["x1", "x2"], rounds=2, depth=2)
+    assert tasks == [4] * 4
+
+
+def test_values_are_summed_in_wanted_ranges_only(spark):
+    """Whatever number of rows is summed at a time, and with values that repeat."""
+    t = spark.range(1000).select((F.col("id") % 3 == 0).cast("double").alias("y"), (F.col("id") * 7 % 40 / 4).alias("v0"), F.col("id").cast("double").alias("v1"))
+    cuts, pdf = [[2.0, 5.0], [300.0, 600.0]], t.toPandas()
+    blocks, kind = boosting._packed(t, cuts, 0.0)
+    tree = {"feature": 1, "threshold": 499.5, "left": {"open": 0}, "right": {"value": 0.0}}
+    walk, open_ = boosting._walk(kind, tree, [{"value": 2.0}], 0.5), pdf[pdf.v1 <= 499.5]
+    r = open_.y - 1 / (1 + np.exp(-1.0))
+    sums = {row["cell"]: row for row in boosting._range_sums(blocks, walk, 2, 3, 3)}
+    for cell, column, inside in [(0, "v0", open_.v0 < 2), (1, "v0", (open_.v0 >= 2) & (open_.v0 < 5)), (2, "v0", open_.v0 >= 5), (3, "v1", open_.v1 < 300), (4, "v1", open_.v1 >= 300)]:
+        v = open_[column][inside]
+        assert tuple(sums.pop(cell)) == (cell, len(v), pytest.approx(r[inside].sum()), v.min(), v.max())
+    assert not sums
+    want = r[(open_.v0 >= 2) & (open_.v0 < 5)].groupby(open_.v0).agg(["size", "sum"])
+    for at_once in (1, 50, 10_000):
+        got = boosting._value_sums(blocks, walk, np.array([[False, True, False], [False] * 3]), 3, at_once).groupBy("cell", "v").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).toPandas().set_index("v")
+        assert (got.cell == 1).all() and len(got) == len(want) == 12
+        assert got.n.loc[want.index].tolist() == want["size"].tolist() and np.allclose(got.s.loc[want.index], want["sum"])
+
+
+def test_boosting_refuses_missing_features_and_counts_rows_without_a_label(spark):
+    df = rows(spark, 300)
+    for bad in (None, float("nan")):
+        with pytest.raises(Exception, match="null or NaN"):
+            boosting.fit_boosted(df.withColumn("x1", F.when(F.col("id") != 7, F.col("x1")).otherwise(F.lit(bad))), ["x1"], rounds=1)
+    some = df.withColumn("label", F.when(F.col("id") % 5 != 0, F.col("label")))
+    pdf = some.toPandas()
+    y = pdf.label.to_numpy(float)
+    p = np.nansum(y) / len(y)
+    same_tree(boosting.fit_boosted(some, ["x1", "x2"], rounds=1)["trees"][0], grow(pdf[["x1", "x2"]].to_numpy(), np.nan_to_num(y - p), 3))
+
+
 def test_weighting_is_compared_on_the_calibration_rows(spark):
     df = rows(spark).where("label = 0 or id % 4 = 0")
     train, held = df.where("year < 1999"), df.where("year >= 1999")
