@@ -77,10 +77,9 @@ def hash_order(seed: str, *parts: Column) -> Column:
 def map_cause(label: Column) -> Column:
     """``(category, subcategory)`` of a source label; unmapped labels are indeterminate, blank ones null."""
     text = F.trim(F.regexp_replace(F.lower(label), r"\s+", " "))
-    out = F.when(F.coalesce(text, F.lit("")) == "", F.lit(None))
-    for name, (category, sub) in CAUSES.items():
-        out = out.when(text == name, F.struct(F.lit(category).alias("category"), F.lit(sub).alias("subcategory")))
-    return out.otherwise(F.struct(F.lit("indeterminate").alias("category"), F.lit("unmapped").alias("subcategory")))
+    of = lambda category, sub: F.struct(F.lit(category).alias("category"), F.lit(sub).alias("subcategory"))
+    known = F.create_map(*(x for name, pair in CAUSES.items() for x in (F.lit(name), of(*pair))))  # the text is made once, not once a name
+    return F.when(F.coalesce(text, F.lit("")) != "", F.coalesce(F.try_element_at(known, text), of("indeterminate", "unmapped")))
 
 
 def host_of(url: Column) -> Column:

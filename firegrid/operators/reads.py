@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import hash_order
+from ..sources.staging import staged
+from .quality import REVIEWED
 from .spatial import latest_per
 
 
@@ -84,14 +86,17 @@ def counts_by(df: DataFrame, columns: list[str]) -> DataFrame:
     return long.groupBy("x.kind", "x.name").agg(F.count("*").alias("n"))
 
 
-def quality_summary(events: DataFrame, groups: DataFrame, geography: DataFrame, combustibility: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``kind, name, n``: events by cause, duplicate groups by class, events by geographic category and by what their cell is, and the totals of events, repeated coordinates and pairs."""
+def quality_summary(events: DataFrame, classes: DataFrame, geography: DataFrame, combustibility: DataFrame) -> DataFrame:
+    """``kind, name, n``: events by cause, members of duplicate groups by class, events by geographic category and by what their cell is, and the totals of events, repeated coordinates and pairs. ``classes``: ``classification, pairs``, the number of pairs of each class; a group has two members."""
     burns = combustibility.select(F.when(F.col("combustible"), "combustible").when(~F.col("combustible"), "non_combustible").otherwise("features_missing").alias("combustibility"))
-    counted = [counts_by(t, [c]) for t, c in ((events, "cause"), (groups, "classification"), (geography, "category"), (burns, "combustibility"))]
+    counted = [counts_by(t, [c]) for t, c in ((events, "cause"), (geography, "category"), (burns, "combustibility"))]
+    classes = staged(classes, "classes")  # a row a class
+    groups = classes.where(F.col("classification").isin(*REVIEWED)).select(F.lit("classification").alias("kind"), F.col("classification").alias("name"), (2 * F.col("pairs")).alias("n"))
+    pairs = classes.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("n")).select(F.lit("total").alias("kind"), F.lit("duplicate_pairs").alias("name"), "n")
     total = lambda t, name: t.agg(F.count("*").alias("n")).select(F.lit("total").alias("kind"), F.lit(name).alias("name"), "n")
     repeated = events.groupBy("lat", "lon").count().where("count > 1")
     out = counted[0]
-    for more in (*counted[1:], total(events, "events"), total(repeated, "coordinate_groups"), total(pairs, "duplicate_pairs")):
+    for more in (*counted[1:], groups, total(events, "events"), total(repeated, "coordinate_groups"), pairs):
         out = out.unionByName(more)
     return out
 

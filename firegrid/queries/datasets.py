@@ -92,14 +92,13 @@ _PAIRED = (
 )
 
 
-def _assessed(spark, d):
-    e = _mapped(spark, d).withColumnsRenamed({"lat_m": "x", "lon_m": "y"}).withColumn("geography", F.when(_c("id") % 6 == 0, "municipality_centroid_probable").otherwise("precision_undocumented"))
-    return quality.assess_duplicates(spatial.duplicate_pairs(e, keep=quality.ASSESSED), e)
+def _audited(spark, d):
+    return _mapped(spark, d).withColumnsRenamed({"lat_m": "x", "lon_m": "y"}).withColumn("geography", F.when(_c("id") % 6 == 0, "municipality_centroid_probable").otherwise("precision_undocumented"))
 
 
 @query(_PAIRED + 'SELECT l AS "left", r AS "right", score, classification FROM k')
 def q3_assess_duplicates(spark, d):
-    return _assessed(spark, d).select("left", "right", F.round("score", 6).alias("score"), "classification")
+    return quality.assessed_pairs(_audited(spark, d))
 
 
 @query(
@@ -108,7 +107,7 @@ def q3_assess_duplicates(spark, d):
     UNION ALL SELECT l || ':' || r, r, 'candidate', CASE WHEN classification = 'certain_duplicate' THEN 'exclude' ELSE 'review' END FROM g"""
 )
 def q4_duplicate_groups(spark, d):
-    return quality.duplicate_groups(_assessed(spark, d)).drop("classification")
+    return quality.duplicate_groups(quality.assessed_pairs(_audited(spark, d), review=True)).drop("classification")
 
 
 @query(
@@ -127,8 +126,7 @@ def q5_assess_combustibility(spark, d):
 
 @query(_PAIRED + "SELECT classification, count(*) AS pairs FROM k GROUP BY 1")
 def q6_audit_summary(spark, d):
-    e = _mapped(spark, d).withColumnsRenamed({"lat_m": "x", "lon_m": "y"}).withColumn("geography", F.when(_c("id") % 6 == 0, "municipality_centroid_probable").otherwise("precision_undocumented"))
-    return quality.audit_quality(e, views.cells(spark, d))["pairs"].groupBy("classification").agg(F.count("*").alias("pairs"))
+    return quality.audit_quality(_audited(spark, d), views.cells(spark, d))["classes"]
 
 
 @query("SELECT o_orderkey AS key, o_orderkey % 5 IN (0, 1, 2) AS safe FROM orders")
@@ -746,10 +744,8 @@ def m14_scoring_parity(spark, d):
 def a15_quality_summary(spark, d):
     from ..operators.reads import quality_summary
 
-    pairs = _assessed(spark, d)
-    groups = quality.duplicate_groups(pairs)
     burns = views.ignitions(spark, d).select(F.when(_c("id") % 19 != 0, _c("id") % 3 == 0).alias("combustible"))
-    return quality_summary(_placed(spark, d), groups, _geography(spark, d).select("g.category"), burns, pairs)
+    return quality_summary(_placed(spark, d), quality.duplicate_classes(_audited(spark, d)), _geography(spark, d).select("g.category"), burns)
 
 
 @query(

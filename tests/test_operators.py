@@ -2,8 +2,10 @@
 
 import datetime
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 from firegrid import views
 from firegrid.functions import grid
-from firegrid.operators import dataset, metrics, spatial
+from firegrid.operators import dataset, metrics, quality, spatial
 from firegrid.sources import readers, sinks
 
 
@@ -477,6 +479,34 @@ def test_pairs_are_assessed_where_they_meet(spark):
     assert rows(one) == rows(two) and "id_l" not in _tree(one) and "classification" in quality.duplicate_groups(one).columns
 
 
+def test_pairs_are_assessed_where_events_meet(spark, sf_dir):
+    """Same pairs, scores and classes as by the joins, with unknown values and groups cut into parts; no pair is a row of a shuffle."""
+    from firegrid import catalog
+
+    rng = random.Random(9)
+    odd = lambda value, *others: rng.choice([value] * 8 + list(others))
+    cell = lambda: (8 << 52) + (rng.randrange(-9, 9) + (1 << 25)) * (1 << 26) + rng.randrange(-9, 9) + (1 << 25)
+    at = lambda: datetime.datetime(2024, 7, 1) + datetime.timedelta(seconds=rng.randrange(2 * 86_400))
+    near = lambda: odd(float(rng.randrange(0, 90, 5)), None, math.nan)
+    kinds = ["municipality_centroid_probable", "precision_undocumented", "x", None]
+    rows = [(k * 7 % 601, odd(at(), None), odd(rng.randrange(5), None), odd(cell(), None, (9 << 52) + (1 << 51)), near(), near(), odd(rng.choice([0.0, 1.0, 1.02, 9.0, -1.0]), None, math.nan), odd("human_known", None), rng.choice(["a", "b"]), rng.choice(kinds)) for k in range(600)]
+    e = spark.createDataFrame(rows, "id long, occurred_at timestamp, commune long, cell long, x double, y double, surface_ha double, category string, subcategory string, geography string")
+    pairs = lambda t: sorted((r["left"], r["right"], round(r["score"], 9), r["classification"]) for r in t.select("left", "right", "score", "classification").collect())
+    want = pairs(quality.assess_duplicates(spatial.duplicate_pairs(e), e))
+    assert {r[3] for r in want} >= {"probable_duplicate", "possible_duplicate", "indeterminate", "probably_distinct"}
+    for part in (2_000, 7):
+        assert pairs(quality.assessed_pairs(e, part)) == want
+        assert pairs(quality.assessed_pairs(e, part, review=True)) == [r for r in want if r[3] in quality.REVIEWED]
+        assert {r["classification"]: r["pairs"] for r in quality.duplicate_classes(e, part).collect()} == Counter(r[3] for r in want)
+    one = e.where("id = 0").drop("id").crossJoin(spark.range(50)).fillna(0.0).fillna({"category": "a", "commune": 1, "cell": cell()})
+    one = one.withColumn("geography", F.lit("x")).withColumn("occurred_at", F.lit("2024-07-01 10:00:00").cast("timestamp"))
+    assert [tuple(r) for r in quality.duplicate_classes(one, 8).collect()] == [("certain_duplicate", 50 * 49 // 2)]
+    assert not quality.duplicate_classes(e.limit(0)).collect() and not quality.assessed_pairs(e.limit(0)).collect()
+    for name in ("q3_assess_duplicates", "q4_duplicate_groups", "q6_audit_summary", "a15_quality_summary"):
+        tree = _tree(catalog.queries()[name](spark, sf_dir))
+        assert "occurred_at_l" not in tree and "id2" not in tree, name
+
+
 def test_boxes_and_outlines_of_a_small_file_are_spread_over_tasks(spark):
     from firegrid.functions import grid
     from firegrid.sources import sinks
