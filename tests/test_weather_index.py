@@ -274,3 +274,20 @@ def test_hits_and_misses_of_lanes_need_no_row_of_a_cell_and_day(spark, monkeypat
     none = fires.limit(0)
     assert not weather_index.backtest_by_lane(static, series, none, cal, "misses").collect()
     assert {tuple(r)[2:] for r in weather_index.backtest_by_lane(static, series, none, cal, "hits").collect()} == {(0, 0, 0)}
+
+
+def test_days_of_lanes_are_the_means_of_rows(spark):
+    """The report by day, with cells that no ignition is near: their history is 0."""
+    from firegrid.plans.weather_index import backtest_by_lane, backtest_scores
+
+    d = lambda k: datetime.date(2000, 5, 28) + datetime.timedelta(days=k)
+    base = 8 * 2**52 + 2**25 * 2**26 + 2**25
+    cells = [(base + k * 40, k % 2, k % 3 / 2, 0.5, float(k % 2), bool(k % 4)) for k in range(40)]
+    static = spark.createDataFrame(cells, "cell long, lane long, road double, wui double, agri double, combustible boolean")
+    series = spark.createDataFrame([(lane, d(k), 5.0 + 3 * k + lane) for lane in (0, 1) for k in range(6) if (lane, k) != (1, 4)], "lane long, date date, fwi double")
+    fires = spark.createDataFrame([(base + 1, d(1)), (base + 41, d(2)), (base, d(3)), (base, d(-3))], "cell long, date date")
+    cal = spark.createDataFrame([], "date date, school_holiday boolean, public_holiday boolean")
+    of = backtest_scores(static.join(series, "lane").select("cell", "date", "fwi"), static.drop("lane"), fires, cal).toPandas().groupby("date")
+    days = backtest_by_lane(static, series, fires, cal).toPandas().sort_values("date")
+    assert (days["cells"].to_numpy() == of.size().to_numpy()).all() and (days["ignited"].to_numpy() == of["ignited"].sum().to_numpy()).all()
+    assert all(np.allclose(days[c], of[name].agg(how)) for c, name, how in (("hist", "hist", "mean"), ("score", "score", "mean"), ("peak", "score", "max")))
